@@ -5,5 +5,5 @@ from .registry import QUERIES  # noqa: F401
 
 def load_all() -> dict:
     """Import every query module so that all queries are registered."""
-    from . import forecast_queries, review_queries, series_queries  # noqa: F401
+    from . import alert_browse_queries, forecast_queries, review_queries, series_queries  # noqa: F401
     return QUERIES
