@@ -84,6 +84,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(True).alias("certified"),
         F.timestamp_seconds(F.lit(REVIEW_EPOCH_SECONDS) + F.col("doc_id")).alias("ts"),
         F.col("doc_id").alias("seq"),
+        F.col("source").alias("listing"),
     )
 
 

@@ -138,11 +138,21 @@ def html_unescape_basic(s) -> Column:
     return s
 
 
+ASCII_WS = r"[ \t\n\r\f\x{0B}]"
+WORD_EDGE_L = r"(^|[^A-Za-z0-9_])"
+WORD_EDGE_R = r"([^A-Za-z0-9_]|$)"
+
+
+def strip_ws(s) -> Column:
+    """Python ``str.strip()`` for ASCII whitespace."""
+    return F.regexp_replace(_c(s), f"^{ASCII_WS}+|{ASCII_WS}+$", "")
+
+
 def title_product_name(html, default: str = S.DEFAULT_PRICE_PRODUCT) -> Column:
     """page title minus "Price History", trimmed; no title -> default."""
     title = F.regexp_extract(_c(html), r"(?is)<title[^>]*>(.*?)</title>", 1)
     has_title = F.regexp_like(_c(html), F.lit(r"(?is)<title[^>]*>.*?</title>"))
-    name = F.trim(F.replace(html_unescape_basic(title), F.lit(S.TITLE_SUFFIX), F.lit("")))
+    name = strip_ws(F.replace(html_unescape_basic(title), F.lit(S.TITLE_SUFFIX), F.lit("")))
     return F.when(has_title, name).otherwise(F.lit(default))
 
 
@@ -172,6 +182,7 @@ def is_noise_text(txt, rating=None, compat: bool = False) -> Column:
     if compat:
         dated = F.contains(t, F.lit("ago")) | F.regexp_like(t, F.lit(S.MONTH_PATTERN))
     else:
-        dated = F.regexp_like(t, F.lit(r"\bago\b")) | F.regexp_like(t, F.lit(r"\b" + S.MONTH_PATTERN + r"\b"))
+        dated = (F.regexp_like(t, F.lit(WORD_EDGE_L + "ago" + WORD_EDGE_R))
+                 | F.regexp_like(t, F.lit(WORD_EDGE_L + S.MONTH_PATTERN + WORD_EDGE_R)))
     digits = F.regexp_like(t, F.lit(r"^[0-9,]+$"))
     return F.coalesce(fixed | dated | digits | (F.length(t) <= 1), F.lit(True))

@@ -44,7 +44,8 @@ SELECT d.doc_id AS review_id,
        'reader_' || d.source AS reviewer,
        true AS certified,
        TIMESTAMP '2024-02-01 00:00:00' + to_seconds(d.doc_id) AS ts,
-       d.doc_id AS seq
+       d.doc_id AS seq,
+       d.source AS listing
 FROM documents d LEFT JOIN part p ON d.doc_id = p.p_partkey""")
 
 view("observations", ["reviews"], f"""
