@@ -175,16 +175,14 @@ def analyze_reviews(reviews: DataFrame, responses: DataFrame | None = None,
     else:
         label, conf = rule["label"], rule["confidence"]
     cat = T.detect_category(text, categories)
+    new = {"sentiment": label, "confidence": conf, "category": cat}
     if "sentiment" in reviews.columns and "category" in reviews.columns:
         keep = F.col("sentiment").isNotNull() & F.col("category").isNotNull()
-        conf = F.when(keep, F.col("confidence") if "confidence" in reviews.columns else F.lit(None)).otherwise(conf)
-        label = F.when(keep, F.col("sentiment")).otherwise(label)
-        cat = F.when(keep, F.col("category")).otherwise(cat)
-        df = df.drop("confidence") if "confidence" in reviews.columns else df
-        df = df.withColumns({"_l": label, "_c": conf, "_k": cat}).drop("sentiment", "category")
-        df = df.withColumnsRenamed({"_l": "sentiment", "_c": "confidence", "_k": "category"})
-    else:
-        df = df.withColumns({"sentiment": label, "confidence": conf, "category": cat})
+        old_conf = F.col("confidence") if "confidence" in reviews.columns else F.lit(None).cast("double")
+        new = {"sentiment": F.when(keep, F.col("sentiment")).otherwise(label),
+               "confidence": F.when(keep, old_conf).otherwise(conf),
+               "category": F.when(keep, F.col("category")).otherwise(cat)}
+    df = df.withColumns(new)
     if "llm" in df.columns:
         df = df.drop("llm")
     return df
