@@ -70,31 +70,37 @@ def _any_contains(low: Column, words: Sequence[str]) -> Column:
     return out if out is not None else F.lit(False)
 
 
-def detect_category(text, categories=S.CATEGORIES) -> Column:
+def detect_category(text, categories=S.CATEGORIES, lowered=None) -> Column:
     """the first category any of whose keywords occurs in the text
-    (lower-cased substring test); empty or missing text -> General."""
+    (lower-cased substring test); empty or missing text -> General.
+    ``lowered``: the text already lower-cased in an earlier projection, so
+    it is computed once per row rather than once per CASE branch."""
     t = _c(text)
-    low = F.lower(t)
+    low = _c(lowered) if lowered is not None else F.lower(t)
     expr = F.when(t.isNull() | (t == ""), F.lit(S.DEFAULT_CATEGORY))
     for name, words in categories:
         expr = expr.when(_any_contains(low, words), F.lit(name))
     return expr.otherwise(F.lit(S.DEFAULT_CATEGORY))
 
 
-def sentiment_score(text, positive=S.POSITIVE_WORDS, negative=S.NEGATIVE_WORDS) -> Column:
+def sentiment_score(text, positive=S.POSITIVE_WORDS, negative=S.NEGATIVE_WORDS, lowered=None) -> Column:
     """Number of positive words present minus negative words present
     (substring test, each word counted once)."""
-    low = F.lower(_c(text))
+    low = _c(lowered) if lowered is not None else F.lower(_c(text))
     pos = sum((F.contains(low, F.lit(w)).cast("int") for w in positive), F.lit(0))
     neg = sum((F.contains(low, F.lit(w)).cast("int") for w in negative), F.lit(0))
     return pos - neg
 
 
-def rule_sentiment(text, positive=S.POSITIVE_WORDS, negative=S.NEGATIVE_WORDS) -> Column:
+def rule_sentiment(text, positive=S.POSITIVE_WORDS, negative=S.NEGATIVE_WORDS, lowered=None) -> Column:
     """struct(label, confidence): score > 1 Positive .75, < -1 Negative
     .75, else Neutral .5; empty or missing text Neutral .5."""
-    t = _c(text)
-    score = sentiment_score(t, positive, negative)
+    return rule_from_score(text, sentiment_score(_c(text), positive, negative, lowered))
+
+
+def rule_from_score(text, score) -> Column:
+    """F5 labels from a precomputed lexicon score."""
+    t, score = _c(text), _c(score)
     empty = t.isNull() | (t == "")
     label = (F.when(empty, F.lit("Neutral")).when(score > 1, F.lit("Positive"))
              .when(score < -1, F.lit("Negative")).otherwise(F.lit("Neutral")))

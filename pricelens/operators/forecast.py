@@ -77,19 +77,19 @@ def future_points(pos: DataFrame, periods: int) -> DataFrame:
 
 @dataclass
 class TrendSeasonalFit:
-    params: DataFrame   # product, fold, a, b, ybar, n_fit, mode, sigma
-    weekly: DataFrame   # product, fold, dow, w, s
-    monthly: DataFrame  # product, fold, month, m, sm
+    """One row per (product, fold): trend ``a + b t``, mode, residual
+    sigma, and the weekday / month indices as small maps (7 and 12
+    entries), so predicting is a single join on (product, fold)."""
+    model: DataFrame
 
     def predict(self, points: DataFrame) -> DataFrame:
         """Adds ``yhat``, ``lower``, ``upper`` to ``points`` (product, fold, t, ds)."""
-        p = (points.withColumns({"dow": F.dayofweek("ds"), "month": F.month("ds")})
-             .join(self.params, KEYS)
-             .join(self.weekly, KEYS + ["dow"], "left")
-             .join(self.monthly, KEYS + ["month"], "left"))
-        yhat = _yhat(F.col("t"))
+        p = points.join(self.model, KEYS)
+        wk = F.element_at("wmap", F.dayofweek("ds"))
+        mo = F.element_at("mmap", F.month("ds"))
+        p = p.withColumns({"w": wk["w"], "s": wk["s"], "m": mo["m"], "sm": mo["sm"]})
         band = F.lit(Z80) * F.coalesce(F.col("sigma"), F.lit(0.0))
-        return p.withColumns({"yhat": yhat}).withColumns(
+        return p.withColumn("yhat", _yhat(F.col("t"))).withColumns(
             {"lower": F.col("yhat") - band, "upper": F.col("yhat") + band})
 
 
@@ -107,8 +107,25 @@ def _yhat(t):
     return F.when(F.col("mode") == "multiplicative", mult).otherwise(add)
 
 
-def fit_trend_seasonal(rows: DataFrame, periods: int) -> TrendSeasonalFit:
-    """M1 fit per (product, fold) on fold rows (product, fold, idx, ds, y, n)."""
+def _index_map(detail: DataFrame, key: str, ratio_sum: str, ratio_n: str, resid: str,
+               idx_name: str, add_name: str) -> DataFrame:
+    """Per (product, fold): map key -> struct(index, additive offset), where
+    index = mean ratio of the key / mean ratio overall."""
+    level = detail.groupBy(KEYS).agg(F.try_divide(F.sum(ratio_sum), F.sum(ratio_n)).alias("_lvl"))
+    d = detail.join(level, KEYS).select(
+        *KEYS, key, F.struct(F.try_divide(F.try_divide(F.col(ratio_sum), F.col(ratio_n)), F.col("_lvl"))
+                             .alias(idx_name), F.col(resid).alias(add_name)).alias("v"))
+    return d.groupBy(KEYS).agg(F.map_from_entries(F.collect_list(F.struct(key, "v"))).alias("map"))
+
+
+def fit_trend_seasonal(rows: DataFrame, periods: int, materialize: str = "checkpoint") -> TrendSeasonalFit:
+    """M1 fit per (product, fold) on fold rows (product, fold, idx, ds, y, n).
+
+    Four passes over the fold rows (trend; weekday index; month index;
+    residual sigma).  The small per-(product, fold) results in between are
+    materialized, so no pass recomputes an earlier one.
+    """
+    from ..session import materialize as mat
     r = rows.withColumns({"t": F.col("idx").cast("double"), "dow": F.dayofweek("ds"), "month": F.month("ds")})
     lin = r.groupBy(KEYS).agg(
         F.regr_intercept("y", "t").alias("a"), F.regr_slope("y", "t").alias("b"),
@@ -117,28 +134,28 @@ def fit_trend_seasonal(rows: DataFrame, periods: int) -> TrendSeasonalFit:
     mode = (F.when(F.col("b").isNull(), F.lit("degenerate"))
             .when(F.least(F.col("a"), F.col("a") + F.col("b") * t_end) <= 0, F.lit("additive"))
             .otherwise(F.lit("multiplicative")))
-    lin = lin.withColumn("mode", mode).drop("n")
+    lin = mat(lin.withColumn("mode", mode).drop("n"), materialize)
 
     g = r.join(lin, KEYS).withColumn("g", _trend(F.col("t")))
-    g = g.withColumns({"ratio": F.try_divide(F.col("y"), F.col("g")),
-                       "resid": F.col("y") - F.col("g")})
-    level = g.groupBy(KEYS).agg(F.avg("ratio").alias("rbar"))
-    weekly = (g.groupBy(KEYS + ["dow"]).agg(F.avg("ratio").alias("rw"), F.avg("resid").alias("s"))
-              .join(level, KEYS)
-              .select(*KEYS, "dow", F.try_divide(F.col("rw"), F.col("rbar")).alias("w"), "s"))
-
-    g2 = g.join(weekly, KEYS + ["dow"], "left").withColumns({
-        "ratio2": F.try_divide(F.col("ratio"), F.col("w")), "resid2": F.col("resid") - F.col("s")})
-    level2 = g2.groupBy(KEYS).agg(F.avg("ratio2").alias("rbar2"))
-    monthly = (g2.groupBy(KEYS + ["month"]).agg(F.avg("ratio2").alias("rm"), F.avg("resid2").alias("sm"))
-               .join(level2, KEYS)
-               .select(*KEYS, "month", F.try_divide(F.col("rm"), F.col("rbar2")).alias("m"), "sm"))
-
-    fit0 = TrendSeasonalFit(lin.withColumn("sigma", F.lit(None).cast("double")), weekly, monthly)
-    insample = fit0.predict(r.select(*KEYS, "t", "ds", "y").withColumn("t", F.col("t")))
+    g = g.withColumns({"ratio": F.try_divide(F.col("y"), F.col("g")), "resid": F.col("y") - F.col("g")})
+    wk = g.groupBy(*KEYS, "dow").agg(F.sum("ratio").alias("sr"), F.count("ratio").alias("nr"),
+                                     F.avg("resid").alias("s"))
+    wmap = _index_map(wk, "dow", "sr", "nr", "s", "w", "s").withColumnRenamed("map", "wmap")
+    model_w = mat(lin.join(wmap, KEYS, "left"), materialize)
+
+    wv = F.element_at("wmap", F.col("dow"))
+    g2 = g.join(model_w.select(*KEYS, "wmap"), KEYS).withColumns({
+        "ratio2": F.try_divide(F.col("ratio"), wv["w"]), "resid2": F.col("resid") - wv["s"]})
+    mo = g2.groupBy(*KEYS, "month").agg(F.sum("ratio2").alias("sr"), F.count("ratio2").alias("nr"),
+                                        F.avg("resid2").alias("sm"))
+    mmap = _index_map(mo, "month", "sr", "nr", "sm", "m", "sm").withColumnRenamed("map", "mmap")
+    model0 = model_w.join(mmap, KEYS, "left").withColumn("sigma", F.lit(None).cast("double"))
+    model0 = mat(model0, materialize)
+
+    insample = TrendSeasonalFit(model0).predict(r.select(*KEYS, "t", "ds", "y"))
     sigma = insample.groupBy(KEYS).agg(F.stddev_samp(F.col("y") - F.col("yhat")).alias("sigma"))
-    params = lin.join(sigma, KEYS, "left")
-    return TrendSeasonalFit(params, weekly, monthly)
+    model = mat(model0.drop("sigma").join(sigma, KEYS, "left"), materialize)
+    return TrendSeasonalFit(model)
 
 
 # ------------------------------------------------------------------ M2
@@ -195,10 +212,20 @@ def _round2(df: DataFrame, cols) -> DataFrame:
     return df.withColumns({c: F.round(c, 2) for c in cols})
 
 
+def materialized_positions(series: DataFrame, min_points: int = S.MIN_HISTORY_POINTS,
+                           materialize: str = "checkpoint") -> DataFrame:
+    """The eligible daily series with positions, computed once: every model
+    branch (fits, test rows, future days) reads it."""
+    from ..session import materialize as mat
+    return mat(positioned(series, min_points), materialize)
+
+
 def trend_seasonal(series: DataFrame, periods: int = S.DEFAULT_PERIODS,
-                   min_points: int = S.MIN_HISTORY_POINTS) -> ForecastResult:
-    pos = positioned(series, min_points)
-    fit = fit_trend_seasonal(fold_rows(pos), periods)
+                   min_points: int = S.MIN_HISTORY_POINTS, pos: DataFrame | None = None,
+                   materialize: str = "checkpoint") -> ForecastResult:
+    """M1/M3/M4/M5/M7 for every product."""
+    pos = pos if pos is not None else materialized_positions(series, min_points, materialize)
+    fit = fit_trend_seasonal(fold_rows(pos), periods, materialize)
     model = F.lit("trend_seasonal").alias("model")
     fut = fit.predict(future_points(pos, periods)).select(
         "product_name", model, "ds", "h", F.col("yhat").alias("predicted_price"),
@@ -210,15 +237,17 @@ def trend_seasonal(series: DataFrame, periods: int = S.DEFAULT_PERIODS,
     test = fit.predict(test_points(pos))
     mets = MET.forecast_metrics(test.withColumn("model", F.lit("trend_seasonal")), ["product_name", "model"],
                                 "actual", "yhat")
-    status = fit.params.where(F.col("fold") == "full").select(
+    status = fit.model.where(F.col("fold") == "full").select(
         "product_name", model,
         F.when(F.col("mode") == "multiplicative", F.lit("ok")).otherwise(F.col("mode")).alias("status"))
     return ForecastResult(fut, fitted, mets, best_time_to_buy(fut), status)
 
 
 def quantile(series: DataFrame, periods: int = S.DEFAULT_PERIODS,
-             min_points: int = S.MIN_HISTORY_POINTS, context_days: int = CONTEXT_DAYS) -> ForecastResult:
-    pos = positioned(series, min_points)
+             min_points: int = S.MIN_HISTORY_POINTS, context_days: int = CONTEXT_DAYS,
+             pos: DataFrame | None = None, materialize: str = "checkpoint") -> ForecastResult:
+    """M2/M3/M4/M5 for every product."""
+    pos = pos if pos is not None else materialized_positions(series, min_points, materialize)
     paths = quantile_paths(fold_rows(pos), periods, context_days)
     model = F.lit("quantile").alias("model")
     first = pos.where(F.col("idx") == 0).select("product_name", F.col("ds").alias("ds0"))
@@ -258,8 +287,9 @@ def forecast(series: DataFrame, model: str = "both", periods: int = S.DEFAULT_PE
         [MODEL_ALIASES[model]] if model in MODEL_ALIASES else [])
     if not names:
         return None
-    runs = [trend_seasonal(series, periods, min_points) if n == "trend_seasonal"
-            else quantile(series, periods, min_points) for n in names]
+    pos = materialized_positions(series, min_points)
+    runs = [trend_seasonal(series, periods, min_points, pos=pos) if n == "trend_seasonal"
+            else quantile(series, periods, min_points, pos=pos) for n in names]
     if len(runs) == 1:
         return runs[0]
     a, b = runs

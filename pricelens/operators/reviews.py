@@ -96,14 +96,17 @@ def _overlap_candidates(t: DataFrame, r: DataFrame, ratio: float) -> DataFrame:
 
 
 def match_names(targets: DataFrame, reviews: DataFrame, target_col: str = "product_name",
-                review_col: str = "product_name", ratio: float = S.OVERLAP_RATIO) -> DataFrame:
+                review_col: str = "product_name", ratio: float = S.OVERLAP_RATIO,
+                materialize: str = "checkpoint") -> DataFrame:
     """J1 on distinct names: ``(t_name, r_name)`` pairs that match.
 
     Equi-join blocking + exact verification (see module doc); no pair of
-    names is enumerated unless it shares a blocking key.
+    names is enumerated unless it shares a blocking key.  The two distinct
+    name tables feed six candidate branches, so they are materialized once.
     """
-    t = prepare_names(targets, target_col, "t", review_side=False)
-    r = prepare_names(reviews, review_col, "r", review_side=True)
+    from ..session import materialize as mat
+    t = mat(prepare_names(targets, target_col, "t", review_side=False), materialize)
+    r = mat(prepare_names(reviews, review_col, "r", review_side=True), materialize)
     cands = (_containment_candidates(t, "t_name", "t_norm", r, "r_name", "r_norm")
              .unionByName(_containment_candidates(r, "r_name", "r_norm", t, "t_name", "t_norm"))
              .unionByName(_overlap_candidates(t, r, ratio))
@@ -166,15 +169,18 @@ def analyze_reviews(reviews: DataFrame, responses: DataFrame | None = None,
     kept.  The category (F4) is computed from the text.
     """
     text = F.col(text_col)
-    rule = T.rule_sentiment(text, positive, negative)
-    df = reviews
+    # Lower-case once per row; every keyword test reads this column.
+    df = reviews.withColumn("_low", F.lower(text))
+    low = F.col("_low")
+    df = df.withColumn("_score", T.sentiment_score(text, positive, negative, lowered=low))
+    rule = T.rule_from_score(text, F.col("_score"))
     if responses is not None:
         df = df.join(llm_labels(responses), "review_id", "left")
         label = F.coalesce(F.col("llm.label"), rule["label"])
         conf = F.when(F.col("llm").isNotNull(), F.col("llm.confidence")).otherwise(rule["confidence"])
     else:
         label, conf = rule["label"], rule["confidence"]
-    cat = T.detect_category(text, categories)
+    cat = T.detect_category(text, categories, lowered=low)
     new = {"sentiment": label, "confidence": conf, "category": cat}
     if "sentiment" in reviews.columns and "category" in reviews.columns:
         keep = F.col("sentiment").isNotNull() & F.col("category").isNotNull()
@@ -182,7 +188,7 @@ def analyze_reviews(reviews: DataFrame, responses: DataFrame | None = None,
         new = {"sentiment": F.when(keep, F.col("sentiment")).otherwise(label),
                "confidence": F.when(keep, old_conf).otherwise(conf),
                "category": F.when(keep, F.col("category")).otherwise(cat)}
-    df = df.withColumns(new)
+    df = df.withColumns(new).drop("_low", "_score")
     if "llm" in df.columns:
         df = df.drop("llm")
     return df

@@ -197,7 +197,8 @@ UNION ALL
 SELECT product_name, 'quantile', strftime(ds, '%Y-%m-%d'), {rnd('y', 2)} FROM fpos""")
 def q_fitted_values(spark, d):
     s = events_series(spark, d)
-    f = FC.trend_seasonal(s, PERIODS).fitted.unionByName(FC.quantile(s, PERIODS).fitted)
+    pos = FC.materialized_positions(s)
+    f = FC.trend_seasonal(s, PERIODS, pos=pos).fitted.unionByName(FC.quantile(s, PERIODS, pos=pos).fitted)
     return f.select("product_name", "model", iso_date("ds").alias("ds"), "fitted_price")
 
 
@@ -240,7 +241,8 @@ JOIN (SELECT * FROM m_all WHERE model = 'quantile') b ON a.product_name = b.prod
      (VALUES ('mape'), ('mae'), ('rmse'), ('r2'), ('smape')) mt(metric)""")
 def q_model_winner(spark, d):
     s = events_series(spark, d)
-    mets = FC.trend_seasonal(s, PERIODS).metrics.unionByName(FC.quantile(s, PERIODS).metrics)
+    pos = FC.materialized_positions(s)
+    mets = FC.trend_seasonal(s, PERIODS, pos=pos).metrics.unionByName(FC.quantile(s, PERIODS, pos=pos).metrics)
     return FC.model_winner(mets)
 
 
@@ -256,7 +258,8 @@ FROM (SELECT product_name, 'trend_seasonal' AS model, ds, {rnd('predicted_price'
 GROUP BY product_name, model""")
 def q_best_time_to_buy(spark, d):
     s = events_series(spark, d)
-    b = FC.trend_seasonal(s, PERIODS).best.unionByName(FC.quantile(s, PERIODS).best)
+    pos = FC.materialized_positions(s)
+    b = FC.trend_seasonal(s, PERIODS, pos=pos).best.unionByName(FC.quantile(s, PERIODS, pos=pos).best)
     return b.select("product_name", "model", iso_date("date").alias("date"), "predicted_price",
                     "lower_bound", "upper_bound")
 

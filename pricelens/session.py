@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -69,3 +69,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if "://" not in path or path.startswith("file:"):
         os.makedirs(path.replace("file:", "", 1), exist_ok=True)
     return path
+
+
+def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
+    """Compute ``df`` once for several later branches.
+
+    ``checkpoint`` writes it to the shared checkpoint folder and cuts the
+    lineage (survives executor loss without recomputing upstream);
+    ``none`` returns it unchanged (let each branch recompute).
+    """
+    if how == "none":
+        return df
+    if how != "checkpoint":
+        raise ValueError(f"unknown materialization {how!r}")
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
