@@ -269,3 +269,11 @@ def q_forecast_all(spark, d):
     res = FC.forecast(events_series(spark, d), "both", PERIODS)
     return res.forecast.select("product_name", "model", iso_date("ds").alias("ds"), "h",
                                "predicted_price", "lower_bound", "upper_bound")
+
+
+@query("forecast_fourier", "M1b")
+def q_forecast_fourier(spark, d):
+    from ..operators import forecast_fourier as FF
+    fc, _, _ = FF.fourier(events_series(spark, d), PERIODS)
+    return fc.select("product_name", "model", iso_date("ds").alias("ds"), "h",
+                     "predicted_price", "lower_bound", "upper_bound")

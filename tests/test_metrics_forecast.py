@@ -103,3 +103,14 @@ def test_model_selector(spark):
     assert FC.forecast(s, "history_only") is None
     assert {r.model for r in FC.forecast(s, "prophet", periods=2).forecast.collect()} == {"trend_seasonal"}
     assert {r.model for r in FC.forecast(s, "both", periods=2).forecast.collect()} == {"trend_seasonal", "quantile"}
+
+
+def test_fourier_variant_tracks_weekly_pattern(spark):
+    from pricelens.operators import forecast_fourier as FF
+    ys = [100 + 0.5 * i + (10 if i % 7 in (5, 6) else 0) for i in range(120)]
+    fc, mets, best = FF.fourier(series(spark, ys), periods=14)
+    f = rows(fc, "h", "predicted_price")
+    assert len(f) == 14
+    m = mets.collect()[0]
+    assert m.mape < 5.0
+    assert best.count() == 1
