@@ -9,7 +9,7 @@ from .. import adapters as A
 from ..session import scratch_path
 from ..sources import price_pages as PP
 from ..streaming import jobs as J
-from .alert_browse_queries import FIRE_SQL, fire_out, valid_requests
+from .alert_browse_queries import FIRE_SQL, fire_out
 from .common import iso_date, r6
 from .registry import query
 from .sql_text import rnd
@@ -22,7 +22,8 @@ def _ticks(spark, d: str):
 @query("stream_alerts", "T1 J7 J2", ["first_fire"], FIRE_SQL)
 def q_stream_alerts(spark, d):
     ticks = _ticks(spark, d)
-    out = J.run_to_table(spark, J.alert_stream(ticks, valid_requests(spark, d)), "alerts", "complete")
+    reqs = J.request_stream(spark, d.rstrip("/"), "events.parquet")
+    out = J.run_to_table(spark, J.alert_stream(ticks, reqs), "alerts", "append")
     return fire_out(out)
 
 

@@ -1,11 +1,12 @@
 """Structured Streaming jobs.
 
-* T1 ``alert_stream``: live price-drop alerts.  Ticks stream in; the
-  subscription intervals are a static table cut into day pieces, so a tick
-  is joined only with the intervals valid on its product-day (equi-join on
-  product and day, then the exact time/target test).  The first tick per
-  interval is kept in keyed state (``min_by``), so state grows with
-  subscriptions, not ticks.
+* T1 ``alert_stream``: live price-drop alerts.  Ticks and subscribe
+  requests form one stream keyed by product; a stateful sweep
+  (``applyInPandasWithState``) keeps the product's subscriptions and fires
+  each one at its first tick at or below target (one-shot until the next
+  request).  No tick is paired with every subscription: a running minimum
+  and a binary search find each firing tick.  Output is append-only, so the
+  exactly-once file sink applies.
 * T2 ``daily_last_stream``: last price per product-day over a 1-day
   tumbling window with a watermark; late ticks correct their day until the
   watermark passes it.
@@ -48,26 +49,91 @@ def tick_stream(spark: SparkSession, events_dir: str, file_glob: str = "*.parque
                     F.col("event_id").alias("seq"))
 
 
-def static_pieces(requests: DataFrame, horizon_days: int = 1) -> DataFrame:
-    """Day pieces of the subscription intervals for joining a tick stream.
-    Open intervals run to ``current_date() + horizon_days``; the static side
-    is re-planned each micro-batch, so the horizon moves with the clock."""
-    iv = AL.subscription_intervals(requests)
-    last = iv.select("product_name").distinct().withColumn(
-        "last_day", F.date_add(F.current_date(), horizon_days))
-    pieces = AL._day_pieces(iv, last)
-    return pieces.select(*AL.INTERVAL_KEY, "target_price", "day", "lo", "hi")
+ALERT_OUT = ("email string, product_name string, sub_ts timestamp, seq long, target_price double, "
+             "fire_ts timestamp, fire_price double")
+ALERT_STATE = "subs string"
+
+
+def request_stream(spark: SparkSession, events_dir: str, file_glob: str = "*.parquet",
+                   max_files_per_trigger: int | None = None) -> DataFrame:
+    """Subscribe requests carried by sign-up events (valid ones only)."""
+    r = spark.readStream.option("pathGlobFilter", file_glob)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    schema = spark.read.option("pathGlobFilter", file_glob).parquet(events_dir).schema
+    e = r.schema(schema).parquet(events_dir).where(F.col("event_type") == "signup")
+    uid = F.col("user_id").cast("string")
+    email = F.when(F.pmod(F.col("event_id"), F.lit(7)) == 0, F.concat(F.lit("u"), uid, F.lit(".example.com"))) \
+        .otherwise(F.concat(F.lit("u"), uid, F.lit("@example.com")))
+    req = e.select(email.alias("email"), F.concat(F.lit("user_"), uid).alias("product_name"),
+                   (F.col("value") - 5.0).alias("target_price"), F.col("ts").cast("timestamp").alias("sub_ts"),
+                   F.col("event_id").alias("seq"))
+    return AL.validate_subscriptions(req).where("valid").drop("valid", "reason")
+
+
+def _sweep(key, batches, state):
+    """One product: apply subscribe requests and ticks in time order; each
+    active subscription fires once, at its first tick with price <= target.
+
+    Between two requests the ticks form a segment; with the running minimum
+    of its prices (non-increasing), a subscription's first firing tick is a
+    binary search, so a segment costs O(ticks + subscriptions log ticks).
+    """
+    import json
+
+    import numpy as np
+    import pandas as pd
+
+    subs = json.loads(state.get[0]) if state.exists else {}   # email -> [target, sub_ts, seq, active]
+    pdf = pd.concat(list(batches), ignore_index=True)
+    out = []
+    if len(pdf):
+        pdf = pdf.sort_values(["ts", "kind", "seq"], kind="mergesort").reset_index(drop=True)
+        kinds = pdf["kind"].to_numpy()
+        prices = pdf["price"].to_numpy(dtype=float)
+        stops = list(np.flatnonzero(kinds == 0)) + [len(pdf)]
+        start = 0
+        for stop in stops:
+            if stop > start:
+                active = [(e, v) for e, v in subs.items() if v[3] and v[0] is not None]
+                if active:
+                    runmin = np.minimum.accumulate(prices[start:stop])
+                    neg = -runmin
+                    for email, v in active:
+                        i = int(np.searchsorted(neg, -v[0], side="left"))
+                        if i < len(neg):
+                            j = start + int(np.argmax(prices[start:start + i + 1] <= v[0]))
+                            out.append((email, key[0], pd.Timestamp(v[1]), v[2], v[0],
+                                        pdf["ts"].iat[j], prices[j]))
+                            v[3] = False
+            if stop < len(pdf):
+                r = pdf.iloc[stop]
+                subs[r["email"]] = [None if pd.isna(r["target_price"]) else float(r["target_price"]),
+                                    pd.Timestamp(r["ts"]).isoformat(), int(r["seq"]), True]
+            start = stop + 1
+    state.update((json.dumps(subs),))
+    cols = ["email", "product_name", "sub_ts", "seq", "target_price", "fire_ts", "fire_price"]
+    yield pd.DataFrame(out, columns=cols)
 
 
 def alert_stream(ticks: DataFrame, requests: DataFrame) -> DataFrame:
-    """First tick at or below target per subscription interval."""
-    t = ticks.withColumn("day", F.to_date("ts")).withColumnRenamed("seq", "tick_seq")
-    j = t.join(static_pieces(requests), ["product_name", "day"]).where(
-        (F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi")) & (F.col("price") <= F.col("target_price")))
-    first = j.groupBy(*AL.INTERVAL_KEY, "target_price").agg(
-        F.min_by(F.struct("ts", "price"), F.struct("ts", "tick_seq")).alias("f"))
-    return first.select(*AL.INTERVAL_KEY, "target_price", F.col("f.ts").alias("fire_ts"),
-                        F.col("f.price").alias("fire_price"))
+    """First tick at or below target per subscription interval.
+
+    ``ticks`` (product_name, ts, price, seq) and ``requests`` (email,
+    product_name, target_price, sub_ts, seq) are streams; they are merged
+    into one time-ordered event stream keyed by product, whose state is the
+    product's subscriptions (it grows with subscriptions, not ticks).
+    Events are swept in arrival-then-time order per micro-batch, so a tick
+    that arrives after later ticks were processed is judged against the
+    subscriptions current at its arrival.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    t = ticks.select("product_name", "ts", "price", "seq", F.lit(1).alias("kind"),
+                     F.lit(None).cast("string").alias("email"), F.lit(None).cast("double").alias("target_price"))
+    r = requests.select("product_name", F.col("sub_ts").alias("ts"), F.lit(None).cast("double").alias("price"),
+                        "seq", F.lit(0).alias("kind"), "email", "target_price")
+    return t.unionByName(r).groupBy("product_name").applyInPandasWithState(
+        _sweep, ALERT_OUT, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def daily_last_stream(ticks: DataFrame, watermark: str = "2 days") -> DataFrame:

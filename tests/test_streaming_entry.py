@@ -13,7 +13,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def test_stream_alerts_equal_batch(spark):
     valid, _ = AL.split_valid(A.subscription_requests(spark, SF_SMALL))
     ticks = J.tick_stream(spark, SF_SMALL, "events.parquet")
-    got = J.run_to_table(spark, J.alert_stream(ticks, valid), "t-alerts", "complete")
+    reqs = J.request_stream(spark, SF_SMALL, "events.parquet")
+    got = J.run_to_table(spark, J.alert_stream(ticks, reqs), "t-alerts", "append")
     assert rows(got) == rows(AL.first_fire(valid, A.price_obs(spark, SF_SMALL)))
 
 
@@ -47,3 +48,25 @@ def test_oracle_sample_at_small_scale(spark):
         cols = sorted(s.columns)
         key = lambda df: sorted(map(repr, df[cols].astype(object).where(df[cols].notna(), None).values.tolist()))
         assert key(s) == key(d), name
+
+
+def test_stream_alerts_across_micro_batches(spark):
+    import time as _t
+
+    from pyspark.sql import functions as F
+
+    from pricelens.session import scratch_path
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    land = scratch_path(spark, "t-landing")
+    bounds = ev.select(F.min("ts").alias("lo"), F.max("ts").alias("hi")).collect()[0]
+    step = (bounds.hi - bounds.lo) / 4
+    for k in range(4):
+        lo, hi = bounds.lo + step * k, bounds.lo + step * (k + 1)
+        part = ev.where((F.col("ts") >= lo) & ((F.col("ts") < hi) if k < 3 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(land)
+        _t.sleep(1.1)
+    ticks = J.tick_stream(spark, land, "*.parquet", max_files_per_trigger=1)
+    reqs = J.request_stream(spark, land, "*.parquet", max_files_per_trigger=1)
+    got = J.run_to_table(spark, J.alert_stream(ticks, reqs), "t-alerts-mb", "append")
+    valid, _ = AL.split_valid(A.subscription_requests(spark, SF_SMALL))
+    assert rows(got) == rows(AL.first_fire(valid, A.price_obs(spark, SF_SMALL)))
