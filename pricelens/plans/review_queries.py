@@ -13,6 +13,7 @@ from ..operators import series as ser
 from . import sql_text as X
 from .common import big, r6
 from .registry import query
+from ..session import materialize
 from .sql_views import DRIVER_NEGATIVE, DRIVER_POSITIVE
 
 
@@ -172,12 +173,13 @@ def decision_frame(spark, d):
     exact name, reviews by fuzzy match (first 100 per product)."""
     prices = A.part_price_obs(spark, d)
     revs = A.reviews(spark, d)
-    targets = prices.select("product_name").unionByName(revs.select("product_name"))
+    # One row per priced product; read twice (target list, decision).
+    stats = materialize(dec.price_stats(ser.daily_series(prices)))
+    targets = stats.select("product_name").unionByName(revs.select("product_name"))
     matched = R.match_reviews(targets, revs)
     top = R.first_per_product(matched, S.MAX_REVIEWS_ANALYSED).select("product_name", "review_id")
     lab = analyzed_reviews(spark, d).select("review_id", "sentiment")
     counts = R.sentiment_counts(top.join(lab, "review_id"))
-    stats = dec.price_stats(ser.daily_series(prices))
     return dec.decide(stats, counts)
 
 
@@ -220,10 +222,10 @@ FROM (
 
 def _register_decision_views():
     from .sql_views import view
-    view("all_targets", ["part_price_obs", "reviews"], f"""
+    view("all_targets", ["part_daily", "reviews"], f"""
 SELECT t_name, {X.norm('t_name', False)} AS t_norm, {X.tokens('t_name')} AS t_tokens
 FROM (SELECT DISTINCT product_name AS t_name FROM
-      (SELECT product_name FROM part_price_obs UNION ALL SELECT product_name FROM reviews)
+      (SELECT product_name FROM part_daily UNION ALL SELECT product_name FROM reviews)
       WHERE product_name IS NOT NULL)""")
     view("all_top100", ["all_targets", "review_names", "reviews"], f"""
 SELECT p.t_name AS product_name, r.review_id

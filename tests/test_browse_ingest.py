@@ -126,3 +126,12 @@ def test_links(spark):
     r = df.select(PP.first_link(F.col("html"), "/p/").alias("p"),
                   PP.first_link(F.col("html"), "/product-reviews/").alias("r")).collect()[0]
     assert (r.p, r.r) == ("/foo/p/ab1", "/product-reviews/ab1")
+
+
+def test_deep_page_locates_by_key_ranges(spark):
+    obs = A.observations(spark, SF_SMALL)
+    n = obs.count()
+    for page in (1, 7, (n + 49) // 50):
+        simple = [r.seq for r in B.paginate(obs, page, 50).rows.collect()]
+        deep = [r.seq for r in B.paginate(obs, page, 50, deep_offset=0, buckets=16).rows.collect()]
+        assert simple == deep and len(simple) > 0
