@@ -8,15 +8,16 @@ J7 (first fire per subscription interval) is a range join of ticks against
 subscription validity intervals.  It is evaluated without pairing every
 tick of a product with every subscription of that product:
 
-1. each interval is cut into day pieces ``[lo, hi)``;
-2. ticks are pre-aggregated to a daily minimum per product (partial agg);
-3. a piece can fire only if that day's minimum is <= the target; whole-day
-   pieces with such a minimum are certain to fire, boundary-day pieces are
-   not (the minimum may lie outside the piece);
-4. only the start day, the first certain day and (if needed) the end day of
-   each interval are resolved against individual ticks.
-
-So each subscription meets the ticks of at most three product-days.
+1. ticks are pre-aggregated to a minimum price per product-day and per
+   product-hour (partial aggregates);
+2. each interval is cut into day pieces ``[lo, hi)``; a piece can fire only
+   if its day's minimum is <= the target.  A whole-day piece with such a
+   minimum is certain to fire, so only the boundary days before it and
+   that day itself are kept (at most three);
+3. the kept days are cut into hours and narrowed the same way;
+4. only the kept hours (at most three) are compared tick by tick.
+
+So each subscription meets the ticks of at most three product-hours.
 """
 
 from __future__ import annotations
@@ -110,20 +111,34 @@ def subscription_intervals(requests: DataFrame) -> DataFrame:
     return requests.withColumn("next_sub_ts", F.lead("sub_ts").over(w))
 
 
-def _day_pieces(intervals: DataFrame, last_day: DataFrame) -> DataFrame:
-    """Interval -> one row per calendar day it covers, with [lo, hi) bounds
-    and whether the piece covers the whole day."""
-    iv = intervals.join(last_day, "product_name")
-    start = F.to_date("sub_ts")
-    end_day = F.coalesce(F.to_date(F.col("next_sub_ts") - F.expr("INTERVAL 1 MICROSECOND")), F.col("last_day"))
-    iv = iv.withColumn("end_day", end_day).where(F.col("end_day") >= start)
-    p = iv.select("*", F.explode(F.sequence(start, F.col("end_day"))).alias("day"))
-    day_start = F.col("day").cast("timestamp")
-    next_start = F.date_add("day", 1).cast("timestamp")
-    lo = F.greatest(F.col("sub_ts"), day_start)
-    hi = F.when(F.col("next_sub_ts").isNull(), next_start).otherwise(F.least(F.col("next_sub_ts"), next_start))
-    return p.withColumns({"lo": lo, "hi": hi}).withColumn(
-        "whole_day", (F.col("lo") == day_start) & (F.col("hi") == next_start))
+def _split(pieces: DataFrame, unit: str) -> DataFrame:
+    """Pieces ``[lo, hi)`` -> one row per calendar ``unit`` (day/hour) they
+    touch, with the unit start ``u``, the clipped bounds and whether the
+    piece covers the whole unit."""
+    step = F.expr(f"INTERVAL 1 {unit.upper()}")
+    start = F.date_trunc(unit, "lo")
+    end = F.date_trunc(unit, F.col("hi") - F.expr("INTERVAL 1 MICROSECOND"))
+    p = pieces.where(F.col("hi") > F.col("lo")).select(
+        *INTERVAL_KEY, "target_price", "lo", "hi", F.explode(F.sequence(start, end, step)).alias("u"))
+    u_end = F.col("u") + step
+    return p.select(*INTERVAL_KEY, "target_price", "u",
+                    F.greatest("lo", "u").alias("lo"), F.least("hi", u_end).alias("hi"),
+                    ((F.col("lo") <= F.col("u")) & (F.col("hi") >= u_end)).alias("whole"))
+
+
+def _keep_first(pieces: DataFrame, summary: DataFrame) -> DataFrame:
+    """Unit pieces that can still hold an interval's first firing tick.
+
+    A whole-unit piece whose unit minimum is <= target certainly fires, so
+    nothing after the first such piece matters; partial pieces (at the
+    interval's ends) with a low enough minimum before it are uncertain and
+    kept.  At most three pieces per interval survive.
+    """
+    cand = pieces.join(summary, ["product_name", "u"]).where(F.col("umin") <= F.col("target_price"))
+    first_whole = cand.where("whole").groupBy(*INTERVAL_KEY).agg(F.min("u").alias("fw"))
+    c = cand.join(first_whole, INTERVAL_KEY, "left")
+    keep = (~F.col("whole") & (F.col("fw").isNull() | (F.col("u") < F.col("fw")))) | (F.col("u") == F.col("fw"))
+    return c.where(keep).select(*INTERVAL_KEY, "target_price", "lo", "hi")
 
 
 def first_fire(requests: DataFrame, ticks: DataFrame) -> DataFrame:
@@ -133,20 +148,23 @@ def first_fire(requests: DataFrame, ticks: DataFrame) -> DataFrame:
     ``requests``: valid requests (email, product_name, target_price, sub_ts,
     seq).  ``ticks``: (product_name, ts, price, seq).
     Output: interval key, target, ``fire_ts``, ``fire_price``.
+
+    Day and hour minima per product (partial aggregates) narrow each
+    interval to at most three days, then at most three hours; only those
+    hours' ticks are compared with the subscription.
     """
-    t = ticks.where(F.col("ts").isNotNull() & F.col("price").isNotNull()) \
-        .select("product_name", "ts", "price", F.col("seq").alias("tick_seq"), F.to_date("ts").alias("day"))
-    daily = t.groupBy("product_name", "day").agg(F.min("price").alias("dmin"))
-    last_day = daily.groupBy("product_name").agg(F.max("day").alias("last_day"))
-    pieces = _day_pieces(subscription_intervals(requests), last_day)
-    cand = pieces.join(daily, ["product_name", "day"]).where(F.col("dmin") <= F.col("target_price"))
-    # Per interval: first certain (whole) day, and the start/end boundary days.
-    first_whole = cand.where("whole_day").groupBy(*INTERVAL_KEY).agg(F.min("day").alias("first_whole"))
-    c2 = cand.join(first_whole, INTERVAL_KEY, "left")
-    keep = (~F.col("whole_day") & (F.col("first_whole").isNull() | (F.col("day") < F.col("first_whole")))) | \
-        (F.col("day") == F.col("first_whole"))
-    resolve = c2.where(keep).select(*INTERVAL_KEY, "target_price", "day", "lo", "hi")
-    hits = resolve.join(t, ["product_name", "day"]).where(
+    t = ticks.where(F.col("ts").isNotNull() & F.col("price").isNotNull()).select(
+        "product_name", "ts", "price", F.col("seq").alias("tick_seq"),
+        F.date_trunc("day", "ts").alias("day"), F.date_trunc("hour", "ts").alias("u"))
+    daily = t.groupBy("product_name", F.col("day").alias("u")).agg(F.min("price").alias("umin"))
+    hourly = t.groupBy("product_name", "u").agg(F.min("price").alias("umin"))
+    last = t.groupBy("product_name").agg(F.max("ts").alias("last_ts"))
+    iv = subscription_intervals(requests).join(last, "product_name").select(
+        *INTERVAL_KEY, "target_price", F.col("sub_ts").alias("lo"),
+        F.coalesce("next_sub_ts", F.col("last_ts") + F.expr("INTERVAL 1 MICROSECOND")).alias("hi"))
+    days = _keep_first(_split(iv, "day"), daily)
+    hours = _keep_first(_split(days, "hour"), hourly)
+    hits = hours.withColumn("u", F.date_trunc("hour", "lo")).join(t, ["product_name", "u"]).where(
         (F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi")) & (F.col("price") <= F.col("target_price")))
     first = hits.groupBy(*INTERVAL_KEY, "target_price").agg(
         F.min_by(F.struct("ts", "price"), F.struct("ts", "tick_seq")).alias("f"))
