@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .forecast import Z80, best_time_to_buy
+from .forecast import Z80, best_time_to_buy, materialized_positions
 
 N_CHANGEPOINTS = 25
 CHANGEPOINT_RANGE = 0.8
@@ -115,10 +115,12 @@ def _per_product(periods: int):
 def fourier(series: DataFrame, periods: int = S.DEFAULT_PERIODS,
             min_points: int = S.MIN_HISTORY_POINTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """M1b for every eligible product: (forecast, metrics, best day)."""
-    n = series.groupBy("product_name").agg(F.count(F.lit(1)).alias("_n"))
-    eligible = series.join(n.where(F.col("_n") >= min_points), "product_name", "left_semi")
-    out = eligible.select("product_name", "ds", "y").groupBy("product_name").applyInPandas(
-        _per_product(periods), OUT_SCHEMA)
+    eligible = materialized_positions(series, min_points)
+    # The fits are CPU-bound Python: keep the configured number of tasks
+    # (an explicit count is not coalesced away when the series is small).
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = (eligible.select("product_name", "ds", "y").repartition(parts, "product_name")
+           .groupBy("product_name").applyInPandas(_per_product(periods), OUT_SCHEMA))
     model = F.lit("fourier").alias("model")
     fc = out.where(F.col("kind") == "forecast").select(
         "product_name", model, "ds", "h", "predicted_price", "lower_bound", "upper_bound")

@@ -256,6 +256,11 @@ def render_review_pages(reviews: DataFrame, min_chars: int = 120) -> DataFrame:
 
 
 def listing_pages(reviews: DataFrame) -> DataFrame:
-    """Page numbers of reviews within their listing (``source``), in id order."""
+    """Page numbers of reviews within their listing (``source``), in id order.
+
+    The window groups rows by listing; the result is spread again by review
+    id so that rendering and parsing run on all cores, not one per listing.
+    """
     w = Window.partitionBy("listing").orderBy("review_id")
-    return reviews.withColumn("page", F.row_number().over(w))
+    n = reviews.sparkSession.sparkContext.defaultParallelism * 2
+    return reviews.withColumn("page", F.row_number().over(w)).repartition(n, "review_id")
