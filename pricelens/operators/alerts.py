@@ -38,6 +38,25 @@ ALERT_BODY = ("Hello,\n\nGood news! The product '%s' that you are tracking is cu
               "- Price alerts")
 
 
+STATE_FILE_SCHEMA = "email string, product_name string, target_price double, active boolean"
+
+
+def read_subscription_file(spark, path: str) -> DataFrame:
+    """A subscription store kept as one JSON array of
+    ``{email, product_name, target_price, active}``; a missing or unreadable
+    file reads as no subscriptions (corrupt records are dropped)."""
+    try:
+        df = (spark.read.schema(STATE_FILE_SCHEMA).option("multiLine", "true").option("mode", "DROPMALFORMED")
+              .json(path))
+        df.schema  # resolve now: a missing path raises here
+        return df.select("email", "product_name", "target_price",
+                         F.coalesce(F.col("active"), F.lit(False)).alias("active"))
+    except Exception as e:  # noqa: BLE001 - any unreadable store is empty, as in the original
+        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+            return spark.createDataFrame([], STATE_FILE_SCHEMA)
+        raise
+
+
 def validate_subscriptions(requests: DataFrame) -> DataFrame:
     """Adds ``valid`` and ``reason`` (first failed rule, in the order
     e-mail, target price, product)."""

@@ -150,6 +150,23 @@ def first_per_product(reviews: DataFrame, n: int = S.MAX_REVIEWS_ANALYSED,
 
 # ----------------------------------------------------------- labelling
 
+def classifier_responses(reviews: DataFrame, classifier, model_rank: int = 1,
+                         text_col: str = "review_text") -> DataFrame:
+    """Replies from a user classifier in place of the remote model.
+
+    ``classifier(texts: pandas.Series) -> pandas.Series`` of reply texts is
+    run on Arrow batches (``mapInPandas``); its replies feed
+    ``analyze_reviews(responses=...)`` like stored ones.
+    """
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            yield pd.DataFrame({"review_id": pdf["review_id"], "model_rank": model_rank,
+                                "response_text": classifier(pdf[text_col]).astype("string")})
+    return reviews.select("review_id", text_col).mapInPandas(
+        run, "review_id long, model_rank int, response_text string")
+
+
 def llm_labels(responses: DataFrame) -> DataFrame:
     """F6/F7 (model part): per review, the label of the best-ranked model
     whose reply parses to a valid label."""

@@ -151,7 +151,7 @@ def ingest_stream(spark: SparkSession, pages_path: str) -> DataFrame:
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode: str = "append",
-                 sink: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
+                 sink: Callable[[DataFrame, str], None] | None = None, root: str | None = None) -> DataFrame:
     """Run ``stream`` with ``availableNow`` into a Parquet table in the
     shared checkpoint folder; return the table.
 
@@ -159,7 +159,7 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode:
     rewrite the table from each micro-batch's result in ``foreachBatch``
     (idempotent: a replayed batch writes the same rows).
     """
-    root = scratch_path(spark, f"stream-{name}")
+    root = root or scratch_path(spark, f"stream-{name}")
     out, ckpt = f"{root}/table", f"{root}/checkpoint"
     w = stream.writeStream.option("checkpointLocation", ckpt).outputMode(output_mode).trigger(availableNow=True)
     if output_mode == "append" and sink is None:

@@ -74,3 +74,15 @@ def test_alerts_due_equal_price_fires_and_zero_skips(spark):
     due = AL.alerts_due(cur, st).collect()
     assert [r.email for r in due] == ["a@x"]
     assert due[0].subject.endswith("P is a Good Buy!") and "Price: 85.0" in due[0].body
+
+
+def test_subscription_file_store(spark):
+    from pricelens.session import scratch_path
+    root = scratch_path(spark, "t-subs")
+    with open(root.replace("file:", "") + "/alerts.json", "w") as f:
+        f.write('[{"email": "a@x", "product_name": "P", "target_price": 90, "active": true},\n'
+                ' {"email": "b@x", "product_name": "Q", "target_price": 5.5}]')
+    st = AL.read_subscription_file(spark, root + "/alerts.json")
+    assert rows(st) == [("a@x", "P", 90.0, True), ("b@x", "Q", 5.5, False)]
+    assert AL.read_subscription_file(spark, root + "/missing.json").count() == 0
+    assert rows(AL.active_subscribers(st)) == [("P", "a@x")]

@@ -70,3 +70,24 @@ def test_stream_alerts_across_micro_batches(spark):
     got = J.run_to_table(spark, J.alert_stream(ticks, reqs), "t-alerts-mb", "append")
     valid, _ = AL.split_valid(A.subscription_requests(spark, SF_SMALL))
     assert rows(got) == rows(AL.first_fire(valid, A.price_obs(spark, SF_SMALL)))
+
+
+def test_ingest_stream_is_exactly_once_across_restarts(spark):
+    from pyspark.sql import functions as F
+
+    from pricelens.session import scratch_path
+    from pricelens.sources import price_pages as PP
+    pages = PP.encode_price_pages(A.price_obs(spark, SF_SMALL))
+    land = scratch_path(spark, "t-land")
+    root = scratch_path(spark, "t-ingest")
+    first = pages.where(F.col("url") < "https://pricehistory.app/p/user_5")
+    rest = pages.subtract(first)
+    first.write.mode("append").parquet(land)
+    n1 = J.run_to_table(spark, J.ingest_stream(spark, land), "ingest", root=root).count()
+    rest.write.mode("append").parquet(land)
+    out = J.run_to_table(spark, J.ingest_stream(spark, land), "ingest", root=root)
+    # a third run with nothing new changes nothing
+    J.run_to_table(spark, J.ingest_stream(spark, land), "ingest", root=root)
+    total = A.price_obs(spark, SF_SMALL).count()
+    assert 0 < n1 < total and out.count() == total
+    assert spark.read.parquet(root + "/table").count() == total

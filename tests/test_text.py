@@ -126,3 +126,13 @@ def test_noise_text(spark):
 def test_review_text_assembly(spark):
     df = spark.createDataFrame([("T", "B"), ("", "B"), (None, "B")], "t string, b string")
     assert [r.o for r in df.select(T.review_text(F.col("t"), F.col("b")).alias("o")).collect()] == ["T - B", "B", "B"]
+
+
+def test_user_classifier_feeds_cascade(spark):
+    reviews = spark.createDataFrame([(1, "love it"), (2, "meh")], "review_id long, review_text string")
+
+    def clf(texts):
+        return texts.map(lambda t: '{"sentiment": "positive", "confidence": 0.66}' if "love" in t else "n/a")
+    resp = R.classifier_responses(reviews, clf)
+    got = {r.review_id: (r.sentiment, r.confidence) for r in R.analyze_reviews(reviews, resp).collect()}
+    assert got == {1: ("Positive", 0.66), 2: ("Neutral", 0.5)}
