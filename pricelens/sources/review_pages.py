@@ -262,5 +262,6 @@ def listing_pages(reviews: DataFrame) -> DataFrame:
     id so that rendering and parsing run on all cores, not one per listing.
     """
     w = Window.partitionBy("listing").orderBy("review_id")
-    n = reviews.sparkSession.sparkContext.defaultParallelism * 2
+    from ..session import parallelism
+    n = parallelism(reviews.sparkSession) * 2
     return reviews.withColumn("page", F.row_number().over(w)).repartition(n, "review_id")
