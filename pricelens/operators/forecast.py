@@ -222,14 +222,18 @@ def materialized_positions(series: DataFrame, min_points: int = S.MIN_HISTORY_PO
 
 def trend_seasonal(series: DataFrame, periods: int = S.DEFAULT_PERIODS,
                    min_points: int = S.MIN_HISTORY_POINTS, pos: DataFrame | None = None,
-                   materialize: str = "checkpoint") -> ForecastResult:
-    """M1/M3/M4/M5/M7 for every product."""
+                   materialize: str = "checkpoint", floor: float | None = None) -> ForecastResult:
+    """M1/M3/M4/M5/M7 for every product.  Predictions are not clamped unless
+    ``floor`` is given (the original does not clamp)."""
     pos = pos if pos is not None else materialized_positions(series, min_points, materialize)
     fit = fit_trend_seasonal(fold_rows(pos), periods, materialize)
     model = F.lit("trend_seasonal").alias("model")
     fut = fit.predict(future_points(pos, periods)).select(
         "product_name", model, "ds", "h", F.col("yhat").alias("predicted_price"),
         F.col("lower").alias("lower_bound"), F.col("upper").alias("upper_bound"))
+    if floor is not None:
+        fut = fut.withColumns({c: F.greatest(F.col(c), F.lit(float(floor)))
+                               for c in ["predicted_price", "lower_bound", "upper_bound"]})
     fut = _round2(fut, ["predicted_price", "lower_bound", "upper_bound"])
     inpts = pos.select("product_name", F.lit("full").alias("fold"), F.col("idx").alias("t"), "ds")
     fitted = _round2(fit.predict(inpts).select("product_name", model, "ds", F.col("yhat").alias("fitted_price")),
