@@ -25,7 +25,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import schemas as S
 
 SUB_KEY = ["email", "product_name"]
 INTERVAL_KEY = ["email", "product_name", "sub_ts", "seq"]

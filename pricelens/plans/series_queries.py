@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..operators import decision as dec

@@ -1,7 +1,6 @@
 import datetime as dt
 import math
 
-from pyspark.sql import functions as F
 
 from conftest import rows
 from pricelens.operators import forecast as FC
