@@ -107,9 +107,11 @@ def subscribe(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def check_alerts(obs: DataFrame, requests: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
-    """J2 on the latest prices, with the decision reason in the message."""
+    """J2 on the current prices (last value of each daily series), with
+    the decision reason in the message."""
     state, _ = subscribe(requests)
-    return AL.alerts_due(AL.latest_prices(price_ticks(obs)), state, reasons)
+    current = DEC.price_stats(load_product_price_data(obs)).select("product_name", "current_price")
+    return AL.alerts_due(current, state, reasons)
 
 
 def preview(df: DataFrame, page: int = 1, page_size: int = S.PAGE_SIZE, search: str = "",

@@ -150,16 +150,17 @@ def _keep_first(pieces: DataFrame, summary: DataFrame) -> DataFrame:
     A whole-unit piece whose unit minimum is <= target certainly fires, so
     nothing after the first such piece matters; partial pieces (at the
     interval's ends) with a low enough minimum before it are uncertain and
-    kept.  At most three pieces per interval survive.
+    kept.  At most three pieces per interval survive.  One window over the
+    interval's candidate pieces (a handful of rows) finds the first whole one.
     """
     cand = pieces.join(summary, ["product_name", "u"]).where(F.col("umin") <= F.col("target_price"))
-    first_whole = cand.where("whole").groupBy(*INTERVAL_KEY).agg(F.min("u").alias("fw"))
-    c = cand.join(first_whole, INTERVAL_KEY, "left")
+    fw = F.min(F.when(F.col("whole"), F.col("u"))).over(Window.partitionBy(*INTERVAL_KEY))
+    c = cand.withColumn("fw", fw)
     keep = (~F.col("whole") & (F.col("fw").isNull() | (F.col("u") < F.col("fw")))) | (F.col("u") == F.col("fw"))
     return c.where(keep).select(*INTERVAL_KEY, "target_price", "lo", "hi")
 
 
-def first_fire(requests: DataFrame, ticks: DataFrame) -> DataFrame:
+def first_fire(requests: DataFrame, ticks: DataFrame, materialize: str = "checkpoint") -> DataFrame:
     """J7/T1 (batch): per subscription interval the first tick with
     ``price <= target`` inside the interval, if any.
 
@@ -167,21 +168,23 @@ def first_fire(requests: DataFrame, ticks: DataFrame) -> DataFrame:
     seq).  ``ticks``: (product_name, ts, price, seq).
     Output: interval key, target, ``fire_ts``, ``fire_price``.
 
-    Day and hour minima per product (partial aggregates) narrow each
-    interval to at most three days, then at most three hours; only those
-    hours' ticks are compared with the subscription.
+    Ticks are read twice: once into per product-hour minima (a partial
+    aggregate, materialized; day minima and each product's last tick come
+    from it), and once, joined on (product, hour), for the at most three
+    hours per interval that remain after narrowing by day and by hour.
     """
+    from ..session import materialize as mat
     t = ticks.where(F.col("ts").isNotNull() & F.col("price").isNotNull()).select(
-        "product_name", "ts", "price", F.col("seq").alias("tick_seq"),
-        F.date_trunc("day", "ts").alias("day"), F.date_trunc("hour", "ts").alias("u"))
-    daily = t.groupBy("product_name", F.col("day").alias("u")).agg(F.min("price").alias("umin"))
-    hourly = t.groupBy("product_name", "u").agg(F.min("price").alias("umin"))
-    last = t.groupBy("product_name").agg(F.max("ts").alias("last_ts"))
+        "product_name", "ts", "price", F.col("seq").alias("tick_seq"), F.date_trunc("hour", "ts").alias("u"))
+    hourly = mat(t.groupBy("product_name", "u").agg(F.min("price").alias("umin"), F.max("ts").alias("last_ts")),
+                 materialize)
+    daily = hourly.groupBy("product_name", F.date_trunc("day", "u").alias("u")).agg(F.min("umin").alias("umin"))
+    last = hourly.groupBy("product_name").agg(F.max("last_ts").alias("last_ts"))
     iv = subscription_intervals(requests).join(last, "product_name").select(
         *INTERVAL_KEY, "target_price", F.col("sub_ts").alias("lo"),
         F.coalesce("next_sub_ts", F.col("last_ts") + F.expr("INTERVAL 1 MICROSECOND")).alias("hi"))
     days = _keep_first(_split(iv, "day"), daily)
-    hours = _keep_first(_split(days, "hour"), hourly)
+    hours = _keep_first(_split(days, "hour"), hourly.select("product_name", "u", "umin"))
     hits = hours.withColumn("u", F.date_trunc("hour", "lo")).join(t, ["product_name", "u"]).where(
         (F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi")) & (F.col("price") <= F.col("target_price")))
     first = hits.groupBy(*INTERVAL_KEY, "target_price").agg(

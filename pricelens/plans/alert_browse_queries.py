@@ -10,7 +10,7 @@ from ..operators import alerts as AL
 from ..operators import browse as B
 from ..operators import decision as dec
 from ..operators import series as ser
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from .common import SQL_TS_TEXT, big, ts_text
 from .registry import query
 from .sql_text import q as sq
@@ -71,10 +71,11 @@ WHERE c.current_price <> 0 AND s.active AND s.target_price IS NOT NULL
   AND c.product_name IN (SELECT product_name FROM series)""")
 def q_alerts_due(spark, d):
     ticks = A.price_obs(spark, d)
-    stats = dec.price_stats(ser.daily_series(ticks))
+    # One pass over the ticks: the series' last value is the current price.
+    stats = materialize(dec.price_stats(ser.daily_series(ticks)))
     empty = spark.createDataFrame([], "product_name string, positive long, neutral long, negative long, total long")
-    reasons = dec.decide(stats, empty).where(F.col("price_status") != "Unknown").select("product_name", "reason")
-    cur = AL.latest_prices(ticks)
+    reasons = dec.decide(stats, empty).select("product_name", "reason")
+    cur = stats.select("product_name", "current_price")
     return AL.alerts_due(cur, AL.upsert_state(valid_requests(spark, d)), reasons)
 
 

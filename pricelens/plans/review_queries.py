@@ -78,8 +78,8 @@ def q_token_overlap(spark, d):
 @query("detect_category", "F4", ["reviews"], f"""
 SELECT review_id, {X.category('review_text')} AS category FROM reviews""")
 def q_detect_category(spark, d):
-    r = A.reviews(spark, d)
-    return r.select("review_id", T.detect_category(F.col("review_text")).alias("category"))
+    r = A.reviews(spark, d).withColumn("_low", F.lower("review_text"))
+    return r.select("review_id", T.detect_category(F.col("review_text"), lowered=F.col("_low")).alias("category"))
 
 
 @query("rule_sentiment", "F5", ["reviews"], f"""
@@ -88,13 +88,13 @@ SELECT review_id, {X.rule_label('review_text')} AS label, {X.rule_conf('review_t
        CAST({X.score('review_text', DRIVER_POSITIVE, DRIVER_NEGATIVE)} AS BIGINT) AS score_driver
 FROM reviews""")
 def q_rule_sentiment(spark, d):
-    r = A.reviews(spark, d)
     t = F.col("review_text")
-    dflt = T.rule_sentiment(t)
-    drv = T.rule_sentiment(t, DRIVER_POSITIVE, DRIVER_NEGATIVE)
+    r = A.reviews(spark, d).withColumn("_low", F.lower(t))
+    r = r.withColumns({"_s0": T.sentiment_score(t, lowered=F.col("_low")),
+                       "_s1": T.sentiment_score(t, DRIVER_POSITIVE, DRIVER_NEGATIVE, lowered=F.col("_low"))})
+    dflt, drv = T.rule_from_score(t, F.col("_s0")), T.rule_from_score(t, F.col("_s1"))
     return r.select("review_id", dflt["label"].alias("label"), dflt["confidence"].alias("confidence"),
-                    drv["label"].alias("label_driver"),
-                    big(T.sentiment_score(t, DRIVER_POSITIVE, DRIVER_NEGATIVE)).alias("score_driver"))
+                    drv["label"].alias("label_driver"), big(F.col("_s1")).alias("score_driver"))
 
 
 @query("parse_llm_label", "F6", ["llm_parsed"], """
