@@ -134,3 +134,17 @@ def test_deep_page_locates_by_key_ranges(spark):
         simple = [r.seq for r in B.paginate(obs, page, 50).rows.collect()]
         deep = [r.seq for r in B.paginate(obs, page, 50, deep_offset=0, buckets=16).rows.collect()]
         assert simple == deep and len(simple) > 0
+
+
+def test_pages_until_empty_caps_at_ten(spark):
+    df = spark.createDataFrame([("b", p, 1) for p in range(1, 15)], "base_url string, page int, n_reviews int")
+    assert [r.page for r in RP.pages_until_empty(df).orderBy("page").collect()] == list(range(1, 11))
+
+
+def test_ingest_review_pages_api(spark):
+    from pricelens import api
+    page = f"<html><body><main>{CARD}</main></body></html>"
+    pages = spark.createDataFrame([(1, "u?x=1&page=1", page)], "page_id long, url string, html string")
+    r = api.ingest_review_pages(pages, "Foo").collect()[0]
+    assert r.review_text == "Great phone - Battery lasts two full days and the screen is bright."
+    assert r.product_name == "Foo" and r.rating == "4" and '"reviewer":"Asha K"' in r.metadata
