@@ -30,7 +30,7 @@ def q_stream_alerts(spark, d):
 SELECT product_name, strftime(ds, '%Y-%m-%d') AS ds, {rnd('y', 6)} AS y FROM daily""")
 def q_stream_daily_last(spark, d):
     ticks = _ticks(spark, d)
-    out = J.run_to_table(spark, J.daily_last_stream(ticks), "daily", "complete")
+    out = J.run_to_table(spark, J.daily_last_stream(ticks), "daily", "update", sink=J.upsert_by_day())
     return out.select("product_name", iso_date("ds").alias("ds"), r6("y").alias("y"))
 
 

@@ -143,6 +143,31 @@ def daily_last_stream(ticks: DataFrame, watermark: str = "2 days") -> DataFrame:
     return agg.select("product_name", F.to_date(F.col("w.start")).alias("ds"), "y")
 
 
+def upsert_by_day(keys: tuple[str, ...] = ("product_name", "ds")) -> Callable[[DataFrame, str], None]:
+    """A ``foreachBatch`` sink for update-mode aggregates keyed by day: the
+    day partitions a micro-batch touches are rewritten with its rows
+    replacing the stored ones of the same key; other days are untouched.
+    Replaying a batch writes the same result (idempotent)."""
+    from ..session import materialize
+
+    def sink(batch: DataFrame, out: str) -> None:
+        spark = batch.sparkSession
+        days = [r[0] for r in batch.select("ds").distinct().collect()]   # days in this batch only
+        if not days:
+            return
+        try:
+            old = spark.read.parquet(out).where(F.col("ds").isin(days))
+            merged = old.join(batch, list(keys), "left_anti").unionByName(batch.select(*old.columns))
+        except Exception as e:  # noqa: BLE001 - first batch: no table yet
+            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+                raise
+            merged = batch
+        merged = materialize(merged)       # cut the read of ``out`` before overwriting it
+        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("ds").parquet(out))
+    return sink
+
+
 def ingest_stream(spark: SparkSession, pages_path: str) -> DataFrame:
     """Decoded price observations from landed page files."""
     pages = spark.readStream.schema(S.PAGES).parquet(pages_path)

@@ -20,7 +20,7 @@ def test_stream_alerts_equal_batch(spark):
 
 def test_stream_daily_equal_batch(spark):
     ticks = J.tick_stream(spark, SF_SMALL, "events.parquet")
-    got = J.run_to_table(spark, J.daily_last_stream(ticks), "t-daily", "complete")
+    got = J.run_to_table(spark, J.daily_last_stream(ticks), "t-daily", "update", sink=J.upsert_by_day())
     assert rows(got, "product_name", "ds", "y") == rows(ser.daily_last_price(A.price_obs(spark, SF_SMALL)),
                                                         "product_name", "ds", "y")
 
@@ -50,7 +50,8 @@ def test_oracle_sample_at_small_scale(spark):
         assert key(s) == key(d), name
 
 
-def test_stream_alerts_across_micro_batches(spark):
+def _land_in_time_order(spark, parts=4):
+    """The events landed as ``parts`` files in time order (one per trigger)."""
     import time as _t
 
     from pyspark.sql import functions as F
@@ -59,12 +60,25 @@ def test_stream_alerts_across_micro_batches(spark):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     land = scratch_path(spark, "t-landing")
     bounds = ev.select(F.min("ts").alias("lo"), F.max("ts").alias("hi")).collect()[0]
-    step = (bounds.hi - bounds.lo) / 4
-    for k in range(4):
+    step = (bounds.hi - bounds.lo) / parts
+    for k in range(parts):
         lo, hi = bounds.lo + step * k, bounds.lo + step * (k + 1)
-        part = ev.where((F.col("ts") >= lo) & ((F.col("ts") < hi) if k < 3 else F.lit(True)))
+        part = ev.where((F.col("ts") >= lo) & ((F.col("ts") < hi) if k < parts - 1 else F.lit(True)))
         part.coalesce(1).write.mode("append").parquet(land)
         _t.sleep(1.1)
+    return land
+
+
+def test_stream_daily_upsert_across_micro_batches(spark):
+    land = _land_in_time_order(spark)
+    ticks = J.tick_stream(spark, land, "*.parquet", max_files_per_trigger=1)
+    got = J.run_to_table(spark, J.daily_last_stream(ticks), "t-daily-mb", "update", sink=J.upsert_by_day())
+    assert rows(got, "product_name", "ds", "y") == rows(ser.daily_last_price(A.price_obs(spark, SF_SMALL)),
+                                                        "product_name", "ds", "y")
+
+
+def test_stream_alerts_across_micro_batches(spark):
+    land = _land_in_time_order(spark)
     ticks = J.tick_stream(spark, land, "*.parquet", max_files_per_trigger=1)
     reqs = J.request_stream(spark, land, "*.parquet", max_files_per_trigger=1)
     got = J.run_to_table(spark, J.alert_stream(ticks, reqs), "t-alerts-mb", "append")
