@@ -4,7 +4,7 @@ The library's operators consume price observations, reviews, raw pages and
 subscription requests.  These functions derive those inputs from the shared
 test tables with plain projections and joins, so every query's work grows with
 the tables (see FIXTURES.md).  Each adapter has a SQL twin in
-``pricelens.plans.oracle`` used by the DuckDB correctness check.
+``pricelens.plans.sql_views`` used by the DuckDB correctness check.
 """
 
 from __future__ import annotations

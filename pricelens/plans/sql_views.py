@@ -141,7 +141,6 @@ def with_views(names: list[str], body: str) -> str:
 
 def _register_text_views() -> None:
     from . import sql_text as X
-    from .. import schemas as S
 
     drv_pos, drv_neg = DRIVER_POSITIVE, DRIVER_NEGATIVE
     view("llm_parsed", ["llm_responses"], f"""
@@ -179,7 +178,6 @@ SELECT product_name,
        CAST(count(*) FILTER (WHERE sentiment = 'Negative') AS BIGINT) AS negative,
        CAST(count(*) AS BIGINT) AS total
 FROM part_top100_analyzed GROUP BY product_name""")
-    del S
 
 
 # A second lexicon of words frequent in the driver's text (the default one
