@@ -184,20 +184,23 @@ def analyze_reviews(reviews: DataFrame, responses: DataFrame | None = None,
     model_rank, response_text) first, else the rule lexicon (F5).  F8: when
     the input already carries both ``sentiment`` and ``category`` those are
     kept.  The category (F4) is computed from the text.
+
+    Everything derived from the text (lexicon score, rule label, category)
+    is computed before the join with the replies, so a caller that keeps
+    only ids and labels does not move review text through that shuffle.
     """
     text = F.col(text_col)
     # Lower-case once per row; every keyword test reads this column.
     df = reviews.withColumn("_low", F.lower(text))
-    low = F.col("_low")
-    df = df.withColumn("_score", T.sentiment_score(text, positive, negative, lowered=low))
+    df = df.withColumn("_score", T.sentiment_score(text, positive, negative, lowered=F.col("_low")))
     rule = T.rule_from_score(text, F.col("_score"))
+    df = df.withColumns({"_rl": rule["label"], "_rc": rule["confidence"],
+                         "_cat": T.detect_category(text, categories, lowered=F.col("_low"))}).drop("_low", "_score")
+    label, conf, cat = F.col("_rl"), F.col("_rc"), F.col("_cat")
     if responses is not None:
         df = df.join(llm_labels(responses), "review_id", "left")
-        label = F.coalesce(F.col("llm.label"), rule["label"])
-        conf = F.when(F.col("llm").isNotNull(), F.col("llm.confidence")).otherwise(rule["confidence"])
-    else:
-        label, conf = rule["label"], rule["confidence"]
-    cat = T.detect_category(text, categories, lowered=low)
+        label = F.coalesce(F.col("llm.label"), label)
+        conf = F.when(F.col("llm").isNotNull(), F.col("llm.confidence")).otherwise(conf)
     new = {"sentiment": label, "confidence": conf, "category": cat}
     if "sentiment" in reviews.columns and "category" in reviews.columns:
         keep = F.col("sentiment").isNotNull() & F.col("category").isNotNull()
@@ -205,7 +208,7 @@ def analyze_reviews(reviews: DataFrame, responses: DataFrame | None = None,
         new = {"sentiment": F.when(keep, F.col("sentiment")).otherwise(label),
                "confidence": F.when(keep, old_conf).otherwise(conf),
                "category": F.when(keep, F.col("category")).otherwise(cat)}
-    df = df.withColumns(new).drop("_low", "_score")
+    df = df.withColumns(new).drop("_rl", "_rc", "_cat")
     if "llm" in df.columns:
         df = df.drop("llm")
     return df
