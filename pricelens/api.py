@@ -67,7 +67,11 @@ def run_forecast(obs: DataFrame, products=None, model: str = "both",
                  periods: int = S.DEFAULT_PERIODS) -> ForecastAnswer:
     """Entry 1: history, the 10-day gate, and the selected model(s)."""
     series = load_product_price_data(obs, products)
-    return ForecastAnswer(SER.historical_series(series), SER.forecast_eligibility(series),
+    requested = None
+    if products is not None:
+        names = [products] if isinstance(products, str) else list(products)
+        requested = obs.sparkSession.createDataFrame([(n,) for n in names], "product_name string")
+    return ForecastAnswer(SER.historical_series(series), SER.forecast_eligibility(series, requested=requested),
                           FC.forecast(series, model, periods))
 
 

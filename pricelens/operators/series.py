@@ -137,9 +137,14 @@ def historical_series(series: DataFrame) -> DataFrame:
                          F.round("y", 2).alias("price"))
 
 
-def forecast_eligibility(series: DataFrame, min_points: int = S.MIN_HISTORY_POINTS) -> DataFrame:
+def forecast_eligibility(series: DataFrame, min_points: int = S.MIN_HISTORY_POINTS,
+                         requested: DataFrame | None = None) -> DataFrame:
     """Products with fewer than ``min_points`` daily rows are rejected
-    (``too_short``); absent products are simply not in the output."""
+    (``too_short``).  With ``requested`` (a ``product_name`` column), names
+    without any price row are reported as ``not_found``."""
     n = series.groupBy("product_name").agg(F.count(F.lit(1)).alias("n_points"))
-    return n.withColumn("status", F.when(F.col("n_points") >= min_points, F.lit("ok"))
-                        .otherwise(F.lit("too_short")))
+    if requested is not None:
+        n = requested.select("product_name").distinct().join(n, "product_name", "left")
+    status = (F.when(F.col("n_points").isNull(), F.lit("not_found"))
+              .when(F.col("n_points") >= min_points, F.lit("ok")).otherwise(F.lit("too_short")))
+    return n.withColumn("status", status)

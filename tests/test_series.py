@@ -80,3 +80,11 @@ def test_point_lookup_and_source_pruning_reach_the_scan(spark):
     plan = R.review_sources(obs)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "flipkart_reviews" in plan
     assert ser.price_points(obs, "user_3").count() > 0
+
+
+def test_eligibility_reports_unknown_requested_products(spark):
+    data = [("A", f"2024-01-{d:02d} 10:00", 1.0) for d in range(1, 11)]
+    req = spark.createDataFrame([("A",), ("nope",)], "product_name string")
+    e = dict(rows(ser.forecast_eligibility(ser.daily_series(ticks(spark, data)), requested=req),
+                  "product_name", "status"))
+    assert e == {"A": "ok", "nope": "not_found"}
