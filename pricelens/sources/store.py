@@ -48,10 +48,15 @@ def scan_observations(spark: SparkSession, path: str, schema: StructType = S.OBS
 
 def append_observations(df: DataFrame, path: str, schema: StructType = S.OBSERVATIONS) -> bool:
     """Append rows (no dedup), completing missing columns first.
-    An empty input is a successful no-op; a failed write raises."""
+    An empty input is a successful no-op; a failed write raises.
+
+    Each write task sorts its rows by (product, seq) — no shuffle — so the
+    Parquet row-group statistics let a product lookup skip row groups.
+    """
     if df.isEmpty():
         return True
-    align_to_schema(df, schema).write.mode("append").partitionBy("source").parquet(path)
+    (align_to_schema(df, schema).sortWithinPartitions("product_name", "seq")
+     .write.mode("append").partitionBy("source").parquet(path))
     return True
 
 
