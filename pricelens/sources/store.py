@@ -50,9 +50,10 @@ def append_observations(df: DataFrame, path: str, schema: StructType = S.OBSERVA
     """Append rows (no dedup), completing missing columns first.
     An empty input is a successful no-op; a failed write raises.
 
-    Each write task sorts its rows by (source, product, seq) — no shuffle;
-    the partition column leads, so the writer adds no sort of its own — so the
-    Parquet row-group statistics let a product lookup skip row groups.
+    Each write task sorts its rows by (source, product, seq): a local sort,
+    no shuffle.  With the partition column first the writer needs no sort
+    of its own, and Parquet row-group statistics then let a product lookup
+    skip row groups.
     """
     if df.isEmpty():
         return True
