@@ -182,6 +182,10 @@ def q_file_catalog(spark, d):
     return B.file_catalog(spark, root).select("name", "size")
 
 
-@query("export_json", "S10")
+@query("export_json", "S10", ["observations"], """
+SELECT to_json({'timestamp': "timestamp", 'source': source, 'product_name': product_name, 'price': price,
+                'rating': rating, 'review_text': review_text, 'url': url, 'metadata': metadata,
+                'seq': seq})::VARCHAR AS json
+FROM observations""")
 def q_export_json(spark, d):
     return B.export_json(A.observations(spark, d))

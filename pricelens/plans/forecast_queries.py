@@ -264,10 +264,13 @@ def q_best_time_to_buy(spark, d):
                     "lower_bound", "upper_bound")
 
 
-@query("forecast_all", "U3 P10")
+@query("forecast_all", "U3 P10", ["m1_future", "m2_future"], f"""
+SELECT product_name, 'trend_seasonal' AS model, {FUT_COLS.replace('product_name, ', '', 1)} FROM m1_future
+UNION ALL
+SELECT product_name, 'quantile' AS model, {FUT_COLS.replace('product_name, ', '', 1)} FROM m2_future""")
 def q_forecast_all(spark, d):
     res = FC.forecast(events_series(spark, d), "both", PERIODS)
-    return res.forecast.select("product_name", "model", iso_date("ds").alias("ds"), "h",
+    return res.forecast.select("product_name", "model", iso_date("ds").alias("ds"), F.col("h").cast("long").alias("h"),
                                "predicted_price", "lower_bound", "upper_bound")
 
 
