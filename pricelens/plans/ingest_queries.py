@@ -91,7 +91,8 @@ def landed_price_pages(spark, d):
 
 view("price_page_urls", ["price_obs"], f"""
 SELECT DISTINCT product_name,
-       '{PP.PAGE_URL_PREFIX}' || product_name || '/' || strftime(date_trunc('hour', ts), '%Y%m%d%H') AS url
+       '{PP.PAGE_URL_PREFIX}' || product_name || '/' || strftime(date_trunc('hour', ts), '%Y%m%d%H')
+         || '-' || CAST(seq % {PP.PAGE_SPLIT} AS VARCHAR) AS url
 FROM price_obs""")
 
 
@@ -149,8 +150,8 @@ def q_url_page_number(spark, d):
 # ----------------------------------------------------------- review pages
 
 def review_pages(spark, d):
-    """Review pages landed from the reviews: page k of a listing holds its
-    k-th review (by id)."""
+    """Review pages landed from the reviews: page k of a listing's run holds
+    its k-th review (by id)."""
     return RP.render_review_pages(RP.listing_pages(A.reviews(spark, d)))
 
 
@@ -183,11 +184,12 @@ def q_extract_reviews(spark, d):
     return RP.extract_reviews(pages).select("page_id", "card_no", "rating", "title", "body", "reviewer")
 
 
-@query("pages_until_empty", "S8b S8c", ["reviews"], """
+@query("pages_until_empty", "S8b S8c", ["reviews"], f"""
 SELECT base_url, page, n_reviews FROM (
   SELECT *, min(CASE WHEN n_reviews = 0 THEN page END) OVER (PARTITION BY base_url) AS first_empty FROM (
-    SELECT 'https://shop.example.com/product-reviews/' || listing || '?sort=recent' AS base_url,
-           CAST(row_number() OVER (PARTITION BY listing ORDER BY review_id) AS INTEGER) AS page,
+    SELECT 'https://shop.example.com/product-reviews/' || listing || '?run=' || CAST(review_id // {RP.RUN_IDS} AS VARCHAR)
+             AS base_url,
+           CAST(row_number() OVER (PARTITION BY listing, review_id // {RP.RUN_IDS} ORDER BY review_id) AS INTEGER) AS page,
            CAST(CASE WHEN length(review_text) >= 120 THEN 2 ELSE 0 END AS INTEGER) AS n_reviews
     FROM reviews)
   WHERE page BETWEEN 1 AND 10)

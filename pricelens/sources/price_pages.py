@@ -97,15 +97,20 @@ def page_key(product: Column) -> Column:
     return F.substring(F.sha2(product, 256), 1, 16)
 
 
-def encode_price_pages(ticks: DataFrame) -> DataFrame:
-    """Land price pages from ticks: one page per product and hour holding
-    that hour's points as ``{"History":{"Price":[{"x","y"}...]}}``.
+PAGE_SPLIT = 8
 
-    Pages are cut by hour so that no page (and no task building one)
-    gathers an unbounded history.
+
+def encode_price_pages(ticks: DataFrame, split: int = PAGE_SPLIT) -> DataFrame:
+    """Land price pages from ticks: pages per product and hour holding those
+    points as ``{"History":{"Price":[{"x","y"}...]}}``.
+
+    Pages are cut by hour and each hour is split ``split`` ways by tick
+    sequence (salting), so no page, and no task building one, gathers a
+    hot product's whole history.
     """
     hour = F.date_trunc("hour", "ts")
-    g = ticks.groupBy("product_name", hour.alias("hour")).agg(
+    part = F.pmod(F.col("seq"), F.lit(split))
+    g = ticks.groupBy("product_name", hour.alias("hour"), part.alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("ts", "seq", "price"))).alias("pts"))
     pts = F.transform("pts", lambda p: F.struct(
         F.date_format(p["ts"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("x"), p["price"].alias("y")))
@@ -116,8 +121,8 @@ def encode_price_pages(ticks: DataFrame) -> DataFrame:
         F.lit("</title></head><body><div id=\"chart\"></div><script>var PagePriceHistoryDataSet = \""),
         xor_encrypt(js, key), F.lit("\";\nlet CachedKey='"), key, F.lit("';</script></body></html>"))
     url = F.concat(F.lit(PAGE_URL_PREFIX), F.col("product_name"), F.lit("/"),
-                   F.date_format("hour", "yyyyMMddHH"))
-    page_id = F.xxhash64("product_name", "hour")
+                   F.date_format("hour", "yyyyMMddHH"), F.lit("-"), F.col("part").cast("string"))
+    page_id = F.xxhash64("product_name", "hour", "part")
     return g.select(page_id.alias("page_id"), url.alias("url"), html.alias("html"))
 
 

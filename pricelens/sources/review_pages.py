@@ -251,17 +251,23 @@ def render_review_pages(reviews: DataFrame, min_chars: int = 120) -> DataFrame:
                     F.lit("</title></head><body><nav>"), links, F.lit("</nav><main>"), body,
                     F.lit("</main></body></html>"))
     url = F.concat(F.lit("https://shop.example.com/product-reviews/"), F.col("listing"),
-                   F.lit("?sort=recent&page="), F.col("page").cast("string"))
+                   F.lit("?run="), F.col("run").cast("string"), F.lit("&page="), F.col("page").cast("string"))
     return reviews.select(F.col("review_id").alias("page_id"), url.alias("url"), html.alias("html"))
 
 
-def listing_pages(reviews: DataFrame) -> DataFrame:
-    """Page numbers of reviews within their listing (``source``), in id order.
+RUN_IDS = 200
 
-    The window groups rows by listing; the result is spread again by review
-    id so that rendering and parsing run on all cores, not one per listing.
+
+def listing_pages(reviews: DataFrame, run_ids: int = RUN_IDS) -> DataFrame:
+    """Page numbers of reviews within their listing (``listing``), in id
+    order, one review per page.  A listing is paged in runs of ``run_ids``
+    consecutive ids (``run``), so a numbering window never holds more than
+    ``run_ids`` rows however large a listing grows.  The result is spread
+    again by review id so that rendering and parsing use all cores.
     """
-    w = Window.partitionBy("listing").orderBy("review_id")
     from ..session import parallelism
+    run = F.floor(F.col("review_id") / F.lit(run_ids)).cast("long")
+    w = Window.partitionBy("listing", "run").orderBy("review_id")
     n = parallelism(reviews.sparkSession) * 2
-    return reviews.withColumn("page", F.row_number().over(w)).repartition(n, "review_id")
+    return (reviews.withColumn("run", run).withColumn("page", F.row_number().over(w))
+            .repartition(n, "review_id"))
