@@ -158,11 +158,11 @@ def upsert_by_day(keys: tuple[str, ...] = ("product_name", "ds")) -> Callable[[D
         try:
             old = spark.read.parquet(out).where(F.col("ds").isin(days))
             merged = old.join(batch, list(keys), "left_anti").unionByName(batch.select(*old.columns))
+            merged = materialize(merged)   # cut the read of ``out`` before overwriting it
         except Exception as e:  # noqa: BLE001 - first batch: no table yet
             if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
                 raise
             merged = batch
-        merged = materialize(merged)       # cut the read of ``out`` before overwriting it
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("ds").parquet(out))
     return sink
