@@ -127,7 +127,11 @@ def parse_llm_label(response) -> Column:
     raw_label = F.get_json_object(obj, "$.sentiment")
     raw_conf = F.get_json_object(obj, "$.confidence")
     label = capitalize(F.coalesce(raw_label, F.lit("")))
-    conf = F.when(raw_conf.isNull(), F.lit(0.0)).otherwise(raw_conf.try_cast("double"))
+    has_conf = F.coalesce(F.array_contains(F.json_object_keys(obj), "confidence"), F.lit(False))
+    # float(): a missing key is 0.0, JSON true/false are 1.0/0.0, null fails.
+    conf = (F.when(~has_conf, F.lit(0.0))
+            .when(raw_conf == "true", F.lit(1.0)).when(raw_conf == "false", F.lit(0.0))
+            .otherwise(raw_conf.try_cast("double")))
     # A reply is JSON only if some key could be read back.
     is_json = F.get_json_object(obj, "$").isNotNull()
     ok = is_json & label.isin(*S.SENTIMENT_LABELS) & conf.isNotNull()

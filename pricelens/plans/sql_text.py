@@ -73,7 +73,9 @@ def llm_parsed(resp: str) -> str:
     raw_l = f"json_extract_string({js}, '$.sentiment')"
     raw_c = f"json_extract_string({js}, '$.confidence')"
     lab = f"(upper(substr(coalesce({raw_l}, ''), 1, 1)) || lower(substr(coalesce({raw_l}, ''), 2)))"
-    conf = f"(CASE WHEN {raw_c} IS NULL THEN 0.0 ELSE try_cast({raw_c} AS DOUBLE) END)"
+    has_c = f"coalesce(list_contains(json_keys({js}), 'confidence'), false)"
+    conf = (f"(CASE WHEN NOT {has_c} THEN 0.0 WHEN {raw_c} = 'true' THEN 1.0 WHEN {raw_c} = 'false' THEN 0.0 "
+            f"ELSE try_cast({raw_c} AS DOUBLE) END)")
     ok = f"({js} IS NOT NULL AND {lab} IN ('Positive', 'Neutral', 'Negative') AND {conf} IS NOT NULL)"
     return f"CASE WHEN {ok} THEN {lab} END AS label, CASE WHEN {ok} THEN {conf} END AS confidence"
 

@@ -136,3 +136,11 @@ def test_user_classifier_feeds_cascade(spark):
     resp = R.classifier_responses(reviews, clf)
     got = {r.review_id: (r.sentiment, r.confidence) for r in R.analyze_reviews(reviews, resp).collect()}
     assert got == {1: ("Positive", 0.66), 2: ("Neutral", 0.5)}
+
+
+def test_llm_confidence_edge_cases(spark):
+    assert one(spark, T.parse_llm_label, '{"sentiment":"neutral","confidence":null}') is None
+    t = one(spark, T.parse_llm_label, '{"sentiment":"negative","confidence":true}')
+    assert (t.label, t.confidence) == ("Negative", 1.0)
+    s = one(spark, T.parse_llm_label, '{"sentiment":"positive","confidence":" 0.25 "}')
+    assert (s.label, s.confidence) == ("Positive", 0.25)
