@@ -177,7 +177,38 @@ def q_first_product_link(spark, d):
         F.when(title != "", title).otherwise(F.lit("Product")).alias("title"))
 
 
-@query("extract_reviews", "S8 D3 D5 O8 F22")
+def _card_sql() -> str:
+    """The S8 rules applied to a rendered review page, written out for the
+    page layout ``render_review_pages`` produces (title, body + READ MORE,
+    reviewer, badge, relative date; the card repeated)."""
+    ws = T.WHITESPACE_CLASS
+    strip = lambda x: f"regexp_replace({x}, '^{ws}|{ws}$', '', 'g')"
+    edge_l, edge_r = T.WORD_EDGE_L, T.WORD_EDGE_R
+    noise = (lambda x: f"(regexp_matches({x}, {sq(edge_l + 'ago' + edge_r)}) OR "
+             f"regexp_matches({x}, {sq(edge_l + S.MONTH_PATTERN + edge_r)}) OR regexp_full_match({x}, '[0-9,]+'))")
+    ok = (lambda x: f"({x} <> '' AND {x} NOT IN ('READ MORE', 'Certified Buyer', rating) AND NOT {noise(x)} "
+          f"AND length({x}) > 1)")
+    return f"""
+SELECT page_id, 0 AS card_no, rating, title, {strip("replace(body, 'READ MORE', '')")} AS body,
+       coalesce(list_filter([t, rv], lambda y: y <> '' AND length(y) < 40
+                AND y NOT IN ('READ MORE', 'Certified Buyer', rating, title, body) AND NOT {noise('y')})[1], '')
+         AS reviewer
+FROM (
+  SELECT *, coalesce(list_filter(texts, lambda x: x <> body AND length(x) < 100)[1], '') AS title
+  FROM (
+    SELECT *, list_reduce(texts, lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END) AS body
+    FROM (
+      SELECT *, list_filter(cand, lambda x, i: list_position(cand, x) = i) AS texts
+      FROM (
+        SELECT review_id AS page_id, rating, reviewer AS rv,
+               {strip("split_part(review_text, chr(10), 1)")} AS t,
+               [x FOR x IN [{strip("split_part(review_text, chr(10), 1)")},
+                            {strip("review_text")} || 'READ MORE', reviewer] IF {ok('x')}] AS cand
+        FROM reviews WHERE length(review_text) >= 120)
+      WHERE len(cand) > 0)))"""
+
+
+@query("extract_reviews", "S8 D3 D5 O8 F22", ["reviews"], _card_sql())
 def q_extract_reviews(spark, d):
     pages = review_pages(spark, d).unionByName(A.table(spark, d, "pages").select(
         (F.col("page_id") + F.lit(-1_000_000)).alias("page_id"), "url", "html"))

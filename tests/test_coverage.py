@@ -27,4 +27,4 @@ def test_oracle_keys_are_queries():
     import __spark_entry__ as E
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
-    assert len(sqls) >= 65
+    assert len(sqls) >= 66
