@@ -140,10 +140,31 @@ def parse_llm_label(response) -> Column:
 
 # ------------------------------------------------------- page text
 
+NUMERIC_REF = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _code_point(ref: Column) -> Column:
+    n = F.length(ref)
+    is_hex = F.lower(F.substring(ref, 3, 1)) == "x"
+    return F.when(is_hex, F.conv(F.substring(ref, 4, n - 4), 16, 10).cast("long")) \
+        .otherwise(F.substring(ref, 3, n - 3).cast("long"))
+
+
 def html_unescape_basic(s) -> Column:
-    """Decode the five predefined XML entities (``&amp;`` last)."""
+    """Decode numeric character references (``&#233;``, ``&#xE9;``) of
+    printable code points, then the named ``&lt; &gt; &quot; &amp;``
+    (``&amp;`` last)."""
     s = _c(s)
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    refs = F.array_distinct(F.regexp_extract_all(s, F.lit(NUMERIC_REF), 0))
+
+    def put(acc, ref):
+        cp = _code_point(ref)
+        printable = ((cp >= 0x20) & (cp <= 0x7E)) | ((cp >= 0xA0) & (cp <= 0xD7FF)) | \
+            ((cp >= 0xE000) & (cp <= 0x10FFFF))
+        ch = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
+        return F.when(printable, F.replace(acc, ref, ch)).otherwise(acc)
+    s = F.aggregate(refs, s, put)
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         s = F.replace(s, F.lit(ent), F.lit(ch))
     return s
 

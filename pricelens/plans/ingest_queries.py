@@ -120,7 +120,14 @@ def q_page_ingest_status(spark, d):
 
 def _title_sql(html: str) -> str:
     t = f"regexp_extract({html}, '(?is)<title[^>]*>(.*?)</title>', 1)"
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    cp = ("(CASE WHEN lower(substr(r, 3, 1)) = 'x' THEN CAST(('0x' || substr(r, 4, length(r) - 4)) AS BIGINT) "
+          "ELSE CAST(substr(r, 3, length(r) - 3) AS BIGINT) END)")
+    printable = f"(({cp} BETWEEN 32 AND 126) OR ({cp} BETWEEN 160 AND 55295) OR ({cp} BETWEEN 57344 AND 1114111))"
+    refs = f"regexp_extract_all({t}, {sq(T.NUMERIC_REF)}, 0)"
+    first_seen = f"list_filter({refs}, lambda x, i: list_position({refs}, x) = i)"
+    t = (f"list_reduce({first_seen}, "
+         f"lambda acc, r: CASE WHEN {printable} THEN replace(acc, r, chr(CAST({cp} AS INTEGER))) ELSE acc END, {t})")
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         t = f"replace({t}, {sq(ent)}, {sq(ch)})"
     t = f"replace({t}, {sq(S.TITLE_SUFFIX)}, '')"
     ws = "[ \\t\\n\\r\\f\\x{0B}]"

@@ -144,3 +144,8 @@ def test_llm_confidence_edge_cases(spark):
     assert (t.label, t.confidence) == ("Negative", 1.0)
     s = one(spark, T.parse_llm_label, '{"sentiment":"positive","confidence":" 0.25 "}')
     assert (s.label, s.confidence) == ("Positive", 0.25)
+
+
+def test_title_numeric_references(spark):
+    html = "<title>Caf&#233; &#x2013; 5&#8482; &amp;amp; &#1; Price History</title>"
+    assert one(spark, T.title_product_name, html) == "Café – 5™ &amp; &#1;"
