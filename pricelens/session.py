@@ -25,6 +25,8 @@ DEFAULT_CONF = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Remove checkpoint files of materialized intermediates once unreferenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # One Python worker per core: keep numpy's BLAS single-threaded there.
     "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
     "spark.executorEnv.OMP_NUM_THREADS": "1",
