@@ -4,6 +4,8 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from .. import adapters as A
 from ..session import scratch_path
 from ..sources import price_pages as PP
@@ -22,8 +24,10 @@ def _ticks(spark, d: str):
 def q_stream_alerts(spark, d):
     ticks = _ticks(spark, d)
     reqs = J.request_stream(spark, d.rstrip("/"), "events.parquet")
-    out = J.run_to_table(spark, J.alert_stream(ticks, reqs), "alerts", "append")
-    return fire_out(out)
+    keys = ("email", "product_name", "sub_ts", "seq")
+    out = J.run_to_table(spark, J.alert_stream(ticks, reqs), "alerts", "update",
+                         sink=J.upsert_partitions(keys, "bucket"))
+    return fire_out(out.where(F.col("fire_ts").isNotNull()))
 
 
 @query("stream_daily_last", "T2 D2", ["daily"], f"""

@@ -1,0 +1,125 @@
+"""Per-product state of the live alert stream (T1), exact by event time.
+
+For one product the state holds, per e-mail, its subscription intervals
+(sorted by request time; each with the first tick at or below its target
+found so far) and the ticks newer than the watermark.  A micro-batch may
+bring requests and ticks in any order:
+
+1. a request opens an interval and shortens the previous one of the same
+   e-mail; if that one's first fire now lies in the new interval, the fire
+   is withdrawn (no earlier qualifying tick existed, or it would have been
+   the first);
+2. every interval asks "first tick at or below my target in [start, end)":
+   new intervals over all retained ticks, existing ones over the batch's
+   ticks only; an earlier answer replaces the stored fire.
+
+"First element <= x in a range" is answered by binary lifting over a
+sparse table of range minima: O(log n) per interval after O(n log n) set-up,
+so no tick is compared with every subscription.  Changed intervals are
+returned (update semantics); intervals that ended and ticks older than the
+watermark (latest time seen minus the allowed lateness) are evicted, and
+events older than the watermark are ignored as too late.
+"""
+
+from __future__ import annotations
+
+import bisect
+import json
+
+import numpy as np
+
+NO_END = np.iinfo(np.int64).max
+
+
+class _FirstAtOrBelow:
+    """Sorted ticks with a sparse table of price minima."""
+
+    def __init__(self, ticks: list):
+        self.ticks = ticks
+        self.times = np.array([t[0] for t in ticks], dtype=np.int64)
+        prices = np.array([t[2] for t in ticks], dtype=float)
+        self.levels = [prices]
+        k = 1
+        while 2 * k <= len(prices):
+            prev = self.levels[-1]
+            self.levels.append(np.minimum(prev[:-k], prev[k:]))
+            k *= 2
+
+    def find(self, lo: int, hi: int, x: float):
+        """The first tick with lo <= ts < hi and price <= x, or None."""
+        a = int(np.searchsorted(self.times, lo, "left"))
+        b = int(np.searchsorted(self.times, hi, "left"))
+        pos = a
+        for lvl in range(len(self.levels) - 1, -1, -1):
+            size = 1 << lvl
+            if pos + size <= b and self.levels[lvl][pos] > x:
+                pos += size
+        if pos < b and self.levels[0][pos] <= x:
+            return self.ticks[pos]
+        return None
+
+
+def step(state: str | None, requests: list, ticks: list, lateness_us: int) -> tuple[str, list]:
+    """Advance one product's state by a micro-batch.
+
+    ``requests``: (email, sub_us, seq, target); ``ticks``: (ts_us, seq, price).
+    Returns the new state text and the changed intervals as
+    (email, sub_us, seq, target, fire_us | None, fire_price | None).
+    """
+    st = json.loads(state) if state else {"iv": {}, "ticks": [], "max_ts": None}
+    iv: dict = st["iv"]        # email -> [[sub_us, seq, target, fire_us, fire_seq, fire_price], ...]
+    wm = None if st["max_ts"] is None else st["max_ts"] - lateness_us
+    changed: set = set()
+    fresh: set = set()
+
+    for email, sub_us, seq, target in sorted(requests, key=lambda r: (r[1], r[2])):
+        if wm is not None and sub_us < wm:
+            continue                                   # too late
+        lst = iv.setdefault(email, [])
+        keys = [(r[0], r[1]) for r in lst]
+        pos = bisect.bisect_left(keys, (sub_us, seq))
+        if pos < len(lst) and keys[pos] == (sub_us, seq):
+            continue                                   # already known
+        lst.insert(pos, [sub_us, seq, target, None, None, None])
+        fresh.add((email, sub_us, seq))
+        if pos > 0:
+            prev = lst[pos - 1]
+            if prev[3] is not None and prev[3] >= sub_us:
+                prev[3] = prev[4] = prev[5] = None
+                changed.add((email, prev[0], prev[1]))
+
+    new = sorted({(t, s, p) for t, s, p in ticks if wm is None or t >= wm})
+    known = {(t[0], t[1]) for t in st["ticks"]}
+    new = [list(t) for t in new if (t[0], t[1]) not in known]
+    retained = sorted(st["ticks"] + new)
+    search_all, search_new = _FirstAtOrBelow(retained), _FirstAtOrBelow(new)
+
+    for email, lst in iv.items():
+        for j, r in enumerate(lst):
+            if r[2] is None:
+                continue
+            end = lst[j + 1][0] if j + 1 < len(lst) else NO_END
+            key = (email, r[0], r[1])
+            hit = (search_all if key in fresh else search_new).find(r[0], end, r[2])
+            if hit is not None and (r[3] is None or (hit[0], hit[1]) < (r[3], r[4])):
+                r[3], r[4], r[5] = hit[0], hit[1], hit[2]
+                changed.add(key)
+
+    out = []
+    for email, lst in iv.items():
+        for r in lst:
+            if (email, r[0], r[1]) in changed:
+                out.append((email, r[0], r[1], r[2], r[3], r[5]))
+
+    seen = [st["max_ts"]] if st["max_ts"] is not None else []
+    seen += [t[0] for t in new] + [r[1] for r in requests]
+    st["max_ts"] = max(seen) if seen else None
+    if st["max_ts"] is not None:
+        wm = st["max_ts"] - lateness_us
+        st["ticks"] = [t for t in retained if t[0] >= wm]
+        for email in list(iv):
+            lst = iv[email]
+            iv[email] = [r for j, r in enumerate(lst) if j + 1 == len(lst) or lst[j + 1][0] > wm]
+    else:
+        st["ticks"] = retained
+    return json.dumps(st), out

@@ -1,12 +1,13 @@
 """Structured Streaming jobs.
 
 * T1 ``alert_stream``: live price-drop alerts.  Ticks and subscribe
-  requests form one stream keyed by product; a stateful sweep
-  (``applyInPandasWithState``) keeps the product's subscriptions and fires
-  each one at its first tick at or below target (one-shot until the next
-  request).  No tick is paired with every subscription: a running minimum
-  and a binary search find each firing tick.  Output is append-only, so the
-  exactly-once file sink applies.
+  requests form one stream keyed by product; ``applyInPandasWithState``
+  keeps the product's subscription intervals and recent ticks and gives
+  each interval its first tick at or below target, exactly by event time
+  for events within the allowed lateness (one-shot until the next
+  request).  No tick is paired with every subscription: a range-minimum
+  search finds each firing tick.  Update mode into a sink keyed by
+  interval.
 * T2 ``daily_last_stream``: last price per product-day over a 1-day
   tumbling window with a watermark; late ticks correct their day until the
   watermark passes it.
@@ -51,7 +52,7 @@ def tick_stream(spark: SparkSession, events_dir: str, file_glob: str = "*.parque
 
 ALERT_OUT = ("email string, product_name string, sub_ts timestamp, seq long, target_price double, "
              "fire_ts timestamp, fire_price double")
-ALERT_STATE = "subs string"
+ALERT_STATE = "state string"
 
 
 def request_stream(spark: SparkSession, events_dir: str, file_glob: str = "*.parquet",
@@ -71,69 +72,57 @@ def request_stream(spark: SparkSession, events_dir: str, file_glob: str = "*.par
     return AL.validate_subscriptions(req).where("valid").drop("valid", "reason")
 
 
-def _sweep(key, batches, state):
-    """One product: apply subscribe requests and ticks in time order; each
-    active subscription fires once, at its first tick with price <= target.
+ALERT_LATENESS = "2 days"
+ALERT_BUCKETS = 32
 
-    Between two requests the ticks form a segment; with the running minimum
-    of its prices (non-increasing), a subscription's first firing tick is a
-    binary search, so a segment costs O(ticks + subscriptions log ticks).
-    """
-    import json
-
-    import numpy as np
-    import pandas as pd
-
-    subs = json.loads(state.get[0]) if state.exists else {}   # email -> [target, sub_ts, seq, active]
-    pdf = pd.concat(list(batches), ignore_index=True)
-    out = []
-    if len(pdf):
-        pdf = pdf.sort_values(["ts", "kind", "seq"], kind="mergesort").reset_index(drop=True)
-        kinds = pdf["kind"].to_numpy()
-        prices = pdf["price"].to_numpy(dtype=float)
-        stops = list(np.flatnonzero(kinds == 0)) + [len(pdf)]
-        start = 0
-        for stop in stops:
-            if stop > start:
-                active = [(e, v) for e, v in subs.items() if v[3] and v[0] is not None]
-                if active:
-                    runmin = np.minimum.accumulate(prices[start:stop])
-                    neg = -runmin
-                    for email, v in active:
-                        i = int(np.searchsorted(neg, -v[0], side="left"))
-                        if i < len(neg):
-                            j = start + int(np.argmax(prices[start:start + i + 1] <= v[0]))
-                            out.append((email, key[0], pd.Timestamp(v[1]), v[2], v[0],
-                                        pdf["ts"].iat[j], prices[j]))
-                            v[3] = False
-            if stop < len(pdf):
-                r = pdf.iloc[stop]
-                subs[r["email"]] = [None if pd.isna(r["target_price"]) else float(r["target_price"]),
-                                    pd.Timestamp(r["ts"]).isoformat(), int(r["seq"]), True]
-            start = stop + 1
-    state.update((json.dumps(subs),))
-    cols = ["email", "product_name", "sub_ts", "seq", "target_price", "fire_ts", "fire_price"]
-    yield pd.DataFrame(out, columns=cols)
-
-
-def alert_stream(ticks: DataFrame, requests: DataFrame) -> DataFrame:
-    """First tick at or below target per subscription interval.
+
+def _alert_step(lateness_us: int):
+    def run(key, batches, state):
+        import pandas as pd
+
+        from .alert_state import step
+        pdf = pd.concat(list(batches), ignore_index=True)
+        us = pdf["ts"].values.astype("datetime64[us]").astype("int64")
+        kind = pdf["kind"].to_numpy()
+        reqs = [(e, int(t), int(q), None if pd.isna(p) else float(p))
+                for e, t, q, p, k in zip(pdf["email"], us, pdf["seq"], pdf["target_price"], kind) if k == 0]
+        ticks = [(int(t), int(q), float(p)) for t, q, p, k in zip(us, pdf["seq"], pdf["price"], kind) if k == 1]
+        new_state, changed = step(state.get[0] if state.exists else None, reqs, ticks, lateness_us)
+        state.update((new_state,))
+        cols = ["email", "product_name", "sub_ts", "seq", "target_price", "fire_ts", "fire_price"]
+        yield pd.DataFrame({
+            "email": [c[0] for c in changed], "product_name": key[0],
+            "sub_ts": pd.to_datetime([c[1] for c in changed], unit="us"),
+            "seq": [c[2] for c in changed], "target_price": [c[3] for c in changed],
+            "fire_ts": pd.to_datetime([c[4] for c in changed], unit="us"),
+            "fire_price": [c[5] for c in changed]}, columns=cols)
+    return run
+
+
+def alert_stream(ticks: DataFrame, requests: DataFrame, lateness: str = ALERT_LATENESS) -> DataFrame:
+    """Per subscription interval the first tick at or below its target.
 
     ``ticks`` (product_name, ts, price, seq) and ``requests`` (email,
-    product_name, target_price, sub_ts, seq) are streams; they are merged
-    into one time-ordered event stream keyed by product, whose state is the
-    product's subscriptions (it grows with subscriptions, not ticks).
-    Events are swept in arrival-then-time order per micro-batch, so a tick
-    that arrives after later ticks were processed is judged against the
-    subscriptions current at its arrival.
+    product_name, target_price, sub_ts, seq) are streams, merged into one
+    event stream keyed by product.  The keyed state
+    (``pricelens.streaming.alert_state``) is exact by event time for events
+    up to ``lateness`` late; it holds the product's subscription intervals
+    and its recent ticks, so it grows with subscriptions, not with ticks.
+    Output is in update mode: an interval is re-emitted when a late, earlier
+    tick or a late re-subscription changes its first fire (``fire_ts`` NULL
+    = withdrawn), so the sink is keyed by interval (``upsert_partitions``
+    on ``bucket``).
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
+    lateness_us = int(ticks.sparkSession.sql(f"SELECT INTERVAL {lateness}").collect()[0][0]
+                      .total_seconds() * 1_000_000)
     t = ticks.select("product_name", "ts", "price", "seq", F.lit(1).alias("kind"),
                      F.lit(None).cast("string").alias("email"), F.lit(None).cast("double").alias("target_price"))
     r = requests.select("product_name", F.col("sub_ts").alias("ts"), F.lit(None).cast("double").alias("price"),
                         "seq", F.lit(0).alias("kind"), "email", "target_price")
-    return t.unionByName(r).groupBy("product_name").applyInPandasWithState(
-        _sweep, ALERT_OUT, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
+    out = t.unionByName(r).groupBy("product_name").applyInPandasWithState(
+        _alert_step(lateness_us), ALERT_OUT, ALERT_STATE, "update", GroupStateTimeout.NoTimeout)
+    return out.withColumn("bucket", F.pmod(F.xxhash64("product_name"), F.lit(ALERT_BUCKETS)))
 
 
 def daily_last_stream(ticks: DataFrame, watermark: str = "2 days") -> DataFrame:
@@ -143,20 +132,20 @@ def daily_last_stream(ticks: DataFrame, watermark: str = "2 days") -> DataFrame:
     return agg.select("product_name", F.to_date(F.col("w.start")).alias("ds"), "y")
 
 
-def upsert_by_day(keys: tuple[str, ...] = ("product_name", "ds")) -> Callable[[DataFrame, str], None]:
-    """A ``foreachBatch`` sink for update-mode aggregates keyed by day: the
-    day partitions a micro-batch touches are rewritten with its rows
-    replacing the stored ones of the same key; other days are untouched.
-    Replaying a batch writes the same result (idempotent)."""
+def upsert_partitions(keys: tuple[str, ...], part_col: str) -> Callable[[DataFrame, str], None]:
+    """A ``foreachBatch`` sink for update-mode streams: the partitions
+    (``part_col`` values) a micro-batch touches are rewritten with its rows
+    replacing the stored rows of the same ``keys``; other partitions are
+    untouched.  Replaying a batch writes the same result (idempotent)."""
     from ..session import materialize
 
     def sink(batch: DataFrame, out: str) -> None:
         spark = batch.sparkSession
-        days = [r[0] for r in batch.select("ds").distinct().collect()]   # days in this batch only
-        if not days:
+        parts = [r[0] for r in batch.select(part_col).distinct().collect()]   # this batch's partitions only
+        if not parts:
             return
         try:
-            old = spark.read.parquet(out).where(F.col("ds").isin(days))
+            old = spark.read.parquet(out).where(F.col(part_col).isin(parts))
             merged = old.join(batch, list(keys), "left_anti").unionByName(batch.select(*old.columns))
             merged = materialize(merged)   # cut the read of ``out`` before overwriting it
         except Exception as e:  # noqa: BLE001 - first batch: no table yet
@@ -164,10 +153,15 @@ def upsert_by_day(keys: tuple[str, ...] = ("product_name", "ds")) -> Callable[[D
                 raise
             merged = batch
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("ds").parquet(out))
+         .partitionBy(part_col).parquet(out))
     return sink
 
 
+def upsert_by_day(keys: tuple[str, ...] = ("product_name", "ds")) -> Callable[[DataFrame, str], None]:
+    """``upsert_partitions`` for daily aggregates (partitioned by ``ds``)."""
+    return upsert_partitions(keys, "ds")
+
+
 def ingest_stream(spark: SparkSession, pages_path: str) -> DataFrame:
     """Decoded price observations from landed page files."""
     pages = spark.readStream.schema(S.PAGES).parquet(pages_path)

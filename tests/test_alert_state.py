@@ -1,0 +1,60 @@
+"""The T1 state step is exact by event time whatever the arrival order."""
+
+import itertools
+import random
+
+from pricelens.streaming.alert_state import step
+
+DAY = 86_400_000_000
+LATE = 365 * DAY
+
+
+def run(batches):
+    state, fires = None, {}
+    for reqs, ticks in batches:
+        state, changed = step(state, reqs, ticks, LATE)
+        for e, sub, seq, tgt, fu, fp in changed:
+            fires[(e, sub, seq)] = (fu, fp)
+    return {k: v for k, v in fires.items() if v[0] is not None}
+
+
+# FIXTURES F-alerts: subscribe 90, tick 95 (no), 88 (fires), 80 (silent),
+# re-subscribe 85, tick 80 (fires); equal price fires; null target never.
+REQS = [("a", 0 * DAY, 1, 90.0), ("a", 3 * DAY, 2, 85.0), ("b", 0, 3, None), ("c", 0, 4, 95.0)]
+TICKS = [(1 * DAY, 10, 95.0), (2 * DAY, 11, 88.0), (3 * DAY - 1, 12, 80.0), (5 * DAY, 13, 80.0)]
+WANT = {("a", 0, 1): (2 * DAY, 88.0), ("a", 3 * DAY, 2): (5 * DAY, 80.0), ("c", 0, 4): (1 * DAY, 95.0)}
+
+
+def test_in_order_single_batch():
+    assert run([(REQS, TICKS)]) == WANT
+
+
+def test_every_arrival_order_in_single_event_batches():
+    events = [("r", r) for r in REQS] + [("t", t) for t in TICKS]
+    for perm in itertools.permutations(events):
+        batches = [([e[1]], []) if e[0] == "r" else ([], [e[1]]) for e in perm]
+        assert run(batches) == WANT, perm
+
+
+def test_random_streams_match_brute_force():
+    rnd = random.Random(5)
+    for _ in range(30):
+        reqs = [(rnd.choice("xyz"), rnd.randrange(0, 50) * 1000, i, float(rnd.randrange(1, 20)))
+                for i in range(rnd.randrange(1, 8))]
+        ticks = [(rnd.randrange(0, 60) * 1000, 100 + i, float(rnd.randrange(1, 30))) for i in range(40)]
+        want = {}
+        for e in {r[0] for r in reqs}:
+            ivs = sorted((r for r in reqs if r[0] == e), key=lambda r: (r[1], r[2]))
+            for j, (_, sub, seq, tgt) in enumerate(ivs):
+                end = ivs[j + 1][1] if j + 1 < len(ivs) else 10 ** 18
+                hits = sorted(t for t in ticks if sub <= t[0] < end and t[2] <= tgt)
+                if hits:
+                    want[(e, sub, seq)] = (hits[0][0], hits[0][2])
+        events = [("r", r) for r in reqs] + [("t", t) for t in ticks]
+        rnd.shuffle(events)
+        batches = []
+        while events:
+            k = rnd.randrange(1, 6)
+            chunk, events = events[:k], events[k:]
+            batches.append(([c[1] for c in chunk if c[0] == "r"], [c[1] for c in chunk if c[0] == "t"]))
+        assert run(batches) == want

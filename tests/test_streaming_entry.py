@@ -14,7 +14,7 @@ def test_stream_alerts_equal_batch(spark):
     valid, _ = AL.split_valid(A.subscription_requests(spark, SF_SMALL))
     ticks = J.tick_stream(spark, SF_SMALL, "events.parquet")
     reqs = J.request_stream(spark, SF_SMALL, "events.parquet")
-    got = J.run_to_table(spark, J.alert_stream(ticks, reqs), "t-alerts", "append")
+    got = _alerts(spark, J.alert_stream(ticks, reqs), "t-alerts")
     assert rows(got) == rows(AL.first_fire(valid, A.price_obs(spark, SF_SMALL)))
 
 
@@ -50,8 +50,16 @@ def test_oracle_sample_at_small_scale(spark):
         assert key(s) == key(d), name
 
 
-def _land_in_time_order(spark, parts=4):
-    """The events landed as ``parts`` files in time order (one per trigger)."""
+def _alerts(spark, stream, name):
+    from pyspark.sql import functions as F
+    keys = ("email", "product_name", "sub_ts", "seq")
+    out = J.run_to_table(spark, stream, name, "update", sink=J.upsert_partitions(keys, "bucket"))
+    return out.where(F.col("fire_ts").isNotNull()).drop("bucket")
+
+
+def _land_in_time_order(spark, parts=4, reverse=False):
+    """The events landed as ``parts`` files in time order (one per trigger),
+    or newest first with ``reverse``."""
     import time as _t
 
     from pyspark.sql import functions as F
@@ -61,7 +69,7 @@ def _land_in_time_order(spark, parts=4):
     land = scratch_path(spark, "t-landing")
     bounds = ev.select(F.min("ts").alias("lo"), F.max("ts").alias("hi")).collect()[0]
     step = (bounds.hi - bounds.lo) / parts
-    for k in range(parts):
+    for k in (reversed(range(parts)) if reverse else range(parts)):
         lo, hi = bounds.lo + step * k, bounds.lo + step * (k + 1)
         part = ev.where((F.col("ts") >= lo) & ((F.col("ts") < hi) if k < parts - 1 else F.lit(True)))
         part.coalesce(1).write.mode("append").parquet(land)
@@ -81,7 +89,16 @@ def test_stream_alerts_across_micro_batches(spark):
     land = _land_in_time_order(spark)
     ticks = J.tick_stream(spark, land, "*.parquet", max_files_per_trigger=1)
     reqs = J.request_stream(spark, land, "*.parquet", max_files_per_trigger=1)
-    got = J.run_to_table(spark, J.alert_stream(ticks, reqs), "t-alerts-mb", "append")
+    got = _alerts(spark, J.alert_stream(ticks, reqs), "t-alerts-mb")
+    valid, _ = AL.split_valid(A.subscription_requests(spark, SF_SMALL))
+    assert rows(got) == rows(AL.first_fire(valid, A.price_obs(spark, SF_SMALL)))
+
+
+def test_stream_alerts_exact_when_files_arrive_in_reverse_time_order(spark):
+    land = _land_in_time_order(spark, reverse=True)
+    ticks = J.tick_stream(spark, land, "*.parquet", max_files_per_trigger=1)
+    reqs = J.request_stream(spark, land, "*.parquet", max_files_per_trigger=1)
+    got = _alerts(spark, J.alert_stream(ticks, reqs, lateness="40 days"), "t-alerts-rev")
     valid, _ = AL.split_valid(A.subscription_requests(spark, SF_SMALL))
     assert rows(got) == rows(AL.first_fire(valid, A.price_obs(spark, SF_SMALL)))
 
