@@ -76,6 +76,16 @@ ALERT_LATENESS = "2 days"
 ALERT_BUCKETS = 32
 
 
+_UNIT_US = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000,
+            "week": 604_800_000_000}
+
+
+def _interval_us(text: str) -> int:
+    """'2 days', '90 minutes', ... -> microseconds."""
+    n, unit = text.split()
+    return int(float(n) * _UNIT_US[unit.lower().rstrip("s")])
+
+
 def _alert_step(lateness_us: int):
     def run(key, batches, state):
         import pandas as pd
@@ -114,8 +124,7 @@ def alert_stream(ticks: DataFrame, requests: DataFrame, lateness: str = ALERT_LA
     on ``bucket``).
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
-    lateness_us = int(ticks.sparkSession.sql(f"SELECT INTERVAL {lateness}").collect()[0][0]
-                      .total_seconds() * 1_000_000)
+    lateness_us = _interval_us(lateness)
     t = ticks.select("product_name", "ts", "price", "seq", F.lit(1).alias("kind"),
                      F.lit(None).cast("string").alias("email"), F.lit(None).cast("double").alias("target_price"))
     r = requests.select("product_name", F.col("sub_ts").alias("ts"), F.lit(None).cast("double").alias("price"),
