@@ -36,8 +36,9 @@ from ..sources import price_pages as PP
 
 def tick_stream(spark: SparkSession, events_dir: str, file_glob: str = "*.parquet",
                 schema: StructType | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Price ticks ``(product_name, ts, price, seq)`` from event files
-    arriving in ``events_dir`` (those matching ``file_glob``)."""
+    """Price ticks ``(product_name, ts, price, seq)`` from files in the
+    driver's ``events`` layout arriving in ``events_dir`` (those matching
+    ``file_glob``); any stream with those four columns works as well."""
     r = spark.readStream.option("pathGlobFilter", file_glob)
     if schema is None:
         schema = spark.read.option("pathGlobFilter", file_glob).parquet(events_dir).schema
@@ -57,7 +58,8 @@ ALERT_STATE = "state string"
 
 def request_stream(spark: SparkSession, events_dir: str, file_glob: str = "*.parquet",
                    max_files_per_trigger: int | None = None) -> DataFrame:
-    """Subscribe requests carried by sign-up events (valid ones only)."""
+    """Subscribe requests carried by sign-up events in the driver's
+    ``events`` layout (valid ones only); see ``adapters.subscription_requests``."""
     r = spark.readStream.option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
