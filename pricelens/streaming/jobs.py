@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -152,19 +153,25 @@ def upsert_partitions(keys: tuple[str, ...], part_col: str) -> Callable[[DataFra
 
     def sink(batch: DataFrame, out: str) -> None:
         spark = batch.sparkSession
-        parts = [r[0] for r in batch.select(part_col).distinct().collect()]   # this batch's partitions only
-        if not parts:
-            return
+        # The batch is read twice below; keep it for this call only, so the
+        # micro-batch (a stateful stage) is not computed twice.
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            old = spark.read.parquet(out).where(F.col(part_col).isin(parts))
-            merged = old.join(batch, list(keys), "left_anti").unionByName(batch.select(*old.columns))
-            merged = materialize(merged)   # cut the read of ``out`` before overwriting it
-        except Exception as e:  # noqa: BLE001 - first batch: no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-                raise
-            merged = batch
-        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(part_col).parquet(out))
+            parts = [r[0] for r in batch.select(part_col).distinct().collect()]   # this batch's partitions
+            if not parts:
+                return
+            try:
+                old = spark.read.parquet(out).where(F.col(part_col).isin(parts))
+                merged = old.join(batch, list(keys), "left_anti").unionByName(batch.select(*old.columns))
+                merged = materialize(merged)   # cut the read of ``out`` before overwriting it
+            except Exception as e:  # noqa: BLE001 - first batch: no table yet
+                if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+                    raise
+                merged = batch
+            (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy(part_col).parquet(out))
+        finally:
+            batch.unpersist()
     return sink
 
 
