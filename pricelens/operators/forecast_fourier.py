@@ -113,14 +113,18 @@ def _per_product(periods: int):
 
 
 def fourier(series: DataFrame, periods: int = S.DEFAULT_PERIODS,
-            min_points: int = S.MIN_HISTORY_POINTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """M1b for every eligible product: (forecast, metrics, best day)."""
-    eligible = materialized_positions(series, min_points)
+            min_points: int = S.MIN_HISTORY_POINTS,
+            materialize: str = "checkpoint") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M1b for every eligible product: (forecast, metrics, best day).  The
+    fits run once: their output is materialized and the three results
+    read it."""
+    from ..session import materialize as mat
+    eligible = materialized_positions(series, min_points, materialize)
     # The fits are CPU-bound Python: keep the configured number of tasks
     # (an explicit count is not coalesced away when the series is small).
     parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = (eligible.select("product_name", "ds", "y").repartition(parts, "product_name")
-           .groupBy("product_name").applyInPandas(_per_product(periods), OUT_SCHEMA))
+    out = mat(eligible.select("product_name", "ds", "y").repartition(parts, "product_name")
+              .groupBy("product_name").applyInPandas(_per_product(periods), OUT_SCHEMA), materialize)
     model = F.lit("fourier").alias("model")
     fc = out.where(F.col("kind") == "forecast").select(
         "product_name", model, "ds", "h", "predicted_price", "lower_bound", "upper_bound")
