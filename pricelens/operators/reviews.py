@@ -52,10 +52,13 @@ def _grams(s: Column, k: int) -> Column:
 def _containment_candidates(inner: DataFrame, i_name: str, i_norm: str,
                             outer: DataFrame, o_name: str, o_norm: str) -> DataFrame:
     """Name pairs (inner, outer) that may satisfy ``inner_norm ⊂ outer_norm``.
-    Lossless: every true pair with a non-empty inner name is produced."""
-    og = outer.select(o_name, F.explode(F.array_union(F.array_union(
-        _grams(F.col(o_norm), 3), _grams(F.col(o_norm), 2)), _grams(F.col(o_norm), 1))).alias("gram"))
-    og3 = og.where(F.length("gram") == 3)
+    Lossless: every true pair with a non-empty inner name is produced.
+
+    Outer names are exploded into 3-grams only; their 1- and 2-grams are
+    needed (and exploded) only when some inner name is that short, which is
+    checked on the small distinct-name table first.
+    """
+    og3 = outer.select(o_name, F.explode(_grams(F.col(o_norm), 3)).alias("gram"))
     df3 = og3.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     long_inner = inner.where(F.length(i_norm) >= 3).select(
         i_name, F.explode(_grams(F.col(i_norm), 3)).alias("gram"))
@@ -65,9 +68,13 @@ def _containment_candidates(inner: DataFrame, i_name: str, i_norm: str,
              .agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"),
                   F.min(F.coalesce("df", F.lit(0))).alias("df"))
              .where(F.col("df") > 0).select(i_name, "gram"))
+    cands = keyed.join(og3, "gram").select(i_name, o_name)
     short_inner = inner.where(F.length(i_norm).between(1, 2)).select(i_name, F.col(i_norm).alias("gram"))
-    keys = keyed.unionByName(short_inner)
-    return keys.join(og, "gram").select(i_name, o_name)
+    if not short_inner.isEmpty():
+        og12 = outer.select(o_name, F.explode(F.array_union(_grams(F.col(o_norm), 2),
+                                                            _grams(F.col(o_norm), 1))).alias("gram"))
+        cands = cands.unionByName(short_inner.join(og12, "gram").select(i_name, o_name))
+    return cands
 
 
 def _token_prefix(names: DataFrame, name: str, tokens: str, freq: DataFrame,
