@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from . import metrics as MET
 from .forecast import Z80, best_time_to_buy, materialized_positions
 
 N_CHANGEPOINTS = 25
@@ -31,8 +32,7 @@ RIDGE_TREND = 1.0 / 0.05          # changepoint prior scale 0.05
 RIDGE_SEASON = 1.0 / 10.0
 
 OUT_SCHEMA = ("product_name string, kind string, ds date, h int, predicted_price double, "
-              "lower_bound double, upper_bound double, mape double, mae double, rmse double, "
-              "r2 double, smape double")
+              "lower_bound double, upper_bound double, actual double")
 
 
 def _fourier(t: np.ndarray, period: float, order: int) -> np.ndarray:
@@ -73,20 +73,6 @@ def _fit(t: np.ndarray, y: np.ndarray, scale: float):
     return predict, sigma
 
 
-def _metrics(a: np.ndarray, p: np.ndarray) -> dict:
-    if len(a) == 0:
-        return dict(mape=0.0, mae=0.0, rmse=0.0, r2=0.0, smape=0.0)
-    e = a - p
-    nz = a != 0
-    d = (np.abs(a) + np.abs(p)) / 2
-    dz = d != 0
-    ss_tot = float(np.sum((a - a.mean()) ** 2))
-    return dict(mape=round(float(np.mean(np.abs(e[nz]) / np.abs(a[nz])) * 100) if nz.any() else 0.0, 2),
-                mae=round(float(np.mean(np.abs(e))), 2), rmse=round(float(np.sqrt(np.mean(e ** 2))), 2),
-                r2=round(1 - float(np.sum(e ** 2)) / ss_tot, 4) if ss_tot != 0 else 0.0,
-                smape=round(float(np.mean(np.abs(e[dz]) / d[dz]) * 100) if dz.any() else 0.0, 2))
-
-
 def _per_product(periods: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
@@ -96,7 +82,8 @@ def _per_product(periods: int):
         scale = float(np.max(np.abs(y))) or 1.0
         split = int(len(y) * S.TRAIN_FRACTION)
         pred_tr, _ = _fit(t[:split], y[:split], scale)
-        m = _metrics(y[split:], pred_tr(t[split:]))
+        test = pd.DataFrame({"product_name": name, "kind": "test", "ds": pdf["ds"].iloc[split:].to_numpy(),
+                             "predicted_price": pred_tr(t[split:]), "actual": y[split:]})
         pred, sigma = _fit(t, y, scale)
         tf = np.arange(len(y), len(y) + periods, dtype=float)
         yf = pred(tf)
@@ -107,8 +94,7 @@ def _per_product(periods: int):
                            "h": np.arange(1, periods + 1, dtype="int32"),
                            "predicted_price": np.round(yf, 2), "lower_bound": np.round(yf - band, 2),
                            "upper_bound": np.round(yf + band, 2)})
-        mt = pd.DataFrame([{"product_name": name, "kind": "metrics", **m}])
-        return pd.concat([fc, mt], ignore_index=True)
+        return pd.concat([fc, test], ignore_index=True)
     return run
 
 
@@ -116,8 +102,9 @@ def fourier(series: DataFrame, periods: int = S.DEFAULT_PERIODS,
             min_points: int = S.MIN_HISTORY_POINTS,
             materialize: str = "checkpoint") -> tuple[DataFrame, DataFrame, DataFrame]:
     """M1b for every eligible product: (forecast, metrics, best day).  The
-    fits run once: their output is materialized and the three results
-    read it."""
+    fits run once: their output (forecast rows and hold-out predictions) is
+    materialized; the metrics are the shared A6-A11 aggregate over the
+    hold-out rows."""
     from ..session import materialize as mat
     eligible = materialized_positions(series, min_points, materialize)
     # The fits are CPU-bound Python: keep the configured number of tasks
@@ -128,6 +115,6 @@ def fourier(series: DataFrame, periods: int = S.DEFAULT_PERIODS,
     model = F.lit("fourier").alias("model")
     fc = out.where(F.col("kind") == "forecast").select(
         "product_name", model, "ds", "h", "predicted_price", "lower_bound", "upper_bound")
-    mets = out.where(F.col("kind") == "metrics").select(
-        "product_name", model, "mape", "mae", "rmse", "r2", "smape")
+    mets = MET.forecast_metrics(out.where(F.col("kind") == "test").withColumn("model", F.lit("fourier")),
+                                ["product_name", "model"], "actual", "predicted_price")
     return fc, mets, best_time_to_buy(fc)

@@ -113,63 +113,90 @@ def _noise(txt: str, compat: bool) -> bool:
     return _AGO_WORD.search(txt) is not None or _MONTH_WORD.search(txt) is not None
 
 
-def extract_cards(html: str, compat: bool = False) -> list[tuple]:
-    """S8 rules on one page: (rating, title, body, reviewer, certified)."""
-    root = parse_html(html)
-    anchors = [n for n in root.find_all(("div", "span", "p")) if n.text() == S.CERTIFIED_BUYER]
-    anchor_set = set(map(id, anchors))
-    outer = []
-    for a in anchors:
-        p, nested = a.parent, False
+_FIXED_TEXTS = (S.READ_MORE, S.CERTIFIED_BUYER)
+
+
+def _badges(root: _Node) -> list[_Node]:
+    """Rule 1: div/span/p whose whole text is the badge; of nested ones
+    only the outermost (by node identity)."""
+    found = [n for n in root.find_all(("div", "span", "p")) if n.text() == S.CERTIFIED_BUYER]
+    ids = set(map(id, found))
+
+    def nested(n: _Node) -> bool:
+        p = n.parent
         while p is not None:
-            if id(p) in anchor_set:
-                nested = True
-                break
+            if id(p) in ids:
+                return True
             p = p.parent
-        if not nested:
-            outer.append(a)
+        return False
+    return [n for n in found if not nested(n)]
+
+
+def _card_root(badge: _Node) -> _Node:
+    """Rule 2: the badge's parent, then up to five more levels."""
+    node = badge.parent
+    for _ in range(5):
+        if node is not None and node.parent is not None:
+            node = node.parent
+    return node
+
+
+def _rating(card: _Node) -> str:
+    """Rule 3: the first div/span reading 1-5 that holds an svg or img."""
+    for n in card.find_all(("div", "span")):
+        txt = n.text()
+        if txt in ("1", "2", "3", "4", "5") and n.has_descendant(("svg", "img")):
+            return txt
+    return ""
+
+
+def _plain(txt: str, compat: bool) -> bool:
+    return not _noise(txt, compat) and not _DIGITS.match(txt)
+
+
+def _texts(card: _Node, rating: str, compat: bool) -> list[str]:
+    """Rule 4: texts of leaf p/div/span (no p/div inside) that pass the
+    noise filter, first-seen distinct."""
+    out: list[str] = []
+    for n in card.find_all(("p", "div", "span")):
+        if n.has_descendant(("p", "div")):
+            continue
+        txt = n.text()
+        if txt and txt not in (*_FIXED_TEXTS, rating) and len(txt) > 1 and _plain(txt, compat) and txt not in out:
+            out.append(txt)
+    return out
+
+
+def _reviewer(card: _Node, texts: list[str], taken: tuple, compat: bool) -> str:
+    """Rule 6: the first short p/span text that is none of the others."""
+    for n in card.find_all(("p", "span")):
+        txt = n.text()
+        if txt and len(txt) < 40 and txt not in taken and _plain(txt, compat) \
+                and (txt not in texts or len(texts) <= 3):
+            return txt
+    return ""
+
+
+def extract_cards(html: str, compat: bool = False) -> list[tuple]:
+    """S8 rules on one page: (rating, title, body, reviewer, certified)
+    per distinct card (rule 7)."""
     seen, cards = set(), []
-    for a in outer:
-        block = a.parent
-        for _ in range(5):
-            if block is not None and block.parent is not None:
-                block = block.parent
-        if id(block) in seen:
+    for badge in _badges(parse_html(html)):
+        card = _card_root(badge)
+        if id(card) in seen:
             continue
-        seen.add(id(block))
-        rating = ""
-        for t in block.find_all(("div", "span")):
-            txt = t.text()
-            if txt in ("1", "2", "3", "4", "5") and t.has_descendant(("svg", "img")):
-                rating = txt
-                break
-        texts: list[str] = []
-        for el in block.find_all(("p", "div", "span")):
-            if el.has_descendant(("p", "div")):
-                continue
-            txt = el.text()
-            if (txt and txt not in (S.READ_MORE, S.CERTIFIED_BUYER, rating) and not _noise(txt, compat)
-                    and not _DIGITS.match(txt) and len(txt) > 1 and txt not in texts):
-                texts.append(txt)
+        seen.add(id(card))
+        rating = _rating(card)
+        texts = _texts(card, rating, compat)
         if not texts:
             continue
-        body = max(texts, key=len)   # first longest
+        body = max(texts, key=len)                     # rule 5: first longest
         title = next((t for t in texts if t != body and len(t) < 100), "")
-        reviewer = ""
-        for el in block.find_all(("p", "span")):
-            txt = el.text()
-            if txt and len(txt) < 40 and txt not in (S.READ_MORE, S.CERTIFIED_BUYER, rating, title, body):
-                if not _noise(txt, compat) and not _DIGITS.match(txt):
-                    if txt not in texts or len(texts) <= 3:
-                        reviewer = txt
-                        break
-        if body or title:
-            cards.append((rating, title, body.replace(S.READ_MORE, "").strip(), reviewer, True))
-    unique = []
-    for c in cards:
-        if c not in unique:
-            unique.append(c)
-    return unique
+        reviewer = _reviewer(card, texts, (*_FIXED_TEXTS, rating, title, body), compat)
+        card_row = (rating, title, body.replace(S.READ_MORE, "").strip(), reviewer, True)
+        if card_row not in cards:
+            cards.append(card_row)
+    return cards
 
 
 def extract_reviews(pages: DataFrame, compat: bool = False) -> DataFrame:
