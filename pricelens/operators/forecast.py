@@ -251,8 +251,10 @@ def quantile(series: DataFrame, periods: int = S.DEFAULT_PERIODS,
              min_points: int = S.MIN_HISTORY_POINTS, context_days: int = CONTEXT_DAYS,
              pos: DataFrame | None = None, materialize: str = "checkpoint") -> ForecastResult:
     """M2/M3/M4/M5 for every product."""
+    from ..session import materialize as mat
     pos = pos if pos is not None else materialized_positions(series, min_points, materialize)
-    paths = quantile_paths(fold_rows(pos), periods, context_days)
+    # Forecast and hold-out metrics both read the quantile table.
+    paths = mat(quantile_paths(fold_rows(pos), periods, context_days), materialize)
     model = F.lit("quantile").alias("model")
     first = pos.where(F.col("idx") == 0).select("product_name", F.col("ds").alias("ds0"))
     full = paths.where(F.col("fold") == "full").join(first, "product_name")
