@@ -34,7 +34,8 @@ ALERT_SUBJECT = "🚨 Price Drop Alert: %s is a Good Buy!"
 ALERT_BODY = ("Hello,\n\nGood news! The product '%s' that you are tracking is currently in a great "
               "position to buy.\n\nCurrent Stats:\n- Price: %s\n- AI Decision Insight: %s\n\n"
               "Visit the dashboard to see more details and purchase link: %s\n\nHappy shopping!\n"
-              "- Price alerts")
+              "- %s")
+ALERT_SENDER = "Price alerts"
 
 
 STATE_FILE_SCHEMA = "email string, product_name string, target_price double, active boolean"
@@ -90,11 +91,12 @@ def active_subscribers(state: DataFrame) -> DataFrame:
 
 
 def alert_message(product: Column, price: Column, decision_text: Column,
-                  dashboard_url: str = "http://localhost:8000") -> tuple[Column, Column]:
+                  dashboard_url: str = "http://localhost:8000",
+                  sender: str = ALERT_SENDER) -> tuple[Column, Column]:
     """subject and body of a deal alert."""
     subject = F.format_string(ALERT_SUBJECT, product)
     body = F.format_string(ALERT_BODY, product, price.cast("string"), F.coalesce(decision_text, F.lit("")),
-                           F.lit(dashboard_url))
+                           F.lit(dashboard_url), F.lit(sender))
     return subject, body
 
 

@@ -38,6 +38,8 @@ Z80 = 1.2815515655446004   # normal quantile of 0.9: two-sided 80% band
 CONTEXT_DAYS = 512
 MONTH_INDEX_MIN_DAYS = 730
 KEYS = ["product_name", "fold"]
+# The model selector values of the original request API
+# ("prophet", "chronos", "both") map onto this library's models.
 MODEL_ALIASES = {"prophet": "trend_seasonal", "chronos": "quantile",
                  "trend_seasonal": "trend_seasonal", "quantile": "quantile"}
 

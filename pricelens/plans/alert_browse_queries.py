@@ -63,7 +63,7 @@ def q_active_subscribers(spark, d):
 SELECT s.email, c.product_name, c.current_price, s.target_price,
        format({sq(AL.ALERT_SUBJECT.replace('%s', '{}'))}, c.product_name) AS subject,
        format({sq(AL.ALERT_BODY.replace('%s', '{}'))}, c.product_name, CAST(c.current_price AS VARCHAR),
-              {sq(S.REASON_NOT_ENOUGH)}, 'http://localhost:8000') AS body
+              {sq(S.REASON_NOT_ENOUGH)}, 'http://localhost:8000', {sq(AL.ALERT_SENDER)}) AS body
 FROM (SELECT product_name, arg_max(price, (ts, seq, price)) AS current_price FROM price_obs
       WHERE price IS NOT NULL GROUP BY product_name) c
 JOIN sub_state s ON s.product_name = c.product_name AND c.current_price <= s.target_price
