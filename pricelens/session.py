@@ -8,7 +8,9 @@ that setting is absent, which happens in tests on a laptop.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -54,6 +56,20 @@ def get_spark(master: str | None = None, app: str = "pricelens",
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors once, so that Python steps import it
+    whatever folder the driver was started in.  Spark serves the archive from
+    the driver, so it stays there until the driver ends."""
+    sc = _context(spark)
+    if sc is None or getattr(sc, "_pricelens_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    tmp = tempfile.mkdtemp(prefix="pricelens-package-")
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(os.path.join(tmp, "pricelens"), "zip", os.path.dirname(here), os.path.basename(here)))
+    sc._pricelens_shipped = True
+
+
 def _context(spark: SparkSession):
     """The SparkContext of a classic session (None under Spark Connect)."""
     try:
