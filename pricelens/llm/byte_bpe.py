@@ -30,6 +30,10 @@ from pyspark.sql import types as T
 from .common import offsets, ragged, texts_of, with_columns
 
 
+#: Bytes of text encoded at a time.
+STEP = 6 << 20
+
+
 class Merges:
     """Ranks of a byte-level vocabulary, and the replay of its merges."""
 
@@ -183,7 +187,7 @@ class Encoder:
     side is matched as a whole and its matches are its runs.
     """
 
-    KEPT = 600_000
+    KEPT = 300_000
 
     def __init__(self, merges: Merges, pattern: str):
         self.merges, self.find = merges, regex.compile(pattern).findall
@@ -260,7 +264,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         ids, off = encoder(ranks_path, pattern).encode(texts_of(batch, text_col))
         return [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))]
 
-    return with_columns(docs, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], run)
+    return with_columns(docs, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], run, limit=STEP)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids",
+               bytes_col: str = "decoded") -> DataFrame:
+    """:func:`encode`, then :func:`decode` of its ids, in one Python step."""
+    def run(batch: pa.RecordBatch) -> list:
+        ids, off = encoder(ranks_path, pattern).encode(texts_of(batch, text_col))
+        ids = ids.astype(np.int32)
+        data, ends = load(ranks_path).decode(ids, off)
+        return [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids)),
+                pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])]
+
+    return with_columns(docs, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(bytes_col, T.BinaryType())],
+                        run, limit=STEP)
 
 
 def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:

@@ -27,8 +27,7 @@ def query(fn):
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, decoded again; digests of both."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = byte_bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN).drop("text")
-    return byte_bpe.decode(ids, BYTE_RANKS).select(
+    return byte_bpe.round_trip(docs, BYTE_RANKS, public_tokenizers.PATTERN).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
