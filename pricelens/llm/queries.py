@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, repeats, simhash
+from . import byte_bpe, repeats, simhash, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,19 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return repeats.remove_repeats(docs, min_words=13).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _training(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Toxicity model learned from the labels outside the held-out fold."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    return toxicity.train(*toxicity.sample(docs, labels.where(fold != 0)))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = _training(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
