@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, repeats, simhash, toxicity
+from . import byte_bpe, mixing, repeats, simhash, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,58 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all sources: a budget of as many words as the corpus has,
+    weights with 0.995 of the greatest entropy, four epochs at most."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    budget = docs.agg(F.sum(mixing.token_count(F.col("text")))).first()[0] or 0
+    return mixing.plan(docs, budget_tokens=budget, entropy_share=0.995, max_repeats=4.0).select(
+        "doc_id", "source", "n_tokens", "epoch", "block", "pos")
+
+
+ORACLE_SQL["op1_mixing"] = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
+totals AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY source),
+logs AS (SELECT ln(tokens::DOUBLE) AS log_n, max(ln(tokens::DOUBLE)) OVER () AS log_max, min(ln(tokens::DOUBLE)) OVER () AS log_min,
+                count(*) OVER () AS k, sum(tokens) OVER () AS budget FROM totals WHERE tokens > 0),
+even(lo, hi) AS (  -- largest exponent with enough entropy
+  SELECT 0::BIGINT, 1048576::BIGINT
+  UNION ALL
+  SELECT CASE WHEN good THEN mid ELSE lo END, CASE WHEN good THEN hi ELSE mid - 1 END FROM (
+    SELECT lo, hi, (lo + hi + 1) // 2 AS mid,
+           ln(sum(exp(((lo + hi + 1) // 2) / 1048576.0::DOUBLE * (log_n - log_max))))
+           - ((lo + hi + 1) // 2) / 1048576.0::DOUBLE * sum(exp(((lo + hi + 1) // 2) / 1048576.0::DOUBLE * (log_n - log_max)) * (log_n - log_max))
+             / sum(exp(((lo + hi + 1) // 2) / 1048576.0::DOUBLE * (log_n - log_max))) >= 0.995::DOUBLE * ln(max(k)::DOUBLE) AS good
+    FROM even, logs WHERE lo < hi GROUP BY lo, hi)),
+within_(lo, hi) AS (  -- smallest exponent within the repetition limit
+  SELECT 0::BIGINT, 1048576::BIGINT
+  UNION ALL
+  SELECT CASE WHEN good THEN lo ELSE mid + 1 END, CASE WHEN good THEN mid ELSE hi END FROM (
+    SELECT lo, hi, (lo + hi) // 2 AS mid,
+           ln(max(budget)::DOUBLE) - ln(sum(exp(((lo + hi) // 2) / 1048576.0::DOUBLE * (log_n - log_max)))) - max(log_max)
+           + (1 - ((lo + hi) // 2) / 1048576.0::DOUBLE) * (max(log_max) - min(log_min)) <= ln(4.0::DOUBLE) AS good
+    FROM within_, logs WHERE lo < hi GROUP BY lo, hi)),
+exponent AS (SELECT greatest((SELECT max(lo) FROM even WHERE lo = hi), (SELECT max(lo) FROM within_ WHERE lo = hi)) / 1048576.0::DOUBLE AS a),
+norm AS (SELECT a, max(log_max) AS log_max, sum(exp(a * (log_n - log_max))) AS z, max(budget)::DOUBLE AS whole FROM logs, exponent GROUP BY a),
+shared AS (
+  SELECT source, tokens, CASE WHEN tokens > 0 THEN round(exp(a * (ln(tokens::DOUBLE) - log_max)) / z * whole)::BIGINT ELSE 0 END AS budget
+  FROM totals, norm),
+blocks AS (SELECT greatest(1, ceil(sum(budget) / 262144.0))::BIGINT AS n FROM shared),
+copies AS (
+  SELECT d.*, s.tokens, s.budget, e.epoch, md5('mix:' || e.epoch || ':' || d.doc_id) AS key
+  FROM docs d JOIN shared s ON d.source IS NOT DISTINCT FROM s.source,
+       LATERAL (SELECT unnest(range(CASE WHEN s.tokens = 0 THEN 1 ELSE ceil(s.budget / s.tokens::DOUBLE)::BIGINT END)) AS epoch) e),
+placed AS (
+  SELECT *, epoch * tokens + sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - n_tokens AS at_
+  FROM copies),
+taken AS (
+  SELECT doc_id, source, n_tokens, epoch, key, CASE WHEN tokens = 0 THEN 0 ELSE floor(at_::DOUBLE / budget * n)::BIGINT END AS block
+  FROM placed, blocks WHERE tokens = 0 OR at_ < budget)
+SELECT doc_id, source, n_tokens, epoch::BIGINT AS epoch, block::BIGINT AS block,
+       row_number() OVER (PARTITION BY block ORDER BY key, doc_id) - 1 AS pos
+FROM taken
+"""
