@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, repeats, simhash, toxicity
+from . import byte_bpe, fertility, mixing, repeats, simhash, spotsigs, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +49,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def _training(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+def training(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Toxicity model learned from the labels outside the held-out fold."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     return toxicity.train(*toxicity.sample(docs, labels.where(fold != 0)))
@@ -59,7 +59,7 @@ def _training(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = _training(docs, read(spark, sf_dir, "labels"))
+    model = training(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select(
         "doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -118,3 +118,18 @@ SELECT doc_id, source, n_tokens, epoch::BIGINT AS epoch, block::BIGINT AS block,
        row_number() OVER (PARTITION BY block ORDER BY key, doc_id) - 1 AS pos
 FROM taken
 """
+
+
+@query
+def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, token measures and verdict of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return fertility.quality(docs, public_tokenizers.path("piece_bpe_32k.model")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_tokens", "chars_per_token", "byte_share", "token_entropy")
+
+
+@query
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, of its edited text, and their likeness."""
+    return spotsigs.compare_with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
