@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fertility, mixing, repeats, simhash, spotsigs, toxicity
+from ..session import scratch_path
+from . import byte_bpe, fertility, mixing, repeats, simhash, spotsigs, toxicity, unigram, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +134,29 @@ def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document, of its edited text, and their likeness."""
     return spotsigs.compare_with_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram pieces of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n_chars"), "text")
+    return unigram.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_chars", "n_tokens")
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through monolithic archives, the normaliser and its sidecars."""
+    folder = scratch_path(spark, "warc")
+    archives = warc.write(read(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc.read(warc.normalise(archives, folder), with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op5_warc"] = """
+WITH rows_ AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+marked AS (SELECT *, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS last_id FROM rows_)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+FROM marked
+"""
