@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, fertility, mixing, repeats, simhash, spotsigs, toxicity, unigram, warc
+from . import byte_bpe, fertility, mixing, repeats, simhash, spotsigs, token_files, toxicity, unigram, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,11 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
 FROM marked
 """
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document through the token files: place, length and checksum."""
+    files = token_files.write(read(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark, "token-files"),
+                              public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
