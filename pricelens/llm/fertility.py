@@ -165,18 +165,21 @@ def judge(measured: DataFrame, group: str = "lang", one_sided: float = 5.0, both
     bands of the row's group.
 
     A null group is a group of its own; texts without tokens and groups too
-    small for bands are never rejected here.  Each spread is taken as at least
-    ``least_spread`` of its centre.
+    small for bands are never rejected here.  The spreads have a floor:
+    ``least_spread`` of the centre, or as many bits of entropy.
     """
     limits = materialize(bands(measured, group))
-    rows = measured.withColumn("grp", F.coalesce(F.col(group), F.lit(""))).join(small(limits), "grp", "left")
-    root = F.sqrt(F.greatest("n_tokens", F.lit(1)))
-    low_cpt = (F.col("cpt_mid") - F.col("chars_per_token")) / (F.greatest("cpt_spread", F.lit(least_spread) * F.col("cpt_mid")) / root)
-    low_h = (F.col("slope") * F.log2(F.greatest("n_tokens", F.lit(1))) + F.col("cut") + F.col("h_mid") - F.col("token_entropy")) / F.greatest(
-        "h_spread", F.lit(least_spread))
-    out = (low_cpt > one_sided) | (low_h > one_sided) | ((low_cpt + low_h) > both) | (F.col("byte_share") > F.col("byte_mid") + byte_margin)
-    return rows.withColumn("rejected", F.coalesce(out & (F.col("n_tokens") > 0), F.lit(False))).drop(
-        "grp", *[c for c in limits.columns if c != "grp"])
+    band = limits.select(F.col("grp").alias("__grp"), F.struct(*[c for c in limits.columns if c != "grp"]).alias("__band"))
+    rows = measured.withColumn("__grp", F.coalesce(F.col(group), F.lit(""))).join(small(band), "__grp", "left")
+
+    def of(name: str) -> Column:
+        return F.col(f"__band.{name}")
+
+    n = F.greatest("n_tokens", F.lit(1))
+    low_cpt = (of("cpt_mid") - F.col("chars_per_token")) * F.sqrt(n) / F.greatest(of("cpt_spread"), least_spread * of("cpt_mid"))
+    low_h = (of("slope") * F.log2(n) + of("cut") + of("h_mid") - F.col("token_entropy")) / F.greatest(of("h_spread"), F.lit(least_spread))
+    out = (low_cpt > one_sided) | (low_h > one_sided) | ((low_cpt + low_h) > both) | (F.col("byte_share") > of("byte_mid") + byte_margin)
+    return rows.withColumn("rejected", F.coalesce(out & (F.col("n_tokens") > 0), F.lit(False))).drop("__grp", "__band")
 
 
 def quality(docs: DataFrame, model_path: str, text_col: str = "text", group: str = "lang", least_words: int = 50) -> DataFrame:

@@ -112,7 +112,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     and cost nothing; documents of a source without any tokens are taken once,
     in block 0.  Equal rows (id and text) are one plan row, ``rows`` says how
     many, and ``n_tokens`` is that of all of them.  The last document of a
-    budget is taken whole.  An empty table gives an empty plan.
+    budget is taken whole, documents without tokens at its very end are taken too.
+    An empty table gives an empty plan.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = (docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), F.xxhash64(text).alias("text_hash"),
@@ -142,8 +143,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     inside = Window.partitionBy("src", "epoch", "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = copies.join(sums, copies.src.eqNullSafe(sums.s) & (copies.epoch == sums.e) & (copies.chunk == sums.c))
     placed = placed.withColumn("at", F.col("epoch") * F.col("tokens") + F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens"))
-    taken = placed.where((F.col("at") < F.col("budget")) | (F.col("tokens") == 0))
-    block = F.when(F.col("tokens") == 0, 0).otherwise(F.floor(F.col("at").cast("double") / F.col("budget") * F.lit(blocks)))
+    free = (F.col("n_tokens") == 0) & (F.col("at") <= F.col("budget"))
+    taken = placed.where((F.col("at") < F.col("budget")) | free)
+    block = F.when(F.col("tokens") == 0, 0).otherwise(
+        F.least(F.floor(F.col("at").cast("double") / F.col("budget") * F.lit(blocks)), F.lit(blocks - 1)))
     taken = taken.withColumn("block", block.cast("long"))
     pos = F.row_number().over(Window.partitionBy("block").orderBy(*order, "src")) - 1
     return taken.select(F.col("id").alias(id_col), "text_hash", F.col("src").alias(source_col), "n_tokens", "rows", "epoch", "block",
