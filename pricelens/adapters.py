@@ -63,7 +63,7 @@ def review_name_variant(name: Column, k: Column) -> Column:
     return (F.when(k == 0, name)
             .when(k == 1, F.upper(name))
             .when(k == 2, F.concat(F.lit("Add to Compare"),
-                                   F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 20)))
+                                   F.upper(F.substring(name, 1, 1)), F.substr(name, F.lit(2))))
             .when(k == 3, F.replace(name, F.lit(" "), F.lit("-")))
             .otherwise(F.regexp_replace(name, r"^(\S+) (\S+)$", "$2 $1")))
 

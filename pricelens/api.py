@@ -98,10 +98,9 @@ def make_decision(obs: DataFrame, products=None, responses: DataFrame | None = N
         names = names.where(F.col("product_name").isin(
             [products] if isinstance(products, str) else list(products)))
     revs = review_rows(obs)
-    top = R.first_per_product(R.match_reviews(names, revs), S.MAX_REVIEWS_ANALYSED)
-    labels = R.analyze_reviews(revs, responses, **lexicon).select("review_id", "sentiment")
-    counts = R.sentiment_counts(top.select("product_name", "review_id").join(labels, "review_id"))
-    return DEC.decide(stats, counts)
+    pairs = R.match_names(names, revs)
+    labels = R.label_counts(R.analyze_reviews(revs, responses, **lexicon), ["sentiment"])
+    return DEC.decide(stats, R.sentiment_totals(R.counts_by_target(labels, pairs)))
 
 
 def subscribe(requests: DataFrame) -> tuple[DataFrame, DataFrame]:

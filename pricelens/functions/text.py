@@ -198,22 +198,27 @@ def clean_text(t) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(_c(t), WHITESPACE_CLASS, " ")), F.lit(""))
 
 
-def is_noise_text(txt, rating=None, compat: bool = False) -> Column:
-    """text that cannot be a review title/body: the fixed button and
-    badge texts, the rating itself, relative dates ("ago"), month names,
-    digits-and-commas only, or one character or less.
+def is_dated_or_digits(txt, compat: bool = False) -> Column:
+    """Relative dates ("ago"), month names, digits and commas only.
 
     Month names and "ago" match as words by default; ``compat=True`` uses
     the original substring test (which also hits "Decent", "Chicago").
     """
     t = _c(txt)
-    fixed = t.isin(S.READ_MORE, S.CERTIFIED_BUYER)
-    if rating is not None:
-        fixed = fixed | (t == _c(rating))
     if compat:
         dated = F.contains(t, F.lit("ago")) | F.regexp_like(t, F.lit(S.MONTH_PATTERN))
     else:
         dated = (F.regexp_like(t, F.lit(WORD_EDGE_L + "ago" + WORD_EDGE_R))
                  | F.regexp_like(t, F.lit(WORD_EDGE_L + S.MONTH_PATTERN + WORD_EDGE_R)))
-    digits = F.regexp_like(t, F.lit(r"^[0-9,]+$"))
-    return F.coalesce(fixed | dated | digits | (F.length(t) <= 1), F.lit(True))
+    return F.coalesce(dated | F.regexp_like(t, F.lit(r"^[0-9,]+$")), F.lit(True))
+
+
+def is_noise_text(txt, rating=None, compat: bool = False) -> Column:
+    """text that cannot be a review title/body: the fixed button and
+    badge texts, the rating itself, dates and bare numbers, or one character
+    or less."""
+    t = _c(txt)
+    fixed = t.isin(S.READ_MORE, S.CERTIFIED_BUYER)
+    if rating is not None:
+        fixed = fixed | (t == _c(rating))
+    return F.coalesce(fixed | is_dated_or_digits(t, compat) | (F.length(t) <= 1), F.lit(True))

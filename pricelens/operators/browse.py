@@ -9,16 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..sources.store import CSV_OPTIONS
 
 SEARCH_COLUMNS = ["product_name", "review_text", "source"]
 
 
+def like_pattern(term: str) -> str:
+    """``%term%``; a backslash in the term stands for itself."""
+    return "%" + term.replace("\\", "\\\\") + "%"
+
+
 def search_keyword(df: DataFrame, term: str, columns=SEARCH_COLUMNS) -> DataFrame:
     """Case-insensitive LIKE ``%term%`` over the given columns, OR-ed.
     ``%`` and ``_`` inside the term remain wildcards, as in the original."""
     if not term:
         return df
-    pat = f"%{term}%"
+    pat = like_pattern(term)
     cond = None
     for c in columns:
         e = F.coalesce(F.col(c).ilike(pat), F.lit(False))
@@ -55,41 +61,18 @@ def page_numbers(total_rows: int, page: int, page_size: int = S.PAGE_SIZE) -> tu
 
 
 def paginate(df: DataFrame, page: int = 1, page_size: int = S.PAGE_SIZE, order_by: str = "seq",
-             total_rows: int | None = None, deep_offset: int = 100_000, buckets: int = 4096) -> Page:
-    """O3 + A12: one page of rows in the order of a unique numeric key.
-
-    The count is one aggregate job.  A shallow page is a top-(offset+size)
-    per partition; past ``deep_offset`` rows that would grow with the page
-    number, so the page is located first: rows are counted per key range
-    (``buckets`` small counts reach the driver), and only the ranges that
-    hold the page are sorted.
-    """
+             total_rows: int | None = None) -> Page:
+    """O3 + A12: one page of rows in the order of a key (NULLs first).  The
+    count is one aggregate job; the page is an offset and a limit over one
+    sort, whatever its number."""
     n = df.count() if total_rows is None else total_rows
     p, pages = page_numbers(n, page, page_size)
-    offset = (p - 1) * page_size
-    if offset < deep_offset or n == 0:
-        return Page(df.orderBy(order_by).offset(offset).limit(page_size), n, p, page_size, pages)
-    key = F.col(order_by)
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    width = (hi - lo) // buckets + 1
-    b = ((key - F.lit(lo)) / F.lit(width)).cast("long")
-    counts = df.groupBy(b.alias("b")).count().orderBy("b").collect()
-    before, first_b, last_b, skip = 0, None, None, 0
-    for r in counts:
-        if first_b is None and before + r["count"] > offset:
-            first_b, skip = r["b"], offset - before
-        before += r["count"]
-        if first_b is not None:
-            last_b = r["b"]
-            if before >= offset + page_size:
-                break
-    rows = df.where(b.between(first_b, last_b)).orderBy(order_by).offset(skip).limit(page_size)
-    return Page(rows, n, p, page_size, pages)
+    return Page(df.orderBy(order_by).offset((p - 1) * page_size).limit(page_size), n, p, page_size, pages)
 
 
 def page_counts(df: DataFrame, term: str, page_size: int = S.PAGE_SIZE) -> DataFrame:
     """Whole-table rows, matching rows and pages, in one aggregation."""
-    pat = f"%{term}%"
+    pat = like_pattern(term)
     hit = None
     for c in SEARCH_COLUMNS:
         e = F.coalesce(F.col(c).ilike(pat), F.lit(False))
@@ -111,14 +94,17 @@ def file_catalog(spark: SparkSession, root: str, extensions=S.DATA_FILE_EXTENSIO
 
 
 def read_flat_file(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Reader chosen by the file extension (csv with header, json)."""
+    """Reader chosen by the file extension (csv with header and quoted
+    fields; json as lines or, where the text begins with a bracket, as arrays)."""
     ext = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if ext == "csv":
-        r = spark.read.option("header", "true")
+        r = spark.read.options(**CSV_OPTIONS)
         r = r.schema(schema) if schema is not None else r.option("inferSchema", "true")
         return r.csv(path)
     if ext == "json":
-        r = spark.read.option("multiLine", "false")
+        begin = spark.read.text(path).where(F.trim("value") != "").first()
+        array = begin is not None and begin["value"].lstrip("\ufeff \t").startswith("[")
+        r = spark.read.option("multiLine", str(array).lower())
         return (r.schema(schema) if schema is not None else r).json(path)
     if ext == "parquet":
         return spark.read.parquet(path)

@@ -122,17 +122,6 @@ def match_names(targets: DataFrame, reviews: DataFrame, target_col: str = "produ
     return v.where(T.names_match("t_norm", "r_norm", "t_tokens", "r_tokens")).select("t_name", "r_name")
 
 
-def match_names_nested(targets: DataFrame, reviews: DataFrame, target_col: str = "product_name",
-                       review_col: str = "product_name", compat: bool = False) -> DataFrame:
-    """Brute-force J1 over all name pairs.  For checking ``match_names`` on
-    small fixtures and for the original's ``compat`` behaviour; it
-    evaluates |targets| x |reviews| pairs, so it is not for large inputs."""
-    t = prepare_names(targets, target_col, "t", review_side=False)
-    r = prepare_names(reviews, review_col, "r", review_side=True)
-    return t.join(r, T.names_match("t_norm", "r_norm", "t_tokens", "r_tokens", compat)) \
-        .select("t_name", "r_name")
-
-
 def match_reviews(targets: DataFrame, reviews: DataFrame, target_col: str = "product_name") -> DataFrame:
     """Every review matched to every target product it fuzzily names.
 
@@ -241,6 +230,32 @@ def category_counts(analyzed: DataFrame, key: str = "product_name") -> DataFrame
     return analyzed.groupBy(key, "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def label_counts(analyzed: DataFrame, by: list[str], key: str = "product_name") -> DataFrame:
+    """Reviews of each listed name by the columns ``by``: ``(r_name, *by, n)``.
+    The reviews meet nothing else, so this is one partial aggregate."""
+    return analyzed.groupBy(F.col(key).alias("r_name"), *by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def counts_by_target(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """J1 on counts: the rows of ``label_counts`` for every target whose name
+    matches, ``product_name`` and ``n`` summed.  Name pairs join label counts;
+    no review row is multiplied or shuffled again."""
+    by = [c for c in counts.columns if c not in ("r_name", "n")]
+    return (counts.join(pairs, "r_name").groupBy(F.col("t_name").alias("product_name"), *by)
+            .agg(F.sum("n").alias("n")))
+
+
+def sentiment_totals(counts: DataFrame) -> DataFrame:
+    """A1/A3 from counts by sentiment ``(product_name, sentiment, n)``."""
+    s, n = F.col("sentiment"), F.col("n")
+    agg = counts.groupBy("product_name").agg(
+        F.coalesce(F.sum(F.when(s == "Positive", n)), F.lit(0)).alias("positive"),
+        F.coalesce(F.sum(F.when(s.isNull() | ~s.isin("Positive", "Negative"), n)), F.lit(0)).alias("neutral"),
+        F.coalesce(F.sum(F.when(s == "Negative", n)), F.lit(0)).alias("negative"),
+        F.sum("n").alias("total"))
+    return agg.withColumn("positive_ratio", F.when(F.col("total") > 0, F.col("positive") / F.col("total")).otherwise(F.lit(0.0)))
+
+
 def review_sources(obs: DataFrame) -> DataFrame:
     """Review rows of the observation table (prunes the other source)."""
     return obs.where(F.col("source") == S.SOURCE_REVIEWS)

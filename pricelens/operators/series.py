@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 
 # Text formats tried after the ISO cast rules (each row parsed on its own).
-EXTRA_TS_FORMATS = ["dd-MM-yyyy HH:mm:ss", "dd/MM/yyyy", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd"]
+# An ambiguous day and month read month first; day first where the month would be over 12.
+EXTRA_TS_FORMATS = ["MM-dd-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM-dd-yyyy", "dd-MM-yyyy",
+                    "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd"]
 
 
 def _product_filter(df: DataFrame, products: Iterable[str] | str | None) -> DataFrame:
@@ -49,7 +51,7 @@ def coerce_observations(obs: DataFrame, products=None) -> DataFrame:
     out = df.select(
         "product_name",
         parse_timestamp(F.col("timestamp")).alias("ts"),
-        F.col("price").cast("double").alias("price"),
+        F.col("price").try_cast("double").alias("price"),
         "seq",
     )
     return out.where(F.col("ts").isNotNull() & F.col("price").isNotNull())

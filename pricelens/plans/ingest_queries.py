@@ -12,6 +12,7 @@ from ..session import scratch_path
 from ..sources import price_pages as PP
 from ..sources import review_pages as RP
 from ..sources import store as ST
+from . import landing as L
 from .common import big
 from .registry import query
 from .sql_text import q as sq
@@ -76,7 +77,7 @@ def q_csv_replace_load(spark, d):
     src = _price_rows(spark, d).select(F.col("timestamp").alias("Date"), F.col("source").alias("Source"),
                                        F.col("product_name").alias("Product"), F.col("price").alias("Price"),
                                        F.col("seq").alias("Seq"))
-    src.write.option("header", "true").csv(f"{root}/prices.csv")
+    src.write.option("header", "true").option("escape", "\"").csv(f"{root}/prices.csv")
     return ST.csv_replace_load(spark, f"{root}/prices.csv", f"{root}/table",
                                {"Date": "timestamp", "Source": "source", "Product": "product_name",
                                 "Price": "price", "Seq": "seq"}, CSV_SCHEMA)
@@ -86,13 +87,11 @@ def q_csv_replace_load(spark, d):
 
 def landed_price_pages(spark, d):
     """Driver pages plus price pages landed from the ticks."""
-    return PP.encode_price_pages(A.price_obs(spark, d)).unionByName(A.table(spark, d, "pages"))
+    return L.price_pages(A.price_obs(spark, d)).unionByName(A.table(spark, d, "pages"))
 
 
 view("price_page_urls", ["price_obs"], f"""
-SELECT DISTINCT product_name,
-       '{PP.PAGE_URL_PREFIX}' || product_name || '/' || strftime(date_trunc('hour', ts), '%Y%m%d%H')
-         || '-' || CAST(seq % {PP.PAGE_SPLIT} AS VARCHAR) AS url
+SELECT DISTINCT product_name, '{PP.PAGE_URL_PREFIX}' || product_name || '/' || strftime(ts, '%Y%m') AS url
 FROM price_obs""")
 
 
@@ -157,22 +156,26 @@ def q_url_page_number(spark, d):
 # ----------------------------------------------------------- review pages
 
 def review_pages(spark, d):
-    """Review pages landed from the reviews: page k of a listing's run holds
-    its k-th review (by id)."""
-    return RP.render_review_pages(RP.listing_pages(A.reviews(spark, d)))
+    return L.review_pages(A.reviews(spark, d))
+
+
+view("review_page_rows", ["reviews"], f"""
+SELECT *, CAST(review_id // {L.PAGE_IDS} AS INTEGER) + 1 AS page, min(review_id) OVER (PARTITION BY listing, review_id // {L.PAGE_IDS}) AS page_id,
+       (length(listing) + review_id // {L.PAGE_IDS}) % {L.EMPTY_EVERY} = {L.EMPTY_EVERY - 1} AS landed_empty
+FROM reviews""")
 
 
 def _slug_sql(c: str) -> str:
     return f"regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g')"
 
 
-@query("first_product_link", "S8e", ["reviews"], f"""
+@query("first_product_link", "S8e", ["review_page_rows"], f"""
 SELECT 'landed' AS kind, page_id, NULL AS product_link, NULL AS reviews_link, 'Product' AS title FROM pages
 UNION ALL
-SELECT 'review', review_id, '/p/' || {_slug_sql('product_name')}, '/product-reviews/' || {_slug_sql('product_name')},
+SELECT 'review', page_id, '/p/' || {_slug_sql('product_name')}, '/product-reviews/' || {_slug_sql('product_name')},
        CASE WHEN product_name = '' THEN 'Product'
             ELSE replace(replace(replace(product_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END
-FROM reviews""")
+FROM review_page_rows WHERE review_id = page_id""")
 def q_first_product_link(spark, d):
     landed = A.table(spark, d, "pages").withColumn("kind", F.lit("landed"))
     rev = review_pages(spark, d).withColumn("kind", F.lit("review"))
@@ -185,9 +188,8 @@ def q_first_product_link(spark, d):
 
 
 def _card_sql() -> str:
-    """The S8 rules applied to a rendered review page, written out for the
-    page layout ``render_review_pages`` produces (title, body + READ MORE,
-    reviewer, badge, relative date; the card repeated)."""
+    """The S8 rules for the layout of the landed pages (title, body and READ
+    MORE, reviewer, badge, relative date; the first card repeated)."""
     ws = T.WHITESPACE_CLASS
     strip = lambda x: f"regexp_replace({x}, '^{ws}|{ws}$', '', 'g')"
     edge_l, edge_r = T.WORD_EDGE_L, T.WORD_EDGE_R
@@ -196,7 +198,9 @@ def _card_sql() -> str:
     ok = (lambda x: f"({x} <> '' AND {x} NOT IN ('READ MORE', 'Certified Buyer', rating) AND NOT {noise(x)} "
           f"AND length({x}) > 1)")
     return f"""
-SELECT page_id, 0 AS card_no, rating, title, {strip("replace(body, 'READ MORE', '')")} AS body,
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY first_id) - 1 AS INTEGER) AS card_no, rating, title, body, reviewer
+FROM (SELECT page_id, rating, title, body, reviewer, min(review_id) AS first_id FROM (
+SELECT page_id, review_id, rating, title, {strip("replace(body, 'READ MORE', '')")} AS body,
        coalesce(list_filter([t, rv], lambda y: y <> '' AND length(y) < 40
                 AND y NOT IN ('READ MORE', 'Certified Buyer', rating, title, body) AND NOT {noise('y')})[1], '')
          AS reviewer
@@ -207,30 +211,28 @@ FROM (
     FROM (
       SELECT *, list_filter(cand, lambda x, i: list_position(cand, x) = i) AS texts
       FROM (
-        SELECT review_id AS page_id, rating, reviewer AS rv,
+        SELECT page_id, review_id, rating, reviewer AS rv,
                {strip("split_part(review_text, chr(10), 1)")} AS t,
                [x FOR x IN [{strip("split_part(review_text, chr(10), 1)")},
                             {strip("review_text")} || 'READ MORE', reviewer] IF {ok('x')}] AS cand
-        FROM reviews WHERE length(review_text) >= 120)
-      WHERE len(cand) > 0)))"""
+        FROM review_page_rows WHERE NOT landed_empty)
+      WHERE len(cand) > 0))))
+GROUP BY page_id, rating, title, body, reviewer)"""
 
 
-@query("extract_reviews", "S8 D3 D5 O8 F22", ["reviews"], _card_sql())
+@query("extract_reviews", "S8 D3 D5 O8 F22", ["review_page_rows"], _card_sql())
 def q_extract_reviews(spark, d):
     pages = review_pages(spark, d).unionByName(A.table(spark, d, "pages").select(
         (F.col("page_id") + F.lit(-1_000_000)).alias("page_id"), "url", "html"))
     return RP.extract_reviews(pages).select("page_id", "card_no", "rating", "title", "body", "reviewer")
 
 
-@query("pages_until_empty", "S8b S8c", ["reviews"], f"""
+@query("pages_until_empty", "S8b S8c", ["review_page_rows"], f"""
 SELECT base_url, page, n_reviews FROM (
   SELECT *, min(CASE WHEN n_reviews = 0 THEN page END) OVER (PARTITION BY base_url) AS first_empty FROM (
-    SELECT 'https://shop.example.com/product-reviews/' || listing || '?run=' || CAST(review_id // {RP.RUN_IDS} AS VARCHAR)
-             AS base_url,
-           CAST(row_number() OVER (PARTITION BY listing, review_id // {RP.RUN_IDS} ORDER BY review_id) AS INTEGER) AS page,
-           CAST(CASE WHEN length(review_text) >= 120 THEN 2 ELSE 0 END AS INTEGER) AS n_reviews
-    FROM reviews)
-  WHERE page BETWEEN 1 AND 10)
+    SELECT '{L.REVIEW_URL}' || listing || '?sort=id' AS base_url, page,
+           CAST(CASE WHEN landed_empty THEN 0 ELSE count(*) + 1 END AS INTEGER) AS n_reviews
+    FROM review_page_rows GROUP BY listing, page, landed_empty))
 WHERE first_empty IS NULL OR page < first_empty""")
 def q_pages_until_empty(spark, d):
     p = RP.page_numbers(review_pages(spark, d)).withColumn("n_reviews", RP.anchor_count(F.col("html")))

@@ -31,10 +31,10 @@ def part_matched(spark, d):
     return R.match_reviews(part_targets(spark, d), A.reviews(spark, d))
 
 
-def part_top100_analyzed(spark, d):
-    top = R.first_per_product(part_matched(spark, d), S.MAX_REVIEWS_ANALYSED)
-    lab = analyzed_reviews(spark, d).select("review_id", "sentiment", "category")
-    return top.select("product_name", "review_id").join(lab, "review_id")
+def part_label_counts(spark, d, by):
+    """Counts of every matched review by a label, for each part name."""
+    pairs = R.match_names(part_targets(spark, d), A.reviews(spark, d))
+    return R.counts_by_target(R.label_counts(analyzed_reviews(spark, d), [by]), pairs)
 
 
 @query("normalize_name", "F1", ["reviews"], f"""
@@ -144,15 +144,15 @@ def q_sample_reviews(spark, d):
 @query("sentiment_distribution", "A1", ["part_sentiment"], """
 SELECT product_name, positive, neutral, negative, total FROM part_sentiment""")
 def q_sentiment_distribution(spark, d):
-    c = R.sentiment_counts(part_top100_analyzed(spark, d))
+    c = R.sentiment_totals(part_label_counts(spark, d, "sentiment"))
     return c.select("product_name", *[big(x).alias(x) for x in ("positive", "neutral", "negative", "total")])
 
 
-@query("category_distribution", "A2", ["part_top100_analyzed"], """
-SELECT product_name, category, CAST(count(*) AS BIGINT) AS n FROM part_top100_analyzed
+@query("category_distribution", "A2", ["part_matched_analyzed"], """
+SELECT product_name, category, CAST(count(*) AS BIGINT) AS n FROM part_matched_analyzed
 GROUP BY product_name, category""")
 def q_category_distribution(spark, d):
-    c = R.category_counts(part_top100_analyzed(spark, d))
+    c = part_label_counts(spark, d, "category")
     return c.select("product_name", "category", big("n").alias("n"))
 
 
@@ -161,7 +161,7 @@ SELECT product_name, total, {X.rnd('CASE WHEN total > 0 THEN positive / total EL
        CAST({X.rnd('(CASE WHEN total > 0 THEN positive / total ELSE 0.0 END) * 100', 0)} AS BIGINT) AS positive_pct
 FROM part_sentiment""")
 def q_positive_ratio(spark, d):
-    c = R.sentiment_counts(part_top100_analyzed(spark, d))
+    c = R.sentiment_totals(part_label_counts(spark, d, "sentiment"))
     return c.select("product_name", big("total").alias("total"), r6("positive_ratio").alias("positive_ratio"),
                     big(F.round(F.col("positive_ratio") * 100)).alias("positive_pct"))
 
@@ -170,17 +170,15 @@ def q_positive_ratio(spark, d):
 
 def decision_frame(spark, d):
     """Entry 2 for every product name a user could ask about: prices by
-    exact name, reviews by fuzzy match (first 100 per product)."""
+    exact name, all reviews by fuzzy match."""
     prices = A.part_price_obs(spark, d)
     revs = A.reviews(spark, d)
     # One row per priced product; read twice (target list, decision).
     stats = materialize(dec.price_stats(ser.daily_series(prices)))
     targets = stats.select("product_name").unionByName(revs.select("product_name"))
-    matched = R.match_reviews(targets, revs)
-    top = R.first_per_product(matched, S.MAX_REVIEWS_ANALYSED).select("product_name", "review_id")
-    lab = analyzed_reviews(spark, d).select("review_id", "sentiment")
-    counts = R.sentiment_counts(top.join(lab, "review_id"))
-    return dec.decide(stats, counts)
+    pairs = R.match_names(targets, revs)
+    counts = R.counts_by_target(R.label_counts(analyzed_reviews(spark, d), ["sentiment"]), pairs)
+    return dec.decide(stats, R.sentiment_totals(counts))
 
 
 DECISION_SQL = f"""
@@ -215,7 +213,7 @@ FROM (
                AS neutral,
              CAST(count(*) FILTER (WHERE sentiment = 'Negative') AS BIGINT) AS negative,
              CAST(count(*) AS BIGINT) AS total
-      FROM (SELECT m.product_name, a.sentiment FROM all_top100 m JOIN analyzed a ON m.review_id = a.review_id)
+      FROM (SELECT m.product_name, a.sentiment FROM all_matched m JOIN analyzed a ON m.review_id = a.review_id)
       GROUP BY product_name) s
     ON p.product_name = s.product_name))"""
 
@@ -227,18 +225,17 @@ SELECT t_name, {X.norm('t_name', False)} AS t_norm, {X.tokens('t_name')} AS t_to
 FROM (SELECT DISTINCT product_name AS t_name FROM
       (SELECT product_name FROM part_daily UNION ALL SELECT product_name FROM reviews)
       WHERE product_name IS NOT NULL)""")
-    view("all_top100", ["all_targets", "review_names", "reviews"], f"""
+    view("all_matched", ["all_targets", "review_names", "reviews"], f"""
 SELECT p.t_name AS product_name, r.review_id
 FROM (SELECT t_name, r_name FROM all_targets, review_names
       WHERE {X.names_match('t_norm', 'r_norm', 't_tokens', 'r_tokens')}) p
-JOIN reviews r ON r.product_name = p.r_name
-QUALIFY row_number() OVER (PARTITION BY p.t_name ORDER BY r.seq) <= 100""")
+JOIN reviews r ON r.product_name = p.r_name""")
 
 
 _register_decision_views()
 
 
-@query("decision", "J3 F15 F16 A3 A4 A5", ["part_series", "all_top100", "analyzed"], DECISION_SQL)
+@query("decision", "J3 F15 F16 A3 A4 A5", ["part_series", "all_matched", "analyzed"], DECISION_SQL)
 def q_decision(spark, d):
     out = decision_frame(spark, d)
     return out.select("product_name", "decision", "reason", "positive", "neutral", "negative",

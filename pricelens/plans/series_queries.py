@@ -53,7 +53,8 @@ def q_list_products(spark, d):
 SELECT product_name, strftime(ts, '{SQL_TS_TEXT}') AS ts, price, seq FROM (
   SELECT product_name,
          coalesce(try_cast("timestamp" AS TIMESTAMP),
-                  try_strptime("timestamp", '%d-%m-%Y %H:%M:%S'), try_strptime("timestamp", '%d/%m/%Y'),
+                  try_strptime("timestamp", '%m-%d-%Y %H:%M:%S'), try_strptime("timestamp", '%d-%m-%Y %H:%M:%S'),
+                  try_strptime("timestamp", '%m/%d/%Y'), try_strptime("timestamp", '%d/%m/%Y'),
                   try_strptime("timestamp", '%Y/%m/%d %H:%M:%S'), try_strptime("timestamp", '%Y/%m/%d')) AS ts,
          CAST(price AS DOUBLE) AS price, seq
   FROM observations WHERE price IS NOT NULL AND "timestamp" IS NOT NULL)

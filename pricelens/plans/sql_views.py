@@ -168,16 +168,16 @@ JOIN reviews r ON r.product_name = p.r_name""")
     view("part_top100", ["part_matched"], """
 SELECT * FROM part_matched
 QUALIFY row_number() OVER (PARTITION BY product_name ORDER BY seq) <= 100""")
-    view("part_top100_analyzed", ["part_top100", "analyzed"], """
+    view("part_matched_analyzed", ["part_matched", "analyzed"], """
 SELECT t.product_name, a.review_id, a.sentiment, a.category
-FROM part_top100 t JOIN analyzed a ON t.review_id = a.review_id""")
-    view("part_sentiment", ["part_top100_analyzed"], """
+FROM part_matched t JOIN analyzed a ON t.review_id = a.review_id""")
+    view("part_sentiment", ["part_matched_analyzed"], """
 SELECT product_name,
        CAST(count(*) FILTER (WHERE sentiment = 'Positive') AS BIGINT) AS positive,
        CAST(count(*) FILTER (WHERE sentiment IS NULL OR sentiment NOT IN ('Positive', 'Negative')) AS BIGINT) AS neutral,
        CAST(count(*) FILTER (WHERE sentiment = 'Negative') AS BIGINT) AS negative,
        CAST(count(*) AS BIGINT) AS total
-FROM part_top100_analyzed GROUP BY product_name""")
+FROM part_matched_analyzed GROUP BY product_name""")
 
 
 # A second lexicon of words frequent in the driver's text (the default one

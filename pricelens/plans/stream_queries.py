@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..session import scratch_path
-from ..sources import price_pages as PP
+from . import landing as L
 from ..streaming import jobs as J
 from .alert_browse_queries import FIRE_SQL, fire_out
 from .common import iso_date, r6
@@ -43,6 +43,6 @@ SELECT product_name, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS "timestamp", price,
 FROM price_obs""")
 def q_stream_ingest(spark, d):
     landing = scratch_path(spark, "landing") + "/pages"
-    PP.encode_price_pages(A.price_obs(spark, d)).write.parquet(landing)
+    L.price_pages(A.price_obs(spark, d)).write.parquet(landing)
     out = J.run_to_table(spark, J.ingest_stream(spark, landing), "ingest", "append")
     return out.select("product_name", "timestamp", "price", "price_defaulted")

@@ -1,5 +1,4 @@
-"""Price-history pages: decode (S7, F10, F11), validate (S11), and the
-inverse encoder used to land test pages derived from price ticks.
+"""Price-history pages: decode (S7, F10, F11) and validate.
 
 The cipher is Base64 of the JSON bytes XOR-ed with a repeating text key.
 Both directions are plain Spark expressions over the hex text of the
@@ -42,13 +41,9 @@ def xor_chars(text: Column, key: Column) -> Column:
 
 def xor_decrypt(cipher: Column, key: Column) -> Column:
     """Base64-decode, XOR with the repeating key, read bytes as
-    Latin-1 characters (one character per byte)."""
-    return xor_chars(F.decode(F.unbase64(cipher), "ISO-8859-1"), key)
-
-
-def xor_encrypt(text: Column, key: Column) -> Column:
-    """Inverse of ``xor_decrypt`` for Latin-1 text."""
-    return F.base64(F.encode(xor_chars(text, key), "ISO-8859-1"))
+    Latin-1 characters (one character per byte).  Text that is no Base64
+    decodes to the empty text."""
+    return xor_chars(F.decode(F.try_to_binary(cipher, F.lit("base64")), "ISO-8859-1"), key)
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
@@ -85,54 +80,14 @@ def decode_price_pages(pages: DataFrame, source: str = S.SOURCE_PRICE) -> tuple[
 
 
 def page_status(pages: DataFrame) -> DataFrame:
-    """One status per page (ok when the cipher text decodes)."""
+    """One status per page: ok when the cipher text decodes to a price
+    list, decode_failed when it does not."""
     f = page_fields(pages)
     doc = F.from_json(xor_decrypt(F.col("cipher"), F.col("key")), HISTORY_SCHEMA)
-    st = F.when((F.col("status") == "ok") & doc.isNull(), F.lit("decode_failed")).otherwise(F.col("status"))
+    st = F.when((F.col("status") == "ok") & doc["History"]["Price"].isNull(), F.lit("decode_failed")).otherwise(F.col("status"))
     return f.select("page_id", "url", st.alias("status"))
 
 
-def page_key(product: Column) -> Column:
-    """Per-product key text of a landed test page."""
-    return F.substring(F.sha2(product, 256), 1, 16)
-
-
-PAGE_SPLIT = 8
-
-
-def encode_price_pages(ticks: DataFrame, split: int = PAGE_SPLIT) -> DataFrame:
-    """Land price pages from ticks: pages per product and hour holding those
-    points as ``{"History":{"Price":[{"x","y"}...]}}``.
-
-    Pages are cut by hour and each hour is split ``split`` ways by tick
-    sequence (salting), so no page, and no task building one, gathers a
-    hot product's whole history.
-    """
-    hour = F.date_trunc("hour", "ts")
-    part = F.pmod(F.col("seq"), F.lit(split))
-    g = ticks.groupBy("product_name", hour.alias("hour"), part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("ts", "seq", "price"))).alias("pts"))
-    pts = F.transform("pts", lambda p: F.struct(
-        F.date_format(p["ts"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("x"), p["price"].alias("y")))
-    js = F.to_json(F.struct(F.struct(pts.alias("Price")).alias("History")))
-    key = page_key(F.col("product_name"))
-    html = F.concat(
-        F.lit("<!DOCTYPE html><html><head><title>"), F.col("product_name"), F.lit(" " + S.TITLE_SUFFIX),
-        F.lit("</title></head><body><div id=\"chart\"></div><script>var PagePriceHistoryDataSet = \""),
-        xor_encrypt(js, key), F.lit("\";\nlet CachedKey='"), key, F.lit("';</script></body></html>"))
-    url = F.concat(F.lit(PAGE_URL_PREFIX), F.col("product_name"), F.lit("/"),
-                   F.date_format("hour", "yyyyMMddHH"), F.lit("-"), F.col("part").cast("string"))
-    page_id = F.xxhash64("product_name", "hour", "part")
-    return g.select(page_id.alias("page_id"), url.alias("url"), html.alias("html"))
-
-
-def page_url_number(url: Column) -> tuple[Column, Column]:
-    """(base URL without ``&page=N``, N or NULL)."""
-    base = F.regexp_replace(url, r"&page=\d+", "")
-    num = F.regexp_extract(url, r"[?&]page=(\d+)", 1)
-    return base, F.when(num != "", num.cast("int"))
-
-
 def first_link(html: Column, marker: str) -> Column:
     """S8e: the first ``href`` whose target holds ``marker``, else NULL."""
     links = F.regexp_extract_all(html, F.lit(r'href="([^"]*' + marker.replace("/", r"\/") + r'[^"]*)"'), 1)

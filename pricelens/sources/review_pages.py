@@ -1,216 +1,169 @@
 """Review pages: card extraction from landed HTML (S8), page numbers and
-the take-until-empty rule (S8b, S8c), product/review links (S8e), review
-text assembly (F12, F13), and a renderer that lands test pages from
-reviews.
-
-Extraction needs an HTML tree, which Spark SQL has no function for, so it
-is the one Python step: ``mapInPandas`` over Arrow batches of pages, one
-parse per page with the standard library's ``html.parser``.  Everything
-around it (dedup, text assembly, page rules) stays in Spark expressions.
+the take-until-empty rule (S8b, S8c), product/review links (S8e) and review
+text assembly (F12, F13).
+
+Spark SQL has no function that reads HTML, so one Python step turns a page
+into a table of its elements (``page_nodes``): an element's place, its tag, the
+text below it and two facts about what it holds.  The card rules are windows,
+joins and aggregates over that table.
 """
 
 from __future__ import annotations
 
-import re
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from .. import schemas as S
 from ..functions import text as T
+from ..session import materialize
+
+NODES = ("page_id long, node int, last int, tag string, text string, holds_block boolean, "
+         "holds_icon boolean, ancestors array<int>")
+# Fixed values of HTML: elements that never hold others, and those whose text is no page text.
+_EMPTY_TAGS = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
+_SILENT_TAGS = frozenset(["script", "style", "template"])
+_BLOCK_TAGS, _ICON_TAGS = frozenset(["p", "div"]), frozenset(["svg", "img"])
+#: Ancestors kept for each element: its parent and five more.
+LEVELS = 6
+
+
+class _Elements(HTMLParser):
+    """Rows of a page's elements.  Elements are numbered in document order, the
+    page itself is 0; a row is written when its element closes, from what its
+    children handed up, so nothing is visited twice."""
 
-EXTRACTED = StructType([
-    StructField("page_id", LongType()),
-    StructField("card_no", IntegerType()),
-    StructField("rating", StringType()),
-    StructField("title", StringType()),
-    StructField("body", StringType()),
-    StructField("reviewer", StringType()),
-    StructField("certified", BooleanType()),
-])
-
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
-         "source", "track", "wbr"}
-_SKIP_TEXT = {"script", "style", "template"}
-_DIGITS = re.compile(r"^[\d,]+$")
-_MONTH = re.compile(S.MONTH_PATTERN)
-_MONTH_WORD = re.compile(r"(?<![A-Za-z0-9_])" + S.MONTH_PATTERN + r"(?![A-Za-z0-9_])")
-_AGO_WORD = re.compile(r"(?<![A-Za-z0-9_])ago(?![A-Za-z0-9_])")
-
-
-class _Node:
-    __slots__ = ("tag", "parent", "children")
-
-    def __init__(self, tag, parent):
-        self.tag, self.parent, self.children = tag, parent, []
-
-    def descendants(self):
-        stack = list(reversed(self.children))
-        while stack:
-            n = stack.pop()
-            if isinstance(n, _Node):
-                yield n
-                stack.extend(reversed(n.children))
-
-    def find_all(self, tags):
-        return [n for n in self.descendants() if n.tag in tags]
-
-    def has_descendant(self, tags) -> bool:
-        return any(n.tag in tags for n in self.descendants())
-
-    def text(self) -> str:
-        """Every text piece under the node, each stripped, joined with ''."""
-        out, stack = [], list(reversed(self.children))
-        while stack:
-            n = stack.pop()
-            if isinstance(n, str):
-                s = n.strip()
-                if s:
-                    out.append(s)
-            elif n.tag not in _SKIP_TEXT:
-                stack.extend(reversed(n.children))
-        return "".join(out)
-
-
-class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("[document]", None)
-        self.cur = self.root
+        self.rows: list[tuple] = []
+        self.count = 0
+        self.open: list[list] = []   # [number, tag, texts, holds a block, holds an icon]
+        self._begin("[page]")
+
+    def _begin(self, tag):
+        self.open.append([self.count, tag, [], False, False])
+        self.count += 1
+
+    def _close(self):
+        number, tag, texts, block, icon = self.open.pop()
+        text = "".join(texts)
+        above = [e[0] for e in self.open[:-LEVELS - 1:-1]]
+        self.rows.append((number, self.count - 1, tag, text, block, icon, above))
+        if self.open:
+            parent = self.open[-1]
+            if tag not in _SILENT_TAGS:
+                parent[2].append(text)
+            parent[3] |= block or tag in _BLOCK_TAGS
+            parent[4] |= icon or tag in _ICON_TAGS
 
     def handle_starttag(self, tag, attrs):
-        n = _Node(tag, self.cur)
-        self.cur.children.append(n)
-        if tag not in _VOID:
-            self.cur = n
+        self._begin(tag)
+        if tag in _EMPTY_TAGS:
+            self._close()
 
     def handle_startendtag(self, tag, attrs):
-        self.cur.children.append(_Node(tag, self.cur))
+        self._begin(tag)
+        self._close()
 
     def handle_endtag(self, tag):
-        n = self.cur
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.cur = n.parent
+        if any(e[1] == tag for e in self.open[1:]):
+            while self.open[-1][1] != tag:
+                self._close()
+            self._close()
 
     def handle_data(self, data):
-        self.cur.children.append(data)
-
-
-def parse_html(html: str) -> _Node:
-    t = _Tree()
-    t.feed(html or "")
-    t.close()
-    return t.root
-
-
-def _noise(txt: str, compat: bool) -> bool:
-    if compat:
-        return "ago" in txt or _MONTH.search(txt) is not None
-    return _AGO_WORD.search(txt) is not None or _MONTH_WORD.search(txt) is not None
-
-
-_FIXED_TEXTS = (S.READ_MORE, S.CERTIFIED_BUYER)
-
-
-def _badges(root: _Node) -> list[_Node]:
-    """Rule 1: div/span/p whose whole text is the badge; of nested ones
-    only the outermost (by node identity)."""
-    found = [n for n in root.find_all(("div", "span", "p")) if n.text() == S.CERTIFIED_BUYER]
-    ids = set(map(id, found))
-
-    def nested(n: _Node) -> bool:
-        p = n.parent
-        while p is not None:
-            if id(p) in ids:
-                return True
-            p = p.parent
-        return False
-    return [n for n in found if not nested(n)]
-
-
-def _card_root(badge: _Node) -> _Node:
-    """Rule 2: the badge's parent, then up to five more levels."""
-    node = badge.parent
-    for _ in range(5):
-        if node is not None and node.parent is not None:
-            node = node.parent
-    return node
-
-
-def _rating(card: _Node) -> str:
-    """Rule 3: the first div/span reading 1-5 that holds an svg or img."""
-    for n in card.find_all(("div", "span")):
-        txt = n.text()
-        if txt in ("1", "2", "3", "4", "5") and n.has_descendant(("svg", "img")):
-            return txt
-    return ""
-
-
-def _plain(txt: str, compat: bool) -> bool:
-    return not _noise(txt, compat) and not _DIGITS.match(txt)
-
-
-def _texts(card: _Node, rating: str, compat: bool) -> list[str]:
-    """Rule 4: texts of leaf p/div/span (no p/div inside) that pass the
-    noise filter, first-seen distinct."""
-    out: list[str] = []
-    for n in card.find_all(("p", "div", "span")):
-        if n.has_descendant(("p", "div")):
-            continue
-        txt = n.text()
-        if txt and txt not in (*_FIXED_TEXTS, rating) and len(txt) > 1 and _plain(txt, compat) and txt not in out:
-            out.append(txt)
-    return out
-
-
-def _reviewer(card: _Node, texts: list[str], taken: tuple, compat: bool) -> str:
-    """Rule 6: the first short p/span text that is none of the others."""
-    for n in card.find_all(("p", "span")):
-        txt = n.text()
-        if txt and len(txt) < 40 and txt not in taken and _plain(txt, compat) \
-                and (txt not in texts or len(texts) <= 3):
-            return txt
-    return ""
-
-
-def extract_cards(html: str, compat: bool = False) -> list[tuple]:
-    """S8 rules on one page: (rating, title, body, reviewer, certified)
-    per distinct card (rule 7)."""
-    seen, cards = set(), []
-    for badge in _badges(parse_html(html)):
-        card = _card_root(badge)
-        if id(card) in seen:
-            continue
-        seen.add(id(card))
-        rating = _rating(card)
-        texts = _texts(card, rating, compat)
-        if not texts:
-            continue
-        body = max(texts, key=len)                     # rule 5: first longest
-        title = next((t for t in texts if t != body and len(t) < 100), "")
-        reviewer = _reviewer(card, texts, (*_FIXED_TEXTS, rating, title, body), compat)
-        card_row = (rating, title, body.replace(S.READ_MORE, "").strip(), reviewer, True)
-        if card_row not in cards:
-            cards.append(card_row)
-    return cards
+        self.open[-1][2].append(data.strip())
 
+    def finish(self) -> list[tuple]:
+        self.close()
+        while self.open:
+            self._close()
+        return self.rows
 
-def extract_reviews(pages: DataFrame, compat: bool = False) -> DataFrame:
-    """Review cards of every page ``(page_id, html)``; one output row per
-    distinct card (D3 within a page; D5 / O8 inside the card rules)."""
+
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """One row for each element of each page ``(page_id, html)``: its number
+    and that of the last element inside it, tag, text below it (pieces stripped
+    and joined), whether it holds a p/div or an svg/img, and the numbers of its
+    nearest ancestors, parent first."""
     def run(batches):
         import pandas as pd
+        names = [c.split()[0] for c in NODES.split(", ")]
         for pdf in batches:
-            out = []
-            for pid, html in zip(pdf["page_id"], pdf["html"]):
-                for i, c in enumerate(extract_cards(html, compat)):
-                    out.append((pid, i, *c))
-            yield pd.DataFrame(out, columns=EXTRACTED.fieldNames())
-    return pages.select("page_id", "html").mapInPandas(run, EXTRACTED)
+            rows = []
+            for page_id, html in zip(pdf["page_id"], pdf["html"]):
+                reader = _Elements()
+                reader.feed(html or "")
+                rows += [(page_id, *row) for row in reader.finish()]
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+    return pages.select("page_id", "html").mapInPandas(run, NODES)
+
+
+def badges(nodes: DataFrame) -> DataFrame:
+    """Rules 1 and 2: outermost elements that read as the badge, with the card
+    they stand in (``card``) - the sixth element above, or the topmost."""
+    found = nodes.where(F.col("tag").isin("div", "span", "p") & (F.col("text") == S.CERTIFIED_BUYER))
+    before = Window.partitionBy("page_id").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    outer = F.coalesce(F.max("last").over(before), F.lit(-1)) < F.col("node")
+    return found.withColumn("outer", outer).where("outer").select("page_id", "node", F.element_at("ancestors", -1).alias("card"))
+
+
+def card_elements(nodes: DataFrame) -> DataFrame:
+    """The elements inside each card: ``page_id``, ``card``, ``badge`` (the
+    first one that led to it) and the element's columns.  A page joins only its
+    own cards."""
+    cards = badges(nodes).groupBy("page_id", "card").agg(F.min("node").alias("badge"))
+    spans = nodes.select("page_id", F.col("node").alias("card"), F.col("last").alias("card_last"))
+    cards = cards.join(spans, ["page_id", "card"])
+    inside = nodes.where(F.col("tag").isin("div", "span", "p")).drop("ancestors", "last")
+    return inside.join(cards, "page_id").where((F.col("node") > F.col("card")) & (F.col("node") <= F.col("card_last")))
+
+
+def _in_order(entries: Column) -> Column:
+    return F.transform(F.array_sort(entries), lambda e: e["text"])
+
+
+def extract_reviews(pages: DataFrame, compat: bool = False) -> DataFrame:
+    """The review cards of every page ``(page_id, html)``, numbered within
+    it (``card_no``): rating, title, body, reviewer, certified.
+
+    ``compat`` matches month names and "ago" inside words too.  A card's texts
+    are gathered per card, a page's cards per page; both are bounded by the
+    page.  Equal cards of a page are one (rule 7)."""
+    # read three times: elements of cards, their badges, the cards' ends
+    el = card_elements(materialize(page_nodes(pages)))
+    entry = F.struct("node", "text")
+    stars = F.col("tag").isin("div", "span") & F.col("text").isin("1", "2", "3", "4", "5") & F.col("holds_icon")
+    per_card = el.groupBy("page_id", "badge").agg(
+        F.coalesce(F.min_by("text", F.when(stars, F.col("node"))), F.lit("")).alias("rating"),           # rule 3
+        F.collect_list(F.when(~F.col("holds_block"), entry)).alias("leaves"),
+        F.collect_list(F.when(F.col("tag").isin("p", "span"), entry)).alias("inline"))
+
+    def said(t: Column) -> Column:
+        return ~T.is_noise_text(t, F.col("rating"), compat)
+
+    # rule 4; a reviewer may be one character long, so only the text tests apply there
+    texts = F.array_distinct(F.filter(_in_order(F.col("leaves")), said))
+    cards = per_card.withColumn("texts", texts).where(F.size("texts") > 0)
+    longest = F.array_max(F.transform("texts", lambda t: F.length(t)))
+    cards = cards.withColumn("longest", longest)
+    cards = cards.withColumn("body", F.filter("texts", lambda t: F.length(t) == F.col("longest"))[0])   # rule 5
+    others = F.filter("texts", lambda t: (t != F.col("body")) & (F.length(t) < 100))
+    cards = cards.withColumn("title", F.coalesce(F.get(others, F.lit(0)), F.lit("")))
+    few = F.size("texts") <= 3
+    names = F.filter(_in_order(F.col("inline")), lambda t: (                                               # rule 6
+        (t != "") & (F.length(t) < 40) & (t != F.col("title")) & (t != F.col("body"))
+        & ~T.is_dated_or_digits(t, compat) & ~t.isin(S.READ_MORE, S.CERTIFIED_BUYER) & (t != F.col("rating")) & (few | ~F.array_contains("texts", t))))
+    body = T.strip_ws(F.replace("body", F.lit(S.READ_MORE), F.lit("")))
+    cards = cards.select("page_id", "badge", "rating", "title", body.alias("body"),
+                         F.coalesce(F.get(names, F.lit(0)), F.lit("")).alias("reviewer"))
+    cards = cards.groupBy("page_id", "rating", "title", "body", "reviewer").agg(F.min("badge").alias("badge"))  # rule 7
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("badge")) - 1
+    return cards.select("page_id", number.alias("card_no"), "rating", "title", "body", "reviewer", F.lit(True).alias("certified"))
 
 
 def review_text(title: Column, body: Column) -> Column:
@@ -230,71 +183,19 @@ def page_numbers(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"base_url": base, "page": F.when(num != "", num.cast("int"))})
 
 
-def pages_until_empty(pages: DataFrame, max_pages: int = S.MAX_REVIEW_PAGES,
-                      key: str = "base_url") -> DataFrame:
-    """Per listing, pages before the first page without reviews, and
-    at most ``max_pages``.  Input ``(key, page, n_reviews, ...)``.  Pages past
-    the cap are dropped first, so each window holds at most ``max_pages``
-    rows whatever the listing's size."""
-    p = pages.where(F.col("page").isNotNull() & (F.col("page") >= 1) & (F.col("page") <= max_pages))
-    w = Window.partitionBy(key)
-    first_empty = F.min(F.when(F.col("n_reviews") == 0, F.col("page"))).over(w)
-    return p.withColumn("first_empty", first_empty).where(
-        F.col("first_empty").isNull() | (F.col("page") < F.col("first_empty"))).drop("first_empty")
+def pages_until_empty(pages: DataFrame, max_pages: int | None = None, key: str = "base_url") -> DataFrame:
+    """Per listing, pages before the first page without reviews; with
+    ``max_pages`` (``schemas.MAX_REVIEW_PAGES`` in the original) no later ones either.  Input
+    ``(key, page, n_reviews, ...)``.  The first empty page of each listing is a
+    partial aggregate joined back, so a listing of any size is never gathered."""
+    p = pages.where(F.col("page") >= 1)
+    if max_pages is not None:
+        p = p.where(F.col("page") <= max_pages)
+    empty = p.where(F.col("n_reviews") == 0).groupBy(F.col(key).alias("_key")).agg(F.min("page").alias("first_empty"))
+    j = p.join(empty, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return j.where(F.col("first_empty").isNull() | (F.col("page") < F.col("first_empty"))).drop("first_empty", "_key")
 
 
 def anchor_count(html: Column) -> Column:
     """Number of "Certified Buyer" badges in a page (a quick review count)."""
     return F.size(F.regexp_extract_all(html, F.lit(r">\s*Certified Buyer\s*<"), 0))
-
-
-def _esc(c: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
-
-
-def render_review_pages(reviews: DataFrame, min_chars: int = 120) -> DataFrame:
-    """Land one review page per review of a listing (``review_id``,
-    ``product_name``, ``review_text``, ``rating``, ``reviewer``, ``listing``,
-    ``page``).  The card is repeated once on the page, as listing sites do
-    when a review is also featured; texts shorter than ``min_chars`` give a
-    page without cards.
-    """
-    text = F.col("review_text")
-    title = F.substring_index(text, "\n", 1)
-    card = F.concat(
-        F.lit('<div class="card"><div class="hdr"><div class="rt"><div>'), F.col("rating"),
-        F.lit('<svg width="12"></svg></div></div><p class="ttl">'), _esc(title), F.lit("</p></div>"),
-        F.lit('<div class="txt"><div>'), _esc(text), F.lit("<span>READ MORE</span></div></div>"),
-        F.lit('<div class="l1"><div class="l2"><div class="l3"><div class="l4"><div class="meta"><p>'),
-        _esc(F.col("reviewer")), F.lit("</p><p><span>Certified Buyer</span></p><p>2 months ago</p>"),
-        F.lit("</div></div></div></div></div></div>"))
-    slug = F.regexp_replace(F.lower(F.col("product_name")), "[^a-z0-9]+", "-")
-    links = F.concat(F.lit('<a href="/p/'), slug, F.lit('">'), _esc(F.col("product_name")),
-                     F.lit('</a><a href="/product-reviews/'), slug, F.lit('">All reviews</a>'))
-    body = F.when(F.length(text) >= min_chars, F.concat(card, card)).otherwise(F.lit("<p>No reviews yet</p>"))
-    html = F.concat(F.lit("<html><head><title>"), _esc(F.col("product_name")),
-                    F.lit("</title></head><body><nav>"), links, F.lit("</nav><main>"), body,
-                    F.lit("</main></body></html>"))
-    url = F.concat(F.lit("https://shop.example.com/product-reviews/"), F.col("listing"),
-                   F.lit("?run="), F.col("run").cast("string"), F.lit("&page="), F.col("page").cast("string"))
-    return reviews.select(F.col("review_id").alias("page_id"), url.alias("url"), html.alias("html"))
-
-
-RUN_IDS = 200
-
-
-def listing_pages(reviews: DataFrame, run_ids: int = RUN_IDS) -> DataFrame:
-    """Page numbers of reviews within their listing (``listing``), in id
-    order, one review per page.  A listing is paged in runs of ``run_ids``
-    consecutive ids (``run``), so a numbering window never holds more than
-    ``run_ids`` rows however large a listing grows.  The result is spread
-    again by review id so that rendering and parsing use all cores.
-    """
-    from ..session import parallelism
-    run = F.floor(F.col("review_id") / F.lit(run_ids)).cast("long")
-    w = Window.partitionBy("listing", "run").orderBy("review_id")
-    n = parallelism(reviews.sparkSession) * 2
-    return (reviews.withColumn("run", run).withColumn("page", F.row_number().over(w))
-            .repartition(n, "review_id"))

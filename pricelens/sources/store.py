@@ -19,20 +19,19 @@ from pyspark.sql.types import StringType, StructType
 from .. import schemas as S
 
 
-def align_to_schema(df: DataFrame, schema: StructType = S.OBSERVATIONS, keep_extra: bool = False) -> DataFrame:
+def align_to_schema(df: DataFrame, schema: StructType = S.OBSERVATIONS) -> DataFrame:
     """S3: the declared columns in declared order; absent ones as typed
-    NULLs, present ones cast.  A structured ``metadata`` becomes JSON text."""
+    NULLs, present ones cast, a value that does not cast as NULL.  A
+    structured ``metadata`` becomes JSON text."""
     cols = []
     for f in schema.fields:
         if f.name in df.columns:
             c = F.col(f"`{f.name}`")
             if f.name == "metadata" and not isinstance(df.schema[f.name].dataType, StringType):
                 c = F.to_json(c)
-            cols.append(c.cast(f.dataType).alias(f.name))
+            cols.append(c.try_cast(f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    if keep_extra:
-        cols += [F.col(f"`{c}`") for c in df.columns if c not in schema.fieldNames()]
     return df.select(*cols)
 
 
@@ -62,6 +61,19 @@ def append_observations(df: DataFrame, path: str, schema: StructType = S.OBSERVA
     return True
 
 
+#: Fields may be quoted, hold quotes (doubled) and line ends.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+
+
+def csv_record_count(spark: SparkSession, csv_path: str) -> int:
+    """Records of CSV files by their line ends outside quotes, headers not
+    counted: a count that does not come from the CSV parser."""
+    files = spark.read.text(csv_path, wholetext=True)
+    bare = F.regexp_replace(F.regexp_replace("value", '"[^"]*"', '"'), r"\r\n?", "\n")
+    lines = F.size(F.filter(F.split(bare, "\n"), lambda x: x != ""))
+    return files.agg(F.coalesce(F.sum(F.greatest(lines - 1, F.lit(0))), F.lit(0))).first()[0]
+
+
 def csv_replace_load(spark: SparkSession, csv_path: str, table_path: str,
                      column_map: Mapping[str, str] | None = None,
                      csv_schema: StructType | None = None,
@@ -71,11 +83,11 @@ def csv_replace_load(spark: SparkSession, csv_path: str, table_path: str,
     ``column_map`` renames CSV columns to table columns (other CSV layouts,
     e.g. ``{"Date": "timestamp", "Price": "price"}``).
     """
-    r = spark.read.option("header", "true")
+    r = spark.read.options(**CSV_OPTIONS)
     src = (r.schema(csv_schema) if csv_schema is not None else r).csv(csv_path)
     if column_map:
         src = src.withColumnsRenamed(dict(column_map))
-    n_src = src.count()
+    n_src = csv_record_count(spark, csv_path)
     align_to_schema(src, schema).write.mode("overwrite").partitionBy("source").parquet(table_path)
     table = scan_observations(spark, table_path, schema)
     n_dst = table.count()

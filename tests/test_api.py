@@ -25,8 +25,8 @@ def test_api_over_one_observation_table(spark):
 
 
 def test_api_ingest_round_trip(spark):
-    from pricelens.sources import price_pages as PP
-    pages = PP.encode_price_pages(A.price_obs(spark, SF_SMALL))
+    from pricelens.plans import landing as L
+    pages = L.price_pages(A.price_obs(spark, SF_SMALL))
     obs, rejected = api.ingest_price_pages(pages)
     assert rejected.count() == 0
     assert obs.count() == A.price_obs(spark, SF_SMALL).count()

@@ -6,6 +6,7 @@ from pricelens import adapters as A
 from pricelens import schemas as S
 from pricelens.operators import browse as B
 from pricelens.session import scratch_path
+from pricelens.plans import landing as L
 from pricelens.sources import price_pages as PP
 from pricelens.sources import review_pages as RP
 from pricelens.sources import store as ST
@@ -87,7 +88,7 @@ def test_price_pages_fixture(spark):
 
 def test_price_page_round_trip_on_events(spark):
     ticks = A.price_obs(spark, SF_SMALL)
-    out, rej = PP.decode_price_pages(PP.encode_price_pages(ticks))
+    out, rej = PP.decode_price_pages(L.price_pages(ticks))
     assert rej.count() == 0
     back = out.select("product_name", F.to_timestamp("timestamp").alias("ts"), "price")
     assert rows(back) == rows(ticks.select("product_name", "ts", "price"))
@@ -101,9 +102,18 @@ CARD = ('<div class="c"><div><div><div>4<svg></svg></div></div><p>Great phone</p
 
 def test_review_card_rules(spark):
     page = f"<html><body><main>{CARD}{CARD}</main></body></html>"
-    cards = RP.extract_cards(page)
-    assert cards == [("4", "Great phone", "Battery lasts two full days and the screen is bright.", "Asha K", True)]
-    assert RP.extract_cards("<html><p>No reviews</p></html>") == []
+    pages = spark.createDataFrame([(1, page), (2, "<html><p>No reviews</p></html>"), (3, None)], "page_id long, html string")
+    got = rows(RP.extract_reviews(pages))
+    assert got == [(1, 0, "4", "Great phone", "Battery lasts two full days and the screen is bright.", "Asha K", True)]
+
+
+def test_page_nodes(spark):
+    html = "<div>a<p> b <b>c</b></p><script>x</script><img></div><span>Certified Buyer</span>"
+    got = rows(RP.page_nodes(spark.createDataFrame([(1, html)], "page_id long, html string")))
+    assert [(r[1], r[2], r[3], r[4], r[5], r[6], r[7]) for r in got] == [
+        (0, 6, "[page]", "abcCertified Buyer", True, True, []), (1, 5, "div", "abc", True, True, [0]), (2, 3, "p", "bc", False, False, [1, 0]),
+        (3, 3, "b", "c", False, False, [2, 1, 0]), (4, 4, "script", "x", False, False, [1, 0]), (5, 5, "img", "", False, False, [1, 0]),
+        (6, 6, "span", "Certified Buyer", False, False, [0])]
 
 
 def test_review_extraction_job_and_pages_until_empty(spark):
@@ -127,18 +137,16 @@ def test_links(spark):
     assert (r.p, r.r) == ("/foo/p/ab1", "/product-reviews/ab1")
 
 
-def test_deep_page_locates_by_key_ranges(spark):
-    obs = A.observations(spark, SF_SMALL)
-    n = obs.count()
-    for page in (1, 7, (n + 49) // 50):
-        simple = [r.seq for r in B.paginate(obs, page, 50).rows.collect()]
-        deep = [r.seq for r in B.paginate(obs, page, 50, deep_offset=0, buckets=16).rows.collect()]
-        assert simple == deep and len(simple) > 0
+def test_pages_of_text_and_null_keys(spark):
+    df = spark.createDataFrame([(None,), ("b",), ("a",), ("c",), (None,)], "k string")
+    assert [r.k for r in B.paginate(df, 2, 3, order_by="k").rows.collect()] == ["b", "c"]
+    assert [r.k for r in B.paginate(df, 99, 2, order_by="k").rows.collect()] == ["c"]
 
 
 def test_pages_until_empty_caps_at_ten(spark):
     df = spark.createDataFrame([("b", p, 1) for p in range(1, 15)], "base_url string, page int, n_reviews int")
-    assert [r.page for r in RP.pages_until_empty(df).orderBy("page").collect()] == list(range(1, 11))
+    assert [r.page for r in RP.pages_until_empty(df, max_pages=10).orderBy("page").collect()] == list(range(1, 11))
+    assert RP.pages_until_empty(df).count() == 14
 
 
 def test_ingest_review_pages_api(spark):
@@ -148,3 +156,35 @@ def test_ingest_review_pages_api(spark):
     r = api.ingest_review_pages(pages, "Foo").collect()[0]
     assert r.review_text == "Great phone - Battery lasts two full days and the screen is bright."
     assert r.product_name == "Foo" and r.rating == "4" and '"reviewer":"Asha K"' in r.metadata
+
+
+def test_csv_with_quotes_and_line_ends(spark, tmp_path):
+    f = tmp_path / "a.csv"
+    f.write_text('timestamp,source,product_name,price,review_text\n2024-01-01,s,"He said ""great"", then\nbought two",1.5,"x, y"\n'
+                 '2024-01-02,s,B,N/A,\n\n')
+    t = ST.csv_replace_load(spark, str(f), str(tmp_path / "t"))
+    assert rows(t, "product_name", "price", "review_text") == [("B", None, None), ('He said "great", then\nbought two', 1.5, "x, y")] or \
+        {r.product_name: r.price for r in t.collect()} == {"B": None, 'He said "great", then\nbought two': 1.5}
+    assert B.read_flat_file(spark, str(f)).count() == 2
+
+
+def test_json_lines_and_arrays(spark, tmp_path):
+    lines, array = tmp_path / "l.json", tmp_path / "a.json"
+    lines.write_text('{"a": 1}\n{"a": 2}\n')
+    array.write_text('[\n  {\n    "a": 1\n  },\n  {"a": 2}\n]\n')
+    assert rows(B.read_flat_file(spark, str(lines)), "a") == rows(B.read_flat_file(spark, str(array)), "a") == [(1,), (2,)]
+
+
+def test_bad_price_pages_go_to_quarantine(spark):
+    def page(cipher):
+        return f'<html><title>T</title><script>var PagePriceHistoryDataSet = "{cipher}";\nlet CachedKey=\'k\';</script></html>'
+    pages = spark.createDataFrame([(1, PP.PAGE_URL_PREFIX + "x", page("abcde")), (2, PP.PAGE_URL_PREFIX + "x", page("eyJh")), (3, PP.PAGE_URL_PREFIX + "x", page("!!"))],
+                                  "page_id long, url string, html string")
+    out, rejected = PP.decode_price_pages(pages)
+    assert out.count() == 0
+    assert {r.status for r in rejected.collect()} == {"decode_failed"} and rejected.count() == 3
+
+
+def test_keyword_with_backslash(spark):
+    df = spark.createDataFrame([("a\\", "", ""), ("b", "", "")], "product_name string, review_text string, source string")
+    assert rows(B.search_keyword(df, "a\\"), "product_name") == [("a\\",)]

@@ -107,8 +107,8 @@ def test_ingest_stream_is_exactly_once_across_restarts(spark):
     from pyspark.sql import functions as F
 
     from pricelens.session import scratch_path
-    from pricelens.sources import price_pages as PP
-    pages = PP.encode_price_pages(A.price_obs(spark, SF_SMALL))
+    from pricelens.plans import landing as L
+    pages = L.price_pages(A.price_obs(spark, SF_SMALL))
     land = scratch_path(spark, "t-land")
     root = scratch_path(spark, "t-ingest")
     first = pages.where(F.col("url") < "https://pricehistory.app/p/user_5")
