@@ -35,7 +35,6 @@ from . import metrics as MET
 from .series import with_position
 
 Z80 = 1.2815515655446004   # normal quantile of 0.9: two-sided 80% band
-CONTEXT_DAYS = 512
 MONTH_INDEX_MIN_DAYS = 730
 KEYS = ["product_name", "fold"]
 # The model selector values of the original request API
@@ -171,12 +170,13 @@ def _quantile(sorted_arr, q: float):
     return F.when(k > 0, F.when(lo == hi, vlo).otherwise(vlo + (vhi - vlo) * (pos - lo)))
 
 
-def quantile_paths(rows: DataFrame, periods: int, context_days: int = CONTEXT_DAYS) -> DataFrame:
+def quantile_paths(rows: DataFrame, periods: int, context_days: int | None = None) -> DataFrame:
     """M2: per (product, fold, h) the 10/50/90% quantiles of the h-day ratio
     and the base value they scale.  Train fold horizons cover the test days
-    (``n - split``), the full fold ``periods`` days."""
+    (``n - split``), the full fold ``periods`` days.  The ratios cover the whole
+    history, or its last ``context_days`` where a caller asks for that."""
     n_ctx = F.when(F.col("fold") == "train", F.col("split")).otherwise(F.col("n"))
-    ctx = rows.where(F.col("idx") >= n_ctx - context_days)
+    ctx = rows if context_days is None else rows.where(F.col("idx") >= n_ctx - context_days)
     arr = ctx.groupBy(KEYS).agg(
         F.array_sort(F.collect_list(F.struct("idx", "y"))).alias("pts"),
         F.max("n").alias("n"), F.max("split").alias("split"), F.max("idx").alias("last_idx"))
@@ -222,6 +222,12 @@ def materialized_positions(series: DataFrame, min_points: int = S.MIN_HISTORY_PO
     return mat(positioned(series, min_points), materialize)
 
 
+def rejected_status(series: DataFrame, min_points: int, model: str) -> DataFrame:
+    """M7: the products that P8 rejects, with the reason."""
+    days = series.groupBy("product_name").agg(F.count(F.lit(1)).alias("n"))
+    return days.where(F.col("n") < min_points).select("product_name", F.lit(model).alias("model"), F.lit("too_few_points").alias("status"))
+
+
 def trend_seasonal(series: DataFrame, periods: int = S.DEFAULT_PERIODS,
                    min_points: int = S.MIN_HISTORY_POINTS, pos: DataFrame | None = None,
                    materialize: str = "checkpoint", floor: float | None = None) -> ForecastResult:
@@ -246,11 +252,12 @@ def trend_seasonal(series: DataFrame, periods: int = S.DEFAULT_PERIODS,
     status = fit.model.where(F.col("fold") == "full").select(
         "product_name", model,
         F.when(F.col("mode") == "multiplicative", F.lit("ok")).otherwise(F.col("mode")).alias("status"))
+    status = status.unionByName(rejected_status(series, min_points, "trend_seasonal"))
     return ForecastResult(fut, fitted, mets, best_time_to_buy(fut), status)
 
 
 def quantile(series: DataFrame, periods: int = S.DEFAULT_PERIODS,
-             min_points: int = S.MIN_HISTORY_POINTS, context_days: int = CONTEXT_DAYS,
+             min_points: int = S.MIN_HISTORY_POINTS, context_days: int | None = None,
              pos: DataFrame | None = None, materialize: str = "checkpoint") -> ForecastResult:
     """M2/M3/M4/M5 for every product."""
     from ..session import materialize as mat
@@ -273,6 +280,7 @@ def quantile(series: DataFrame, periods: int = S.DEFAULT_PERIODS,
         (F.col("base") * F.col("q50")).alias("predicted"))
     mets = MET.forecast_metrics(test, ["product_name", "model"], "actual", "predicted")
     status = pos.select("product_name").distinct().select("product_name", model, F.lit("ok").alias("status"))
+    status = status.unionByName(rejected_status(series, min_points, "quantile"))
     return ForecastResult(fut, fitted, mets, best_time_to_buy(fut), status)
 
 

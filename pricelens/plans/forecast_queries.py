@@ -274,6 +274,13 @@ def q_forecast_all(spark, d):
                                "predicted_price", "lower_bound", "upper_bound")
 
 
+@query("forecast_status", "M7 P8", ["series"], """
+SELECT product_name, 'quantile' AS model, CASE WHEN count(*) >= 30 THEN 'ok' ELSE 'too_few_points' END AS status
+FROM series GROUP BY product_name""")
+def q_forecast_status(spark, d):
+    return FC.quantile(events_series(spark, d), PERIODS, min_points=30).status
+
+
 @query("forecast_fourier", "M1b")
 def q_forecast_fourier(spark, d):
     from ..operators import forecast_fourier as FF

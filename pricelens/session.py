@@ -2,8 +2,8 @@
 
 Everything that must survive executor loss (stream checkpoints, written
 intermediate tables) goes under the folder the cluster names in
-``spark.checkpoint.dir``.  We only fall back to a fresh local folder when
-that setting is absent, which happens in tests on a laptop.
+``spark.checkpoint.dir``.  A fresh local folder takes its place only where the
+setting is absent and the master is local; elsewhere that is an error.
 """
 
 from __future__ import annotations
@@ -79,12 +79,15 @@ def _context(spark: SparkSession):
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a local one only if none is set."""
+    """The shared checkpoint folder; a local one is set only if none is set and
+    driver and executors are one process."""
     sc = _context(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and sc is not None:
         root = sc.getCheckpointDir()
     if not root:
+        if sc is None or not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="pricelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if sc is not None and not sc.getCheckpointDir():
@@ -101,12 +104,9 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder."""
-    root = checkpoint_root(spark)
-    path = f"{root}/pricelens/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", "", 1), exist_ok=True)
-    return path
+    """A name for a new sub-folder of the shared checkpoint folder; whoever
+    writes there creates it."""
+    return f"{checkpoint_root(spark)}/pricelens/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
