@@ -42,7 +42,14 @@ GROUPED, COVERED, OPEN, BEACON = 0, 1, 2, 3
 
 _C1, _C2, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_SEED_SCHEMA = "key long, tail long, doc long, th long, pos int, m int, kind int"
+#: ``at`` packs the first window, the number of windows and the kind of a row
+#: (see _pack), which costs half the bytes of three columns in a shuffle.
+_SEED_SCHEMA = "key long, tail long, doc long, th long, at long"
+_SEED_NAMES = ["key", "tail", "doc", "th", "at"]
+
+
+def _pack(pos: np.ndarray, m: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    return ((pos.astype(np.int64) << 8 | m) << 2) | kind
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -132,12 +139,9 @@ def _seed_rows(id_col: str, text_col: str, min_words: int, anchor: int):
             spread = _mix(tail ^ (pos.astype(np.uint64) * _C2) ^ ids[row].view(np.uint64))
             doc, th = ids[row], ths[row]
             beacon = new & crowded
-            cols = [np.where(kind == GROUPED, key, spread).view(np.int64), tail.view(np.int64), doc, th, pos, m, kind]
-            lamps = [key[beacon].view(np.int64), tail[beacon].view(np.int64), doc[beacon], th[beacon], pos[beacon], m[beacon],
-                     np.full(int(beacon.sum()), BEACON)]
-            types = [pa.int64()] * 4 + [pa.int32()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(cols, lamps), types)],
-                                             names=["key", "tail", "doc", "th", "pos", "m", "kind"])
+            cols = [np.where(kind == GROUPED, key, spread).view(np.int64), tail.view(np.int64), doc, th, _pack(pos, m, kind)]
+            lamps = [c[beacon] for c in (key.view(np.int64), tail.view(np.int64), doc, th, _pack(pos, m, np.full(len(m), BEACON)))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(cols, lamps)], names=_SEED_NAMES)
     return run
 
 
@@ -162,7 +166,8 @@ def _by_group(batches, settle):
 def _extend(batches):
     """First extension, over rows sorted by (key, tail, doc)."""
     def settle(table: pa.Table) -> pa.RecordBatch:
-        key, tail, doc, kind = (table.column(c).to_numpy() for c in ("key", "tail", "doc", "kind"))
+        key, tail, doc, packed = (table.column(c).to_numpy() for c in ("key", "tail", "doc", "at"))
+        kind = packed & 3
         grouped = kind == GROUPED
         at = np.arange(len(key))
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
@@ -180,10 +185,8 @@ def _extend(batches):
         differs = (lit | ((low < high) & (tails > 1)))[group]
         covered |= kind == COVERED
         keep = covered | (kind == OPEN) | (grouped & differs)
-        at = np.flatnonzero(keep)
-        picked = table.select(["doc", "th", "pos", "m"]).combine_chunks().take(pa.array(at))
-        cols = [picked.column(c).combine_chunks() for c in range(4)]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(covered[at])], names=["doc", "th", "pos", "m", "covered"])
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, table.column("th").to_numpy(), packed >> 2, covered)],
+                                          names=["doc", "th", "run", "covered"])
 
     yield from _by_group(batches, settle)
 
@@ -194,8 +197,8 @@ def _window_rows(id_col: str, text_col: str, min_words: int):
         for batch in steps(batches, text_col, STEP):
             data = [t.encode("utf-8", "replace") for t in texts_of(batch, text_col)]
             ids = batch.column(batch.schema.get_field_index(id_col)).to_numpy(zero_copy_only=False).astype(np.int64)
-            ths = batch.column(batch.schema.get_field_index("th")).to_numpy()
-            lists = batch.column(batch.schema.get_field_index("open"))
+            ths = batch.column(batch.schema.get_field_index("__th")).to_numpy()
+            lists = batch.column(batch.schema.get_field_index("__open"))
             packed = lists.flatten().to_numpy().astype(np.int64)
             row = np.repeat(np.arange(len(data)), np.diff(lists.offsets.to_numpy()))
             words, off = _word_hashes(data)
@@ -207,23 +210,23 @@ def _window_rows(id_col: str, text_col: str, min_words: int):
             row, lo, key, tail = row[order], lo[order], key[order], tail[order]
             spread = _mix(tail ^ (lo.astype(np.uint64) * _C2) ^ ids[row].view(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(covered, spread, key).view(np.int64)), pa.array(tail.view(np.int64)), pa.array(ids[row]), pa.array(ths[row]),
-                 pa.array(lo, pa.int32()), pa.array(np.ones(len(lo)), pa.int32()), pa.array(np.where(covered, COVERED, GROUPED), pa.int32())],
-                names=["key", "tail", "doc", "th", "pos", "m", "kind"])
+                [pa.array(c) for c in (np.where(covered, spread, key).view(np.int64), tail.view(np.int64), ids[row], ths[row],
+                                       _pack(lo, np.ones(len(lo), np.int64), np.where(covered, COVERED, GROUPED)))], names=_SEED_NAMES)
     return run
 
 
 def _meet_windows(batches):
     def settle(table: pa.Table) -> pa.RecordBatch:
-        key, tail, doc, kind = (table.column(c).to_numpy() for c in ("key", "tail", "doc", "kind"))
+        key, tail, doc, packed = (table.column(c).to_numpy() for c in ("key", "tail", "doc", "at"))
+        kind = packed & 3
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (tail[1:] != tail[:-1])])
         of = np.cumsum(new) - 1
         least = np.full(int(new.sum()), np.iinfo(np.int64).max)
         grouped = kind == GROUPED
         np.minimum.at(least, of[grouped], doc[grouped])
         covered = (kind == COVERED) | (grouped & (doc > least[of]))
-        picked = table.select(["doc", "th", "pos"]).combine_chunks().take(pa.array(np.flatnonzero(covered)))
-        return pa.RecordBatch.from_arrays([picked.column(c).combine_chunks() for c in range(3)], names=["doc", "th", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(c[covered]) for c in (doc, table.column("th").to_numpy(), packed >> 10)],
+                                          names=["doc", "th", "pos"])
 
     yield from _by_group(batches, settle)
 
@@ -233,8 +236,8 @@ def _cut(id_col: str, text_col: str, min_words: int, keep_layout: bool, passed:
     def run(batches):
         for batch in steps(batches, text_col, STEP):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            covered = batch.column(batch.schema.get_field_index("covered")).to_pylist()
-            windows = batch.column(batch.schema.get_field_index("windows")).to_pylist()
+            covered = batch.column(batch.schema.get_field_index("__covered")).to_pylist()
+            windows = batch.column(batch.schema.get_field_index("__windows")).to_pylist()
             n_words, n_removed, kept, spans = [], [], [], []
             for text, runs, single in zip(texts, covered, windows):
                 data = (text or "").encode("utf-8", "replace")
@@ -291,30 +294,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if min_words > 128:
         raise ValueError("min_words above 128 is not supported")
     made = ["n_words", "n_removed", "kept", "repeats"]
-    passed = [c for c in docs.columns if c == id_col or c == text_col or c.lower() not in
-              {*made, "th", "open", "covered", "windows", "doc"}]
-    docs = docs.select(*passed).withColumn("th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    passed = [c for c in docs.columns if c in (id_col, text_col) or c.lower() not in made]
+    docs = docs.select(*passed).withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     keyed = docs.where(F.col(id_col).isNotNull())
 
     seeds = keyed.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(
         _seed_rows(id_col, text_col, min_words, anchor), _SEED_SCHEMA)
     met = (seeds.repartition("key").sortWithinPartitions("key", "tail", "doc")
-           .mapInArrow(_extend, "doc long, th long, pos int, m int, covered boolean"))
-    packed = F.col("pos").cast("long") * 256 + F.col("m")
-    marks = materialize(met.groupBy("doc", "th").agg(F.collect_list(F.when(F.col("covered"), packed)).alias("covered"),
-                                                     F.collect_list(F.when(~F.col("covered"), packed)).alias("open")))
+           .mapInArrow(_extend, "doc long, th long, run long, covered boolean"))
+    marks = materialize(met.groupBy("doc", "th").agg(F.collect_list(F.when(F.col("covered"), F.col("run"))).alias("__covered"),
+                                                     F.collect_list(F.when(~F.col("covered"), F.col("run"))).alias("__open")))
+
     def marked(side: DataFrame, how: str) -> DataFrame:
-        side = side.withColumnRenamed("th", "mark_th")
-        return keyed.join(side, (keyed[id_col] == side.doc) & (keyed.th == side.mark_th), how).drop("doc", "mark_th")
+        side = side.withColumnsRenamed({"doc": "__doc", "th": "__text"})
+        return keyed.join(side, (keyed[id_col] == side["__doc"]) & (keyed["__th"] == side["__text"]), how).drop("__doc", "__text")
 
-    windows = marked(marks.where(F.size("open") > 0).select("doc", "th", "open"), "inner").select(
-        F.col(id_col).cast("long").alias(id_col), text_col, "th", "open").mapInArrow(_window_rows(id_col, text_col, min_words), _SEED_SCHEMA)
+    windows = marked(marks.where(F.size("__open") > 0).select("doc", "th", "__open"), "inner").select(
+        F.col(id_col).cast("long").alias(id_col), text_col, "__th", "__open").mapInArrow(_window_rows(id_col, text_col, min_words), _SEED_SCHEMA)
     found = (windows.repartition("key").sortWithinPartitions("key", "tail", "doc")
-             .mapInArrow(_meet_windows, "doc long, th long, pos int")
-             .groupBy("doc", "th").agg(F.collect_list("pos").alias("windows")))
-    both = marks.select("doc", "th", "covered").join(found, ["doc", "th"], "left")
-    ready = marked(both, "left").unionByName(
-        docs.where(F.col(id_col).isNull()).withColumn("covered", F.lit(None).cast("array<long>")).withColumn("windows", F.lit(None).cast("array<int>")))
+             .mapInArrow(_meet_windows, "doc long, th long, pos long")
+             .groupBy("doc", "th").agg(F.collect_list("pos").alias("__windows")))
+    both = marks.select("doc", "th", "__covered").join(found, ["doc", "th"], "left")
+    ready = marked(both, "left").unionByName(docs.where(F.col(id_col).isNull()).withColumns(
+        {c: F.lit(None).cast("array<long>") for c in ("__covered", "__windows")}))
     schema = T.StructType([docs.schema[c] for c in passed] + [
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),
         T.StructField("repeats", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])))])
