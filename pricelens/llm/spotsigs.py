@@ -18,10 +18,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .common import steps, texts_of, with_columns
 
 # Common words of four languages, in alphabetical order.
@@ -217,3 +218,53 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 out = []
 
     return rows.select("part", "border", "id", "text").mapInArrow(run, "id long, " + _PAIR_SCHEMA).withColumnRenamed("id", id_col)
+
+
+def _length_parts(threshold: float) -> list[int]:
+    """Least lengths of the partitions: two sets that can reach the threshold
+    lie in the same partition or in neighbours."""
+    out = [1]
+    while out[-1] < 1 << 30:
+        out.append(math.floor(out[-1] / threshold + 1e-9) + 1)
+    return out
+
+
+def similar(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", chain: int = 2,
+            anchors: frozenset[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Near duplicates: ``(classes, pairs)``.
+
+    ``classes`` has ``id_col`` and ``class`` for every row: rows with equal
+    fingerprints are one class, named by its smallest id (null if none of its
+    rows has one).  ``pairs`` has ``a``, ``b`` and ``likeness`` for every two
+    named classes whose Jaccard similarity reaches ``threshold``; ``a`` is the
+    one with the shorter set (the smaller id on ties).  Copies are never
+    unfolded.  Empty sets are one class and pair with no other.
+
+    Sets are partitioned by length and meet on their rarest signatures, so many
+    of them that two similar sets share one; candidates whose lengths rule the
+    threshold out are pruned before the sets are read.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must lie above 0 and be 1 at most")
+    rows = materialize(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), text_col), text_col, "fp", chain, anchors).select(
+        "id", F.sha2("fp", 256).alias("key"), "fp"))
+    named = rows.groupBy("key").agg(F.min("id").alias("class"), F.first("fp").alias("fp"))
+    spots = F.transform(F.sequence(F.lit(0), (F.length("fp") / 8).cast("int") - 1), lambda i: F.substr(F.col("fp"), i * 8 + 1, F.lit(8)))
+    sets = materialize(named.where((F.length("fp") > 0) & F.col("class").isNotNull()).select(
+        "class", (F.length("fp") / 8).cast("int").alias("n"), spots.alias("spots")))
+    each = sets.select("class", "n", F.explode("spots").alias("spot"))
+    rare = each.groupBy("spot").agg(F.count("*").alias("sets"))
+    rank = F.row_number().over(Window.partitionBy("class").orderBy("sets", "spot"))  # a set is no longer than its text
+    first = each.join(rare, "spot").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    bounds = F.array(*[F.lit(b) for b in _length_parts(threshold)])
+    keyed = first.withColumn("part", F.size(F.filter(bounds, lambda b: b <= F.col("n")))).select("class", "n", "spot", "part")
+    short = keyed.select(F.col("class").alias("a"), F.col("n").alias("na"), "spot", "part")
+    long = keyed.select(F.col("class").alias("b"), F.col("n").alias("nb"), "spot",
+                        F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"))
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    met = short.join(long, ["part", "spot"]).where(ordered & (F.col("na") >= F.col("nb") * threshold - 1e-9)).select("a", "b").distinct()
+    left, right = sets.select(F.col("class").alias("a"), F.col("spots").alias("sa")), sets.select(F.col("class").alias("b"), F.col("spots").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    pairs = met.join(left, "a").join(right, "b").withColumn("likeness", both / (F.size("sa") + F.size("sb") - both))
+    classes = rows.select("id", "key").join(named.select("key", "class"), "key").select(F.col("id").alias(id_col), "class")
+    return classes, pairs.where(F.col("likeness") >= threshold - 1e-12).select("a", "b", "likeness")

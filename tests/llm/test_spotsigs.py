@@ -97,3 +97,40 @@ def test_query_on_documents(spark):
     assert all(abs(got[i].near_next - jaccard(got[i].fingerprint, got[j].fingerprint)) < 1e-12 for i, j in zip(order, order[1:] + order[:1]))
     longer = [r for r in got.values() if r.n_chars > 600]
     assert sorted(r.near_edited for r in longer)[len(longer) // 2] > 0.4  # a third of the text differs
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_similar_equals_all_pairs(spark, threshold):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    docs = []
+    for i in range(60):
+        t = [x for _ in range(rng.randint(3, 40)) for x in ("the", rng.choice(words), rng.choice(words))]
+        docs.append((len(docs), " ".join(t)))
+        for _ in range(rng.choice([0, 0, 3])):  # near copies
+            u = list(t)
+            for _ in range(rng.randint(0, 4)):
+                u[rng.randrange(len(u))] = rng.choice(words)
+            docs.append((len(docs), " ".join(u)))
+    docs += [(1000 + k, docs[k][1].upper()) for k in range(30)] + [(None, docs[0][1]), (None, "the unnamed text"), (2000, None), (2001, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    classes, pairs = spotsigs.similar(df.repartition(4), threshold)
+    s = spotsigs.Spotter(2, spotsigs.every_anchor())
+    of, least = {}, {}
+    for i, t in docs:
+        key = spotsigs.as_text(s.spots(t or ""))
+        of.setdefault(key, []).append(i)
+    for key, ids in of.items():
+        least[key] = min((i for i in ids if i is not None), default=None)
+    assert sorted(map(str, ((r.doc_id, r["class"]) for r in classes.collect()))) == sorted(map(str, ((i, least[k]) for k, ids in of.items() for i in ids)))
+    keys = [k for k in of if k and least[k] is not None]
+    expect = {}
+    for x, k in enumerate(keys):
+        for m in keys[:x]:
+            j = jaccard(k, m)
+            if j >= threshold:
+                a, b = sorted((len(q), least[q]) for q in (k, m))
+                expect[a[1], b[1]] = j
+    got = {(r.a, r.b): r.likeness for r in pairs.collect()}
+    assert set(got) == set(expect) and all(abs(got[p] - expect[p]) < 1e-12 for p in got)
+    assert [t.count() for t in spotsigs.similar(df.limit(0), threshold)] == [0, 0]
