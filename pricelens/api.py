@@ -26,6 +26,7 @@ from .operators import decision as DEC
 from .operators import forecast as FC
 from .operators import reviews as R
 from .operators import series as SER
+from .session import materialize
 from .sources import price_pages as PP
 from .sources import review_pages as RP
 
@@ -109,10 +110,15 @@ def subscribe(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return AL.upsert_state(good), bad
 
 
-def check_alerts(obs: DataFrame, requests: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
+def check_alerts(obs: DataFrame, requests: DataFrame, reasons: DataFrame | None = None,
+                 fired: DataFrame | None = None) -> DataFrame:
     """J2 on the current prices (last value of each daily series), with
-    the decision reason in the message."""
+    the decision reason in the message.  ``fired`` is the log of alerts sent
+    before ``(email, product_name, fired_ts)``; those do not fire again until
+    their key subscribes anew."""
     state, _ = subscribe(requests)
+    if fired is not None:
+        state = AL.apply_fired(state, fired)
     current = DEC.price_stats(load_product_price_data(obs)).select("product_name", "current_price")
     return AL.alerts_due(current, state, reasons)
 
@@ -133,10 +139,17 @@ def ingest_price_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ingest_review_pages(pages: DataFrame, product_name: str | None = None) -> DataFrame:
-    """Entry 3 (reviews): observation rows from landed review pages."""
-    cards = RP.extract_reviews(pages)
-    j = cards.join(pages.select("page_id", "url"), "page_id")
-    name = F.lit(product_name) if product_name is not None else F.col("url")
+    """Entry 3 (reviews): observation rows from landed review pages, each
+    listing's pages up to the first one without reviews (S8b; a page without a
+    number is the first).  The product is the title of the page's product link
+    (S8e) unless a name is given."""
+    cards = materialize(RP.extract_reviews(pages))
+    numbered = RP.page_numbers(pages).withColumn("page", F.coalesce("page", F.lit(1)))
+    counts = cards.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    listed = numbered.join(counts, "page_id", "left").withColumn("n_reviews", F.coalesce("n", F.lit(0)))
+    used = RP.pages_until_empty(listed).select("page_id", "url", RP.product_title(F.col("html")).alias("title_"))
+    j = cards.join(used, "page_id")
+    name = F.lit(product_name) if product_name is not None else F.col("title_")
     return j.select(F.lit(None).cast("string").alias("timestamp"), F.lit(S.SOURCE_REVIEWS).alias("source"),
                     name.alias("product_name"), F.col("rating"),
                     RP.review_text(F.col("title"), F.col("body")).alias("review_text"), "url",

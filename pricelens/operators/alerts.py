@@ -85,6 +85,16 @@ def upsert_state(requests: DataFrame) -> DataFrame:
                       F.lit(True).alias("active"))
 
 
+def apply_fired(state: DataFrame, fired: DataFrame) -> DataFrame:
+    """A subscription is inactive once an alert was sent at or after its
+    latest request; a later request makes it active again.  ``fired`` is the
+    log of sent alerts ``(email, product_name, fired_ts)``, in any order."""
+    last = fired.groupBy(*SUB_KEY).agg(F.max("fired_ts").alias("_fired"))
+    j = state.join(last, list(SUB_KEY), "left")
+    open_ = F.col("_fired").isNull() | (F.col("_fired") < F.col("sub_ts"))
+    return j.withColumn("active", F.col("active") & open_).select(*state.columns)
+
+
 def active_subscribers(state: DataFrame) -> DataFrame:
     """(product, email) of active subscriptions, tidy rows."""
     return state.where(F.col("active")).select("product_name", "email")
@@ -100,12 +110,6 @@ def alert_message(product: Column, price: Column, decision_text: Column,
     return subject, body
 
 
-def latest_prices(ticks: DataFrame) -> DataFrame:
-    """Current price per product: the last tick by (ts, seq)."""
-    return ticks.where(F.col("price").isNotNull()).groupBy("product_name").agg(
-        F.max_by("price", F.struct("ts", "seq", "price")).alias("current_price"))
-
-
 def alerts_due(current: DataFrame, state: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
     """Active subscriptions whose target the current price meets.
 

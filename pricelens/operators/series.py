@@ -84,25 +84,22 @@ def daily_last_price(prices: DataFrame, products=None) -> DataFrame:
         F.max_by("price", F.struct("ts", "seq", "price")).alias("y"))
 
 
-def densify(daily: DataFrame, max_gap_days: int | None = None) -> DataFrame:
+def densify(daily: DataFrame) -> DataFrame:
     """One row per product and day from first to last day; a missing
     day carries the previous day's value (forward fill).
 
     Each day row expands to itself plus the missing days up to the next
     observed day, so no calendar join and no second fill pass is needed.
-    ``max_gap_days`` (off by default) bounds the rows one gap may create.
     """
     w = Window.partitionBy("product_name").orderBy("ds")
     last_fill = F.coalesce(F.date_sub(F.col("next_ds"), 1), F.col("ds"))
-    if max_gap_days is not None:
-        last_fill = F.least(last_fill, F.date_add("ds", max_gap_days))
     return (daily.withColumn("next_ds", F.lead("ds").over(w))
             .select("product_name", F.explode(F.sequence("ds", last_fill)).alias("ds"), "y"))
 
 
-def daily_series(prices: DataFrame, products=None, max_gap_days: int | None = None) -> DataFrame:
+def daily_series(prices: DataFrame, products=None) -> DataFrame:
     """D2 + W1: gap-free daily series ``(product_name, ds, y)``."""
-    return densify(daily_last_price(prices, products), max_gap_days)
+    return densify(daily_last_price(prices, products))
 
 
 def with_position(series: DataFrame) -> DataFrame:

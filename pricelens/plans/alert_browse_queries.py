@@ -53,10 +53,19 @@ def q_subscription_upsert(spark, d):
                      "active")
 
 
-@query("active_subscribers", "P9", ["sub_state"], """
-SELECT product_name, email FROM sub_state WHERE active""")
+@query("active_subscribers", "P9 D4", ["sub_state", "price_obs"], """
+SELECT s.product_name, s.email FROM sub_state s LEFT JOIN (
+  SELECT product_name, arg_max(price, (ts, seq, price)) AS price, max(ts) AS ts FROM price_obs
+  WHERE price IS NOT NULL GROUP BY product_name) c ON c.product_name = s.product_name
+WHERE s.active AND NOT coalesce(c.price <> 0 AND c.price <= s.target_price AND c.ts >= s.sub_ts, false)""")
 def q_active_subscribers(spark, d):
-    return AL.active_subscribers(AL.upsert_state(valid_requests(spark, d)))
+    """Subscriptions still open after the alerts of the current prices went out."""
+    ticks = A.price_obs(spark, d)
+    state = materialize(AL.upsert_state(valid_requests(spark, d)))
+    cur = ticks.where(F.col("price").isNotNull()).groupBy("product_name").agg(
+        F.max_by("price", F.struct("ts", "seq", "price")).alias("current_price"), F.max("ts").alias("fired_ts"))
+    fired = AL.alerts_due(cur, state).join(cur.select("product_name", "fired_ts"), "product_name")
+    return AL.active_subscribers(AL.apply_fired(state, fired))
 
 
 @query("alerts_due", "J2 F24 A5", ["sub_state", "price_obs", "series"], f"""

@@ -180,11 +180,10 @@ def q_first_product_link(spark, d):
     landed = A.table(spark, d, "pages").withColumn("kind", F.lit("landed"))
     rev = review_pages(spark, d).withColumn("kind", F.lit("review"))
     html = F.col("html")
-    title = F.regexp_extract(html, r'href="[^"]*/p/[^"]*"[^>]*>([^<]*)</a>', 1)
     return landed.unionByName(rev).select(
         "kind", "page_id", PP.first_link(html, "/p/").alias("product_link"),
         PP.first_link(html, "/product-reviews/").alias("reviews_link"),
-        F.when(title != "", title).otherwise(F.lit("Product")).alias("title"))
+        RP.product_title(html).alias("title"))
 
 
 def _card_sql() -> str:

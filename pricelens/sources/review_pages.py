@@ -166,6 +166,12 @@ def extract_reviews(pages: DataFrame, compat: bool = False) -> DataFrame:
     return cards.select("page_id", number.alias("card_no"), "rating", "title", "body", "reviewer", F.lit(True).alias("certified"))
 
 
+def product_title(html: Column) -> Column:
+    """S8e: the text of the first product link, "Product" without one."""
+    title = F.regexp_extract(html, r'href="[^"]*/p/[^"]*"[^>]*>([^<]*)</a>', 1)
+    return F.when(title != "", title).otherwise(F.lit("Product"))
+
+
 def review_text(title: Column, body: Column) -> Column:
     """F12."""
     return T.review_text(title, body)

@@ -188,3 +188,12 @@ def test_bad_price_pages_go_to_quarantine(spark):
 def test_keyword_with_backslash(spark):
     df = spark.createDataFrame([("a\\", "", ""), ("b", "", "")], "product_name string, review_text string, source string")
     assert rows(B.search_keyword(df, "a\\"), "product_name") == [("a\\",)]
+
+
+def test_review_ingest_stops_at_the_empty_page_and_names_the_product(spark):
+    from pricelens import api
+    page = f'<html><nav><a href="/p/foo">Foo 12</a></nav><main>{CARD}</main></html>'
+    pages = spark.createDataFrame([(1, "u?x=1", page), (2, "u?x=1&page=2", page), (3, "u?x=1&page=3", "<p>none</p>"), (4, "u?x=1&page=4", page)],
+                                  "page_id long, url string, html string")
+    got = api.ingest_review_pages(pages)
+    assert sorted((r.product_name, r.url) for r in got.collect()) == [("Foo 12", "u?x=1"), ("Foo 12", "u?x=1&page=2")]

@@ -85,3 +85,22 @@ def test_subscription_file_store(spark):
     assert rows(st) == [("a@x", "P", 90.0, True), ("b@x", "Q", 5.5, False)]
     assert AL.read_subscription_file(spark, root + "/missing.json").count() == 0
     assert rows(AL.active_subscribers(st)) == [("P", "a@x")]
+
+
+def test_an_alert_fires_once_until_its_key_subscribes_again(spark):
+    import datetime as dt
+
+    from pricelens.operators import alerts as AL
+    t = [dt.datetime(2024, 1, d) for d in range(1, 6)]
+    req = spark.createDataFrame([("a@x", "P", 50.0, t[0], 1), ("b@x", "P", 10.0, t[0], 2)],
+                                "email string, product_name string, target_price double, sub_ts timestamp, seq long")
+    cur = spark.createDataFrame([("P", 40.0)], "product_name string, current_price double")
+    state = AL.upsert_state(req)
+    due = AL.alerts_due(cur, state)
+    assert [r.email for r in due.collect()] == ["a@x"]
+    fired = due.selectExpr("email", "product_name", "timestamp'2024-01-02' AS fired_ts")
+    after = AL.apply_fired(state, fired.union(fired))
+    assert AL.alerts_due(cur, after).count() == 0
+    assert [r.email for r in AL.active_subscribers(after).collect()] == ["b@x"]
+    again = req.union(spark.createDataFrame([("a@x", "P", 45.0, t[3], 3)], req.schema))
+    assert [r.target_price for r in AL.alerts_due(cur, AL.apply_fired(AL.upsert_state(again), fired)).collect()] == [45.0]
