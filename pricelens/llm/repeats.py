@@ -118,6 +118,14 @@ def _settled(key: np.ndarray, tail: np.ndarray, doc: np.ndarray) -> tuple[np.nda
     return order, d > least
 
 
+def _as_read(order: np.ndarray, cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Sorted columns back in the order of the texts: rows of one document then
+    follow each other in every shuffle block, which compresses their equal parts."""
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return [c[back] for c in cols]
+
+
 def _seed_rows(id_col: str, text_col: str, min_words: int, anchor: int):
     def run(batches):
         for batch in steps(batches, text_col, STEP):
@@ -140,6 +148,7 @@ def _seed_rows(id_col: str, text_col: str, min_words: int, anchor: int):
             doc, th = ids[row], ths[row]
             beacon = new & crowded
             cols = [np.where(kind == GROUPED, key, spread).view(np.int64), tail.view(np.int64), doc, th, _pack(pos, m, kind)]
+            cols = _as_read(order, cols)
             lamps = [c[beacon] for c in (key.view(np.int64), tail.view(np.int64), doc, th, _pack(pos, m, np.full(len(m), BEACON)))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(cols, lamps)], names=_SEED_NAMES)
     return run
@@ -209,9 +218,9 @@ def _window_rows(id_col: str, text_col: str, min_words: int):
             order, covered = _settled(key, tail, ids[row])
             row, lo, key, tail = row[order], lo[order], key[order], tail[order]
             spread = _mix(tail ^ (lo.astype(np.uint64) * _C2) ^ ids[row].view(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in (np.where(covered, spread, key).view(np.int64), tail.view(np.int64), ids[row], ths[row],
-                                       _pack(lo, np.ones(len(lo), np.int64), np.where(covered, COVERED, GROUPED)))], names=_SEED_NAMES)
+            cols = _as_read(order, [np.where(covered, spread, key).view(np.int64), tail.view(np.int64), ids[row], ths[row],
+                                    _pack(lo, np.ones(len(lo), np.int64), np.where(covered, COVERED, GROUPED))])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=_SEED_NAMES)
     return run
 
 

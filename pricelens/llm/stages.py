@@ -12,7 +12,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from . import byte_bpe, mixing, repeats, simhash, toxicity
 from .common import read
 from .queries import BYTE_RANKS, training
@@ -26,18 +25,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: that with the smallest id.  Texts
-    without words have no content to compare and stay, and so do rows without
-    an id; of rows that repeat the kept id one stays, that of the least text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("__hash", F.xxhash64(text))
+    """One document of each SimHash group: that with the smallest id, of rows
+    that repeat the id that of the least text hash.  Texts without words are a
+    group like any other.  A row without an id stays only where its group has
+    no id at all; such rows are one group for each fingerprint."""
+    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     groups = simhash.near_duplicates(rows.select("doc_id", "text", "__hash"), shingle=4, radius=4)
-    first = (groups.where((F.col("doc_id") == F.col("component_id")) & (F.col("fp") != 0))
-             .groupBy(F.col("doc_id").alias("__id")).agg(F.min("__hash").alias("__kept")))
-    bare = (F.col("doc_id").isNull()) | (F.regexp_count(text, F.lit(mixing.WORDS)) == 0)
-    kept = rows.where(~bare).join(first, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__kept"))).drop("__id", "__kept")
-    once = kept.dropDuplicates(["doc_id", "__hash"])
-    return once.unionByName(rows.where(bare)).drop("__hash")
+    named = F.col("component_id").isNotNull()
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("__hash").alias("hash"))
+    first = groups.groupBy(named.alias("named"), F.coalesce("component_id", "fp").alias("group")).agg(F.min(place).alias("first"))
+    first = first.select(F.col("first.id").alias("__id"), F.col("first.hash").alias("__first"))
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__first"))).drop("__id", "__first")
+    return kept.dropDuplicates(["doc_id", "__hash"]).drop("__hash")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -42,7 +43,7 @@ LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 STEP = 6 << 20
 #: Words and pieces a worker keeps before it starts anew.
-KEPT = 300_000
+KEPT_WORDS, KEPT_PIECES = 700_000, 500_000
 
 # --- range asymmetric numeral system ---------------------------------------
 
@@ -153,25 +154,30 @@ class WordCoder:
 
     def forget(self) -> None:
         self.words: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}  # ids of a piece, four bytes each
         self.ids = np.zeros(0, np.int32)
         self.off = np.zeros(1, np.int64)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
             text = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-            found = self.pieces[piece] = [t.id for t in self.bpe.tokenize(text)]
+            found = self.pieces[piece] = array("i", [t.id for t in self.bpe.tokenize(text)]).tobytes()
         return found
 
-    def _word(self, raw: bytes) -> list[int]:
+    def _word(self, raw: bytes) -> bytes:
         word = raw.decode("utf-8")
         if not self.plain(word):
-            return self.whole.encode(word, add_special_tokens=False).ids
-        return [i for p in self.find(word.lower()) for i in self._piece(p)]
+            return array("i", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        word = word.lower()
+        if word.isalpha():  # letters only: one piece
+            return self._piece(word)
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return self._piece(word[:-1]) + self._piece(word[-1])
+        return b"".join(map(self._piece, self.find(word)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > KEPT or len(self.pieces) > KEPT:
+        if len(self.words) > KEPT_WORDS or len(self.pieces) > KEPT_PIECES:
             self.forget()
         at, alone, fresh = [], {}, []
         for k, t in enumerate(texts):
@@ -185,8 +191,8 @@ class WordCoder:
                 fresh.append(self._word(w))
             at.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
         if fresh:
-            lens = np.fromiter(map(len, fresh), np.int64, len(fresh))
-            self.ids = np.concatenate([self.ids, np.array([i for x in fresh for i in x], np.int32)])
+            lens = np.fromiter(map(len, fresh), np.int64, len(fresh)) // 4
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(fresh), np.int32)])
             self.off = np.concatenate([self.off, self.off[-1] + offsets(lens)[1:]])
         return [alone[k] if a is None else ragged(self.ids, self.off[a], self.off[a + 1] - self.off[a]) for k, a in enumerate(at)]
 
