@@ -131,7 +131,8 @@ def fit_trend_seasonal(rows: DataFrame, periods: int, materialize: str = "checkp
     lin = r.groupBy(KEYS).agg(
         F.regr_intercept("y", "t").alias("a"), F.regr_slope("y", "t").alias("b"),
         F.avg("y").alias("ybar"), F.count(F.lit(1)).alias("n_fit"), F.max("n").alias("n"))
-    t_end = F.when(F.col("fold") == "train", F.col("n") - 1).otherwise(F.col("n") - 1 + periods)
+    # The form follows from the fitted history alone, so a day's price is the same at any horizon.
+    t_end = F.col("n_fit") - 1
     mode = (F.when(F.col("b").isNull(), F.lit("degenerate"))
             .when(F.least(F.col("a"), F.col("a") + F.col("b") * t_end) <= 0, F.lit("additive"))
             .otherwise(F.lit("multiplicative")))

@@ -65,7 +65,7 @@ SELECT product_name, 'train' AS fold, ds, y, idx, n, split FROM fpos WHERE idx <
 
 view("m1_lin", ["frows"], f"""
 SELECT *, CASE WHEN b IS NULL THEN 'degenerate'
-               WHEN least(a, a + b * (CASE WHEN fold = 'train' THEN n - 1 ELSE n - 1 + {PERIODS} END)) <= 0
+               WHEN least(a, a + b * (n_fit - 1)) <= 0
                THEN 'additive' ELSE 'multiplicative' END AS mode
 FROM (SELECT product_name, fold, regr_intercept(y, CAST(idx AS DOUBLE)) AS a,
              regr_slope(y, CAST(idx AS DOUBLE)) AS b, avg(y) AS ybar, count(*) AS n_fit, max(n) AS n

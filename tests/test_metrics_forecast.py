@@ -59,7 +59,7 @@ def test_trend_model_continues_a_line(spark):
 
 
 def test_trend_model_additive_guard(spark):
-    res = FC.trend_seasonal(series(spark, [30 - i for i in range(20)]), periods=30)
+    res = FC.trend_seasonal(series(spark, [30 - 2 * i for i in range(20)]), periods=30)
     assert res.status.collect()[0].status == "additive"
 
 
@@ -113,3 +113,10 @@ def test_fourier_variant_tracks_weekly_pattern(spark):
     m = mets.collect()[0]
     assert m.mape < 5.0
     assert best.count() == 1
+
+
+def test_a_day_has_one_price_at_any_horizon(spark):
+    s = series(spark, [40 - 0.6 * i + (i % 7) for i in range(40)])
+    near = {r.ds: r.predicted_price for r in FC.trend_seasonal(s, periods=7).forecast.collect()}
+    far = {r.ds: r.predicted_price for r in FC.trend_seasonal(s, periods=60).forecast.collect()}
+    assert near == {d: far[d] for d in near}
