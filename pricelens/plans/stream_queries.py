@@ -16,14 +16,20 @@ from .registry import query
 from .sql_text import rnd
 
 
+def _events(d: str) -> str:
+    """The table as a pattern: a stream takes a pattern's match whether it is
+    one file or a folder of files, a plain path only if it is a folder."""
+    return f"{d.rstrip('/')}/events.parque[t]"
+
+
 def _ticks(spark, d: str):
-    return J.tick_stream(spark, d.rstrip("/"), "events.parquet")
+    return J.tick_stream(spark, _events(d))
 
 
 @query("stream_alerts", "T1 J7 J2", ["first_fire"], FIRE_SQL)
 def q_stream_alerts(spark, d):
     ticks = _ticks(spark, d)
-    reqs = J.request_stream(spark, d.rstrip("/"), "events.parquet")
+    reqs = J.request_stream(spark, _events(d))
     keys = ("email", "product_name", "sub_ts", "seq")
     out = J.run_to_table(spark, J.alert_stream(ticks, reqs), "alerts", "update",
                          sink=J.upsert_partitions(keys, "bucket"))
@@ -46,3 +52,12 @@ def q_stream_ingest(spark, d):
     L.price_pages(A.price_obs(spark, d)).write.parquet(landing)
     out = J.run_to_table(spark, J.ingest_stream(spark, landing), "ingest", "append")
     return out.select("product_name", "timestamp", "price", "price_defaulted")
+
+
+@query("stream_quarantine", "T3 S11", ["price_obs"], """
+SELECT page_id, url, 'invalid_url' AS status FROM pages""")
+def q_stream_quarantine(spark, d):
+    landing = scratch_path(spark, "landing") + "/pages"
+    L.price_pages(A.price_obs(spark, d)).unionByName(A.table(spark, d, "pages")).write.parquet(landing)
+    out = J.run_to_table(spark, J.quarantine_stream(spark, landing), "quarantine", "append")
+    return out.select("page_id", "url", "status")

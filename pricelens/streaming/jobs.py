@@ -187,15 +187,25 @@ def ingest_stream(spark: SparkSession, pages_path: str) -> DataFrame:
     return rows
 
 
+def quarantine_stream(spark: SparkSession, pages_path: str) -> DataFrame:
+    """The landed pages that give no observations ``(page_id, url,
+    status)``; run it beside ``ingest_stream`` into a table of its own."""
+    _, rejected = PP.decode_price_pages(spark.readStream.schema(S.PAGES).parquet(pages_path))
+    return rejected
+
+
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode: str = "append",
                  sink: Callable[[DataFrame, str], None] | None = None, root: str | None = None) -> DataFrame:
     """Run ``stream`` with ``availableNow`` into a Parquet table in the
     shared checkpoint folder; return the table.
 
-    Append mode uses the exactly-once file sink.  Complete/update modes
-    rewrite the table from each micro-batch's result in ``foreachBatch``
-    (idempotent: a replayed batch writes the same rows).
+    Append mode uses the exactly-once file sink.  Complete mode rewrites the
+    table from each micro-batch's result in ``foreachBatch`` (idempotent: a
+    replayed batch writes the same rows).  A batch of update mode holds only
+    the rows that changed, so that mode needs a keyed ``sink``.
     """
+    if output_mode == "update" and sink is None:
+        raise ValueError("update mode needs a keyed sink, or earlier batches would be lost")
     root = root or scratch_path(spark, f"stream-{name}")
     out, ckpt = f"{root}/table", f"{root}/checkpoint"
     w = stream.writeStream.option("checkpointLocation", ckpt).outputMode(output_mode).trigger(availableNow=True)

@@ -136,3 +136,16 @@ def test_upsert_sink_replaces_by_key_and_is_idempotent(spark):
     sink(b2, out)                                   # partition b untouched
     assert rows(spark.read.parquet(out), "k", "p", "v") == [(1, "a", 10.0), (2, "a", 21.0), (3, "b", 30.0),
                                                             (4, "a", 40.0)]
+
+
+def test_streams_over_a_table_of_several_files(spark, tmp_path):
+    from pricelens.plans import load_all
+    spark.read.parquet(f"{SF_SMALL}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    build = load_all()["stream_daily_last"].build
+    assert rows(build(spark, str(tmp_path))) == rows(build(spark, SF_SMALL))
+
+
+def test_update_mode_needs_a_keyed_sink(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        J.run_to_table(spark, J.daily_last_stream(J.tick_stream(spark, SF_SMALL, "events.parquet")), "daily", "update")
