@@ -104,9 +104,14 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A name for a new sub-folder of the shared checkpoint folder; whoever
-    writes there creates it."""
-    return f"{checkpoint_root(spark)}/pricelens/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh sub-folder of the shared checkpoint folder, made by Spark's own
+    file system layer, so on whatever store the path names."""
+    path = f"{checkpoint_root(spark)}/pricelens/{name}-{uuid.uuid4().hex[:12]}"
+    sc = _context(spark)
+    if sc is not None:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).mkdirs(folder)
+    return path
 
 
 def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
