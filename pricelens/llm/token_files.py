@@ -23,7 +23,6 @@ from __future__ import annotations
 import json
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from ..session import materialize
-from .common import offsets, ragged, steps, texts_of
+from .common import offsets, ragged, steps, texts_of, worker_state
 from .files import Writer, random_access
 
 MAGIC = b"RANSTOK1"
@@ -197,9 +196,8 @@ class WordCoder:
         return [alone[k] if a is None else ragged(self.ids, self.off[a], self.off[a + 1] - self.off[a]) for k, a in enumerate(at)]
 
 
-@lru_cache(maxsize=2)
 def coder(path: str) -> WordCoder:
-    return WordCoder(path)
+    return worker_state(("token_files", path), lambda: WordCoder(path))
 
 
 # --- files ------------------------------------------------------------------
