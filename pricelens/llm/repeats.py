@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import offsets, steps, texts_of
+from .common import offsets, steps, texts_of, worker_state
 
 STEP = 8 << 20
 #: Rows of one anchor in a step above which they skip the first extension.
@@ -128,6 +128,7 @@ def _as_read(order: np.ndarray, cols: list[np.ndarray]) -> list[np.ndarray]:
 
 def _seed_rows(id_col: str, text_col: str, min_words: int, anchor: int):
     def run(batches):
+        worker_state("repeats", object)  # keeps nothing, and lets go what others kept
         for batch in steps(batches, text_col, STEP):
             data = [t.encode("utf-8", "replace") for t in texts_of(batch, text_col)]
             ids = batch.column(batch.schema.get_field_index(id_col)).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -203,6 +204,7 @@ def _extend(batches):
 def _window_rows(id_col: str, text_col: str, min_words: int):
     """Second extension: the windows of each open seed."""
     def run(batches):
+        worker_state("repeats", object)  # keeps nothing, and lets go what others kept
         for batch in steps(batches, text_col, STEP):
             data = [t.encode("utf-8", "replace") for t in texts_of(batch, text_col)]
             ids = batch.column(batch.schema.get_field_index(id_col)).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -243,6 +245,7 @@ def _meet_windows(batches):
 def _cut(id_col: str, text_col: str, min_words: int, keep_layout: bool, passed: list[str], names: list[str]):
     """Takes the covered words out of the texts."""
     def run(batches):
+        worker_state("repeats", object)
         for batch in steps(batches, text_col, STEP):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             covered = batch.column(batch.schema.get_field_index("__covered")).to_pylist()
