@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import offsets, ragged, texts_of, with_columns
+from .common import offsets, ragged, texts_of, with_columns, worker_state
 
 
 #: Bytes of text encoded at a time.
@@ -170,7 +170,7 @@ class Merges:
         return ragged(self.flat, self.starts[at], lens), offsets(lens)[off]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def load(path: str) -> Merges:
     """The vocabulary of a rank file (base64 token, rank on each line)."""
     with open(path, "rb") as f:
@@ -187,7 +187,7 @@ class Encoder:
     side is matched as a whole and its matches are its runs.
     """
 
-    KEPT = 300_000
+    KEPT = 250_000
 
     def __init__(self, merges: Merges, pattern: str):
         self.merges, self.find = merges, regex.compile(pattern).findall
@@ -252,10 +252,9 @@ class Encoder:
         return ragged(self.ids, self.off[every], lens), offsets(lens)[doc]
 
 
-@lru_cache(maxsize=4)
 def encoder(ranks_path: str, pattern: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    return Encoder(load(ranks_path), pattern)
+    return worker_state(("byte_bpe", ranks_path, pattern), lambda: Encoder(load(ranks_path), pattern))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

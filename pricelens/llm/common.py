@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,19 @@ from pyspark.sql.pandas.types import to_arrow_type
 STEP_BYTES = 16 << 20
 
 
+_HELD: dict = {}
+
+
+def worker_state(key, make):
+    """What a Python worker keeps between steps and tasks, one thing at a time:
+    a worker that goes on to another operator lets the former's go."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

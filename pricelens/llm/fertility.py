@@ -17,8 +17,6 @@ byte-fallback share exceeds the median by ``byte_margin``.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -27,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import offsets, ragged, texts_of, with_columns
+from .common import offsets, ragged, texts_of, with_columns, worker_state
 
 STEP = 8 << 20
 #: Words a worker keeps before it starts anew (fewer than 2**21, see _repeats).
@@ -71,9 +69,8 @@ class Pieces:
         return ragged(self.ids, self.off[words], self.off[words + 1] - self.off[words])
 
 
-@lru_cache(maxsize=2)
 def pieces(model_path: str) -> Pieces:
-    return Pieces(model_path)
+    return worker_state(("fertility", model_path), lambda: Pieces(model_path))
 
 
 def _repeats(words: np.ndarray) -> int:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import texts_of, with_columns
+from .common import texts_of, with_columns, worker_state
 from .components import connected_components
 
 BITS = 64
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, text_col: str = "text", out_
     """``docs`` with the fingerprint of ``text_col`` as a signed long; a null
     text, like one without words, has fingerprint zero."""
     def run(batch: pa.RecordBatch) -> list:
+        worker_state("simhash", object)  # keeps nothing, and lets go what others kept
         fps = np.array([fingerprint(t, shingle) for t in texts_of(batch, text_col)], np.uint64)
         return [pa.array(fps.view(np.int64))]
 

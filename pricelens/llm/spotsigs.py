@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import steps, texts_of, with_columns
+from .common import steps, texts_of, with_columns, worker_state
 
 # Common words of four languages, in alphabetical order.
 ANCHORS = {
@@ -91,9 +90,8 @@ class Spotter:
         return np.unique((_mix(h) >> np.uint64(32)).astype(np.uint32))
 
 
-@lru_cache(maxsize=2)
 def spotter(chain: int, anchors: frozenset[str]) -> Spotter:
-    return Spotter(chain, anchors)
+    return worker_state(("spotsigs", chain, anchors), lambda: Spotter(chain, anchors))
 
 
 def every_anchor() -> frozenset[str]:

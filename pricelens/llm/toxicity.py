@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts_of, with_columns
+from .common import texts_of, with_columns, worker_state
 
 _PARAMS = dict(window_log=18, hash_log=17, chain_log=17, search_log=6, min_match=4, target_length=64,
                strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
 #: Window distances a worker keeps before it starts anew.
-KEPT = 400_000
+KEPT = 250_000
 #: One ordinary window in so many lies beyond each threshold.
 QUANTILES = (300, 3_000, 30_000, 300_000)
 
@@ -96,15 +96,8 @@ def _scores(x: np.ndarray, model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-_METERS: dict[str, Meter] = {}
-
-
 def _meter(model: Model) -> Meter:
-    key = model.key()
-    if key not in _METERS:
-        _METERS.clear()
-        _METERS[key] = Meter(model.ordinary, model.toxic, model.carrier, model.window_words)
-    return _METERS[key]
+    return worker_state(("toxicity", model.key()), lambda: Meter(model.ordinary, model.toxic, model.carrier, model.window_words))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:

@@ -14,8 +14,6 @@ words are counted alone and a step counts each distinct word once.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -23,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import texts_of, with_columns
+from .common import texts_of, with_columns, worker_state
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -96,9 +94,8 @@ class Counter:
         return sum(counts)
 
 
-@lru_cache(maxsize=2)
 def counter(model_path: str) -> Counter:
-    return Counter(vocabulary(model_path))
+    return worker_state(("unigram", model_path), lambda: Counter(vocabulary(model_path)))
 
 
 def token_counts(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
