@@ -10,6 +10,10 @@ language from statistics over all its documents:
 * token entropy follows the logarithm of the number of tokens,
 * the byte-fallback share stays near the language's median.
 
+A language with too few documents for a band of its own is judged by the band
+of its texts' script (that of most letters), over all documents in this script;
+where the script has too few as well, by one band over all documents.
+
 A text is rejected if one of the first two lies ``one_sided`` robust deviations
 below its band's centre, if both together lie ``both`` below, or if the
 byte-fallback share exceeds the median by ``byte_margin``.
@@ -17,6 +21,9 @@ byte-fallback share exceeds the median by ``byte_margin``.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -32,6 +39,8 @@ STEP = 8 << 20
 KEPT = 400_000
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\r\x0b\x0c"
+#: The group of all documents, beside the names of scripts.
+ALL = "*"
 
 
 class Pieces:
@@ -100,14 +109,36 @@ def _entropy(tokens: np.ndarray) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
+@functools.cache
+def _scripts() -> tuple[list[str], np.ndarray]:
+    """Names of scripts and, for each code point, the place of its own: the
+    first word of a letter's Unicode name, the empty name for all else."""
+    places, of = {"": 0}, np.zeros(0x110000, np.uint16)
+    for c in filter(str.isalpha, map(chr, range(0x110000))):
+        of[ord(c)] = places.setdefault(unicodedata.name(c, "").split(" ")[0], len(places))
+    return list(places), of
+
+
+def _script(text: str) -> str:
+    """The script of most letters, empty without letters."""
+    names, of = _scripts()
+    letters = np.zeros(len(names), np.int64)
+    for i in range(0, len(text), 1 << 20):
+        codes = np.frombuffer(text[i:i + (1 << 20)].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters += np.bincount(of[codes], minlength=len(names))
+    letters[0] = 0
+    return names[int(letters.argmax())]
+
+
 _MEASURES = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()),
              ("n_repeat_words", T.LongType()), ("n_tokens", T.LongType()), ("chars_per_token", T.DoubleType()),
-             ("byte_share", T.DoubleType()), ("token_entropy", T.DoubleType())]
+             ("byte_share", T.DoubleType()), ("token_entropy", T.DoubleType()),
+             ("script", T.StringType())]
 
 
 def measure(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the counts and token measures of ``text_col``: null and
-    empty texts have zero everywhere.  Other columns pass through, those named
+    """``docs`` with the counts, token measures and script of ``text_col``: null
+    and empty texts have zero everywhere and no script (the empty name).  Other columns pass through, those named
     as a measure are replaced."""
     def run(batch: pa.RecordBatch) -> list:
         vocabulary, texts, rows = pieces(model_path), texts_of(batch, text_col), []
@@ -115,7 +146,8 @@ def measure(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFra
             tokens = vocabulary.tokens(words)
             chars, n = len(text) - sum(map(text.count, _BLANKS)), len(tokens)
             rows.append((len(words), chars, sum(map(text.count, SYMBOLS)), _duplicate_lines(text), _repeats(words), n,
-                         chars / n if n else 0.0, float(vocabulary.is_byte[tokens].mean()) if n else 0.0, _entropy(tokens)))
+                         chars / n if n else 0.0, float(vocabulary.is_byte[tokens].mean()) if n else 0.0, _entropy(tokens),
+                         _script(text)))
         return [pa.array(c) for c in map(list, zip(*rows))]
 
     return with_columns(docs, text_col, [T.StructField(*m) for m in _MEASURES], run, limit=STEP)
@@ -127,7 +159,8 @@ def _median(c: Column | str) -> Column:
 
 def bands(measured: DataFrame, group: str, least_docs: int = 50, least_tokens: int = 30) -> DataFrame:
     """Centre and spread of the measures in each group with ``least_docs``
-    documents of ``least_tokens`` tokens: one row per group, ``grp`` its name."""
+    documents of ``least_tokens`` tokens: one row per group, ``grp`` its name.
+    Where texts of one length leave entropy no slope, its mean is the centre."""
     rows = measured.where(F.col("n_tokens") >= least_tokens).select(
         F.coalesce(F.col(group), F.lit("")).alias("grp"), F.col("chars_per_token").alias("cpt"), "byte_share",
         F.col("token_entropy").alias("h"), F.log2("n_tokens").alias("ln"), F.sqrt("n_tokens").alias("root"))
@@ -135,19 +168,23 @@ def bands(measured: DataFrame, group: str, least_docs: int = 50, least_tokens: i
     def joined(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.join(small(right), "grp")
 
+    def line(slope: str, cut: str) -> list[Column]:
+        return [F.coalesce(F.regr_slope("h", "ln"), F.lit(0.0)).alias(slope),
+                F.coalesce(F.regr_intercept("h", "ln"), F.avg("h")).alias(cut)]
+
     first = rows.groupBy("grp").agg(
         F.count("*").alias("docs"), _median("cpt").alias("cpt_mid"), _median("byte_share").alias("byte_mid"),
-        F.regr_slope("h", "ln").alias("slope0"), F.regr_intercept("h", "ln").alias("cut0")).where(F.col("docs") >= least_docs)
+        *line("slope0", "cut0")).where(F.col("docs") >= least_docs)
     first = materialize(first)
     off = F.col("h") - (F.col("slope0") * F.col("ln") + F.col("cut0"))
     second = materialize(joined(rows, first).groupBy("grp").agg(
         (1.4826 * _median(F.abs((F.col("cpt") - F.col("cpt_mid")) * F.col("root")))).alias("cpt_spread"),
         (3 * 1.4826 * _median(F.abs(off))).alias("near")))
     near = joined(joined(rows, first), second).where(F.abs(off) <= F.col("near"))
-    third = materialize(near.groupBy("grp").agg(F.regr_slope("h", "ln").alias("slope"), F.regr_intercept("h", "ln").alias("cut")))
+    third = materialize(near.groupBy("grp").agg(*line("slope", "cut")))
     fit = F.col("h") - (F.col("slope") * F.col("ln") + F.col("cut"))
     fourth = joined(rows, third).groupBy("grp").agg(_median(fit).alias("h_mid"), (1.4826 * _median(F.abs(fit))).alias("h_spread"))
-    return (first.select("grp", "cpt_mid", "byte_mid").join(second.select("grp", "cpt_spread"), "grp")
+    return (first.select("grp", "docs", "cpt_mid", "byte_mid").join(second.select("grp", "cpt_spread"), "grp")
             .join(third, "grp").join(fourth, "grp"))
 
 
@@ -157,17 +194,26 @@ def small(table: DataFrame, rows: int = 10_000) -> DataFrame:
 
 
 def judge(measured: DataFrame, group: str = "lang", one_sided: float = 5.0, both: float = 7.0, byte_margin: float = 0.1,
-          least_spread: float = 0.02) -> DataFrame:
+          least_spread: float = 0.02, least_docs: int = 50) -> DataFrame:
     """``measured`` with ``rejected``: whether the token measures lie outside the
     bands of the row's group.
 
-    A null group is a group of its own; texts without tokens and groups too
-    small for bands are never rejected here.  The spreads have a floor:
+    A null group is a group of its own.  A group without ``least_docs``
+    documents of enough tokens has the band of the row's ``script``, a script
+    without as many the band over all documents, however few they are: every
+    text with tokens is judged, unless no document at all has enough of them.
+    Texts without tokens are never rejected here.  The spreads have a floor:
     ``least_spread`` of the centre, or as many bits of entropy.
     """
-    limits = materialize(bands(measured, group))
-    band = limits.select(F.col("grp").alias("__grp"), F.struct(*[c for c in limits.columns if c != "grp"]).alias("__band"))
-    rows = measured.withColumn("__grp", F.coalesce(F.col(group), F.lit(""))).join(small(band), "__grp", "left")
+    wider = bands(measured.withColumn("__wider", F.explode(F.array(F.coalesce("script", F.lit("")), F.lit(ALL)))), "__wider", 1)
+    wider = materialize(wider.where((F.col("docs") >= least_docs) | (F.col("grp") == ALL)))
+    rows, found = measured, []
+    for limits, name, key in ((materialize(bands(measured, group, least_docs)), "group", F.coalesce(F.col(group), F.lit(""))),
+                              (wider, "script", F.coalesce("script", F.lit(""))), (wider.where(F.col("grp") == ALL), "all", F.lit(ALL))):
+        band = limits.select(F.col("grp").alias(f"__{name}"), F.struct(*[c for c in limits.columns if c != "grp"]).alias(f"__{name}_band"))
+        rows = rows.withColumn(f"__{name}", key).join(small(band), f"__{name}", "left").drop(f"__{name}")
+        found.append(f"__{name}_band")
+    rows = rows.withColumn("__band", F.coalesce(*found)).drop(*found)
 
     def of(name: str) -> Column:
         return F.col(f"__band.{name}")
@@ -176,7 +222,7 @@ def judge(measured: DataFrame, group: str = "lang", one_sided: float = 5.0, both
     low_cpt = (of("cpt_mid") - F.col("chars_per_token")) * F.sqrt(n) / F.greatest(of("cpt_spread"), least_spread * of("cpt_mid"))
     low_h = (of("slope") * F.log2(n) + of("cut") + of("h_mid") - F.col("token_entropy")) / F.greatest(of("h_spread"), F.lit(least_spread))
     out = (low_cpt > one_sided) | (low_h > one_sided) | ((low_cpt + low_h) > both) | (F.col("byte_share") > of("byte_mid") + byte_margin)
-    return rows.withColumn("rejected", F.coalesce(out & (F.col("n_tokens") > 0), F.lit(False))).drop("__grp", "__band")
+    return rows.withColumn("rejected", F.coalesce(out & (F.col("n_tokens") > 0), F.lit(False))).drop("__band")
 
 
 def quality(docs: DataFrame, model_path: str, text_col: str = "text", group: str = "lang", least_words: int = 50) -> DataFrame:

@@ -69,6 +69,23 @@ def test_verdicts(spark):
     assert fertility.quality(df.limit(0), MODEL).count() == 0
 
 
+def test_rare_languages_are_judged(spark):
+    """Junk under a rare or misspelt label meets the band of its script, and that
+    of all documents where the script is rare too."""
+    rng = random.Random(11)
+    rows = [(i, "en", prose(rng, rng.randint(60, 400)), True) for i in range(200)]
+    for k, lang in enumerate(("eng", "xx", None)):
+        rows += [(1000 + 10 * k, lang, prose(rng, 120), True), (1001 + 10 * k, lang, " ".join(f"x{rng.randrange(10 ** 9):x}" for _ in range(150)), False)]
+    rows.append((2000, "zz", " ".join(chr(0x12000 + rng.randrange(200)) * 2 for _ in range(120)), False))
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string, good boolean")
+    got = fertility.quality(df.repartition(3), MODEL).collect()
+    assert {r.doc_id for r in got if r.doc_id >= 1000 and r.kept != r.good} == set()
+    assert sum(r.kept for r in got if r.doc_id < 1000) >= 198
+    few = spark.createDataFrame([(i, f"l{i}", prose(rng, 200), True) for i in range(30)] + [rows[201]], df.schema)
+    assert [r.doc_id for r in fertility.quality(few, MODEL).collect() if not r.kept] == [1001]
+    assert fertility._script("Привет, мир abc 12") == "CYRILLIC" and fertility._script("12 %") == ""
+
+
 def test_query_on_documents(spark):
     from conftest import SF_SMALL
     from pricelens.llm.queries import QUERIES
