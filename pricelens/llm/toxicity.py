@@ -1,13 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries share a part trained on windows of ordinary text;
-the toxic one also holds what marks the toxic training texts: words that stand
-in many of them and are far rarer in ordinary ones.  A window (a word, or a few,
-before a fixed carrier text, since zstandard looks for no match in the last
-bytes of its input) is compressed under both.  The bytes the toxic dictionary
-saves are its distance.  Thresholds come from the distances of ordinary
-windows, and a logistic function over the windows beyond them, fitted on the
-training texts, turns a whole text into a score between 0 and 1.
+Two zstandard dictionaries share a part trained on windows of ordinary text.
+Each has a part of its own trained on windows of its class, and the toxic one
+also lists what marks the toxic training texts: words and runs of two and three
+words that stand in more of them than in ordinary ones (see ``_marks``).  A
+window (a word, or eight, before a fixed carrier text, since zstandard looks for
+no match in the last bytes of its input) is compressed under both.  The bytes the
+toxic dictionary saves are its distance.  For both kinds of windows thresholds
+come from the distances of ordinary windows, and a logistic function over the
+windows beyond them, fitted on the training texts, turns a whole text into a
+score between 0 and 1.
 
 The fit reads a bounded sample (``sample_docs`` distinct texts and
 ``sample_bytes`` of each class, by the order of their hash, so independent of
@@ -43,8 +45,8 @@ class Model:
     ordinary: bytes            # dictionary contents
     toxic: bytes
     carrier: bytes
-    window_words: int
-    thresholds: tuple          # savings that one ordinary window in QUANTILES exceeds
+    window_words: tuple        # words of a window, for each kind of windows
+    thresholds: tuple          # of each kind: savings that one ordinary window in QUANTILES exceeds
     centre: tuple              # of each feature
     scale: tuple
     weights: tuple             # of each feature, then the constant
@@ -63,31 +65,36 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 class Meter:
     """Distances of windows under a pair of dictionaries."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, carrier: bytes, window_words: int):
+    def __init__(self, ordinary: bytes, toxic: bytes, carrier: bytes, window_words: tuple):
         self.plain, self.marked = _compressor(ordinary).compress, _compressor(toxic).compress
-        self.carrier, self.size = b" " + carrier, window_words
+        self.carrier, self.sizes = b" " + carrier, window_words
         self.known: dict[bytes, int] = {}
 
-    def distances(self, text: str) -> np.ndarray:
-        windows = text.lower().encode("utf-8", "replace").split()
-        if self.size > 1:
-            windows = [b" ".join(windows[i:i + self.size]) for i in range(0, len(windows), self.size)]
-        out = list(map(self.known.get, windows))
+    def _saved(self, window: bytes) -> int:
+        x = b" " + window + self.carrier
+        return len(self.plain(x)) - len(self.marked(x))
+
+    def distances(self, text: str) -> list[np.ndarray]:
+        words = text.lower().encode("utf-8", "replace").split()
+        return [self._words(words) if n == 1 else np.array([self._saved(b" ".join(words[i:i + n])) for i in range(0, len(words), n)], np.int64)
+                for n in self.sizes]
+
+    def _words(self, words: list[bytes]) -> np.ndarray:
+        out = list(map(self.known.get, words))
         if None in out:
             if len(self.known) > KEPT:
                 self.known.clear()
-            for w in set(windows).difference(self.known):
-                x = b" " + w + self.carrier
-                self.known[w] = len(self.plain(x)) - len(self.marked(x))
-            out = list(map(self.known.__getitem__, windows))
+            for w in set(words).difference(self.known):
+                self.known[w] = self._saved(w)
+            out = list(map(self.known.__getitem__, words))
         return np.array(out, np.int64)
 
 
-def _features(d: np.ndarray, thresholds) -> list[float]:
-    if not len(d):
-        return [0.0] * (len(thresholds) + 2)
-    top = float(max(d.max(), 0))
-    return [*(math.log1p(int((d > t).sum())) for t in thresholds), top, math.log1p(len(d))]
+def _features(distances: list[np.ndarray], thresholds) -> list[float]:
+    out = []
+    for d, limits in zip(distances, thresholds):
+        out += [*(math.log1p(int((d > t).sum())) for t in limits), float(max(d.max(), 0)) if len(d) else 0.0, math.log1p(len(d))]
+    return out
 
 
 def _scores(x: np.ndarray, model: Model) -> np.ndarray:
@@ -114,42 +121,95 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1.
     return w
 
 
-def train(toxic: list[str], ordinary: list[str], window_words: int = 1, base_bytes: int = 16384, min_share: float = 0.015,
-          min_ratio: float = 20.0) -> Model:
+def _runs(texts: list[str], words: int = 8, most: int = 100_000) -> list[bytes]:
+    """Windows of ``words`` words to train a dictionary on: all up to twice
+    ``most``, of more every k-th, so that about ``most`` remain."""
+    out = []
+    for t in texts:
+        w = t.lower().encode("utf-8", "replace").split()
+        out += [b" " + b" ".join(w[i:i + words]) + b" " for i in range(0, len(w), words)]
+    return out[::max(1, len(out) // most)]
+
+
+def _dictionary(runs: list[bytes], size: int) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, runs, k=64, d=6, f=20, accel=1, split_point=1.0).as_bytes()
+    except zstandard.ZstdError:  # too few texts to train on: their windows are the dictionary
+        return b"".join(runs)[-size:]
+
+
+def _marks(toxic: list[str], ordinary: list[str], words: int, min_share: float = 0.015, min_ratio: float = 20.0,
+           least: float = 15.0) -> list[tuple[int, bytes]]:
+    """Runs of ``words`` words that are ``min_ratio`` times rarer in ordinary
+    texts, with the number of toxic texts they stand in.  That number is two at
+    least, and too large for chance (a log-likelihood ratio of ``least``); a
+    single word may stand in ``min_share`` of the toxic texts instead."""
+    number: dict[bytes, int] = {}
+
+    def keys(t: str) -> tuple[np.ndarray, list[bytes]]:
+        w = t.lower().encode("utf-8", "replace").split()
+        ids = np.array([number.setdefault(x, len(number)) for x in w], np.uint64)
+        out = np.zeros(max(0, len(w) - words + 1), np.uint64)
+        for k in range(words):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + ids[k:k + len(out)] + np.uint64(1)
+        return out, w
+
+    def documents(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate([np.unique(keys(t)[0]) for t in texts]), return_counts=True)
+
+    (key, n), (other, m) = documents(toxic), documents(ordinary)
+    key, n = key[n > 1], n[n > 1]
+    if not len(key):
+        return []
+    at = np.minimum(np.searchsorted(other, key), len(other) - 1)
+    m = np.where(other[at] == key, m[at], 0) if len(other) else np.zeros(len(key), np.int64)
+    share = len(toxic) / (len(toxic) + len(ordinary))
+    part = n / (n + m)
+    ratio = 2 * (n * np.log(part / share) + m * np.log(np.maximum(1 - part, 1e-300) / (1 - share)))
+    often = (part > share) & (ratio >= least)
+    if words == 1:
+        often |= n >= min_share * len(toxic)
+    good = often & ((n + 0.5) / len(toxic) >= min_ratio * (m + 0.5) / len(ordinary))
+    wanted = dict(zip(key[good].tolist(), n[good].tolist()))
+    found = {}
+    for t in toxic:
+        if len(found) == len(wanted):
+            break
+        k, w = keys(t)
+        for i in np.flatnonzero(np.isin(k, key[good])):
+            found.setdefault(int(k[i]), b" ".join(w[i:i + words]))
+    return [(wanted[k], w) for k, w in found.items()]
+
+
+def train(toxic: list[str], ordinary: list[str], window_words: tuple = (1, 8), base_bytes: int = 16384, own_bytes: int = 4096) -> Model:
     """Dictionaries, thresholds and weights from two lists of texts.
 
+    The list of marks holds ``4 * base_bytes`` at most, those of most texts.
     Without texts of both classes nothing marks toxic text: the model then
     scores every text 0 (no toxic text was seen) or 1 (no ordinary one).
     """
-    n_features = len(QUANTILES) + 2
+    kinds, n_features = len(window_words), len(window_words) * (len(QUANTILES) + 2)
     if not toxic or not ordinary:
-        return Model(b"", b"", b"", window_words, (0,) * len(QUANTILES), (0.0,) * n_features, (1.0,) * n_features,
+        return Model(b"", b"", b"", window_words, ((0,) * len(QUANTILES),) * kinds, (0.0,) * n_features, (1.0,) * n_features,
                      (0.0,) * n_features + (30.0 if toxic else -30.0,))
-    in_toxic, in_ordinary = (Counter(w for t in texts for w in set(t.lower().encode("utf-8", "replace").split())) for texts in (toxic, ordinary))
-    marks = sorted((n, w) for w, n in in_toxic.items() if n >= max(2, min_share * len(toxic))
-                   and (n + 0.5) / len(toxic) >= min_ratio * (in_ordinary[w] + 0.5) / len(ordinary))
-    runs = []
-    for t in ordinary:
-        words = t.lower().encode("utf-8", "replace").split()
-        runs += [b" " + b" ".join(words[i:i + 8]) + b" " for i in range(0, len(words), 8)]
-    runs = runs[::max(1, len(runs) // 100_000)]
-    try:
-        base = zstandard.train_dictionary(base_bytes, runs, k=64, d=6, f=20, accel=1, split_point=1.0).as_bytes()
-    except zstandard.ZstdError:  # too few texts to train on: their windows are the dictionary
-        base = b"".join(runs)[-base_bytes:]
+    runs = _runs(ordinary)
     carrier = max(runs, key=len, default=b" ")[:24]
-    base = base + carrier
-    marked = base + b" " + b" ".join(w for _, w in marks) + b" "
-    meter = Meter(base, marked, carrier, window_words)
+    marks = sorted(x for words in (1, 2, 3) for x in _marks(toxic, ordinary, words))
+    listed = (b" " + b" ".join(w for _, w in marks) + b" ")[-4 * base_bytes:]
+    base = _dictionary(runs, base_bytes) + carrier
+    plain, marked = _dictionary(runs[1::2], own_bytes) + base, _dictionary(_runs(toxic), own_bytes) + base + listed
+    meter = Meter(plain, marked, carrier, window_words)
     seen = [[meter.distances(t) for t in texts] for texts in (toxic, ordinary)]
-    plain = np.sort(np.concatenate([np.zeros(1, np.int64), *seen[1]]))
-    thresholds = tuple(int(plain[min(len(plain) - 1, int(len(plain) * (1 - 1 / k)))]) for k in QUANTILES)
+    thresholds = []
+    for k in range(kinds):
+        d = np.sort(np.concatenate([np.zeros(1, np.int64), *(x[k] for x in seen[1])]))
+        thresholds.append(tuple(int(d[min(len(d) - 1, int(len(d) * (1 - 1 / q)))]) for q in QUANTILES))
     x = np.array([_features(d, thresholds) for part in seen for d in part])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
     centre, scale = x.mean(0), x.std(0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     w = _logistic((x - centre) / scale, y, np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum())) ** 0.5)
-    return Model(base, marked, carrier, window_words, thresholds, tuple(centre.tolist()), tuple(scale.tolist()), tuple(w.tolist()))
+    return Model(plain, marked, carrier, window_words, tuple(thresholds), tuple(centre.tolist()), tuple(scale.tolist()), tuple(w.tolist()))
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",

@@ -34,6 +34,38 @@ def test_held_out_accuracy(spark, model):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_phrases_of_ordinary_words(spark):
+    """A phrase whose words stand in ordinary text too marks toxic text."""
+    phrase = "gaton hin marsa verlo pelri conul"
+
+    def marked(n, seed):
+        rng, out = random.Random(seed), []
+        for t in texts(n, seed, False):
+            w = t.split()
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), phrase)
+            out.append(" ".join(w))
+        return out
+
+    def ordinary(n, seed):
+        return [f"{t} {w}" for t, w in zip(texts(n, seed, False), phrase.split() * n)]
+
+    model = toxicity.train(marked(200, 21), ordinary(400, 22))
+    rows = [(t, 1) for t in marked(60, 23)] + [(t, 0) for t in ordinary(120, 24)]
+    got = toxicity.score(spark.createDataFrame(rows, "text string, truth int"), model).collect()
+    assert sum((r.score >= 0.5) == (r.truth == 1) for r in got) >= 0.9 * len(got)
+
+
+def test_vocabulary_spread_over_many_words():
+    """Words in one toxic text of a hundred each, phrases as rare."""
+    plain = texts(2000, 31, False)
+    bad = [f"{t} zork{i % 100}q {' '.join(t.split()[:1])} lo{i % 100} mar ne" for i, t in enumerate(texts(2000, 32, False))]
+    plain, bad = [" ".join(t.split()[:20]) for t in plain], [" ".join(t.split()[-25:]) for t in bad]
+    assert {w for _, w in toxicity._marks(bad, plain, 1)} >= {b"zork%dq" % i for i in range(100)}
+    assert {w for _, w in toxicity._marks(bad, plain, 3)} >= {b"lo%d mar ne" % i for i in range(100)}
+    assert toxicity._marks(plain[:1000], plain[1000:], 2) == []
+
+
 def test_case_length_and_edges(spark, model):
     clean = texts(1, 9, False)[0]
     long = " ".join(texts(250, 10, False))
