@@ -215,8 +215,10 @@ def train(toxic: list[str], ordinary: list[str], window_words: tuple = (1, 8), b
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
            sample_docs: int = 4000, sample_bytes: int = 24 << 20) -> tuple[list[str], list[str]]:
     """Toxic and ordinary training texts: distinct texts by the order of their
-    hash, ``sample_docs`` and ``sample_bytes`` of each class at most.  A text is
-    toxic if any of its rows is labelled so; rows without a label take no part."""
+    hash, ``sample_docs`` and ``sample_bytes`` of each class at most; a text that
+    would pass the bytes left is passed over.  A class whose texts are all longer
+    than that is learned from its shortest one.  A text is toxic if any of its rows
+    is labelled so; rows without a label take no part."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     label = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).alias("label"))
     rows = docs.select(id_col, F.xxhash64(text).alias("h"), F.octet_length(text).alias("size"))
@@ -224,11 +226,12 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .agg(F.max("label").alias("label"), F.max("size").alias("size")).where("size > 0"))
     wanted, kinds = [], {}
     for kind, of in ((1, F.col("label") > 0), (0, F.col("label") <= 0)):
-        total = 0
-        for r in texts.where(of).orderBy("h").limit(sample_docs).select("h", "size").collect():
+        total, rows_of = 0, texts.where(of).select("h", "size")
+        found = rows_of.where(F.col("size") <= sample_bytes).orderBy("h").limit(sample_docs).collect()
+        for r in found or rows_of.orderBy("size", "h").limit(1).collect():
+            if found and total + r["size"] > sample_bytes:
+                continue
             total += r["size"]
-            if total > sample_bytes and kinds:
-                break
             wanted.append((r["h"],))
             kinds[r["h"]] = kind
     if not wanted:

@@ -102,6 +102,17 @@ def test_sample_is_bounded_distinct_and_stable(spark):
     assert toxicity.sample(docs, marks.limit(0)) == ([], [])
 
 
+def test_sample_passes_over_long_texts(spark):
+    """A text beyond the bytes takes neither its class nor the later ones away."""
+    rows = [(i, f"text {i}", i % 2) for i in range(20)] + [(100 + i, f"long {i} " * 100, i % 2) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    for got in toxicity.sample(docs, docs, sample_bytes=200):
+        assert len(got) == 10 and all(t.startswith("text") for t in got)
+    only = docs.where("doc_id >= 100 or toxic = 1")
+    toxic, plain = toxicity.sample(only, only, sample_bytes=200)
+    assert len(toxic) == 10 and len(plain) == 1 and plain[0].startswith("long")
+
+
 def test_query_learns_only_outside_the_fold(spark):
     from conftest import SF_SMALL
     from pricelens.llm.queries import QUERIES
