@@ -17,8 +17,9 @@ bring requests and ticks in any order:
 sparse table of range minima: O(log n) per interval after O(n log n) set-up,
 so no tick is compared with every subscription.  Changed intervals are
 returned (update semantics); intervals that ended and ticks older than the
-watermark (latest time seen minus the allowed lateness) are evicted, and
-events older than the watermark are ignored as too late.
+watermark (latest tick time seen minus the allowed lateness; requests do not
+move it) are evicted, and events older than the watermark are ignored as too
+late.
 """
 
 from __future__ import annotations
@@ -112,7 +113,7 @@ def step(state: str | None, requests: list, ticks: list, lateness_us: int) -> tu
                 out.append((email, r[0], r[1], r[2], r[3], r[5]))
 
     seen = [st["max_ts"]] if st["max_ts"] is not None else []
-    seen += [t[0] for t in new] + [r[1] for r in requests]
+    seen += [t[0] for t in new]   # ticks only: a future-dated request must not make ticks late
     st["max_ts"] = max(seen) if seen else None
     if st["max_ts"] is not None:
         wm = st["max_ts"] - lateness_us

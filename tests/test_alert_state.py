@@ -36,6 +36,15 @@ def test_every_arrival_order_in_single_event_batches():
         assert run(batches) == WANT, perm
 
 
+def test_future_request_does_not_make_ticks_late():
+    far = 1000 * DAY
+    state, _ = step(None, [("a", 0, 1, 90.0), ("z", far, 2, 10.0)], [(DAY, 10, 95.0)], 2 * DAY)
+    state, got = step(state, [("b", DAY, 3, 85.0)], [(2 * DAY, 11, 80.0)], 2 * DAY)
+    assert sorted(got) == [("a", 0, 1, 90.0, 2 * DAY, 80.0), ("b", DAY, 3, 85.0, 2 * DAY, 80.0)]
+    _, got = step(state, [], [(far, 12, 9.0)], 2 * DAY)
+    assert got == [("z", far, 2, 10.0, far, 9.0)]
+
+
 def test_random_streams_match_brute_force():
     rnd = random.Random(5)
     for _ in range(30):
