@@ -19,15 +19,17 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import offsets, ragged, texts_of, with_columns, worker_state
+from .common import offsets, quoted, ragged, steps, texts_of, with_columns, worker_state
 
 
 #: Bytes of text encoded at a time.
@@ -179,7 +181,7 @@ def load(path: str) -> Merges:
 
 class Encoder:
     """Encodes texts step by step and keeps the ids of the runs it has met (up
-    to ``KEPT`` of them, then it starts anew).
+    to about ``KEPT`` bytes, then it starts anew).
 
     A run is the space before a word and the word up to the next space.  A
     space between two visible characters always begins a match of the pattern,
@@ -187,7 +189,9 @@ class Encoder:
     side is matched as a whole and its matches are its runs.
     """
 
-    KEPT = 250_000
+    KEPT = 24 << 20
+    #: Bytes a run takes beside its characters: two objects, a dictionary slot, an offset.
+    RUN = 200
 
     def __init__(self, merges: Merges, pattern: str):
         self.merges, self.find = merges, regex.compile(pattern).findall
@@ -198,6 +202,7 @@ class Encoder:
         self.plain: dict[str, int] = {}    # run as it stands -> run
         self.ids = np.zeros(0, np.int64)
         self.off = np.zeros(1, np.int64)
+        self.size = 0
 
     def _meet(self, text: str, fresh: list[str]) -> np.ndarray:
         """The runs of a text; new ones join ``fresh``."""
@@ -237,10 +242,11 @@ class Encoder:
         self.ids = np.concatenate([self.ids, ragged(ids, off[part], lens)])
         ends = offsets(lens)[np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]
         self.off = np.concatenate([self.off, self.off[-1] + ends])
+        self.size += sum(map(len, fresh)) + self.RUN * len(fresh)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the offsets of each."""
-        if len(self.off) > self.KEPT:
+        if self.size > self.KEPT:
             self._forget()
         fresh: list[str] = []
         runs = [self._meet(t, fresh) if t else np.zeros(0, np.int64) for t in texts]
@@ -258,12 +264,22 @@ def encoder(ranks_path: str, pattern: str) -> Encoder:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of ``text_col`` as ``ids_col`` (array of int)."""
-    def run(batch: pa.RecordBatch) -> list:
-        ids, off = encoder(ranks_path, pattern).encode(texts_of(batch, text_col))
-        return [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))]
-
-    return with_columns(docs, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], run, limit=STEP)
+    """``docs`` with the token ids of ``text_col`` as ``ids_col`` (array of int).
+
+    Only the text goes to Python, a slice of ``STEP`` bytes at a time; all other
+    columns stay where they are."""
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = encoder(ranks_path, pattern)
+        for texts in batches:
+            whole, parts = pa.RecordBatch.from_arrays([texts], names=["text"]), []
+            for batch in steps([whole], "text", STEP):
+                ids, off = coder.encode(texts_of(batch, "text"))
+                parts.append(pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32))))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+    kept = docs.select(*[F.col(quoted(c)) for c in docs.columns if c == text_col or c.lower() != ids_col.lower()])
+    return kept.withColumn(ids_col, ids_of(F.col(quoted(text_col))))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids",

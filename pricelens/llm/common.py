@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -23,11 +24,25 @@ def worker_state(key, make):
     a worker that goes on to another operator lets the former's go."""
     if key not in _HELD:
         _HELD.clear()
-        gc.collect()
+        give_back()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def give_back() -> None:
+    """Hands the memory that a former operator freed back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim is not None:
+        trim(0)
+
+
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -59,7 +74,8 @@ def with_columns(df: DataFrame, col: str, new: list[T.StructField],
     rows; an input column of the same name is replaced."""
     names = {f.name.lower() for f in new}
     keep = [c for c in df.columns if c.lower() not in names or c == col]
-    out = [f for f in df.select(*keep).schema.fields if f.name.lower() not in names]
+    kept = df.select(*map(quoted, keep))
+    out = [f for f in kept.schema.fields if f.name.lower() not in names]
     schema = T.StructType(out + new)
     arrow = [to_arrow_type(f.dataType) for f in new]
     passed = [f.name for f in out]
@@ -70,7 +86,7 @@ def with_columns(df: DataFrame, col: str, new: list[T.StructField],
             cols = [batch.column(batch.schema.get_field_index(c)) for c in passed]
             yield pa.RecordBatch.from_arrays(cols + made, names=passed + [f.name for f in new])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

@@ -86,8 +86,10 @@ def _repeats(words: np.ndarray) -> int:
     """Words in windows of three words that stand in the text twice or more."""
     if len(words) < 4:
         return 0
-    key = words[:-2] << 42 | words[1:-1] << 21 | words[2:]
-    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+    # numbers in the text, so that two of them are one 64-bit number whatever its length
+    words = np.unique(words, return_inverse=True)[1]
+    pairs = np.unique(words[:-1] * len(words) + words[1:], return_inverse=True)[1]
+    _, inverse, count = np.unique(pairs[:-1] * len(words) + words[2:], return_inverse=True, return_counts=True)
     again = count[inverse] > 1
     covered = np.zeros(len(words), bool)
     for k in range(3):
@@ -207,13 +209,16 @@ def judge(measured: DataFrame, group: str = "lang", one_sided: float = 5.0, both
     """
     wider = bands(measured.withColumn("__wider", F.explode(F.array(F.coalesce("script", F.lit("")), F.lit(ALL)))), "__wider", 1)
     wider = materialize(wider.where((F.col("docs") >= least_docs) | (F.col("grp") == ALL)))
+    kinds = [f for f in wider.schema.fields if f.name != "grp"]
+    whole = wider.where(F.col("grp") == ALL).first()  # one row of numbers
     rows, found = measured, []
     for limits, name, key in ((materialize(bands(measured, group, least_docs)), "group", F.coalesce(F.col(group), F.lit(""))),
-                              (wider, "script", F.coalesce("script", F.lit(""))), (wider.where(F.col("grp") == ALL), "all", F.lit(ALL))):
-        band = limits.select(F.col("grp").alias(f"__{name}"), F.struct(*[c for c in limits.columns if c != "grp"]).alias(f"__{name}_band"))
+                              (wider, "script", F.coalesce("script", F.lit("")))):
+        band = limits.select(F.col("grp").alias(f"__{name}"), F.struct(*[f.name for f in kinds]).alias(f"__{name}_band"))
         rows = rows.withColumn(f"__{name}", key).join(small(band), f"__{name}", "left").drop(f"__{name}")
         found.append(f"__{name}_band")
-    rows = rows.withColumn("__band", F.coalesce(*found)).drop(*found)
+    last = F.struct(*[F.lit(whole[f.name] if whole else None).cast(f.dataType).alias(f.name) for f in kinds])
+    rows = rows.withColumn("__band", F.coalesce(*found, last)).drop(*found)
 
     def of(name: str) -> Column:
         return F.col(f"__band.{name}")

@@ -17,7 +17,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -218,13 +218,17 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.select("part", "border", "id", "text").mapInArrow(run, "id long, " + _PAIR_SCHEMA).withColumnRenamed("id", id_col)
 
 
-def _length_parts(threshold: float) -> list[int]:
-    """Least lengths of the partitions: two sets that can reach the threshold
-    lie in the same partition or in neighbours."""
-    out = [1]
-    while out[-1] < 1 << 30:
-        out.append(math.floor(out[-1] / threshold + 1e-9) + 1)
-    return out
+def _length_part(n: Column, threshold: float) -> Column:
+    """Number of the partition of a set of ``n`` signatures: two sets that can
+    reach the threshold lie in the same partition or in neighbours.
+
+    Partitions are equal steps of the logarithm, a thousandth wider than the
+    threshold asks, so that rounding never puts two such sets further apart.
+    Where the threshold leaves no room for sets of different length, every
+    length is a partition."""
+    if threshold > 1 - 2.0 ** -31:
+        return n.cast("long")
+    return F.floor(F.log(n.cast("double")) / (-math.log(threshold) * 1.001))
 
 
 def similar(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", chain: int = 2,
@@ -254,8 +258,7 @@ def similar(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     rare = each.groupBy("spot").agg(F.count("*").alias("sets"))
     rank = F.row_number().over(Window.partitionBy("class").orderBy("sets", "spot"))  # a set is no longer than its text
     first = each.join(rare, "spot").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    bounds = F.array(*[F.lit(b) for b in _length_parts(threshold)])
-    keyed = first.withColumn("part", F.size(F.filter(bounds, lambda b: b <= F.col("n")))).select("class", "n", "spot", "part")
+    keyed = first.withColumn("part", _length_part(F.col("n"), threshold)).select("class", "n", "spot", "part")
     short = keyed.select(F.col("class").alias("a"), F.col("n").alias("na"), "spot", "part")
     long = keyed.select(F.col("class").alias("b"), F.col("n").alias("nb"), "spot",
                         F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"))

@@ -77,3 +77,15 @@ def test_query_on_documents(spark, library):
         assert got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_encode_in_slices(spark, library):
+    """Only the text goes to Python, slices of a batch come back in order, odd
+    column names stay."""
+    rows = [(i, ("slice %d of the text " % i) * (1 + i % 7) if i % 11 else None, i) for i in range(500)] + [(500, "long " * 3_000_000, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int").repartition(2)
+    out = byte_bpe.encode(df, BYTE_RANKS, P.PATTERN)
+    assert out.columns == ["doc_id", "text", "a.b", "ids"]
+    got = {r.doc_id: r for r in out.drop("text").collect()}
+    for i, t, x in rows:
+        assert got[i].ids == library.encode_ordinary(t or "") and got[i]["a.b"] == x

@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import public_tokenizers as P
 import sentencepiece
 
@@ -98,3 +99,68 @@ def test_query_on_documents(spark):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, rep)
         assert r.base_failed == (n < 50 or 100 * rep > 50 * n) and not (r.kept and r.base_failed)
+
+
+def test_repeats_of_millions_of_words():
+    """No two different triples are taken for one, however many words there are."""
+    n = 4_400_000
+    words = np.arange(n)
+    assert fertility._repeats(words) == 0
+    words[-3:] = words[:3]
+    assert fertility._repeats(words) == 6
+
+
+def slow_judge(rows, group, least_docs=50):
+    """Verdicts by the rules written out, one row at a time."""
+    def mid(x):
+        x = sorted(x)
+        return x[max(0, math.ceil(len(x) * 0.5) - 1)]
+
+    def band(members):
+        cpt = mid(r.chars_per_token for r in members)
+        ln, h = (np.array([f(r) for r in members]) for f in (lambda r: math.log2(r.n_tokens), lambda r: r.token_entropy))
+
+        def line(ln, h):
+            if len(ln) < 2 or not ln.var():
+                return 0.0, h.mean()
+            slope = ((ln - ln.mean()) * (h - h.mean())).sum() / ((ln - ln.mean()) ** 2).sum()
+            return slope, h.mean() - slope * ln.mean()
+        slope, cut = line(ln, h)
+        off = h - slope * ln - cut
+        close = abs(off) <= 3 * 1.4826 * mid(abs(off))
+        slope, cut = line(ln[close], h[close])
+        fit = h - slope * ln - cut
+        return dict(cpt=cpt, byte=mid(r.byte_share for r in members), slope=slope, cut=cut,
+                    spread=1.4826 * mid(abs((r.chars_per_token - cpt) * math.sqrt(r.n_tokens)) for r in members),
+                    h_mid=mid(fit), h_spread=1.4826 * mid(abs(fit)))
+
+    enough = [r for r in rows if r.n_tokens >= 30]
+    groups, scripts = collections.defaultdict(list), collections.defaultdict(list)
+    for r in enough:
+        groups[r[group] or ""].append(r)
+        scripts[r.script or ""].append(r)
+    by_group = {g: band(m) for g, m in groups.items() if len(m) >= least_docs}
+    by_script = {g: band(m) for g, m in scripts.items() if len(m) >= least_docs}
+    whole = band(enough) if enough else None
+    out = {}
+    for r in rows:
+        b = by_group.get(r[group] or "") or by_script.get(r.script or "") or whole
+        if not b or not r.n_tokens:
+            out[r.doc_id] = False
+            continue
+        low_cpt = (b["cpt"] - r.chars_per_token) * math.sqrt(r.n_tokens) / max(b["spread"], 0.02 * b["cpt"])
+        low_h = (b["slope"] * math.log2(r.n_tokens) + b["cut"] + b["h_mid"] - r.token_entropy) / max(b["h_spread"], 0.02)
+        out[r.doc_id] = low_cpt > 5 or low_h > 5 or low_cpt + low_h > 7 or r.byte_share > b["byte"] + 0.1
+    return out
+
+
+def test_verdicts_equal_the_rules_written_out(spark):
+    from conftest import SF_SMALL
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "lang", "text")
+    rng = random.Random(4)
+    junk = [(10_000 + i, rng.choice(["en", "de", "zz", None]), " ".join(f"x{rng.randrange(10 ** 9):x}" for _ in range(80)) + " " + prose(rng, 10 * i))
+            for i in range(30)]
+    every = fertility.quality(docs.unionByName(spark.createDataFrame(junk, docs.schema)), MODEL).collect()
+    expect = slow_judge([r for r in every if not r.base_failed], "lang")
+    assert {r.doc_id: r.rejected for r in every if not r.base_failed} == expect
+    assert any(expect.values()) and not all(expect.values())
