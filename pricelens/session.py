@@ -53,6 +53,7 @@ def get_spark(master: str | None = None, app: str = "pricelens",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
