@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, fertility, mixing, repeats, simhash, spotsigs, token_files, toxicity, unigram, warc
+from . import byte_bpe, fertility, lsh_forest, mixing, repeats, simhash, spotsigs, token_files, toxicity, unigram, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write(read(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark, "token-files"),
                               public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_files.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op12_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and near-duplicate component of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lsh_forest.near_duplicates(docs, shingle=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
