@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import materialize
+
 #: Bytes of text a Python step works on at a time.
 STEP_BYTES = 16 << 20
 
@@ -38,6 +40,17 @@ def give_back() -> None:
         trim(0)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``materialize(df)``; then the driver collects its garbage, upon which
+    Spark deletes the shuffle files that only the steps before it have read."""
+    out = materialize(df)
+    jvm = getattr(df.sparkSession, "_jvm", None)  # None under Spark Connect
+    if jvm is not None:
+        gc.collect()
+        jvm.System.gc()
+    return out
+
+
 def quoted(name: str) -> str:
     """A column name as an expression, whatever characters it holds."""
     return "`" + name.replace("`", "``") + "`"

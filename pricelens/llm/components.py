@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from .common import settled
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,12 +39,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     Each round ends in a checkpoint.  Nulls and self-links are left out; an
     empty table gives an empty result.
     """
-    edges = materialize(edges.where("u IS NOT NULL AND v IS NOT NULL AND u != v").select("u", "v").distinct())
+    edges = settled(edges.where("u IS NOT NULL AND v IS NOT NULL AND u != v").select("u", "v").distinct())
     before = _state(edges)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = materialize(_stars(_stars(edges, True), False))
+        edges = settled(_stars(_stars(edges, True), False))
         now = _state(edges)
         if now == before:
             break

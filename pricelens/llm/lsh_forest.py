@@ -29,8 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
-from .common import offsets, quoted, steps, texts_of, with_columns, worker_state
+from .common import offsets, quoted, settled, steps, texts_of, with_columns, worker_state
 from .components import connected_components
 
 #: MinHash values of a label, 16 bits each: four in ``hi``, four in ``lo``.
@@ -158,12 +157,12 @@ def regions(sets: DataFrame, crowd: int, depths: tuple[int, ...] = (3, 4, 6, 8))
         sizes = rows.groupBy("tree", "p").agg(F.count("*").alias("n")).where("n > 1")
         rows = rows.join(sizes, ["tree", "p"])
         if depth == depths[0]:
-            rows = materialize(rows)
+            rows = settled(rows)
         region = F.xxhash64("tree", F.lit(depth), "p")
         done.append(rows.where(F.col("n") <= crowd).select("key", region.alias("region")))
         rows = rows.where(F.col("n") > crowd)
         if depth == depths[0]:
-            crowded = materialize(rows.select("key", region.alias("region")))
+            crowded = settled(rows.select("key", region.alias("region")))
             if crowded.isEmpty():
                 break
         if depth == depths[-1]:
@@ -331,6 +330,7 @@ def _against_rest(rows: DataFrame, tile: int) -> DataFrame:
 
     Rows outside are dealt into tiles (side 0), all rows into tiles (side 1);
     a block is a pair of tiles.  A region that is one group has no block."""
+    rows = rows.select("region", "key", "n_shingles", "g")
     big = _largest(rows, F.col("g"))
     rows = rows.join(big, "region").withColumn("out", F.col("g") != F.col("big"))
     total = rows.groupBy("region").agg(F.count_if("out").alias("outs"), F.count("*").alias("rows"), F.sum("n_shingles").alias("weight")).where("outs > 0")
@@ -371,39 +371,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     digest = F.struct(F.xxhash64(F.col(quoted(text_col))).alias("a"), F.hash(F.col(quoted(text_col))).alias("b"))
     base = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), digest.alias("digest"),
                        F.struct(*[F.col(quoted(c)) for c in others]).alias("rest") if others else F.lit(None).cast("int").alias("rest"))
-    rows = materialize(features(base, "text", shingle, trees).drop("text"))
-    sets = materialize(rows.where("key IS NOT NULL").groupBy("key").agg(
+    rows = settled(features(base, "text", shingle, trees).drop("text"))
+    sets = settled(rows.where("key IS NOT NULL").groupBy("key").agg(
         F.min("id").alias("least"), F.min("digest").alias("digest"), *[F.first(c).alias(c) for c in ("n_shingles", "hi", "lo", "sig")]))
     slim, count = sets.select("key", "n_shingles", "sig"), trees * DEPTH
 
     # sets that may be similar
     placed, crowded = regions(sets.select("key", "hi", "lo"), crowd)
     one = placed.join(slim, "key").select("region", F.lit(0).cast("long").alias("block"), F.lit(0).alias("side"), "key", "n_shingles", "sig")
-    maybe = materialize(_in_blocks(one).mapInArrow(_screen(percent, count), _LINKS).distinct())
+    maybe = settled(_in_blocks(one).mapInArrow(_screen(percent, count), _LINKS).distinct())
     if not crowded.isEmpty():
         # what a cut region may have lost: the shortest prefix again
         again = crowded.join(_rooted(sets.select("key", "n_shingles"), maybe), "key")
         blocks = _against_rest(again, tile).join(slim.select("key", "sig"), "key").select("region", "block", "side", "key", "n_shingles", "sig")
         more = _in_blocks(blocks).mapInArrow(_screen(percent, count), _LINKS)
-        maybe = materialize(maybe.union(more).distinct())
+        maybe = settled(maybe.union(more).distinct())
 
     # the same on the full sets
-    groups = materialize(connected_components(maybe).select(F.col("node").alias("key"), F.xxhash64("root").alias("region"))
+    groups = settled(connected_components(maybe).select(F.col("node").alias("key"), F.xxhash64("root").alias("region"))
                          .join(sets.select("key", "n_shingles"), "key"))
     wanted = sets.select("key", "digest").join(groups.select("key"), "key")
-    text_of = base.select("digest", "text").join(wanted, "digest").groupBy("key").agg(F.first("text").alias("text"))
+    text_of = settled(base.select("digest", "text").join(wanted, "digest").groupBy("key").agg(F.first("text").alias("text")))
     sizes = groups.groupBy("region").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).alias("tiles"))
-    # a large group is dealt out twice: what two tiles split, the other deal may join
-    deal = F.when(F.col("tiles") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    tiles = groups.join(sizes, "region").select("region", "key", "n_shingles", "tiles", F.explode(deal).alias("deal"))
-    tiles = tiles.select("region", F.xxhash64("deal", F.pmod(F.xxhash64("key", "deal"), F.col("tiles"))).alias("block"), F.lit(0).alias("side"), "key")
-    links = materialize(_in_blocks(tiles.join(text_of, "key")).mapInArrow(_confirm(percent, shingle), _LINKS).distinct())
-    large = groups.join(sizes.where("tiles > 1").select("region"), "region")
-    if not large.isEmpty():
-        blocks = _against_rest(_rooted(large, links), tile).select("region", "block", "side", "key").join(text_of, "key")
-        links = materialize(links.union(_in_blocks(blocks).mapInArrow(_confirm(percent, shingle), _LINKS)).distinct())
+    sized = settled(groups.join(sizes, "region"))
+
+    def confirmed(blocks: DataFrame) -> DataFrame:
+        rows = blocks.select("region", "block", "side", "key").join(text_of, "key")
+        return settled(_in_blocks(rows).mapInArrow(_confirm(percent, shingle), _LINKS))
 
-    rooted = _rooted(sets.select("key", "least"), links)
+    small = sized.where("tiles = 1").select("region", F.lit(0).cast("long").alias("block"), F.lit(0).alias("side"), "key")
+    found = confirmed(small).select(F.col("u").alias("key"), F.col("v").alias("g"))
+    large = sized.where("tiles > 1")
+    if not large.isEmpty():
+        # dealt into tiles twice: what one deal splits, the other may join
+        dealt = large.select("region", "key", "tiles", F.explode(F.array(F.lit(0), F.lit(1))).alias("deal")).select(
+            "region", F.xxhash64("deal", F.pmod(F.xxhash64("key", "deal"), F.col("tiles"))).alias("block"), F.lit(0).alias("side"), "key")
+        links = confirmed(dealt)
+        links = settled(links.union(confirmed(_against_rest(_rooted(large, links), tile))))
+        found = found.union(connected_components(links).where("node != root").toDF("key", "g"))
+
+    rooted = sets.select("key", "least").join(found, "key", "left").withColumn("g", F.coalesce("g", "key"))
     named = rooted.groupBy("g").agg(F.min("least").alias("component_id"))
     of = rooted.join(named, "g").select("key", "component_id")
     out = rows.join(of, "key", "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")))
