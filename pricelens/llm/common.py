@@ -89,17 +89,19 @@ def with_columns(df: DataFrame, col: str, new: list[T.StructField],
     keep = [c for c in df.columns if c.lower() not in names or c == col]
     kept = df.select(*map(quoted, keep))
     out = [f for f in kept.schema.fields if f.name.lower() not in names]
-    schema = T.StructType(out + new)
     arrow = [to_arrow_type(f.dataType) for f in new]
-    passed = [f.name for f in out]
+    passed, final = [f.name for f in out], [f.name for f in out + new]
+    # plain names on the way: those of the caller may hold any characters
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(out + new)])
 
     def run(batches):
-        for batch in steps(batches, col, limit):
+        named = (pa.RecordBatch.from_arrays(b.columns, names=keep) for b in batches)
+        for batch in steps(named, col, limit):
             made = [a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(fn(batch), arrow)]
             cols = [batch.column(batch.schema.get_field_index(c)) for c in passed]
-            yield pa.RecordBatch.from_arrays(cols + made, names=passed + [f.name for f in new])
+            yield pa.RecordBatch.from_arrays(cols + made, names=plain.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.toDF(*[f"c{i}" for i in range(len(keep))]).mapInArrow(run, plain).toDF(*final)
 
 
 def ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

@@ -3,14 +3,16 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, fertility, lsh_forest, mixing, repeats, simhash, spotsigs, token_files, toxicity, unigram, warc
+from . import byte_bpe, fertility, lsh_forest, mixing, periodic, repeats, simhash, spotsigs, token_files, toxicity, unigram, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +177,38 @@ def op12_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and near-duplicate component of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return lsh_forest.near_duplicates(docs, shingle=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """``docs`` with a periodic tail in the text of about every tenth one, by
+    the CRC-32 of its id; words are joined by one space there."""
+    @F.arrow_udf("string")
+    def tail(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        out = []
+        for i, t in zip(ids.to_pylist(), texts.to_pylist()):
+            h = zlib.crc32(str(i).encode())
+            if i is not None and h % 10 == 0 and t:
+                words = t.encode("utf-8", "replace").split()  # bytes: cuts at 0x20 and 0x09-0x0D only
+                n, g = len(words), h // 10
+                if n:
+                    a = g % n
+                    p = 1 + (n - a) // (3 + g % 8)
+                    t = b" ".join(words[:a] + (words[a:a + p] * ((n - a) // p + 1))[:n - a]).decode()
+            out.append(t)
+        return pa.array(out, pa.string())
+
+    return docs.withColumn("text", tail("doc_id", "text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, after about every tenth got a periodic
+    tail; digests of the runs and of the text without them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.runs(planted(docs), least=6, exponent=4)
+    line = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    lines = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
