@@ -8,16 +8,19 @@ J7 (first fire per subscription interval) is a range join of ticks against
 subscription validity intervals.  It is evaluated without pairing every
 tick of a product with every subscription of that product:
 
-1. ticks are pre-aggregated to a minimum price per product-day and per
-   product-hour (partial aggregates);
-2. each interval is cut into day pieces ``[lo, hi)``; a piece can fire only
-   if its day's minimum is <= the target.  A whole-day piece with such a
-   minimum is certain to fire, so only the boundary days before it and
-   that day itself are kept (at most three);
-3. the kept days are cut into hours and narrowed the same way;
-4. only the kept hours (at most three) are compared tick by tick.
-
-So each subscription meets the ticks of at most three product-hours.
+1. ticks are pre-aggregated to price minima per product and node of a tree
+   over time: hours, and 32, 1,024 and 32,768 hours;
+2. an interval is covered by whole nodes, as large as they fit, and the two
+   hours it cuts: some 60 pieces a level, so their number grows with the
+   logarithm of its length.  A piece can fire only if its minimum is at or
+   below the target; the first whole node of that kind certainly fires, so
+   nothing after it matters (at most three pieces stay);
+3. a node that stays is narrowed to the first of its 32 children that fires,
+   level by level, down to an hour;
+4. only the hours that remain (at most three) are compared tick by tick.
+
+All joins are on (product, node), where the tree has one row, so the pieces of
+a product with very many subscriptions are a side that Spark splits.
 """
 
 from __future__ import annotations
@@ -135,35 +138,86 @@ def subscription_intervals(requests: DataFrame) -> DataFrame:
     return requests.withColumn("next_sub_ts", F.lead("sub_ts").over(w))
 
 
-def _split(pieces: DataFrame, unit: str) -> DataFrame:
-    """Pieces ``[lo, hi)`` -> one row per calendar ``unit`` (day/hour) they
-    touch, with the unit start ``u``, the clipped bounds and whether the
-    piece covers the whole unit."""
-    step = F.expr(f"INTERVAL 1 {unit.upper()}")
-    start = F.date_trunc(unit, "lo")
-    end = F.date_trunc(unit, F.col("hi") - F.expr("INTERVAL 1 MICROSECOND"))
-    p = pieces.where(F.col("hi") > F.col("lo")).select(
-        *INTERVAL_KEY, "target_price", "lo", "hi", F.explode(F.sequence(start, end, step)).alias("u"))
-    u_end = F.col("u") + step
-    return p.select(*INTERVAL_KEY, "target_price", "u",
-                    F.greatest("lo", "u").alias("lo"), F.least("hi", u_end).alias("hi"),
-                    ((F.col("lo") <= F.col("u")) & (F.col("hi") >= u_end)).alias("whole"))
-
-
-def _keep_first(pieces: DataFrame, summary: DataFrame) -> DataFrame:
-    """Unit pieces that can still hold an interval's first firing tick.
-
-    A whole-unit piece whose unit minimum is <= target certainly fires, so
-    nothing after the first such piece matters; partial pieces (at the
-    interval's ends) with a low enough minimum before it are uncertain and
-    kept.  At most three pieces per interval survive.  One window over the
-    interval's candidate pieces (a handful of rows) finds the first whole one.
-    """
-    cand = pieces.join(summary, ["product_name", "u"]).where(F.col("umin") <= F.col("target_price"))
-    fw = F.min(F.when(F.col("whole"), F.col("u"))).over(Window.partitionBy(*INTERVAL_KEY))
-    c = cand.withColumn("fw", fw)
-    keep = (~F.col("whole") & (F.col("fw").isNull() | (F.col("u") < F.col("fw")))) | (F.col("u") == F.col("fw"))
-    return c.where(keep).select(*INTERVAL_KEY, "target_price", "lo", "hi")
+#: Hours of a node at each level of the time tree.
+FAN_BITS, LEVELS = 5, 3
+_HOUR_US = 3_600_000_000
+
+
+def _hour(us: Column) -> Column:
+    return ((us - F.pmod(us, F.lit(_HOUR_US))) / _HOUR_US).cast("long")
+
+
+def _cover() -> Column:
+    """The pieces ``(level, node, whole, at)`` of the interval [lo, hi) given
+    in microseconds: whole nodes and the hours at its ends that it cuts."""
+    lo, hi = F.col("lo"), F.col("hi")
+    first, last = _hour(lo), _hour(hi)          # hours that hold the bounds
+    begin = F.when(F.pmod(lo, F.lit(_HOUR_US)) == 0, first).otherwise(first + 1)   # whole hours: begin..last-1
+
+    def piece(level: int, node: Column, whole: bool) -> Column:
+        return F.struct(F.lit(level).alias("level"), node.alias("node"), F.lit(whole).alias("whole"),
+                        F.shiftleft(node, FAN_BITS * level).alias("at"))
+
+    def up(x: Column, level: int) -> Column:     # first node of the level that starts at hour x or later
+        return F.shiftright(x + F.lit((1 << FAN_BITS * level) - 1), FAN_BITS * level)
+
+    def run(level: int, a: Column, b: Column) -> Column:
+        return F.when(a < b, F.transform(F.sequence(a, b - 1), lambda n: piece(level, n, True))).otherwise(F.array().cast(kind))
+
+    kind = "array<struct<level:int,node:bigint,whole:boolean,at:bigint>>"
+    parts = [F.when((lo < hi) & (begin > first), F.array(piece(0, first, False))).otherwise(F.array().cast(kind)),
+             F.when((lo < hi) & (F.pmod(hi, F.lit(_HOUR_US)) > 0) & (last >= begin), F.array(piece(0, last, False))).otherwise(F.array().cast(kind))]
+    for level in range(LEVELS + 1):
+        a, b = up(begin, level), F.shiftright(last, FAN_BITS * level)
+        if level == LEVELS:
+            parts.append(run(level, a, b))
+            continue
+        above, below = F.shiftleft(up(begin, level + 1), FAN_BITS), F.shiftleft(F.shiftright(last, FAN_BITS * (level + 1)), FAN_BITS)
+        parts += [run(level, a, F.least(above, b)), run(level, F.greatest(below, F.least(above, b)), b)]
+    return F.concat(*parts)
+
+
+def price_tree(ticks: DataFrame, materialize: str = "checkpoint") -> tuple[DataFrame, DataFrame]:
+    """``(tree, last)`` of ``ticks(product_name, us, price)``: price minima per
+    product and node of the time tree, and each product's last tick time."""
+    from ..session import materialize as mat
+    hourly = mat(ticks.groupBy("product_name", _hour(F.col("us")).alias("hour")).agg(F.min("price").alias("umin"), F.max("us").alias("last_us")), materialize)
+    nodes = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("hour", FAN_BITS * k).alias("node")) for k in range(LEVELS + 1)])
+    tree = hourly.select("product_name", "umin", F.inline(nodes)).groupBy("product_name", "level", "node").agg(F.min("umin").alias("umin"))
+    return tree, hourly.groupBy("product_name").agg(F.max("last_us").alias("last_us"))
+
+
+def first_in(intervals: DataFrame, ticks: DataFrame, materialize: str = "checkpoint") -> DataFrame:
+    """The first tick at or below the target in each of ``intervals`` (interval
+    key, target_price, sub_ts up to next_sub_ts, null: without end).
+
+    Output: interval key, target, ``fire_ts``, ``fire_price``, ``fire_seq``;
+    intervals that do not fire have no row.  Null times and prices match
+    nothing; an empty interval never fires."""
+    t = ticks.where(F.col("ts").isNotNull() & F.col("price").isNotNull()).select(
+        "product_name", "ts", "price", F.col("seq").alias("tick_seq"), F.unix_micros("ts").alias("us"))
+    tree, last = price_tree(t, materialize)
+    key = [*INTERVAL_KEY, "target_price", "lo", "hi"]
+    iv = intervals.where(F.col("target_price").isNotNull()).join(last, "product_name").select(
+        *INTERVAL_KEY, "target_price", F.unix_micros("sub_ts").alias("lo"),
+        F.coalesce(F.unix_micros("next_sub_ts"), F.col("last_us") + 1).alias("hi"))
+    met = iv.select(*key, F.inline(_cover())).join(tree, ["product_name", "level", "node"]).where(F.col("umin") <= F.col("target_price"))
+    spot = F.struct("at", "level", "node")
+    kept = met.groupBy(*key).agg(F.min(F.when(F.col("whole"), spot)).alias("sure"), F.collect_list(F.when(~F.col("whole"), spot)).alias("cut"))
+    kept = kept.withColumn("piece", F.explode(F.concat(
+        F.filter("cut", lambda c: F.col("sure").isNull() | (c["at"] < F.col("sure.at"))), F.array_compact(F.array("sure")))))
+    rows = kept.select(*key, "piece.level", "piece.node")
+    for level in range(LEVELS, 0, -1):
+        child = F.explode(F.transform(F.sequence(F.lit(0), F.lit((1 << FAN_BITS) - 1)), lambda i: F.shiftleft("node", FAN_BITS) + i))
+        inner = rows.where(F.col("level") == level).select(*key, F.lit(level - 1).alias("level"), child.alias("node"))
+        inner = inner.join(tree, ["product_name", "level", "node"]).where(F.col("umin") <= F.col("target_price"))
+        inner = inner.groupBy(*key, "level").agg(F.min("node").alias("node"))
+        rows = rows.where(F.col("level") < level).unionByName(inner.select(*key, "level", "node"))
+    hits = rows.withColumnRenamed("node", "hour").join(t.withColumn("hour", _hour(F.col("us"))), ["product_name", "hour"]).where(
+        (F.col("us") >= F.col("lo")) & (F.col("us") < F.col("hi")) & (F.col("price") <= F.col("target_price")))
+    first = hits.groupBy(*INTERVAL_KEY, "target_price").agg(F.min(F.struct("us", "tick_seq", "price", "ts")).alias("f"))
+    return first.select(*INTERVAL_KEY, "target_price", F.col("f.ts").alias("fire_ts"), F.col("f.price").alias("fire_price"),
+                        F.col("f.tick_seq").alias("fire_seq"))
 
 
 def first_fire(requests: DataFrame, ticks: DataFrame, materialize: str = "checkpoint") -> DataFrame:
@@ -173,40 +227,5 @@ def first_fire(requests: DataFrame, ticks: DataFrame, materialize: str = "checkp
     ``requests``: valid requests (email, product_name, target_price, sub_ts,
     seq).  ``ticks``: (product_name, ts, price, seq).
     Output: interval key, target, ``fire_ts``, ``fire_price``.
-
-    Ticks are read twice: once into per product-hour minima (a partial
-    aggregate, materialized; day minima and each product's last tick come
-    from it), and once, joined on (product, hour), for the at most three
-    hours per interval that remain after narrowing by day and by hour.
     """
-    from ..session import materialize as mat
-    t = ticks.where(F.col("ts").isNotNull() & F.col("price").isNotNull()).select(
-        "product_name", "ts", "price", F.col("seq").alias("tick_seq"), F.date_trunc("hour", "ts").alias("u"))
-    hourly = mat(t.groupBy("product_name", "u").agg(F.min("price").alias("umin"), F.max("ts").alias("last_ts")),
-                 materialize)
-    daily = hourly.groupBy("product_name", F.date_trunc("day", "u").alias("u")).agg(F.min("umin").alias("umin"))
-    last = hourly.groupBy("product_name").agg(F.max("last_ts").alias("last_ts"))
-    iv = subscription_intervals(requests).join(last, "product_name").select(
-        *INTERVAL_KEY, "target_price", F.col("sub_ts").alias("lo"),
-        F.coalesce("next_sub_ts", F.col("last_ts") + F.expr("INTERVAL 1 MICROSECOND")).alias("hi"))
-    days = _keep_first(_split(iv, "day"), daily)
-    hours = _keep_first(_split(days, "hour"), hourly.select("product_name", "u", "umin"))
-    hits = hours.withColumn("u", F.date_trunc("hour", "lo")).join(t, ["product_name", "u"]).where(
-        (F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi")) & (F.col("price") <= F.col("target_price")))
-    first = hits.groupBy(*INTERVAL_KEY, "target_price").agg(
-        F.min_by(F.struct("ts", "price"), F.struct("ts", "tick_seq")).alias("f"))
-    return first.select(*INTERVAL_KEY, "target_price", F.col("f.ts").alias("fire_ts"),
-                        F.col("f.price").alias("fire_price"))
-
-
-def first_fire_naive(requests: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Brute-force J7 for checking ``first_fire`` on small fixtures: every
-    tick of a product against every interval of that product."""
-    iv = subscription_intervals(requests)
-    j = iv.join(ticks.withColumnRenamed("seq", "tick_seq"), "product_name").where(
-        (F.col("ts") >= F.col("sub_ts")) & (F.col("next_sub_ts").isNull() | (F.col("ts") < F.col("next_sub_ts")))
-        & (F.col("price") <= F.col("target_price")))
-    first = j.groupBy(*INTERVAL_KEY, "target_price").agg(
-        F.min_by(F.struct("ts", "price"), F.struct("ts", "tick_seq")).alias("f"))
-    return first.select(*INTERVAL_KEY, "target_price", F.col("f.ts").alias("fire_ts"),
-                        F.col("f.price").alias("fire_price"))
+    return first_in(subscription_intervals(requests), ticks, materialize).drop("fire_seq")

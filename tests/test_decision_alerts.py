@@ -2,6 +2,9 @@ import datetime as dt
 
 
 from conftest import rows
+from pyspark.sql import functions as F
+
+from naive import first_fire_naive
 from pricelens import schemas as S
 from pricelens.operators import alerts as AL
 from pricelens.operators import decision as dec
@@ -43,7 +46,7 @@ def test_alert_fixture_first_fire_and_rearm(spark):
     fires = rows(AL.first_fire(valid, ticks), "email", "target_price", "fire_ts", "fire_price")
     assert fires == [("a@x", 85.0, ts("2024-01-05 10:00"), 80.0), ("a@x", 90.0, ts("2024-01-02 10:00"), 88.0),
                      ("c@x", 95.0, ts("2024-01-01 10:00"), 95.0)]
-    assert fires == rows(AL.first_fire_naive(valid, ticks), "email", "target_price", "fire_ts", "fire_price")
+    assert fires == rows(first_fire_naive(valid, ticks), "email", "target_price", "fire_ts", "fire_price")
 
 
 def test_first_fire_matches_naive_on_events(spark):
@@ -51,7 +54,29 @@ def test_first_fire_matches_naive_on_events(spark):
     d = "/root/testdata/sf0.01"
     valid, _ = AL.split_valid(A.subscription_requests(spark, d))
     t = A.price_obs(spark, d)
-    assert rows(AL.first_fire(valid, t)) == rows(AL.first_fire_naive(valid, t))
+    assert rows(AL.first_fire(valid, t)) == rows(first_fire_naive(valid, t))
+
+
+def test_first_fire_over_long_intervals(spark):
+    """Five years and more, before 1970 too, bounds on and off the hour, ties:
+    the cover's pieces grow with the logarithm of the length."""
+    import random
+    rng = random.Random(3)
+    start = ts("1968-03-01 00:00")
+    ticks = [("P", start + dt.timedelta(minutes=rng.randrange(60 * 24 * 365 * 8) // 7 * 7), 100.0 - (rng.random() ** 9) * 60, i) for i in range(4000)]
+    ticks += [("P", ticks[0][1], ticks[0][2], 4001), ("P", None, 1.0, 4002), ("P", start, None, 4003), (None, start, 1.0, 4004)]
+    reqs = [(f"e{i}@x", rng.choice("PPPQ"), 100.0 - 60 * (i / 300), start + dt.timedelta(hours=rng.randrange(24 * 365 * 6), minutes=rng.choice([0, 0, 13])), i)
+            for i in range(300)]
+    reqs += [(e, p, t, s + dt.timedelta(days=rng.randrange(1, 2000), seconds=rng.choice([0, 7])), 1000 + i) for i, (e, p, t, s, _) in enumerate(reqs[::2])]
+    reqs.append(("n@x", "P", None, start, 5000))
+    r = spark.createDataFrame(reqs, "email string, product_name string, target_price double, sub_ts timestamp, seq long")
+    t = spark.createDataFrame(ticks, "product_name string, ts timestamp, price double, seq long")
+    got = rows(AL.first_fire(r, t))
+    assert got == rows(first_fire_naive(r, t)) and len(got) > 100
+    year = 365 * 24 * 3_600_000_000
+    spans = spark.createDataFrame([(7, 7 + n * year) for n in (1, 5, 25)] + [(9, 9), (-5, 5)], "lo long, hi long")
+    sizes = [x[0] for x in spans.orderBy(F.col("hi") - F.col("lo")).select(F.size(AL._cover())).collect()]
+    assert sizes[0] == 0 and sizes[1] == 2 and sizes[-1] <= 2 + 62 * AL.LEVELS + 25 * 365 * 24 // 32768
 
 
 def test_upsert_latest_and_idempotent(spark):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from conftest import rows
+from naive import first_fire_naive
 from pricelens.operators import alerts as AL
 from pricelens.operators import series as ser
 
@@ -36,5 +37,5 @@ def test_first_fire_under_skew_matches_naive(spark):
     req = t.where(F.pmod("seq", F.lit(50)) == 0).select(
         F.concat(F.lit("e"), F.pmod("seq", F.lit(7)).cast("string"), F.lit("@x")).alias("email"),
         "product_name", (F.col("price") - 3.0).alias("target_price"), F.col("ts").alias("sub_ts"), "seq")
-    assert rows(AL.first_fire(req, t)) == rows(AL.first_fire_naive(req, t))
+    assert rows(AL.first_fire(req, t)) == rows(first_fire_naive(req, t))
     assert AL.upsert_state(req).where("product_name = 'hot'").count() == 7
