@@ -4,12 +4,11 @@
 from __future__ import annotations
 
 
-from pyspark.sql import functions as F
-
 from .. import adapters as A
 from ..session import scratch_path
 from . import landing as L
 from ..streaming import jobs as J
+from ..streaming.live_alerts import run_alerts
 from .alert_browse_queries import FIRE_SQL, fire_out
 from .common import iso_date, r6
 from .registry import query
@@ -30,10 +29,8 @@ def _ticks(spark, d: str):
 def q_stream_alerts(spark, d):
     ticks = _ticks(spark, d)
     reqs = J.request_stream(spark, _events(d))
-    keys = ("email", "product_name", "sub_ts", "seq")
-    out = J.run_to_table(spark, J.alert_stream(ticks, reqs), "alerts", "update",
-                         sink=J.upsert_partitions(keys, "bucket"))
-    return fire_out(out.where(F.col("fire_ts").isNotNull()))
+    fires, _ = run_alerts(spark, ticks, reqs)
+    return fire_out(fires)
 
 
 @query("stream_daily_last", "T2 D2", ["daily"], f"""

@@ -1,13 +1,7 @@
 """Structured Streaming jobs.
 
-* T1 ``alert_stream``: live price-drop alerts.  Ticks and subscribe
-  requests form one stream keyed by product; ``applyInPandasWithState``
-  keeps the product's subscription intervals and recent ticks and gives
-  each interval its first tick at or below target, exactly by event time
-  for events within the allowed lateness (one-shot until the next
-  request).  No tick is paired with every subscription: a range-minimum
-  search finds each firing tick.  Update mode into a sink keyed by
-  interval.
+* T1 live price-drop alerts: ``streaming.live_alerts``; the streams it
+  reads are here.
 * T2 ``daily_last_stream``: last price per product-day over a 1-day
   tumbling window with a watermark; late ticks correct their day until the
   watermark passes it.
@@ -52,11 +46,6 @@ def tick_stream(spark: SparkSession, events_dir: str, file_glob: str = "*.parque
                     F.col("event_id").alias("seq"))
 
 
-ALERT_OUT = ("email string, product_name string, sub_ts timestamp, seq long, target_price double, "
-             "fire_ts timestamp, fire_price double")
-ALERT_STATE = "state string"
-
-
 def request_stream(spark: SparkSession, events_dir: str, file_glob: str = "*.parquet",
                    max_files_per_trigger: int | None = None) -> DataFrame:
     """Subscribe requests carried by sign-up events in the driver's
@@ -75,68 +64,6 @@ def request_stream(spark: SparkSession, events_dir: str, file_glob: str = "*.par
     return AL.validate_subscriptions(req).where("valid").drop("valid", "reason")
 
 
-ALERT_LATENESS = "2 days"
-ALERT_BUCKETS = 32
-
-
-_UNIT_US = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000,
-            "week": 604_800_000_000}
-
-
-def _interval_us(text: str) -> int:
-    """'2 days', '90 minutes', ... -> microseconds."""
-    n, unit = text.split()
-    return int(float(n) * _UNIT_US[unit.lower().rstrip("s")])
-
-
-def _alert_step(lateness_us: int):
-    def run(key, batches, state):
-        import pandas as pd
-
-        from .alert_state import step
-        pdf = pd.concat(list(batches), ignore_index=True)
-        us = pdf["ts"].values.astype("datetime64[us]").astype("int64")
-        kind = pdf["kind"].to_numpy()
-        reqs = [(e, int(t), int(q), None if pd.isna(p) else float(p))
-                for e, t, q, p, k in zip(pdf["email"], us, pdf["seq"], pdf["target_price"], kind) if k == 0]
-        ticks = [(int(t), int(q), float(p)) for t, q, p, k in zip(us, pdf["seq"], pdf["price"], kind) if k == 1]
-        new_state, changed = step(state.get[0] if state.exists else None, reqs, ticks, lateness_us)
-        state.update((new_state,))
-        cols = ["email", "product_name", "sub_ts", "seq", "target_price", "fire_ts", "fire_price"]
-        yield pd.DataFrame({
-            "email": [c[0] for c in changed], "product_name": key[0],
-            "sub_ts": pd.to_datetime([c[1] for c in changed], unit="us"),
-            "seq": [c[2] for c in changed], "target_price": [c[3] for c in changed],
-            "fire_ts": pd.to_datetime([c[4] for c in changed], unit="us"),
-            "fire_price": [c[5] for c in changed]}, columns=cols)
-    return run
-
-
-def alert_stream(ticks: DataFrame, requests: DataFrame, lateness: str = ALERT_LATENESS) -> DataFrame:
-    """Per subscription interval the first tick at or below its target.
-
-    ``ticks`` (product_name, ts, price, seq) and ``requests`` (email,
-    product_name, target_price, sub_ts, seq) are streams, merged into one
-    event stream keyed by product.  The keyed state
-    (``pricelens.streaming.alert_state``) is exact by event time for events
-    up to ``lateness`` late; it holds the product's subscription intervals
-    and its recent ticks, so it grows with subscriptions, not with ticks.
-    Output is in update mode: an interval is re-emitted when a late, earlier
-    tick or a late re-subscription changes its first fire (``fire_ts`` NULL
-    = withdrawn), so the sink is keyed by interval (``upsert_partitions``
-    on ``bucket``).
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    lateness_us = _interval_us(lateness)
-    t = ticks.select("product_name", "ts", "price", "seq", F.lit(1).alias("kind"),
-                     F.lit(None).cast("string").alias("email"), F.lit(None).cast("double").alias("target_price"))
-    r = requests.select("product_name", F.col("sub_ts").alias("ts"), F.lit(None).cast("double").alias("price"),
-                        "seq", F.lit(0).alias("kind"), "email", "target_price")
-    out = t.unionByName(r).groupBy("product_name").applyInPandasWithState(
-        _alert_step(lateness_us), ALERT_OUT, ALERT_STATE, "update", GroupStateTimeout.NoTimeout)
-    return out.withColumn("bucket", F.pmod(F.xxhash64("product_name"), F.lit(ALERT_BUCKETS)))
-
-
 def daily_last_stream(ticks: DataFrame, watermark: str = "2 days") -> DataFrame:
     """Last price of each product-day, incrementally."""
     g = ticks.withWatermark("ts", watermark).groupBy("product_name", F.window("ts", "1 day").alias("w"))

@@ -5,6 +5,7 @@ from pricelens import adapters as A
 from pricelens.operators import alerts as AL
 from pricelens.operators import series as ser
 from pricelens.streaming import jobs as J
+from pricelens.streaming.live_alerts import run_alerts
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -14,7 +15,7 @@ def test_stream_alerts_equal_batch(spark):
     valid, _ = AL.split_valid(A.subscription_requests(spark, SF_SMALL))
     ticks = J.tick_stream(spark, SF_SMALL, "events.parquet")
     reqs = J.request_stream(spark, SF_SMALL, "events.parquet")
-    got = _alerts(spark, J.alert_stream(ticks, reqs), "t-alerts")
+    got = run_alerts(spark, ticks, reqs)[0]
     assert rows(got) == rows(AL.first_fire(valid, A.price_obs(spark, SF_SMALL)))
 
 
@@ -50,13 +51,6 @@ def test_oracle_sample_at_small_scale(spark):
         assert key(s) == key(d), name
 
 
-def _alerts(spark, stream, name):
-    from pyspark.sql import functions as F
-    keys = ("email", "product_name", "sub_ts", "seq")
-    out = J.run_to_table(spark, stream, name, "update", sink=J.upsert_partitions(keys, "bucket"))
-    return out.where(F.col("fire_ts").isNotNull()).drop("bucket")
-
-
 def _land_in_time_order(spark, parts=4, reverse=False):
     """The events landed as ``parts`` files in time order (one per trigger),
     or newest first with ``reverse``."""
@@ -89,7 +83,8 @@ def test_stream_alerts_across_micro_batches(spark):
     land = _land_in_time_order(spark)
     ticks = J.tick_stream(spark, land, "*.parquet", max_files_per_trigger=1)
     reqs = J.request_stream(spark, land, "*.parquet", max_files_per_trigger=1)
-    got = _alerts(spark, J.alert_stream(ticks, reqs), "t-alerts-mb")
+    got, late = run_alerts(spark, ticks, reqs)
+    assert late.count() == 0
     valid, _ = AL.split_valid(A.subscription_requests(spark, SF_SMALL))
     assert rows(got) == rows(AL.first_fire(valid, A.price_obs(spark, SF_SMALL)))
 
@@ -98,7 +93,7 @@ def test_stream_alerts_exact_when_files_arrive_in_reverse_time_order(spark):
     land = _land_in_time_order(spark, reverse=True)
     ticks = J.tick_stream(spark, land, "*.parquet", max_files_per_trigger=1)
     reqs = J.request_stream(spark, land, "*.parquet", max_files_per_trigger=1)
-    got = _alerts(spark, J.alert_stream(ticks, reqs, lateness="40 days"), "t-alerts-rev")
+    got = run_alerts(spark, ticks, reqs, lateness="40 days")[0]
     valid, _ = AL.split_valid(A.subscription_requests(spark, SF_SMALL))
     assert rows(got) == rows(AL.first_fire(valid, A.price_obs(spark, SF_SMALL)))
 
