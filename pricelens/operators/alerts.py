@@ -181,10 +181,12 @@ def price_tree(ticks: DataFrame, materialize: str = "checkpoint") -> tuple[DataF
     """``(tree, last)`` of ``ticks(product_name, us, price)``: price minima per
     product and node of the time tree, and each product's last tick time."""
     from ..session import materialize as mat
-    hourly = mat(ticks.groupBy("product_name", _hour(F.col("us")).alias("hour")).agg(F.min("price").alias("umin"), F.max("us").alias("last_us")), materialize)
+    hourly = ticks.groupBy("product_name", _hour(F.col("us")).alias("hour")).agg(F.min("price").alias("umin"), F.max("us").alias("last_us"))
     nodes = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("hour", FAN_BITS * k).alias("node")) for k in range(LEVELS + 1)])
-    tree = hourly.select("product_name", "umin", F.inline(nodes)).groupBy("product_name", "level", "node").agg(F.min("umin").alias("umin"))
-    return tree, hourly.groupBy("product_name").agg(F.max("last_us").alias("last_us"))
+    tree = mat(hourly.select("product_name", "umin", "last_us", F.inline(nodes)).groupBy("product_name", "level", "node").agg(
+        F.min("umin").alias("umin"), F.max("last_us").alias("last_us")), materialize)
+    last = tree.where(F.col("level") == LEVELS).groupBy("product_name").agg(F.max("last_us").alias("last_us"))
+    return tree.drop("last_us"), last
 
 
 def first_in(intervals: DataFrame, ticks: DataFrame, materialize: str = "checkpoint") -> DataFrame:
@@ -194,6 +196,7 @@ def first_in(intervals: DataFrame, ticks: DataFrame, materialize: str = "checkpo
     Output: interval key, target, ``fire_ts``, ``fire_price``, ``fire_seq``;
     intervals that do not fire have no row.  Null times and prices match
     nothing; an empty interval never fires."""
+    from ..session import materialize as mat
     t = ticks.where(F.col("ts").isNotNull() & F.col("price").isNotNull()).select(
         "product_name", "ts", "price", F.col("seq").alias("tick_seq"), F.unix_micros("ts").alias("us"))
     tree, last = price_tree(t, materialize)
@@ -206,13 +209,15 @@ def first_in(intervals: DataFrame, ticks: DataFrame, materialize: str = "checkpo
     kept = met.groupBy(*key).agg(F.min(F.when(F.col("whole"), spot)).alias("sure"), F.collect_list(F.when(~F.col("whole"), spot)).alias("cut"))
     kept = kept.withColumn("piece", F.explode(F.concat(
         F.filter("cut", lambda c: F.col("sure").isNull() | (c["at"] < F.col("sure.at"))), F.array_compact(F.array("sure")))))
-    rows = kept.select(*key, "piece.level", "piece.node")
-    for level in range(LEVELS, 0, -1):
+    found = mat(kept.select(*key, "piece.level", "piece.node"), materialize)
+    top = found.agg(F.max("level")).first()[0] or 0   # no interval is longer: nothing to narrow above
+    rows = found.where(F.col("level") == top)
+    for level in range(top, 0, -1):
         child = F.explode(F.transform(F.sequence(F.lit(0), F.lit((1 << FAN_BITS) - 1)), lambda i: F.shiftleft("node", FAN_BITS) + i))
-        inner = rows.where(F.col("level") == level).select(*key, F.lit(level - 1).alias("level"), child.alias("node"))
-        inner = inner.join(tree, ["product_name", "level", "node"]).where(F.col("umin") <= F.col("target_price"))
-        inner = inner.groupBy(*key, "level").agg(F.min("node").alias("node"))
-        rows = rows.where(F.col("level") < level).unionByName(inner.select(*key, "level", "node"))
+        inner = rows.select(*key, child.alias("node")).join(tree.where(F.col("level") == level - 1).drop("level"), ["product_name", "node"])
+        inner = inner.where(F.col("umin") <= F.col("target_price")).groupBy(*key, F.lit(level - 1).alias("level")).agg(F.min("node").alias("node"))
+        # one node of each interval goes on; its cut hours wait at the lowest level
+        rows = inner.select(*key, "level", "node").unionByName(found.where(F.col("level") == level - 1))
     hits = rows.withColumnRenamed("node", "hour").join(t.withColumn("hour", _hour(F.col("us"))), ["product_name", "hour"]).where(
         (F.col("us") >= F.col("lo")) & (F.col("us") < F.col("hi")) & (F.col("price") <= F.col("target_price")))
     first = hits.groupBy(*INTERVAL_KEY, "target_price").agg(F.min(F.struct("us", "tick_seq", "price", "ts")).alias("f"))
