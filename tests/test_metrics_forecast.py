@@ -115,6 +115,55 @@ def test_fourier_variant_tracks_weekly_pattern(spark):
     assert best.count() == 1
 
 
+def test_fourier_equals_a_direct_solve(spark):
+    """Both folds' coefficients and the forecast against one dense ridge solve of
+    all daily rows, for several lengths, a constant zero series among them."""
+    import numpy as np
+
+    from pricelens.operators import forecast_fourier as FF
+
+    def direct(y, scale):
+        n = len(y)
+        t, span = np.arange(n, dtype=float), max(n - 1.0, 1.0)
+
+        def trend_basis(t):
+            x = t / span
+            return np.column_stack([np.ones_like(x), x] + [np.maximum(0, x - 0.8 * k / 26) for k in range(1, 26)])
+
+        def season_basis(t):
+            return np.column_stack([f(2 * np.pi * k * t / p) for p, o in ((7.0, 3), (365.25, 10)) for f in (np.sin, np.cos) for k in range(1, o + 1)])
+        x = trend_basis(t)
+        beta = np.linalg.lstsq(x.T @ x + np.diag([0.0, 0.0] + [20.0] * 25), x.T @ (y / scale), rcond=None)[0]
+        level = x @ beta
+        ratio = np.array([a / b - 1 if abs(b) > 1e-9 else 0.0 for a, b in zip(y / scale, level)])
+        z = season_basis(t)
+        gamma = np.linalg.lstsq(z.T @ z + 0.1 * np.eye(26), z.T @ ratio, rcond=None)[0]
+        return beta, gamma, lambda t: trend_basis(t) @ beta * (1 + season_basis(t) @ gamma) * scale
+
+    rng = np.random.default_rng(7)
+    ys = {f"p{n}": 50 + np.cumsum(rng.normal(0, 1, n)) + 5 * np.sin(np.arange(n) / 9) for n in (10, 37, 400, 900)}
+    ys["zero"] = np.zeros(30)
+    s = None
+    for name, y in ys.items():
+        part = series(spark, y.tolist(), product=name)
+        s = part if s is None else s.unionByName(part)
+    model = {(r.product_name, r.fold): r for r in FF.fit(FF.materialized_positions(s)).collect()}
+    fc, mets, _ = FF.fourier(s, periods=5)
+    fc = {(r.product_name, r.h): r for r in fc.collect()}
+    for name, y in ys.items():
+        scale = max(abs(y)) or 1.0
+        for fold, part in (("full", y), ("train", y[:int(len(y) * 0.8)])):
+            beta, gamma, price = direct(part, scale)
+            assert np.allclose(model[name, fold].beta, beta, atol=1e-6) and np.allclose(model[name, fold].gamma, gamma, atol=1e-6)
+            if fold == "full":
+                band = 1.2816 * np.std(y - price(np.arange(len(y), dtype=float)), ddof=1)
+                want = price(np.arange(len(y), len(y) + 5, dtype=float))
+                for h in range(5):
+                    assert abs(fc[name, h + 1].predicted_price - want[h]) < 0.011
+                    assert abs(fc[name, h + 1].upper_bound - want[h] - band) < 0.02
+    assert mets.count() == len(ys)
+
+
 def test_a_day_has_one_price_at_any_horizon(spark):
     s = series(spark, [40 - 0.6 * i + (i % 7) for i in range(40)])
     near = {r.ds: r.predicted_price for r in FC.trend_seasonal(s, periods=7).forecast.collect()}
