@@ -12,10 +12,9 @@ model objects:
   deviation for the band.  If the trend reaches zero within the horizon the
   product switches to additive indices (status ``additive``).
 * ``quantile`` (M2): empirical quantiles (10/50/90%) of the h-day-ahead
-  price ratio ``y[t+h] / y[t]`` over the last 512 days of context.  The
-  context of one product is bounded (512 values), so it is gathered into
-  one array and all horizons are evaluated with array expressions -- no
-  self-join producing 512 x horizon rows per product.
+  price ratio ``y[t+h] / y[t]`` over all days of the history.  A product's
+  days are gathered into one array and all horizons are evaluated with array
+  expressions -- no self-join producing days x horizon rows per product.
 
 Both folds (``train`` = first 80%, ``full``) are fitted in the same
 aggregations: each row is exploded into the folds it belongs to.  After the

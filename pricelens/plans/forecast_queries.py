@@ -138,7 +138,7 @@ SELECT product_name, ds, yhat AS fitted_price FROM ({_predict_sql(
 
 # M2: ratio pairs by self-join, exact quantile_cont.
 view("m2_ctx", ["frows"], """
-SELECT * FROM frows WHERE idx >= (CASE WHEN fold = 'train' THEN split ELSE n END) - 512""")
+SELECT * FROM frows""")
 
 view("m2_h", ["m2_ctx"], f"""
 SELECT product_name, fold, m, last_idx, base, h, least(h, m - 1) AS h_eff FROM (

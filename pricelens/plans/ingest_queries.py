@@ -160,8 +160,8 @@ def review_pages(spark, d):
 
 
 view("review_page_rows", ["reviews"], f"""
-SELECT *, CAST(review_id // {L.PAGE_IDS} AS INTEGER) + 1 AS page, min(review_id) OVER (PARTITION BY listing, review_id // {L.PAGE_IDS}) AS page_id,
-       (length(listing) + review_id // {L.PAGE_IDS}) % {L.EMPTY_EVERY} = {L.EMPTY_EVERY - 1} AS landed_empty
+SELECT *, 2 * CAST(review_id // {L.PAGE_IDS} AS INTEGER) + 1 AS page, min(review_id) OVER (PARTITION BY listing, review_id // {L.PAGE_IDS}) AS page_id,
+       (length(listing) + review_id // {L.PAGE_IDS}) % {L.EMPTY_EVERY} = {L.EMPTY_EVERY - 1} AS empty_follows
 FROM reviews""")
 
 
@@ -172,10 +172,10 @@ def _slug_sql(c: str) -> str:
 @query("first_product_link", "S8e", ["review_page_rows"], f"""
 SELECT 'landed' AS kind, page_id, NULL AS product_link, NULL AS reviews_link, 'Product' AS title FROM pages
 UNION ALL
-SELECT 'review', page_id, '/p/' || {_slug_sql('product_name')}, '/product-reviews/' || {_slug_sql('product_name')},
+SELECT 'review', page_id + extra, '/p/' || {_slug_sql('product_name')}, '/product-reviews/' || {_slug_sql('product_name')},
        CASE WHEN product_name = '' THEN 'Product'
             ELSE replace(replace(replace(product_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END
-FROM review_page_rows WHERE review_id = page_id""")
+FROM review_page_rows, (SELECT unnest([0, {L.EMPTY_PAGE_ID}]) AS extra) WHERE review_id = page_id AND (extra = 0 OR empty_follows)""")
 def q_first_product_link(spark, d):
     landed = A.table(spark, d, "pages").withColumn("kind", F.lit("landed"))
     rev = review_pages(spark, d).withColumn("kind", F.lit("review"))
@@ -214,7 +214,7 @@ FROM (
                {strip("split_part(review_text, chr(10), 1)")} AS t,
                [x FOR x IN [{strip("split_part(review_text, chr(10), 1)")},
                             {strip("review_text")} || 'READ MORE', reviewer] IF {ok('x')}] AS cand
-        FROM review_page_rows WHERE NOT landed_empty)
+        FROM review_page_rows)
       WHERE len(cand) > 0))))
 GROUP BY page_id, rating, title, body, reviewer)"""
 
@@ -230,8 +230,9 @@ def q_extract_reviews(spark, d):
 SELECT base_url, page, n_reviews FROM (
   SELECT *, min(CASE WHEN n_reviews = 0 THEN page END) OVER (PARTITION BY base_url) AS first_empty FROM (
     SELECT '{L.REVIEW_URL}' || listing || '?sort=id' AS base_url, page,
-           CAST(CASE WHEN landed_empty THEN 0 ELSE count(*) + 1 END AS INTEGER) AS n_reviews
-    FROM review_page_rows GROUP BY listing, page, landed_empty))
+           CAST(count(*) + 1 AS INTEGER) AS n_reviews
+    FROM review_page_rows GROUP BY listing, page
+    UNION ALL SELECT DISTINCT '{L.REVIEW_URL}' || listing || '?sort=id', page + 1, 0 FROM review_page_rows WHERE empty_follows))
 WHERE first_empty IS NULL OR page < first_empty""")
 def q_pages_until_empty(spark, d):
     p = RP.page_numbers(review_pages(spark, d)).withColumn("n_reviews", RP.anchor_count(F.col("html")))

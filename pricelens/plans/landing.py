@@ -13,8 +13,10 @@ from ..sources.price_pages import PAGE_URL_PREFIX
 REVIEW_URL = "https://shop.example.com/product-reviews/"
 #: Consecutive review ids from which a listing's page takes its reviews.
 PAGE_IDS = 100
-#: Of so many pages of all listings one is landed empty.
+#: Behind one of so many pages of all listings an empty one is landed.
 EMPTY_EVERY = 7
+#: What an empty page's id has beyond that of the page before it.
+EMPTY_PAGE_ID = 10_000_000_000
 
 
 def xor_chars(text: Column, key: Column) -> Column:
@@ -74,10 +76,10 @@ def review_card(r: Column) -> Column:
 
 
 def review_pages(reviews: DataFrame) -> DataFrame:
-    """Review pages of every listing, numbered from 1: page k holds the
-    listing's reviews among the k-th hundred ids, in id order, the first one
-    shown once more at the end as featured.  Every seventh page (counted over
-    listings and numbers) was landed without reviews.  A page gathers at most
+    """Review pages of every listing: page 2k - 1 holds the listing's reviews
+    among the k-th hundred ids, in id order, the first one shown once more at
+    the end as featured.  Behind every seventh of them (counted over listings
+    and numbers) an empty page 2k is landed as well.  A page gathers at most
     ``PAGE_IDS`` ids, however large its listing."""
     block = F.floor(F.col("review_id") / PAGE_IDS).cast("int")
     g = reviews.groupBy("listing", block.alias("block")).agg(
@@ -87,8 +89,13 @@ def review_pages(reviews: DataFrame) -> DataFrame:
     links = F.concat(F.lit('<a href="/p/'), slug, F.lit('">'), _esc(first["product_name"]),
                      F.lit('</a><a href="/product-reviews/'), slug, F.lit('">All reviews</a>'))
     cards = F.concat(F.array_join(F.transform("rs", review_card), ""), review_card(first))
-    empty = F.pmod(F.length("listing") + F.col("block"), F.lit(EMPTY_EVERY)) == EMPTY_EVERY - 1
-    html = F.concat(F.lit("<html><head><title>"), _esc(first["product_name"]), F.lit("</title></head><body><nav>"), links,
-                    F.lit("</nav><main>"), F.when(empty, F.lit("<p>No reviews yet</p>")).otherwise(cards), F.lit("</main></body></html>"))
-    url = F.concat(F.lit(REVIEW_URL), "listing", F.lit("?sort=id&page="), (F.col("block") + 1).cast("string"))
-    return g.select(first["review_id"].alias("page_id"), url.alias("url"), html.alias("html"))
+    follows = F.pmod(F.length("listing") + F.col("block"), F.lit(EMPTY_EVERY)) == EMPTY_EVERY - 1
+
+    def page(shift: int, after: int, main: Column) -> Column:
+        html = F.concat(F.lit("<html><head><title>"), _esc(first["product_name"]), F.lit("</title></head><body><nav>"), links,
+                        F.lit("</nav><main>"), main, F.lit("</main></body></html>"))
+        return F.struct((first["review_id"] + F.lit(shift)).alias("page_id"), (2 * F.col("block") + after).cast("string").alias("number"), html.alias("html"))
+
+    both = F.array(page(0, 1, cards), page(EMPTY_PAGE_ID, 2, F.lit("<p>No reviews yet</p>")))
+    pages = g.select("listing", F.inline(F.slice(both, F.lit(1), F.when(follows, 2).otherwise(1))))
+    return pages.select("page_id", F.concat(F.lit(REVIEW_URL), "listing", F.lit("?sort=id&page="), "number").alias("url"), "html")
