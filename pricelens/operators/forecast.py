@@ -8,7 +8,7 @@ model objects:
 
 * ``trend_seasonal`` (M1): least-squares trend (``regr_slope`` /
   ``regr_intercept``), multiplicative weekday index of the detrended ratio,
-  a month index when the history spans two years, residual standard
+  a month index shrunk towards 1 by the month's observed days, residual standard
   deviation for the band.  If the trend reaches zero within the horizon the
   product switches to additive indices (status ``additive``).
 * ``quantile`` (M2): empirical quantiles (10/50/90%) of the h-day-ahead
@@ -34,7 +34,9 @@ from . import metrics as MET
 from .series import with_position
 
 Z80 = 1.2815515655446004   # normal quantile of 0.9: two-sided 80% band
-MONTH_INDEX_MIN_DAYS = 730
+#: Days at which a month's index counts half: a month seen on d days keeps the
+#: share d / (d + MONTH_HALF_DAYS) of its distance from 1.
+MONTH_HALF_DAYS = 60
 KEYS = ["product_name", "fold"]
 # The model selector values of the original request API
 # ("prophet", "chronos", "both") map onto this library's models.
@@ -98,9 +100,7 @@ def _trend(t):
 
 
 def _yhat(t):
-    use_month = F.col("n_fit") >= MONTH_INDEX_MIN_DAYS
-    m = F.when(use_month, F.coalesce(F.col("m"), F.lit(1.0))).otherwise(F.lit(1.0))
-    sm = F.when(use_month, F.coalesce(F.col("sm"), F.lit(0.0))).otherwise(F.lit(0.0))
+    m, sm = F.coalesce(F.col("m"), F.lit(1.0)), F.coalesce(F.col("sm"), F.lit(0.0))
     g = _trend(t)
     mult = g * F.coalesce(F.col("w"), F.lit(1.0)) * m
     add = g + F.coalesce(F.col("s"), F.lit(0.0)) + sm
@@ -108,13 +108,15 @@ def _yhat(t):
 
 
 def _index_map(detail: DataFrame, key: str, ratio_sum: str, ratio_n: str, resid: str,
-               idx_name: str, add_name: str) -> DataFrame:
+               idx_name: str, add_name: str, weight=None) -> DataFrame:
     """Per (product, fold): map key -> struct(index, additive offset), where
-    index = mean ratio of the key / mean ratio overall."""
+    index = mean ratio of the key / mean ratio overall.  With ``weight`` both
+    keep that share of their distance from 1 and 0."""
     level = detail.groupBy(KEYS).agg(F.try_divide(F.sum(ratio_sum), F.sum(ratio_n)).alias("_lvl"))
-    d = detail.join(level, KEYS).select(
-        *KEYS, key, F.struct(F.try_divide(F.try_divide(F.col(ratio_sum), F.col(ratio_n)), F.col("_lvl"))
-                             .alias(idx_name), F.col(resid).alias(add_name)).alias("v"))
+    index, add = F.try_divide(F.try_divide(F.col(ratio_sum), F.col(ratio_n)), F.col("_lvl")), F.col(resid)
+    if weight is not None:
+        index, add = F.lit(1.0) + (index - F.lit(1.0)) * weight, add * weight
+    d = detail.join(level, KEYS).select(*KEYS, key, F.struct(index.alias(idx_name), add.alias(add_name)).alias("v"))
     return d.groupBy(KEYS).agg(F.map_from_entries(F.collect_list(F.struct(key, "v"))).alias("map"))
 
 
@@ -148,8 +150,9 @@ def fit_trend_seasonal(rows: DataFrame, periods: int, materialize: str = "checkp
     g2 = g.join(model_w.select(*KEYS, "wmap"), KEYS).withColumns({
         "ratio2": F.try_divide(F.col("ratio"), wv["w"]), "resid2": F.col("resid") - wv["s"]})
     mo = g2.groupBy(*KEYS, "month").agg(F.sum("ratio2").alias("sr"), F.count("ratio2").alias("nr"),
-                                        F.avg("resid2").alias("sm"))
-    mmap = _index_map(mo, "month", "sr", "nr", "sm", "m", "sm").withColumnRenamed("map", "mmap")
+                                        F.avg("resid2").alias("sm"), F.count(F.lit(1)).alias("days"))
+    weight = F.col("days") / (F.col("days") + F.lit(float(MONTH_HALF_DAYS)))
+    mmap = _index_map(mo, "month", "sr", "nr", "sm", "m", "sm", weight).withColumnRenamed("map", "mmap")
     model0 = model_w.join(mmap, KEYS, "left").withColumn("sigma", F.lit(None).cast("double"))
     model0 = mat(model0, materialize)
 

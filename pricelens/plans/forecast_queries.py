@@ -88,17 +88,17 @@ view("m1_g2", ["m1_g", "m1_weekly"], """
 SELECT g.*, k.w, k.s, CASE WHEN k.w <> 0 THEN g.ratio / k.w END AS ratio2, g.resid - k.s AS resid2
 FROM m1_g g LEFT JOIN m1_weekly k ON g.product_name = k.product_name AND g.fold = k.fold AND g.dow = k.dow""")
 
-view("m1_monthly", ["m1_g2"], """
-SELECT w.product_name, w.fold, w.mon, CASE WHEN l.rbar <> 0 THEN w.rm / l.rbar END AS m, w.sm
-FROM (SELECT product_name, fold, mon, avg(ratio2) AS rm, avg(resid2) AS sm FROM m1_g2 GROUP BY ALL) w
+view("m1_monthly", ["m1_g2"], f"""
+SELECT w.product_name, w.fold, w.mon, 1.0 + (CASE WHEN l.rbar <> 0 THEN w.rm / l.rbar END - 1.0) * w.kept AS m, w.sm * w.kept AS sm
+FROM (SELECT product_name, fold, mon, avg(ratio2) AS rm, avg(resid2) AS sm,
+             count(*) / (count(*) + {FC.MONTH_HALF_DAYS}.0::DOUBLE) AS kept FROM m1_g2 GROUP BY product_name, fold, mon) w
 JOIN (SELECT product_name, fold, avg(ratio2) AS rbar FROM m1_g2 GROUP BY ALL) l
   ON w.product_name = l.product_name AND w.fold = l.fold""")
 
 
 def _yhat_sql(t: str) -> str:
     g = f"(CASE WHEN l.mode = 'degenerate' THEN l.ybar ELSE l.a + l.b * {t} END)"
-    m = "(CASE WHEN l.n_fit >= 730 THEN coalesce(mo.m, 1.0) ELSE 1.0 END)"
-    sm = "(CASE WHEN l.n_fit >= 730 THEN coalesce(mo.sm, 0.0) ELSE 0.0 END)"
+    m, sm = "coalesce(mo.m, 1.0)", "coalesce(mo.sm, 0.0)"
     return (f"(CASE WHEN l.mode = 'multiplicative' THEN {g} * coalesce(wk.w, 1.0) * {m} "
             f"ELSE {g} + coalesce(wk.s, 0.0) + {sm} END)")
 

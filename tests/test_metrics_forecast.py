@@ -104,6 +104,21 @@ def test_model_selector(spark):
     assert {r.model for r in FC.forecast(s, "both", periods=2).forecast.collect()} == {"trend_seasonal", "quantile"}
 
 
+def test_month_index_grows_with_the_days_seen(spark):
+    """No history length switches the month index on: a day's price hardly
+    moves from 729 to 731 days, and more Januaries count for more."""
+    import datetime as dt
+
+    def price(n):
+        days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(n)]
+        s = series(spark, [100.0 + (20 if d.month == 1 else 0) for d in days], start="2020-01-01")
+        return {r.ds: r.predicted_price for r in FC.trend_seasonal(s, periods=365).forecast.collect()}
+    near, far = price(729), price(731)
+    assert max(abs(near[d] - far[d]) for d in near if d in far) < 0.5
+    gap = [p[dt.date(y, 1, 15)] - p[dt.date(y - 1, 12, 15)] for p, y in ((price(400), 2022), (price(1200), 2024))]
+    assert 0 < gap[0] < gap[1] < 20
+
+
 def test_fourier_variant_tracks_weekly_pattern(spark):
     from pricelens.operators import forecast_fourier as FF
     ys = [100 + 0.5 * i + (10 if i % 7 in (5, 6) else 0) for i in range(120)]
