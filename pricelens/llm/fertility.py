@@ -86,10 +86,13 @@ def _repeats(words: np.ndarray) -> int:
     """Words in windows of three words that stand in the text twice or more."""
     if len(words) < 4:
         return 0
-    # numbers in the text, so that two of them are one 64-bit number whatever its length
-    words = np.unique(words, return_inverse=True)[1]
-    pairs = np.unique(words[:-1] * len(words) + words[1:], return_inverse=True)[1]
-    _, inverse, count = np.unique(pairs[:-1] * len(words) + words[2:], return_inverse=True, return_counts=True)
+    if words.max() < 1 << 21:  # three numbers fit into one of 63 bits
+        key = words[:-2] << 42 | words[1:-1] << 21 | words[2:]
+    else:  # numbered by what the text holds, first pairs, then a pair and a word
+        words = np.unique(words, return_inverse=True)[1]
+        pairs = np.unique(words[:-1] * len(words) + words[1:], return_inverse=True)[1]
+        key = pairs[:-1] * len(words) + words[2:]
+    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
     again = count[inverse] > 1
     covered = np.zeros(len(words), bool)
     for k in range(3):

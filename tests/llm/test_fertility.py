@@ -108,6 +108,9 @@ def test_repeats_of_millions_of_words():
     assert fertility._repeats(words) == 0
     words[-3:] = words[:3]
     assert fertility._repeats(words) == 6
+    rng = np.random.default_rng(1)
+    few = rng.integers(0, 6, 500)  # the same for small and for large numbers
+    assert fertility._repeats(few) == fertility._repeats(few + (1 << 21)) == fertility._repeats(few * 3_000_000) > 100
 
 
 def slow_judge(rows, group, least_docs=50):
