@@ -113,7 +113,7 @@ def rule_from_score(text, score) -> Column:
 def capitalize(s) -> Column:
     """Python ``str.capitalize``: first character upper, the rest lower."""
     s = _c(s)
-    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, 2, 1 << 30)))
+    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substr(s, F.lit(2))))
 
 
 def parse_llm_label(response) -> Column:
