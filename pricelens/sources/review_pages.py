@@ -2,10 +2,10 @@
 the take-until-empty rule (S8b, S8c), product/review links (S8e) and review
 text assembly (F12, F13).
 
-Spark SQL has no function that reads HTML, so one Python step turns a page
-into a table of its elements (``page_nodes``): an element's place, its tag, the
-text below it and two facts about what it holds.  The card rules are windows,
-joins and aggregates over that table.
+Spark SQL has no function that reads HTML, so one Python step reads a page's
+elements and gives each, in one pass in document order, to the cards that are
+open there (``page_cards``).  A card is a row with the texts a rule may read;
+the rules are expressions over it, and nothing is shuffled before rule 7.
 """
 
 from __future__ import annotations
@@ -17,22 +17,24 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as T
-from ..session import materialize
 
-NODES = ("page_id long, node int, last int, tag string, text string, holds_block boolean, "
-         "holds_icon boolean, ancestors array<int>")
+CARDS = "page_id long, badge int, stars array<string>, leaves array<string>, inline array<string>"
 # Fixed values of HTML: elements that never hold others, and those whose text is no page text.
 _EMPTY_TAGS = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
 _SILENT_TAGS = frozenset(["script", "style", "template"])
 _BLOCK_TAGS, _ICON_TAGS = frozenset(["p", "div"]), frozenset(["svg", "img"])
-#: Ancestors kept for each element: its parent and five more.
+_TEXT_TAGS = frozenset(["div", "span", "p"])
+_STARS = frozenset("12345")
+#: A card is so many elements above its badge.
 LEVELS = 6
 
 
 class _Elements(HTMLParser):
-    """Rows of a page's elements.  Elements are numbered in document order, the
-    page itself is 0; a row is written when its element closes, from what its
-    children handed up, so nothing is visited twice."""
+    """A page's elements that cards are made of, ``(number, last number inside,
+    tag, text, holds a block, holds an icon, card)``.  Elements are numbered in
+    document order, the page itself is 0; one is noted when it closes, from what
+    its children handed up, so nothing is visited twice.  ``card`` is set where
+    the element reads as the badge: the sixth element above, or the topmost."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -48,8 +50,10 @@ class _Elements(HTMLParser):
     def _close(self):
         number, tag, texts, block, icon = self.open.pop()
         text = "".join(texts)
-        above = [e[0] for e in self.open[:-LEVELS - 1:-1]]
-        self.rows.append((number, self.count - 1, tag, text, block, icon, above))
+        card = None
+        if text == S.CERTIFIED_BUYER and tag in _TEXT_TAGS:
+            card = self.open[-LEVELS if len(self.open) >= LEVELS else 0][0]
+        self.rows.append((number, self.count - 1, tag, text, block, icon, card))
         if self.open:
             parent = self.open[-1]
             if tag not in _SILENT_TAGS:
@@ -82,85 +86,92 @@ class _Elements(HTMLParser):
         return self.rows
 
 
-def page_nodes(pages: DataFrame) -> DataFrame:
-    """One row for each element of each page ``(page_id, html)``: its number
-    and that of the last element inside it, tag, text below it (pieces stripped
-    and joined), whether it holds a p/div or an svg/img, and the numbers of its
-    nearest ancestors, parent first."""
+def cards_of(elements: list[tuple]) -> list[tuple]:
+    """Rules 1 and 2 on a page's elements: for each card ``(badge, stars, leaves,
+    inline)``, the number of its first badge and the texts inside it, in
+    document order, of ratings beside an icon, of elements without blocks, and
+    of p and span.  Badges are the outermost elements that read so.  One pass in
+    document order carries the cards that are open."""
+    elements = sorted(elements)
+    cards: dict[int, tuple] = {}
+    end = -1
+    for number, last, *_, card in elements:
+        if card is not None:
+            if number > end:
+                cards.setdefault(card, (number, [], [], []))
+            end = max(end, last)
+    inside: list[tuple] = []   # cards around the element: (last number, card)
+    for number, last, tag, text, block, icon, _ in elements if cards else ():
+        while inside and inside[-1][0] < number:
+            inside.pop()
+        if tag in _TEXT_TAGS:
+            for _, (_, stars, leaves, inline) in inside:
+                if icon and tag != "p" and text in _STARS:
+                    stars.append(text)
+                if not block:
+                    leaves.append(text)
+                if tag != "div":
+                    inline.append(text)
+        if number in cards:
+            inside.append((last, cards[number]))
+    return list(cards.values())
+
+
+def page_cards(pages: DataFrame) -> DataFrame:
+    """The cards of each page ``(page_id, html)`` as ``cards_of`` gives them; a
+    null page has none."""
     def run(batches):
         import pandas as pd
-        names = [c.split()[0] for c in NODES.split(", ")]
+        names = [c.split()[0] for c in CARDS.split(", ")]
         for pdf in batches:
             rows = []
             for page_id, html in zip(pdf["page_id"], pdf["html"]):
                 reader = _Elements()
                 reader.feed(html or "")
-                rows += [(page_id, *row) for row in reader.finish()]
-                if len(rows) > 50_000:
+                rows += [(page_id, *card) for card in cards_of(reader.finish())]
+                if len(rows) > 5_000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
             yield pd.DataFrame(rows, columns=names)
-    return pages.select("page_id", "html").mapInPandas(run, NODES)
+    return pages.select("page_id", "html").mapInPandas(run, CARDS)
 
 
-def badges(nodes: DataFrame) -> DataFrame:
-    """Rules 1 and 2: outermost elements that read as the badge, with the card
-    they stand in (``card``) - the sixth element above, or the topmost."""
-    found = nodes.where(F.col("tag").isin("div", "span", "p") & (F.col("text") == S.CERTIFIED_BUYER))
-    before = Window.partitionBy("page_id").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    outer = F.coalesce(F.max("last").over(before), F.lit(-1)) < F.col("node")
-    return found.withColumn("outer", outer).where("outer").select("page_id", "node", F.element_at("ancestors", -1).alias("card"))
-
-
-def card_elements(nodes: DataFrame) -> DataFrame:
-    """The elements inside each card: ``page_id``, ``card``, ``badge`` (the
-    first one that led to it) and the element's columns.  A page joins only its
-    own cards."""
-    cards = badges(nodes).groupBy("page_id", "card").agg(F.min("node").alias("badge"))
-    spans = nodes.select("page_id", F.col("node").alias("card"), F.col("last").alias("card_last"))
-    cards = cards.join(spans, ["page_id", "card"])
-    inside = nodes.where(F.col("tag").isin("div", "span", "p")).drop("ancestors", "last")
-    return inside.join(cards, "page_id").where((F.col("node") > F.col("card")) & (F.col("node") <= F.col("card_last")))
-
-
-def _in_order(entries: Column) -> Column:
-    return F.transform(F.array_sort(entries), lambda e: e["text"])
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` reads it
+    for every entry of an array."""
+    return F.transform(F.array(value), use)[0]
 
 
 def extract_reviews(pages: DataFrame, compat: bool = False) -> DataFrame:
     """The review cards of every page ``(page_id, html)``, numbered within
     it (``card_no``): rating, title, body, reviewer, certified.
 
-    ``compat`` matches month names and "ago" inside words too.  A card's texts
-    are gathered per card, a page's cards per page; both are bounded by the
-    page.  Equal cards of a page are one (rule 7)."""
-    # read three times: elements of cards, their badges, the cards' ends
-    el = card_elements(materialize(page_nodes(pages)))
-    entry = F.struct("node", "text")
-    stars = F.col("tag").isin("div", "span") & F.col("text").isin("1", "2", "3", "4", "5") & F.col("holds_icon")
-    per_card = el.groupBy("page_id", "badge").agg(
-        F.coalesce(F.min_by("text", F.when(stars, F.col("node"))), F.lit("")).alias("rating"),           # rule 3
-        F.collect_list(F.when(~F.col("holds_block"), entry)).alias("leaves"),
-        F.collect_list(F.when(F.col("tag").isin("p", "span"), entry)).alias("inline"))
+    ``compat`` matches month names and "ago" inside words too.  Equal cards of a
+    page are one (rule 7)."""
+    cards = page_cards(pages).withColumn("rating", F.coalesce(F.get("stars", F.lit(0)), F.lit("")))   # rule 3
 
     def said(t: Column) -> Column:
         return ~T.is_noise_text(t, F.col("rating"), compat)
 
-    # rule 4; a reviewer may be one character long, so only the text tests apply there
-    texts = F.array_distinct(F.filter(_in_order(F.col("leaves")), said))
-    cards = per_card.withColumn("texts", texts).where(F.size("texts") > 0)
-    longest = F.array_max(F.transform("texts", lambda t: F.length(t)))
-    cards = cards.withColumn("longest", longest)
-    cards = cards.withColumn("body", F.filter("texts", lambda t: F.length(t) == F.col("longest"))[0])   # rule 5
-    others = F.filter("texts", lambda t: (t != F.col("body")) & (F.length(t) < 100))
-    cards = cards.withColumn("title", F.coalesce(F.get(others, F.lit(0)), F.lit("")))
-    few = F.size("texts") <= 3
-    names = F.filter(_in_order(F.col("inline")), lambda t: (                                               # rule 6
-        (t != "") & (F.length(t) < 40) & (t != F.col("title")) & (t != F.col("body"))
-        & ~T.is_dated_or_digits(t, compat) & ~t.isin(S.READ_MORE, S.CERTIFIED_BUYER) & (t != F.col("rating")) & (few | ~F.array_contains("texts", t))))
-    body = T.strip_ws(F.replace("body", F.lit(S.READ_MORE), F.lit("")))
-    cards = cards.select("page_id", "badge", "rating", "title", body.alias("body"),
-                         F.coalesce(F.get(names, F.lit(0)), F.lit("")).alias("reviewer"))
+    def card(texts: Column) -> Column:
+        body = _let(F.array_max(F.transform(texts, lambda t: F.length(t))),                                 # rule 5
+                    lambda longest: F.filter(texts, lambda t: F.length(t) == longest)[0])
+        return _let(body, lambda body: _let(
+            F.coalesce(F.get(F.filter(texts, lambda t: (t != body) & (F.length(t) < 100)), F.lit(0)), F.lit("")),
+            lambda title: F.struct(
+                title.alias("title"), T.strip_ws(F.replace(body, F.lit(S.READ_MORE), F.lit(""))).alias("body"),
+                F.coalesce(F.get(F.filter("inline", lambda t: reviewer(t, texts, title, body)), F.lit(0)),
+                           F.lit("")).alias("reviewer"))))
+
+    # rule 6; a reviewer may be one character long, so only the text tests apply there
+    def reviewer(t: Column, texts: Column, title: Column, body: Column) -> Column:
+        return ((t != "") & (F.length(t) < 40) & (t != title) & (t != body)
+                & ~T.is_dated_or_digits(t, compat) & ~t.isin(S.READ_MORE, S.CERTIFIED_BUYER) & (t != F.col("rating"))
+                & ((F.size(texts) <= 3) | ~F.array_contains(texts, t)))
+
+    texts = F.array_distinct(F.filter("leaves", said))   # rule 4
+    found = F.transform(F.filter(F.array(texts), lambda x: F.size(x) > 0), card)
+    cards = cards.select("page_id", "badge", "rating", F.inline(found))
     cards = cards.groupBy("page_id", "rating", "title", "body", "reviewer").agg(F.min("badge").alias("badge"))  # rule 7
     number = F.row_number().over(Window.partitionBy("page_id").orderBy("badge")) - 1
     return cards.select("page_id", number.alias("card_no"), "rating", "title", "body", "reviewer", F.lit(True).alias("certified"))

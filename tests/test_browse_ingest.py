@@ -107,13 +107,45 @@ def test_review_card_rules(spark):
     assert got == [(1, 0, "4", "Great phone", "Battery lasts two full days and the screen is bright.", "Asha K", True)]
 
 
-def test_page_nodes(spark):
+def _elements(html):
+    reader = RP._Elements()
+    reader.feed(html)
+    return sorted(reader.finish())
+
+
+def test_page_elements():
     html = "<div>a<p> b <b>c</b></p><script>x</script><img></div><span>Certified Buyer</span>"
-    got = rows(RP.page_nodes(spark.createDataFrame([(1, html)], "page_id long, html string")))
-    assert [(r[1], r[2], r[3], r[4], r[5], r[6], r[7]) for r in got] == [
-        (0, 6, "[page]", "abcCertified Buyer", True, True, []), (1, 5, "div", "abc", True, True, [0]), (2, 3, "p", "bc", False, False, [1, 0]),
-        (3, 3, "b", "c", False, False, [2, 1, 0]), (4, 4, "script", "x", False, False, [1, 0]), (5, 5, "img", "", False, False, [1, 0]),
-        (6, 6, "span", "Certified Buyer", False, False, [0])]
+    assert _elements(html) == [
+        (0, 6, "[page]", "abcCertified Buyer", True, True, None), (1, 5, "div", "abc", True, True, None), (2, 3, "p", "bc", False, False, None),
+        (3, 3, "b", "c", False, False, None), (4, 4, "script", "x", False, False, None), (5, 5, "img", "", False, False, None),
+        (6, 6, "span", "Certified Buyer", False, False, 0)]
+
+
+def test_cards_equal_all_elements_by_all_cards():
+    import random
+    rng = random.Random(5)
+
+    def html(depth):
+        kids = "".join(html(depth - 1) for _ in range(rng.randint(0, 3))) if depth else rng.choice(["Certified Buyer", "4<svg></svg>", "words", ""])
+        tag = rng.choice(["div", "p", "span", "b"])
+        return f"<{tag}>{kids}</{tag}>"
+
+    nested = 0
+    for _ in range(300):
+        elements = _elements(html(rng.randint(1, 9)))
+        badge = [e for e in elements if e[6] is not None]
+        outer = [e for e in badge if not any(o[0] < e[0] <= o[1] for o in badge)]
+        last = {e[0]: e[1] for e in elements}
+        want = []
+        for card in {e[6] for e in outer}:
+            first = min(e[0] for e in outer if e[6] == card)
+            held = [e for e in elements if card < e[0] <= last[card] and e[2] in ("div", "span", "p")]
+            want.append((first, [e[3] for e in held if e[2] != "p" and e[5] and e[3] in "1 2 3 4 5".split()],
+                         [e[3] for e in held if not e[4]], [e[3] for e in held if e[2] != "div"]))
+        got = RP.cards_of(elements)
+        assert sorted(got) == sorted(want)
+        nested += len({e[6] for e in outer}) > 1
+    assert nested > 10
 
 
 def test_review_extraction_job_and_pages_until_empty(spark):
