@@ -6,6 +6,8 @@ All are built-in Spark SQL expressions (whole-stage codegen, no Python).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -208,8 +210,12 @@ def is_dated_or_digits(txt, compat: bool = False) -> Column:
     if compat:
         dated = F.contains(t, F.lit("ago")) | F.regexp_like(t, F.lit(S.MONTH_PATTERN))
     else:
-        dated = (F.regexp_like(t, F.lit(WORD_EDGE_L + "ago" + WORD_EDGE_R))
-                 | F.regexp_like(t, F.lit(WORD_EDGE_L + S.MONTH_PATTERN + WORD_EDGE_R)))
+        # The plain search goes first: few texts hold such a word, and a pattern
+        # with two open edges is tried at every character.
+        months = S.MONTH_PATTERN.strip("()").split("|")
+        month = reduce(or_, [F.contains(t, F.lit(m)) for m in months])
+        dated = (F.contains(t, F.lit("ago")) & F.regexp_like(t, F.lit(WORD_EDGE_L + "ago" + WORD_EDGE_R))
+                 | month & F.regexp_like(t, F.lit(WORD_EDGE_L + S.MONTH_PATTERN + WORD_EDGE_R)))
     return F.coalesce(dated | F.regexp_like(t, F.lit(r"^[0-9,]+$")), F.lit(True))
 
 
