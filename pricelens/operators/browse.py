@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -60,14 +60,61 @@ def page_numbers(total_rows: int, page: int, page_size: int = S.PAGE_SIZE) -> tu
     return max(1, min(page, pages)), pages
 
 
-def paginate(df: DataFrame, page: int = 1, page_size: int = S.PAGE_SIZE, order_by: str = "seq",
-             total_rows: int | None = None) -> Page:
-    """O3 + A12: one page of rows in the order of a key (NULLs first).  The
-    count is one aggregate job; the page is an offset and a limit over one
-    sort, whatever its number."""
+#: Rows of a range of the rank index, and the most ranges it has.
+RANGE_ROWS, MOST_RANGES = 50_000, 10_000
+
+
+def _rank_key(df: DataFrame, order_by: str) -> Column:
+    """The order of pages: the key (NULLs first), then a hash of the row, so
+    that rows that tie on the key keep one order and lie in several ranges."""
+    return F.struct(F.col(order_by).alias("key"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("tie"))
+
+
+def rank_index(df: DataFrame, order_by: str = "seq", total_rows: int | None = None) -> list[Row]:
+    """O3: the rank index of a table in the order of a key: ranges ``(low, high,
+    n, before)`` with the rows of each and of all before it.
+
+    Only keys and row hashes are shuffled, by range; a range is one row here, and
+    there are at most ``MOST_RANGES`` (so beyond 500 million rows ranges grow).
+    One index serves all pages of a table.  Rows equal in all columns share a
+    range."""
     n = df.count() if total_rows is None else total_rows
+    ranges = min(MOST_RANGES, max(1, -(-n // RANGE_ROWS)))
+    keys = df.select(_rank_key(df, order_by).alias("k")).repartitionByRange(ranges, "k")
+    per = keys.groupBy(F.spark_partition_id().alias("range")).agg(
+        F.min("k").alias("low"), F.max("k").alias("high"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return per.select("low", "high", "n", before.alias("before")).orderBy("low").collect()
+
+
+def paginate(df: DataFrame, page: int = 1, page_size: int = S.PAGE_SIZE, order_by: str = "seq",
+             total_rows: int | None = None, index: list[Row] | None = None) -> Page:
+    """O3 + A12: one page of rows in the order of a key (NULLs first).
+
+    The rank index tells which ranges of the key hold the page; only their rows
+    are sorted, so a page costs the same whatever its number.  The bounds of the
+    key are a filter on the scan."""
+    if index is None:
+        index = rank_index(df, order_by, total_rows)
+    n = sum(r["n"] for r in index)
     p, pages = page_numbers(n, page, page_size)
-    return Page(df.orderBy(order_by).offset((p - 1) * page_size).limit(page_size), n, p, page_size, pages)
+    first = (p - 1) * page_size
+    held = [r for r in index if r["before"] < first + page_size and r["before"] + r["n"] > first]
+    if not held:
+        return Page(df.limit(0), n, p, page_size, pages)
+    low, high = held[0]["low"], held[-1]["high"]
+    kind = df.schema[order_by].dataType
+    k, col = _rank_key(df, order_by), F.col(order_by)
+
+    def bound(r):
+        return F.struct(F.lit(r["key"]).cast(kind).alias("key"), F.lit(r["tie"]).cast("long").alias("tie"))
+
+    rows = df.where((k >= bound(low)) & (k <= bound(high)))
+    if high["key"] is not None:
+        rows = rows.where(col.isNull() | (col <= F.lit(high["key"]).cast(kind)) if low["key"] is None
+                          else col.between(F.lit(low["key"]).cast(kind), F.lit(high["key"]).cast(kind)))
+    rows = rows.orderBy(k).offset(first - held[0]["before"]).limit(page_size)
+    return Page(rows, n, p, page_size, pages)
 
 
 def page_counts(df: DataFrame, term: str, page_size: int = S.PAGE_SIZE) -> DataFrame:
