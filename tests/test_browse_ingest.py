@@ -229,3 +229,77 @@ def test_review_ingest_stops_at_the_empty_page_and_names_the_product(spark):
                                   "page_id long, url string, html string")
     got = api.ingest_review_pages(pages)
     assert sorted((r.product_name, r.url) for r in got.collect()) == [("Foo 12", "u?x=1"), ("Foo 12", "u?x=1&page=2")]
+
+
+def test_pages_of_ties_and_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(B, "RANGE_ROWS", 40)
+    df = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    index = B.rank_index(df, "k")
+    assert len(index) > 10 and sum(r["n"] for r in index) == 900 and max(r["n"] for r in index) < 300
+    got = [[(r.k, r.v) for r in B.paginate(df, p, 70, "k", index=index).rows.collect()] for p in range(1, 14)]
+    flat = [x for page in got for x in page]
+    assert [len(g) for g in got] == [70] * 12 + [60] and len(set(flat)) == 900
+    assert [-1 if k is None else k for k, _ in flat] == sorted(-1 if k is None else k for k, _ in flat)
+
+
+def test_deep_page_sorts_only_its_ranges(spark, monkeypatch):
+    monkeypatch.setattr(B, "RANGE_ROWS", 100)
+    df = spark.range(20_000).withColumnRenamed("id", "seq")
+    p = B.paginate(df, 350, 50)
+    assert [r.seq for r in p.rows.collect()] == list(range(17_450, 17_500))
+    offset = p.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "17450" not in offset.split("Filter")[0]
+
+
+def test_pages_of_an_empty_table(spark):
+    p = B.paginate(spark.range(0).withColumnRenamed("id", "seq"), 3)
+    assert (p.page, p.total_pages, p.total_rows, p.rows.count()) == (1, 1, 0, 0)
+
+
+def _csv_records(text):
+    """Records after the header, character by character."""
+    n, quoted, any_ = 0, False, False
+    for c in text:
+        quoted ^= c == '"'
+        if c == "\n" and not quoted:
+            n, any_ = n + any_, False
+        else:
+            any_ = True
+    return max(0, n + any_ - 1)
+
+
+def test_csv_count_over_small_splits(spark, tmp_path):
+    import random
+    rng = random.Random(3)
+    words = ["a", "bb", '"q ""x"" y"', '"two\nlines"', '"\n\nthree\n"', "", '""']
+    texts = []
+    for i in range(6):
+        text = "c1,c2\n" + "".join(f"{rng.choice(words)},{rng.choice(words)}\n" + "\n" * (rng.random() < 0.1) for _ in range(rng.choice([0, 1, 400])))
+        texts.append(text[:-1] if i % 2 else text)
+        (tmp_path / f"f{i}.csv").write_text(texts[-1])
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "open.csv").write_text('c1,c2\na,"left open\nb')
+    texts.append('c1,c2\na,"left open\nb')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("97", "1009", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            assert ST.csv_count(spark, str(tmp_path)) == (sum(map(_csv_records, texts)), False)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+        assert ST.csv_splits(spark, str(tmp_path)).where("start > 0").count() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_load_fails_on_a_lost_row(spark, tmp_path, monkeypatch):
+    import pytest
+    f = tmp_path / "a.csv"
+    f.write_text("timestamp,source,product_name,price\n" + "".join(f"2024-01-0{i},s,P{i},1\n" for i in range(1, 8)))
+    assert ST.csv_count(spark, str(f)) == (7, True)
+    assert ST.csv_replace_load(spark, str(f), str(tmp_path / "ok")).count() == 7
+    align = ST.align_to_schema
+    monkeypatch.setattr(ST, "align_to_schema", lambda df, schema: align(df, schema).where("product_name <> 'P3'"))
+    with pytest.raises(RuntimeError, match="7 rows in, 6 rows stored"):
+        ST.csv_replace_load(spark, str(f), str(tmp_path / "lost"))
