@@ -25,6 +25,7 @@ a product with very many subscriptions are a side that Spark splits.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +61,26 @@ def read_subscription_file(spark, path: str) -> DataFrame:
         raise
 
 
+def write_subscription_store(state: DataFrame, path: str) -> None:
+    """Replace a subscription store by the state's rows, one JSON record a
+    line, so that tasks write and read it in parallel."""
+    state.select("email", "product_name", "target_price", "active").write.mode("overwrite").json(path)
+
+
+def read_subscription_store(spark, path: str) -> DataFrame:
+    """A store as ``write_subscription_store`` leaves it; a line that is no
+    record is left out, a missing store has no subscriptions, a record without
+    ``active`` is inactive."""
+    bad = "_bad"
+    try:
+        df = spark.read.schema(f"{STATE_FILE_SCHEMA}, {bad} string").option("columnNameOfCorruptRecord", bad).json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], STATE_FILE_SCHEMA)
+    return df.where(F.col(bad).isNull()).drop(bad).withColumn("active", F.coalesce("active", F.lit(False)))
+
+
 def validate_subscriptions(requests: DataFrame) -> DataFrame:
     """Adds ``valid`` and ``reason`` (first failed rule, in the order
     e-mail, target price, product)."""

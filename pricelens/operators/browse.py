@@ -3,6 +3,7 @@ data-file catalogue and JSON export (P4, P5, O3, A12, S6, S10)."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
@@ -131,12 +132,15 @@ def page_counts(df: DataFrame, term: str, page_size: int = S.PAGE_SIZE) -> DataF
 
 def file_catalog(spark: SparkSession, root: str, extensions=S.DATA_FILE_EXTENSIONS) -> DataFrame:
     """Data files under ``root`` (recursive) with one of the
-    extensions, newest first; only file metadata is read, not contents."""
+    extensions, newest first: name, path, path below ``root``, size and time of
+    change; only file metadata is read, not contents."""
     glob = "*.{" + ",".join(extensions) + "}"
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", glob).load(root))
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("name"), "path", F.col("length").alias("size"),
+    top = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", root).rstrip("/") + "/"   # Spark may spell the scheme otherwise
+    below = F.substr("path", F.locate(top, F.col("path")) + F.lit(len(top)))
+    return files.select(name.alias("name"), "path", below.alias("relative_path"), F.col("length").alias("size"),
                         F.col("modificationTime").alias("modified")).orderBy(F.desc("modified"), "path")
 
 

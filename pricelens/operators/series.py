@@ -102,6 +102,12 @@ def daily_series(prices: DataFrame, products=None) -> DataFrame:
     return densify(daily_last_price(prices, products))
 
 
+def in_date_order(series: DataFrame) -> DataFrame:
+    """O2: the series by product and date, for output: a range sort, so a
+    product of any length may lie in several sorted partitions."""
+    return series.orderBy("product_name", "ds")
+
+
 def with_position(series: DataFrame) -> DataFrame:
     """Adds ``idx`` (0-based day number) and ``n`` (days in the series).
 

@@ -53,6 +53,16 @@ def q_subscription_upsert(spark, d):
                      "active")
 
 
+@query("subscription_store", "S9", ["sub_state"], """
+SELECT email, product_name, target_price, active FROM sub_state""")
+def q_subscription_store(spark, d):
+    """The state written and read back, beside a broken line and a missing store."""
+    path = scratch_path(spark, "subscriptions")
+    AL.write_subscription_store(AL.upsert_state(valid_requests(spark, d)), path)
+    AL.upsert_state(valid_requests(spark, d)).select(F.concat(F.lit('{"email": "'), "email").alias("value")).write.mode("append").text(path)
+    return AL.read_subscription_store(spark, path).unionByName(AL.read_subscription_store(spark, f"{path}-missing"))
+
+
 @query("active_subscribers", "P9 D4", ["sub_state", "price_obs"], """
 SELECT s.product_name, s.email FROM sub_state s LEFT JOIN (
   SELECT product_name, arg_max(price, (ts, seq, price)) AS price, max(ts) AS ts FROM price_obs
@@ -182,6 +192,18 @@ def q_search_any_column(spark, d):
     return B.search_any_column(df, ANY_TERM)
 
 
+@query("search_json_file", "S5 P5", [], f"""
+SELECT * FROM customer WHERE {' OR '.join(
+    f"coalesce(regexp_matches(CAST({c} AS VARCHAR), '(?i){ANY_TERM}'), false)"
+    for c in ['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment'])}""")
+def q_search_json_file(spark, d):
+    """S5, the JSON leg: the customer table landed as JSON lines."""
+    cust = A.table(spark, d, "customer")
+    path = scratch_path(spark, "flat") + "/customers.json"
+    cust.write.mode("overwrite").json(path)
+    return B.search_any_column(B.read_flat_file(spark, path, cust.schema), ANY_TERM)
+
+
 @query("file_catalog", "S6 U2 O6")
 def q_file_catalog(spark, d):
     root = scratch_path(spark, "datafiles")

@@ -8,7 +8,7 @@ from .. import adapters as A
 from ..operators import forecast as FC
 from ..operators import metrics as MET
 from ..operators import series as ser
-from .common import iso_date, r6
+from .common import big, iso_date, r6
 from .registry import query
 from .sql_text import rnd
 from .sql_views import view
@@ -52,6 +52,19 @@ for _m in ["mae", "rmse", "mape", "smape", "r2"]:
     _metric_query(_m)
 
 
+@query("metrics_requested", "A11 A12", ["price_obs", "naive"], f"""
+SELECT q.product_name, {', '.join(f"coalesce({m}, 0.0) AS {m}" for m in SQL_METRIC)}, coalesce(n_scored, 0) AS n_scored
+FROM (SELECT product_name FROM price_obs UNION SELECT p_name FROM part) q
+LEFT JOIN (SELECT product_name, count(*) AS n_scored, {', '.join(f"{rnd(x, 6)} AS {m}" for m, x in SQL_METRIC.items())}
+           FROM naive GROUP BY product_name) n ON n.product_name = q.product_name""")
+def q_metrics_requested(spark, d):
+    """Metrics of every product asked for; all zero where no day was scored."""
+    asked = A.price_obs(spark, d).select("product_name").unionByName(A.table(spark, d, "part").select(F.col("p_name").alias("product_name")))
+    mets = MET.forecast_metrics(FC.naive_pairs(events_series(spark, d)), ["product_name"], rounded=False)
+    full = MET.empty_metrics_for(asked, mets, ["product_name"])
+    return full.select("product_name", *[r6(m).alias(m) for m in SQL_METRIC], big("n_scored").alias("n_scored"))
+
+
 # ------------------------------------------------------------ shared SQL
 
 view("fpos", ["split"], """

@@ -8,6 +8,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from .. import adapters as A
 from .. import schemas as S
 from ..functions import text as T
+from ..operators import reviews as R
 from ..session import scratch_path
 from ..sources import price_pages as PP
 from ..sources import review_pages as RP
@@ -52,6 +53,15 @@ def q_append_observations(spark, d):
     return ST.scan_observations(spark, path)
 
 
+@query("review_source", "P3 S1", ["observations"], """
+SELECT seq, product_name, rating, review_text FROM observations WHERE source = 'flipkart_reviews'""")
+def q_review_source(spark, d):
+    """The review rows of a stored table: the source filter prunes the other source's folder."""
+    path = scratch_path(spark, "store")
+    ST.append_observations(A.observations(spark, d), path)
+    return R.review_sources(ST.scan_observations(spark, path)).select("seq", "product_name", "rating", "review_text")
+
+
 @query("schema_align", "S3", ["observations"], f"""
 SELECT {ALL_COLS} FROM observations WHERE source = 'flipkart_reviews'""")
 def q_schema_align(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from .. import schemas as S
 from ..functions import text as T
+from ..operators import alerts as AL
 from ..operators import decision as dec
 from ..operators import reviews as R
 from ..operators import series as ser
@@ -14,7 +15,7 @@ from . import sql_text as X
 from .common import big, r6
 from .registry import query
 from ..session import materialize
-from .sql_views import DRIVER_NEGATIVE, DRIVER_POSITIVE
+from .sql_views import DRIVER_NEGATIVE, DRIVER_POSITIVE, view
 
 
 def analyzed_reviews(spark, d):
@@ -122,6 +123,28 @@ def q_analyze_reviews(spark, d):
     return a.select("review_id", "product_name", "sentiment", r6("confidence").alias("confidence"), "category")
 
 
+KEPT_CATEGORY = "Archived"
+
+view("labelled_reviews", ["reviews"], f"""
+SELECT review_id, CASE WHEN rating IN ('4', '5') THEN 'Positive' END AS old_sentiment, 0.5 AS old_confidence,
+       CASE WHEN rating = '5' THEN {X.q(KEPT_CATEGORY)} END AS old_category FROM reviews""")
+
+
+@query("labels_kept", "F8", ["analyzed", "labelled_reviews"], f"""
+SELECT a.review_id, CASE WHEN l.old_category IS NOT NULL THEN l.old_sentiment ELSE a.sentiment END AS sentiment,
+       CASE WHEN l.old_category IS NOT NULL THEN CAST(l.old_confidence AS DOUBLE) ELSE {X.rnd('a.confidence', 6)} END AS confidence,
+       CASE WHEN l.old_category IS NOT NULL THEN l.old_category ELSE a.category END AS category
+FROM analyzed a JOIN labelled_reviews l ON l.review_id = a.review_id""")
+def q_labels_kept(spark, d):
+    """Reviews that come with labels: five stars with both (kept), four stars
+    without a category (labelled anew), the others with none."""
+    labelled = A.reviews(spark, d).withColumns({
+        "sentiment": F.when(F.col("rating").isin("4", "5"), "Positive"), "confidence": F.lit(0.5),
+        "category": F.when(F.col("rating") == "5", KEPT_CATEGORY)})
+    a = R.analyze_reviews(labelled, A.llm_responses(spark, d), positive=DRIVER_POSITIVE, negative=DRIVER_NEGATIVE)
+    return a.select("review_id", "sentiment", r6("confidence").alias("confidence"), "category")
+
+
 @query("match_reviews", "J1 P3", ["part_matched"], """
 SELECT product_name, review_id, review_product FROM part_matched""")
 def q_match_reviews(spark, d):
@@ -134,6 +157,13 @@ def q_top100_reviews(spark, d):
     return R.first_per_product(part_matched(spark, d), S.MAX_REVIEWS_ANALYSED).select("product_name", "review_id")
 
 
+@query("top100_of_rating", "O4", ["reviews"], """
+SELECT rating, review_id FROM reviews QUALIFY row_number() OVER (PARTITION BY rating ORDER BY seq) <= 100""")
+def q_top100_of_rating(spark, d):
+    """The limit where it bites: a rating has far more than a hundred reviews."""
+    return R.first_per_product(A.reviews(spark, d), S.MAX_REVIEWS_ANALYSED, key="rating").select("rating", "review_id")
+
+
 @query("sample_reviews", "O5", ["part_matched"], """
 SELECT product_name, review_id FROM part_matched
 QUALIFY row_number() OVER (PARTITION BY product_name ORDER BY seq) <= 10""")
@@ -219,7 +249,6 @@ FROM (
 
 
 def _register_decision_views():
-    from .sql_views import view
     view("all_targets", ["part_daily", "reviews"], f"""
 SELECT t_name, {X.norm('t_name', False)} AS t_norm, {X.tokens('t_name')} AS t_tokens
 FROM (SELECT DISTINCT product_name AS t_name FROM
@@ -241,3 +270,22 @@ def q_decision(spark, d):
     return out.select("product_name", "decision", "reason", "positive", "neutral", "negative",
                       r6("current_price").alias("current_price"), r6("positive_ratio").alias("positive_ratio"),
                       "price_status")
+
+
+@query("alert_reasons", "J2 F24 J3", ["part_series", "all_matched", "analyzed"], f"""
+SELECT 'c' || CAST(c.c_custkey AS VARCHAR) || '@example.com' AS email, p.p_name AS product_name, v.price AS current_price,
+       p.p_retailprice AS target_price, format({X.q(AL.ALERT_SUBJECT.replace('%s', '{}'))}, p.p_name) AS subject, v.reason
+FROM customer c JOIN part p ON p.p_partkey = c.c_custkey
+JOIN (SELECT product_name, {X.rnd('current_price', 2)} AS price, reason FROM ({DECISION_SQL})) v ON v.product_name = p.p_name
+WHERE v.price <> 0 AND v.price <= p.p_retailprice""")
+def q_alert_reasons(spark, d):
+    """Alerts of the part prices with the decision's own reason: customer k
+    waits for part k at its list price."""
+    found = materialize(decision_frame(spark, d))
+    part = A.table(spark, d, "part")
+    state = A.table(spark, d, "customer").join(part, F.col("c_custkey") == F.col("p_partkey")).select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("email"),
+        F.col("p_name").alias("product_name"), F.col("p_retailprice").alias("target_price"), F.lit(True).alias("active"))
+    due = AL.alerts_due(found.select("product_name", F.round("current_price", 2).alias("current_price")), state, found.select("product_name", "reason"))
+    told = F.regexp_extract("body", r"AI Decision Insight: ([^\n]*)", 1)
+    return due.select("email", "product_name", "current_price", "target_price", "subject", told.alias("reason"))

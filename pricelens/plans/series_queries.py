@@ -38,7 +38,7 @@ def q_daily_last_price(spark, d):
 @query("daily_series", "D2 W1 O2", ["series"], f"""
 SELECT product_name, strftime(ds, '%Y-%m-%d') AS ds, {rnd('y', 6)} AS y FROM series""")
 def q_daily_series(spark, d):
-    s = events_series(spark, d)
+    s = ser.in_date_order(events_series(spark, d))
     return s.select("product_name", iso_date("ds").alias("ds"), r6("y").alias("y"))
 
 

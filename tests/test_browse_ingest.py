@@ -303,3 +303,15 @@ def test_csv_load_fails_on_a_lost_row(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ST, "align_to_schema", lambda df, schema: align(df, schema).where("product_name <> 'P3'"))
     with pytest.raises(RuntimeError, match="7 rows in, 6 rows stored"):
         ST.csv_replace_load(spark, str(f), str(tmp_path / "lost"))
+
+
+def test_file_catalog_newest_first_with_paths(spark, tmp_path):
+    import os
+    for i, name in enumerate(["old.csv", "sub/new.json", "sub/deep/mid.csv", "other.txt"]):
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("x" * (i + 1))
+        os.utime(f, (1_700_000_000 + [0, 500, 200, 900][i],) * 2)
+    for root in (str(tmp_path), f"file://{tmp_path}", f"{tmp_path}/"):
+        got = [(r.relative_path, r.name, r.size, int(r.modified.timestamp())) for r in B.file_catalog(spark, root).collect()]
+        assert got == [("sub/new.json", "new.json", 2, 1_700_000_500), ("sub/deep/mid.csv", "mid.csv", 3, 1_700_000_200), ("old.csv", "old.csv", 1, 1_700_000_000)]

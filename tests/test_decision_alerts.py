@@ -8,6 +8,7 @@ from naive import first_fire_naive
 from pricelens import schemas as S
 from pricelens.operators import alerts as AL
 from pricelens.operators import decision as dec
+from pricelens.session import scratch_path
 
 
 def test_decision_fixture(spark):
@@ -129,3 +130,15 @@ def test_an_alert_fires_once_until_its_key_subscribes_again(spark):
     assert [r.email for r in AL.active_subscribers(after).collect()] == ["b@x"]
     again = req.union(spark.createDataFrame([("a@x", "P", 45.0, t[3], 3)], req.schema))
     assert [r.target_price for r in AL.alerts_due(cur, AL.apply_fired(AL.upsert_state(again), fired)).collect()] == [45.0]
+
+
+def test_subscription_store_round_trip(spark):
+    path = scratch_path(spark, "t-substore")
+    rows_ = [("a@x", "P", 5.0, True), ("b@x", "Q", None, False), ("c@x", 'R "q"', 2.5, True)]
+    AL.write_subscription_store(spark.createDataFrame(rows_, AL.STATE_FILE_SCHEMA), path)
+    spark.createDataFrame([('{"email": "broken',), ("",), ('{"email": "d@x", "product_name": "S", "target_price": 1.0}',)], "value string").write.mode("append").text(path)
+    got = {tuple(r) for r in AL.read_subscription_store(spark, path).collect()}
+    assert got == {*rows_, ("d@x", "S", 1.0, False)}
+    assert AL.read_subscription_store(spark, path + "-missing").count() == 0
+    AL.write_subscription_store(spark.createDataFrame(rows_[:1], AL.STATE_FILE_SCHEMA), path)
+    assert rows(AL.read_subscription_store(spark, path)) == rows_[:1]

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import SF_SMALL, rows
 from pricelens import schemas as S
 from pricelens.operators import decision as dec
 from pricelens.operators import series as ser
@@ -88,3 +88,9 @@ def test_eligibility_reports_unknown_requested_products(spark):
     e = dict(rows(ser.forecast_eligibility(ser.daily_series(ticks(spark, data)), requested=req),
                   "product_name", "status"))
     assert e == {"A": "ok", "nope": "not_found"}
+
+
+def test_series_in_date_order(spark):
+    import __spark_entry__ as E
+    got = [(r.product_name, r.ds) for r in E.queries()["daily_series"](spark, SF_SMALL).collect()]
+    assert len(got) > 100 and got == sorted(got)
