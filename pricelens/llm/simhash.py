@@ -6,9 +6,12 @@ a pair of tiles whose counts differ by more than the radius is skipped, since
 two fingerprints within ``radius`` bits cannot differ more in that count.
 
 A tile grid over all fingerprints would grow with their square, so the grid is
-laid inside the blocks of the pigeonhole rule: of ``radius + 1`` bit ranges,
-two fingerprints within the radius agree in one at least.  Each range value is
-a block, each block has its own grid, and no pair is lost.  Blocks are cut into
+laid inside the blocks of the pigeonhole rule: of ``radius + k`` bit ranges,
+two fingerprints within the radius agree in ``k`` at least.  The values of each
+``k`` ranges are a block, each block has its own grid, and no pair is lost for
+any ``k``.  More ranges mean longer keys and smaller blocks, but more copies of
+a fingerprint; ``k`` grows with the number of fingerprints, so that comparisons
+for each of them stay bounded (see ``_agreeing``).  Blocks are cut into
 tiles of about ``tile`` rows by their population-count histogram, whatever
 their size, and each pair of tiles is one group of rows; a group emits, for
 every row, one link at most (to the smallest fingerprint it hangs together
@@ -18,6 +21,9 @@ one row from the start.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,8 +36,8 @@ from .common import texts_of, with_columns, worker_state
 from .components import connected_components
 
 BITS = 64
-#: Longest bit range that names a block: (radius + 1) * 2**13 blocks at most.
-RANGE_BITS = 13
+#: Rows that carry a large group's smallest id to its members.
+SALTS = 16
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -69,10 +75,23 @@ def fingerprints(docs: DataFrame, shingle: int = 4, text_col: str = "text", out_
     return with_columns(docs, text_col, [T.StructField(out_col, T.LongType())], run)
 
 
-def _ranges(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of the radius + 1 bit ranges."""
-    cuts = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def _agreeing(n: int, radius: int, tile: int) -> int:
+    """Ranges that must agree, for ``n`` fingerprints: the number of least work,
+    where a row that goes to a block costs as much as ``tile`` comparisons and
+    an evenly filled block compares it with ``n / 2**bits`` others."""
+    def work(k: int) -> float:
+        bits = k * (BITS // (radius + k))
+        return math.comb(radius + k, k) * (tile + n / 2.0 ** bits)
+
+    return min(range(1, max(2, min(6, BITS - radius + 1))), key=work)
+
+
+def _masks(radius: int, agreeing: int) -> list[int]:
+    """The bits (as signed longs) of each choice of ``agreeing`` ranges out of
+    ``radius + agreeing``."""
+    cuts = [round(i * BITS / (radius + agreeing)) for i in range(radius + agreeing + 1)]
+    ranges = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    return [sum(chosen) - (sum(chosen) >> 63 << 64) for chosen in itertools.combinations(ranges, agreeing)]
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -165,13 +184,14 @@ def _compare(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int, tile: int = 4096) -> DataFrame:
+def links(fps: DataFrame, radius: int, tile: int = 4096, agreeing: int | None = None) -> DataFrame:
     """``(u, v)`` links between the fingerprints of ``fps(fp)``, distinct longs:
-    their components are those of all pairs within ``radius`` bits."""
-    ranges = _ranges(radius)
-    values = F.array(*[F.shiftrightunsigned("fp", a).bitwiseAND((1 << min(w, RANGE_BITS)) - 1) for a, w in ranges])
-    rows = fps.select("fp", F.bit_count("fp").alias("pop"), F.posexplode(values)).select(
-        "fp", "pop", (F.col("pos") * F.lit(1 << RANGE_BITS) + F.col("col")).alias("block"))
+    their components are those of all pairs within ``radius`` bits, whatever
+    number of ranges must agree (by default as ``_agreeing`` finds for the
+    number of rows)."""
+    masks = _masks(radius, agreeing or _agreeing(fps.count(), radius, tile))
+    blocks = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks)])
+    rows = fps.select("fp", F.bit_count("fp").alias("pop"), F.explode(blocks).alias("block"))
     in_block = Window.partitionBy("block").orderBy("pop")
     near = in_block.rangeBetween(-radius, radius)
     cells = rows.groupBy("block", "pop").agg(F.count("*").alias("n")).withColumn(
@@ -199,9 +219,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are returned as often as they occur; an empty table gives an empty result.
     """
     fps = materialize(fingerprints(docs, shingle, text_col).drop(text_col).drop("component_id"))
-    nodes = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
+    nodes = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
     found = connected_components(links(nodes.select("fp"), radius, tile))
-    rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(named, "root").select("fp", "component_id")
+    rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", "root")
+    # a fingerprint without links names itself; the members of a large group meet its id in several rows
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
+    named = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("named")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    grouped = rooted.where("root IS NOT NULL").withColumn("salt", salt).join(named, ["root", "salt"]).select("fp", F.col("named").alias("component_id"))
+    of = grouped.union(rooted.where("root IS NULL").select("fp", F.col("least").alias("component_id")))
     return fps.join(of, "fp")

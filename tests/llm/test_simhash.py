@@ -59,15 +59,28 @@ def test_links_equal_all_pairs_for_any_tile(spark):
     fps = sorted(set(fps) | {base ^ (1 << a) ^ (1 << b) for a in range(24) for b in range(a)})
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(5)
-    for radius, tile in ((4, 4096), (4, 16), (0, 64), (7, 32)):
+    for radius, tile, agreeing in ((4, 4096, None), (4, 16, 1), (4, 16, 2), (4, 64, 3), (0, 64, None), (7, 32, None), (7, 32, 2)):
         expect = slow_components(fps, radius)
-        got = {r.node: r.root for r in connected_components(simhash.links(df, radius, tile)).collect()}
+        got = {r.node: r.root for r in connected_components(simhash.links(df, radius, tile, agreeing)).collect()}
         groups = {}
         for x, c in zip(signed, expect):
             groups.setdefault(c, []).append(x)
         for members in groups.values():
             roots = {got.get(x, x) for x in members}
-            assert roots == {min(members)}, (radius, tile)
+            assert roots == {min(members)}, (radius, tile, agreeing)
+
+
+def test_blocks_stay_small_as_the_table_grows():
+    for radius in (0, 1, 4, 7, 20, 64):
+        for n in (0, 1, 10**4, 10**8, 10**10, 10**12):
+            k = simhash._agreeing(n, radius, 4096)
+            masks = simhash._masks(radius, k)
+            if radius < 8:  # a fingerprint meets few tiles' worth of others in a block
+                assert n / 2.0 ** (k * (64 // (radius + k))) < 16 * 4096, (radius, n, k)
+            rng = random.Random(n + radius)
+            for _ in range(20):  # any two within the radius agree in one choice of ranges
+                x, flips = rng.getrandbits(64), sum(1 << b for b in rng.sample(range(64), radius))
+                assert any(((x ^ flips) ^ x) & m == 0 for m in masks), (radius, k)
 
 
 def test_components_of_a_long_chain(spark):
