@@ -110,7 +110,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
 
     A null source is a source of its own; null and empty texts have no tokens
     and cost nothing; documents of a source without any tokens are taken once,
-    in block 0.  Equal rows (id and text) are one plan row, ``rows`` says how
+    spread over the blocks; rows without an id are shuffled by the hash of their
+    text.  Equal rows (id and text) are one plan row, ``rows`` says how
     many, and ``n_tokens`` is that of all of them.  The last document of a
     budget is taken whole, documents without tokens at its very end are taken too.
     An empty table gives an empty plan.
@@ -131,7 +132,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
         F.ceil(F.col("src_rows") / chunk_rows).cast("long").alias("chunks"))
     copies = rows.join(shared, rows.src.eqNullSafe(shared.s)).drop("s").where("epochs > 0").withColumn(
         "epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
-    copies = copies.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), "epoch", F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")))
+    copies = copies.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), "epoch", F.coalesce(F.col("id").cast("string"), F.concat(F.lit("text "), F.col("text_hash")))).cast("binary")))
     digits = F.conv(F.substring("key", 1, 7), 16, 10).cast("long")
     copies = copies.withColumn("chunk", F.shiftright(digits * F.col("chunks"), 28))
 
@@ -145,7 +146,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     placed = placed.withColumn("at", F.col("epoch") * F.col("tokens") + F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     free = (F.col("n_tokens") == 0) & (F.col("at") <= F.col("budget"))
     taken = placed.where((F.col("at") < F.col("budget")) | free)
-    block = F.when(F.col("tokens") == 0, 0).otherwise(
+    block = F.when(F.col("tokens") == 0, F.shiftright(digits * F.lit(blocks).cast("long"), 28)).otherwise(
         F.least(F.floor(F.col("at").cast("double") / F.col("budget") * F.lit(blocks)), F.lit(blocks - 1)))
     taken = taken.withColumn("block", block.cast("long"))
     pos = F.row_number().over(Window.partitionBy("block").orderBy(*order, "src")) - 1

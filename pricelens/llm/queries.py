@@ -115,7 +115,7 @@ placed AS (
   SELECT *, epoch * tokens + sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - n_tokens AS at_
   FROM copies),
 taken AS (
-  SELECT doc_id, source, n_tokens, epoch, key, CASE WHEN tokens = 0 THEN 0 ELSE least(floor(at_::DOUBLE / budget * n)::BIGINT, n - 1) END AS block
+  SELECT doc_id, source, n_tokens, epoch, key, CASE WHEN tokens = 0 THEN (('0x' || substr(key, 1, 7))::BIGINT * n) >> 28 ELSE least(floor(at_::DOUBLE / budget * n)::BIGINT, n - 1) END AS block
   FROM placed, blocks WHERE at_ < budget OR (n_tokens = 0 AND at_ <= budget))
 SELECT doc_id, source, n_tokens, epoch::BIGINT AS epoch, block::BIGINT AS block,
        row_number() OVER (PARTITION BY block ORDER BY key, doc_id) - 1 AS pos

@@ -106,6 +106,26 @@ def test_query_equals_sql(spark):
     assert rows(QUERIES["op1_mixing"](spark, SF_SMALL), *cols) == expect
 
 
+def test_sql_and_spread_of_a_source_without_tokens(spark, tmp_path):
+    from pricelens.llm.queries import ORACLE_SQL, QUERIES
+
+    rows_ = [(i, "void", None if i % 2 else " ") for i in range(300)] + [(i, "full", "t " * 2_000) for i in range(300, 900)]
+    spark.createDataFrame(rows_, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["op1_mixing"](spark, str(tmp_path)).select("doc_id", "source", "n_tokens", "epoch", "block", "pos").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expect = con.execute(f"SELECT doc_id, source, n_tokens, epoch, block, pos FROM ({ORACLE_SQL['op1_mixing']})").fetchall()
+    assert sorted(got) == sorted(expect)
+    void = Counter(r[4] for r in got if r[1] == "void")
+    assert sum(void.values()) == 300 and len(void) == 5 and max(void.values()) < 100
+
+
+def test_rows_without_id_are_spread(spark):
+    df = spark.createDataFrame([(None, "a", f"w{i} x") for i in range(400)], "doc_id long, source string, text string")
+    at = Counter(r.block for r in mixing.plan(df, entropy_share=None, max_repeats=None, block_tokens=80, chunk_rows=40).collect())
+    assert sum(at.values()) == 400 and len(at) == 10 and max(at.values()) < 60
+
+
 def test_main_path_has_no_python(spark):
     from conftest import SF_SMALL
     from pricelens.llm.queries import QUERIES
