@@ -31,6 +31,9 @@ ANCHORS = {
     "es": "a al como con de del el en es la las lo los más no para pero por que se su sus un una y",
     "fr": "au aux avec ce dans de des du elle en est et il la le les mais ne ou par pas pour qu que qui se son sur un une",
 }
+#: Text of a range of ids, which is one task's work; the number of ranges is
+#: bounded (the driver holds their ends), beyond it ranges grow with the table.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 100_000
 #: Word codes a worker keeps before it starts anew.
 KEPT = 400_000
 _MIX, _STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
@@ -127,17 +130,10 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "finger
     return with_columns(docs, text_col, [T.StructField(out_col, T.StringType())], run)
 
 
-def _following(bounds: list[int], id_col: str):
-    """Number of the range of an id: how many bounds lie below it, found in two
-    levels."""
-    if not bounds:
-        return F.lit(0)
-    width = max(1, math.isqrt(len(bounds)))
-    id_ = F.col(id_col)
-    coarse = F.array(*[F.lit(b) for b in bounds[width - 1::width]])
-    whole = F.size(F.filter(coarse, lambda b: b < id_))
-    fine = F.slice(F.array(*[F.lit(b) for b in bounds]), whole * width + 1, F.lit(width))
-    return F.coalesce(whole * width + F.size(F.filter(fine, lambda b: b < id_)), F.lit(0))
+def _ranges(docs: DataFrame, text_col: str) -> int:
+    """Ranges of about ``RANGE_BYTES`` of text."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return min(max(2, -(-size // RANGE_BYTES)), MOST_RANGES)
 
 
 def in_id_order(docs: DataFrame, id_col: str, ranges: int) -> DataFrame:
@@ -147,22 +143,37 @@ def in_id_order(docs: DataFrame, id_col: str, ranges: int) -> DataFrame:
     descending order; the lowest range holds the table's first.  A null id is
     below all others.
     """
-    cuts = docs.agg(F.percentile_approx(id_col, F.array(*[F.lit(i / ranges) for i in range(1, ranges)] or [F.lit(0.5)]), F.lit(10_000))).first()[0]
-    docs = docs.withColumn("part", _following(sorted(set(cuts or [])), id_col))
-    heads = sorted((r["part"], r["head"]) for r in docs.groupBy("part").agg(F.max(id_col).alias("head")).collect())
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)] or [F.lit(0.5)])
+    cuts = docs.agg(F.percentile_approx(id_col, shares, F.lit(max(10_000, 20 * ranges)))).first()[0]
+    bounds, lowest = np.unique(np.array(cuts or [], np.int64)), np.iinfo(np.int64).min
+
+    def place(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        x = ids.fill_null(lowest).to_numpy(zero_copy_only=False)
+        return x, np.searchsorted(bounds, x).astype(np.int32)
+
+    @F.arrow_udf("int")
+    def part_of(ids: pa.Array) -> pa.Array:
+        return pa.array(place(ids)[1])
+
+    tops = docs.select(id_col).withColumn("part", part_of(id_col)).groupBy("part").agg(F.max(id_col).alias("head"))
+    heads = sorted((r["part"], lowest if r["head"] is None else r["head"]) for r in tops.collect())  # one row a range
+    kept = [c for c in docs.columns if c not in ("part", "border")]
     if not heads:
-        return docs.withColumn("border", F.lit(0))
-    size = heads[-1][0] + 1
-    head, goes = [None] * size, [None] * size
+        return docs.select(*kept, F.lit(0).alias("part"), F.lit(0).alias("border"))
+    head, goes = np.full(heads[-1][0] + 1, lowest), np.zeros(heads[-1][0] + 1, np.int32)
     for i, (part, top) in enumerate(heads):
         head[part], goes[part] = top, heads[(i + 1) % len(heads)][0]
-    def pick(values, kind):
-        return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("part"))
 
-    copies = F.when(F.col(id_col).eqNullSafe(pick(head, "long")), F.array(F.struct(F.col("part"), F.lit(0).alias("border")),
-                                                                         F.struct(pick(goes, "int").alias("part"), F.lit(1).alias("border"))))
-    return docs.withColumn("to", F.explode(F.coalesce(copies, F.array(F.struct(F.col("part"), F.lit(0).alias("border")))))).drop("part").select(
-        *[c for c in docs.columns if c != "part"], F.col("to.part").alias("part"), F.col("to.border").alias("border"))
+    @F.arrow_udf("struct<part:int,goes:int>")
+    def places(ids: pa.Array) -> pa.Array:
+        x, part = place(ids)
+        return pa.StructArray.from_arrays([pa.array(part), pa.array(goes[part], mask=x != head[part])], ["part", "goes"])
+
+    own = F.struct(F.col("at.part").alias("part"), F.lit(0).alias("border"))
+    next_ = F.struct(F.col("at.goes").alias("part"), F.lit(1).alias("border"))
+    placed = docs.select(*kept).withColumn("at", places(id_col))
+    return placed.withColumn("to", F.explode(F.when(F.col("at.goes").isNull(), F.array(own)).otherwise(F.array(own, next_)))).select(
+        *kept, F.col("to.part").alias("part"), F.col("to.border").alias("border"))
 
 
 _PAIR_SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -179,10 +190,9 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     single row is its own next.
     """
     anchors = anchors or every_anchor()
-    spark = docs.sparkSession
-    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    rows = in_id_order(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "id", ranges)
-    rows = (rows.withColumn("hash", F.xxhash64("text")).repartition("part")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ranges = _ranges(rows, "text")
+    rows = (in_id_order(rows, "id", ranges).withColumn("hash", F.xxhash64("text")).repartitionById(ranges, "part")
             .sortWithinPartitions("part", "border", F.desc_nulls_last("id"), "hash"))
 
     def run(batches):

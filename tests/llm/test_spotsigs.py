@@ -48,19 +48,16 @@ def test_signatures_are_chains_after_anchors():
     assert s.spots("cat").tolist() != s.spots("dog").tolist()
 
 
-@pytest.mark.parametrize("parts,partitions", [(1, 2), (7, 3), (40, 64)])
-def test_next_and_edited(spark, parts, partitions):
+@pytest.mark.parametrize("parts,range_bytes", [(1, 1 << 24), (7, 8000), (40, 300)])
+def test_next_and_edited(spark, monkeypatch, parts, range_bytes):
     rng = random.Random(parts)
     words = "the a of in cat dog house tree sun moon river stone and to with bird".split()
     ids = rng.sample(range(-50, 10 ** 6), 90)
     docs = {i: " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 40, 200]))) for i in ids}
     docs[ids[0]], docs[ids[1]] = None, "é日 🙂" * 2000
-    spark.conf.set("spark.sql.shuffle.partitions", partitions)
-    try:
-        df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(parts)
-        got = {r.doc_id: r for r in spotsigs.compare_with_next(df).collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    monkeypatch.setattr(spotsigs, "RANGE_BYTES", range_bytes)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(parts)
+    got = {r.doc_id: r for r in spotsigs.compare_with_next(df).collect()}
     order = sorted(docs, reverse=True)
     assert set(got) == set(docs)
     for k, i in enumerate(order):
@@ -72,7 +69,8 @@ def test_next_and_edited(spark, parts, partitions):
         assert abs(r.near_next - jaccard(r.fingerprint, got[order[(k + 1) % len(order)]].fingerprint)) < 1e-12
 
 
-def test_edges(spark):
+def test_edges(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "RANGE_BYTES", 4)
     one = spark.createDataFrame([(5, "the cat sat in the house with a dog", "x")], "doc_id long, text string, part string")
     (r,) = spotsigs.compare_with_next(one).collect()
     assert r.near_next == 1.0
