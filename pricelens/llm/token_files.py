@@ -22,15 +22,16 @@ from __future__ import annotations
 
 import json
 import zlib
-from array import array
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, models
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from ..session import materialize
 from .common import offsets, ragged, steps, texts_of, worker_state
@@ -65,9 +66,17 @@ class Table:
         self.symbols, self.freq = symbols, freq.astype(np.uint64)
         self.start = offsets(freq)[:-1].astype(np.uint64)
 
+    @property
+    def places(self) -> np.ndarray:
+        """Place in the table of each id up to the largest symbol."""
+        if not hasattr(self, "_places"):
+            self._places = np.zeros(int(self.symbols[-1]) + 1, np.int32)
+            self._places[self.symbols] = np.arange(len(self.symbols), dtype=np.int32)
+        return self._places
+
     def encode(self, ids: np.ndarray, lanes: int) -> bytes:
         """States of all lanes, then the words in the order a decoder needs."""
-        at = np.searchsorted(self.symbols, ids)
+        at = self.places[ids]
         freq, start = self.freq[at], self.start[at]
         x = np.full(lanes, LOW, np.uint64)
         words: list[np.ndarray] = []
@@ -121,6 +130,37 @@ _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+class Known:
+    """Texts met and the ids of each, one after another."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.off = np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def places(self, texts: list[str], learn) -> np.ndarray:
+        """Numbers of the texts; ``learn`` gives ids and lengths, in arrays, of those not met yet."""
+        at = np.fromiter(map(self.at.get, texts, repeat(-1)), np.int64, len(texts))
+        new = at < 0
+        if new.any():
+            fresh = list(dict.fromkeys(compress(texts, new.tolist())))
+            ids, lens = learn(fresh)
+            self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh))))
+            self.ids = np.concatenate([self.ids, *ids])
+            self.off = np.concatenate([self.off, self.off[-1] + offsets(np.concatenate(lens))[1:]])
+            at[new] = np.fromiter(map(self.at.__getitem__, compress(texts, new.tolist())), np.int64, int(new.sum()))
+        return at
+
+    def lens(self, at: np.ndarray) -> np.ndarray:
+        return self.off[at + 1] - self.off[at]
+
+    def ids_of(self, at: np.ndarray) -> np.ndarray:
+        return ragged(self.ids, self.off[at], self.lens(at))
+
+
 class WordCoder:
     """Ids of texts as the tokenizer file gives them; keeps those of words met.
 
@@ -144,6 +184,8 @@ class WordCoder:
             m = spec["model"]
             self.bpe = models.BPE(vocab=m["vocab"], merges=[tuple(x if isinstance(x, list) else x.split(" ")) for x in m["merges"]],
                                   end_of_word_suffix=m["end_of_word_suffix"], cache_capacity=0)
+            self.spelt = Tokenizer(self.bpe)  # of pieces in byte letters, a space between two
+            self.spelt.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.find = regex.compile(_SPLIT).findall
         self.plain = regex.compile("[!-~¡-ɏ]+").fullmatch
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
@@ -152,48 +194,56 @@ class WordCoder:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.pieces: dict[str, bytes] = {}  # ids of a piece, four bytes each
-        self.ids = np.zeros(0, np.int32)
-        self.off = np.zeros(1, np.int64)
+        self.words, self.pieces = Known(), Known()
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            text = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-            found = self.pieces[piece] = array("i", [t.id for t in self.bpe.tokenize(text)]).tobytes()
-        return found
-
-    def _word(self, raw: bytes) -> bytes:
-        word = raw.decode("utf-8")
-        if not self.plain(word):
-            return array("i", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+    def _cut(self, word: str) -> tuple[str, ...]:
+        """The pieces of a word; one that the whole tokenizer must see stays as it is, after a space."""
+        if not (word.isascii() and word.isprintable() or self.plain(word)):
+            return (" " + word,)
         word = word.lower()
         if word.isalpha():  # letters only: one piece
-            return self._piece(word)
-        if word[-1] in ".,;:!?" and word[:-1].isalpha():
-            return self._piece(word[:-1]) + self._piece(word[-1])
-        return b"".join(map(self._piece, self.find(word)))
+            return (word,)
+        if word[-1:] in ".,;:!?" and word[:-1].isalpha():
+            return word[:-1], word[-1]
+        return tuple(self.find(word))
+
+    def _piece_ids(self, fresh: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of new pieces and how many each has, a few hundred pieces to a call of the library."""
+        ids, lens = [], []
+        for lo in range(0, len(fresh), 500):
+            part = fresh[lo:lo + 500]
+            whole = {k: self.whole.encode(p[1:], add_special_tokens=False).ids for k, p in enumerate(part) if p[0] == " "}
+            spelt = [p if p.isascii() else p.encode("utf-8").decode("latin-1").translate(self.letters) for k, p in enumerate(part) if k not in whole]
+            found = self.spelt.encode(" ".join(spelt), add_special_tokens=False)
+            got, n = np.array(found.ids, np.int32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(spelt))
+            if whole:
+                at, rows = iter(np.split(got, np.cumsum(n)[:-1])), []
+                for k in range(len(part)):
+                    rows.append(np.array(whole[k], np.int32) if k in whole else next(at))
+                got, n = np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
+            ids.append(got)
+            lens.append(n)
+        return ids, lens
+
+    def _word_ids(self, fresh: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        cuts = list(map(self._cut, fresh))
+        pieces = self.pieces.places(list(chain.from_iterable(cuts)), self._piece_ids)
+        per_word = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        along = offsets(self.pieces.lens(pieces))
+        return [self.pieces.ids_of(pieces)], [np.diff(along[offsets(per_word)])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > KEPT_WORDS or len(self.pieces) > KEPT_PIECES:
             self.forget()
-        at, alone, fresh = [], {}, []
-        for k, t in enumerate(texts):
-            if not self.known_layout or any(s in t for s in self.special):
-                alone[k] = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int32)
-                at.append(None)
-                continue
-            words = t.encode("utf-8", "replace").split()  # bytes: cuts at 0x20 and 0x09-0x0D only
-            for w in set(words).difference(self.words):
-                self.words[w] = len(self.words)
-                fresh.append(self._word(w))
-            at.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
-        if fresh:
-            lens = np.fromiter(map(len, fresh), np.int64, len(fresh)) // 4
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(fresh), np.int32)])
-            self.off = np.concatenate([self.off, self.off[-1] + offsets(lens)[1:]])
-        return [alone[k] if a is None else ragged(self.ids, self.off[a], self.off[a + 1] - self.off[a]) for k, a in enumerate(at)]
+        alone = {k: np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int32) for k, t in enumerate(texts)
+                 if not self.known_layout or any(s in t for s in self.special)}
+        # Arrow cuts at 0x20 and 0x09-0x0D only, and numbers the distinct words; white space at an end gives an empty word
+        cut = pc.ascii_split_whitespace(pa.array([b"" if k in alone else t.encode("utf-8", "replace") for k, t in enumerate(texts)], pa.large_string()))
+        found = cut.flatten().dictionary_encode()
+        distinct = pa.ListArray.from_arrays(pa.array([0, len(found.dictionary)], pa.int32()), found.dictionary)
+        words = pc.binary_join(distinct, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(found.dictionary) else []
+        at, of = self.words.places(words, self._word_ids)[found.indices.to_numpy()], cut.offsets.to_numpy()
+        return [alone[k] if k in alone else self.words.ids_of(at[of[k]:of[k + 1]]) for k in range(len(texts))]
 
 
 def coder(path: str) -> WordCoder:

@@ -28,6 +28,29 @@ def test_coder_equals_library(library):
         assert [i.tolist() for i in c.encode(part)] == [library.encode(t, add_special_tokens=False).ids for t in part]
 
 
+def test_new_words_go_to_the_library_together(library, monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdeéßX") for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ".", "!?", "'s", "7", "日"]) for _ in range(3000)]
+    texts = [" ".join(words[i:i + 50]) + " \n" * (i % 3) for i in range(0, 3000, 50)] + ["", "  "]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    c, calls = token_files.WordCoder(PATH), []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode(self, text, **kw):
+            calls.append(text)
+            return self.inner.encode(text, **kw)
+
+    c.spelt = Counted(c.spelt)
+    assert [i.tolist() for i in c.encode(texts)] == want
+    assert 0 < len(calls) <= 8  # at most 500 pieces to a call
+    assert [i.tolist() for i in c.encode(texts)] == want and len(calls) <= 8
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 100)  # forgets between steps
+    assert [i.tolist() for t in texts for i in c.encode([t])] == want
+
+
 @pytest.mark.parametrize("n,lanes,kinds", [(1, 1, 1), (5, 4, 2), (10_000, 64, 300), (9_999, 1024, 40_000), (4096, 64, 1)])
 def test_entropy_code_round_trip(n, lanes, kinds):
     rng = np.random.default_rng(n)
