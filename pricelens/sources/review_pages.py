@@ -10,8 +10,10 @@ the rules are expressions over it, and nothing is shuffled before rule 7.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ _TEXT_TAGS = frozenset(["div", "span", "p"])
 _STARS = frozenset("12345")
 #: A card is so many elements above its badge.
 LEVELS = 6
+#: Cards that a Python worker gathers before it hands them on: characters of their texts, and rows.
+HELD_CHARS, HELD_CARDS = 1 << 20, 5_000
 
 
 class _Elements(HTMLParser):
@@ -117,23 +121,34 @@ def cards_of(elements: list[tuple]) -> list[tuple]:
     return list(cards.values())
 
 
+def card_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cards of batches of pages.  One page at a time is a Python text, and
+    cards of about ``HELD_CHARS`` are held, whatever number of pages a batch has."""
+    texts = pa.list_(pa.string())
+    schema = pa.schema([("page_id", pa.int64()), ("badge", pa.int32()), ("stars", texts), ("leaves", texts), ("inline", texts)])
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    rows, held = [], 0
+    for batch in batches:
+        for page_id, html in zip(*batch.columns):
+            reader = _Elements()
+            reader.feed(html.as_py() or "")
+            for card in cards_of(reader.finish()):
+                rows.append((page_id.as_py(), *card))
+                held += sum(len(t) for column in card[1:] for t in column)
+                if held > HELD_CHARS or len(rows) >= HELD_CARDS:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+    if rows:
+        yield batch_of(rows)
+
+
 def page_cards(pages: DataFrame) -> DataFrame:
     """The cards of each page ``(page_id, html)`` as ``cards_of`` gives them; a
     null page has none."""
-    def run(batches):
-        import pandas as pd
-        names = [c.split()[0] for c in CARDS.split(", ")]
-        for pdf in batches:
-            rows = []
-            for page_id, html in zip(pdf["page_id"], pdf["html"]):
-                reader = _Elements()
-                reader.feed(html or "")
-                rows += [(page_id, *card) for card in cards_of(reader.finish())]
-                if len(rows) > 5_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
-    return pages.select("page_id", "html").mapInPandas(run, CARDS)
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(card_batches, CARDS)
 
 
 def _let(value: Column, use) -> Column:

@@ -148,6 +148,24 @@ def test_cards_equal_all_elements_by_all_cards():
     assert nested > 10
 
 
+def test_cards_of_a_large_batch_are_handed_on_in_small_ones():
+    import tracemalloc
+
+    import pyarrow as pa
+    page = "<html><body><main>" + "".join(CARD.replace("Great phone", f"Title {i}").replace("Battery", "word " * 500) for i in range(20)) + "</main></body></html>"
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(199), None], pa.int64()), pa.array([page] * 200)], names=["page_id", "html"])
+    assert batch.nbytes > 10 << 20
+    tracemalloc.start()
+    n, ids = 0, []
+    for out in RP.card_batches(iter([batch, batch.slice(0, 0)])):
+        n += 1
+        ids += out.column(0).to_pylist()
+        assert out.num_rows <= RP.HELD_CARDS and out.nbytes < 2 * RP.HELD_CHARS
+    assert n > 5 and ids == [i for i in [*range(199), None] for _ in range(20)]
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20  # once several times the batch
+    tracemalloc.stop()
+
+
 def test_review_extraction_job_and_pages_until_empty(spark):
     page = f"<html><body><main>{CARD}</main></body></html>"
     pages = spark.createDataFrame([(1, "u?x=1&page=1", page), (2, "u?x=1&page=2", page),
